@@ -7,7 +7,7 @@ from collections.abc import Callable
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, decontamination, language_id, minhash, packing, pii, secrets, sharding, token_counts
+from . import chunks, decontamination, embeddings, language_id, minhash, packing, pii, secrets, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("key")
 
 
+def op6_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op3_sharding, op4_pii, op5_minhash_near_dedup, op7_secret_scans, op8_token_counts, op9_best_fit_packing, op10_language_id)}
+    return {f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op3_sharding, op4_pii, op5_minhash_near_dedup, op6_embedding_near_dup, op7_secret_scans, op8_token_counts, op9_best_fit_packing, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
