@@ -10,7 +10,7 @@ from tapeworks.llm.common import stored
 from tapeworks.session import prepare
 
 #: Documents whose language has a lower probability are rejected, as are those without letters.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.4
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
