@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tapeworks.plans import indicators, oracle
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = indicators.QUERIES["ind23_bollinger"]
 
 
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, indicators.Query]:
+    return {**indicators.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**oracle.indicators()}
