@@ -19,7 +19,8 @@ def fractals(bars: DataFrame, n: int = 3) -> DataFrame:
     inside = (F.count("*").over(around) == 2 * n + 1)
     high = inside & (F.col("high") == F.max("high").over(around)) & (F.col("high") > F.max("high").over(earlier))
     low = inside & (F.col("low") == F.min("low").over(around)) & (F.col("low") < F.min("low").over(earlier))
-    kinds = F.filter(F.array(F.when(high, F.struct(F.lit("H").alias("kind"), F.col("high").alias("price"))), F.when(low, F.struct(F.lit("L").alias("kind"), F.col("low").alias("price")))), lambda x: x.isNotNull())
+    bars = bars.withColumns({"_high": high, "_low": low})
+    kinds = F.array_compact(F.array(F.when(F.col("_high"), F.struct(F.lit("H").alias("kind"), F.col("high").alias("price"))), F.when(F.col("_low"), F.struct(F.lit("L").alias("kind"), F.col("low").alias("price")))))
     raw = bars.select(*SERIES, F.col("i").alias("idx"), F.explode(kinds).alias("x")).select(*SERIES, "idx", "x.kind", "x.price")
     order = Window.partitionBy(*SERIES).orderBy("idx", "kind")
     run = F.sum(F.when(F.col("kind") == F.lag("kind").over(order), 0).otherwise(1)).over(order)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from tapeworks.plans import indicators, oracle
+from tapeworks.plans import indicators, oracle, shapes
 
 FLAGSHIP = indicators.QUERIES["ind23_bollinger"]
 
 
 def queries() -> dict[str, indicators.Query]:
-    return {**indicators.QUERIES}
+    return {**indicators.QUERIES, **shapes.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**oracle.indicators()}
+    return {**oracle.indicators(), **oracle.swings(), **oracle.candles()}

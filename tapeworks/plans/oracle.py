@@ -146,3 +146,129 @@ def indicators() -> dict[str, str]:
     div = [*obv, stage("p", "o", dp=f"close - {lag('close', 20)}", dv=f"obv - {lag('obv', 20)}")]
     out["ind36_volume_price_divergence"] = select(div, {"vol_price_div": "CASE WHEN dp < 0 AND dv > 0 THEN 1 WHEN dp > 0 AND dv < 0 THEN -1 ELSE 0 END"}, "p", exact=("vol_price_div",))
     return out
+
+
+SCALED = [HOURLY, stage("sc_t", "bars", tr=f"coalesce({TR}, high - low)"), *smooth("sc_a", "sc_t", "tr", 14, "(1.0 / 14)"), with_smooth("sc_z", "sc_t", a14="sc_a"), stage("sc", "sc_z", a=f"greatest(coalesce(a14, avg(tr) OVER ({PER})), 1e-9)")]
+ZIGZAG = [
+    *SCALED,
+    """z AS (
+  SELECT symbol, 0 AS i, '' AS seek, 0 AS hi, high AS hp, 0 AS li, low AS lp, CAST(NULL AS BIGINT) AS ei, CAST(NULL AS DOUBLE) AS ep, CAST(NULL AS VARCHAR) AS ek FROM sc WHERE i = 0
+  UNION ALL
+  SELECT symbol, i, CASE WHEN fire AND seek = '' THEN CASE WHEN nhi > nli THEN 'H' ELSE 'L' END WHEN fire AND seek = 'H' THEN 'L' WHEN fire THEN 'H' ELSE seek END,
+         CASE WHEN fire AND seek = 'L' THEN i ELSE nhi END, CASE WHEN fire AND seek = 'L' THEN high ELSE nhp END,
+         CASE WHEN fire AND seek = 'H' THEN i ELSE nli END, CASE WHEN fire AND seek = 'H' THEN low ELSE nlp END,
+         CASE WHEN fire THEN CASE WHEN seek = 'H' OR seek = '' AND nli > nhi THEN nhi ELSE nli END END,
+         CASE WHEN fire THEN CASE WHEN seek = 'H' OR seek = '' AND nli > nhi THEN nhp ELSE nlp END END,
+         CASE WHEN fire THEN CASE WHEN seek = 'H' OR seek = '' AND nli > nhi THEN 'H' ELSE 'L' END END
+  FROM (SELECT *, CASE seek WHEN '' THEN nhp - nlp >= 2 * a AND nhi <> nli AND (nhi = i OR nli = i)
+                            WHEN 'H' THEN NOT high >= hp AND hp - low >= 2 * a ELSE NOT low <= lp AND high - lp >= 2 * a END AS fire
+        FROM (SELECT b.symbol, b.i, b.high, b.low, b.a, s.seek, s.hp, s.lp,
+                     CASE WHEN s.seek = '' AND b.high > s.hp OR s.seek = 'H' AND b.high >= s.hp THEN b.i ELSE s.hi END AS nhi,
+                     CASE WHEN s.seek = '' AND b.high > s.hp OR s.seek = 'H' AND b.high >= s.hp THEN b.high ELSE s.hp END AS nhp,
+                     CASE WHEN s.seek = '' AND b.low < s.lp OR s.seek = 'L' AND b.low <= s.lp THEN b.i ELSE s.li END AS nli,
+                     CASE WHEN s.seek = '' AND b.low < s.lp OR s.seek = 'L' AND b.low <= s.lp THEN b.low ELSE s.lp END AS nlp
+              FROM z s JOIN sc b ON b.symbol = s.symbol AND b.i = s.i + 1)))""",
+    """zig AS (
+  SELECT symbol, ei AS idx, ep AS price, ek AS kind, i AS confirmed_idx, false AS provisional FROM z WHERE ek IS NOT NULL
+  UNION ALL
+  SELECT symbol, CASE seek WHEN 'H' THEN hi ELSE li END, CASE seek WHEN 'H' THEN hp ELSE lp END, seek, i, true FROM z WHERE seek <> '' AND (symbol, i) IN (SELECT symbol, max(i) FROM bars GROUP BY symbol))""",
+    "zigzag AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY provisional, confirmed_idx) - 1 AS k FROM zig)",
+]
+AROUND, EARLIER = f"({PER} ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)", f"({PER} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)"
+FRACTALS = [
+    HOURLY,
+    stage("fw", "bars", n=f"count(*) OVER {AROUND}", hh=f"max(high) OVER {AROUND}", ll=f"min(low) OVER {AROUND}", eh=f"max(high) OVER {EARLIER}", el=f"min(low) OVER {EARLIER}"),
+    "fr AS (SELECT symbol, i AS idx, 'H' AS kind, high AS price FROM fw WHERE n = 7 AND high = hh AND high > eh UNION ALL SELECT symbol, i, 'L', low FROM fw WHERE n = 7 AND low = ll AND low < el)",
+    "fl AS (SELECT *, lag(kind) OVER (PARTITION BY symbol ORDER BY idx, kind) AS pk FROM fr)",
+    "fg AS (SELECT *, sum(CASE WHEN kind = pk THEN 0 ELSE 1 END) OVER (PARTITION BY symbol ORDER BY idx, kind) AS run FROM fl)",
+    "fo AS (SELECT *, row_number() OVER (PARTITION BY symbol, run ORDER BY CASE WHEN kind = 'H' THEN -price ELSE price END, idx) AS place FROM fg)",
+    "swings AS (SELECT symbol, idx, price, kind, idx + 3 AS confirmed_idx FROM fo WHERE place = 1)",
+    "sp AS (SELECT *, lag(price) OVER (PARTITION BY symbol, kind ORDER BY idx) AS pp FROM swings)",
+    "labels AS (SELECT *, CASE WHEN pp IS NOT NULL THEN CASE WHEN price > pp THEN 'H' ELSE 'L' END || kind END AS label FROM sp)",
+]
+
+
+def swings() -> dict[str, str]:
+    trend = "recent AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY idx DESC, kind DESC) AS place FROM labels)"
+    counted = "counted AS (SELECT symbol, count(label) AS n, count(*) FILTER (label IN ('HH', 'HL')) AS up, count(*) FILTER (label IN ('LH', 'LL')) AS down FROM recent WHERE place <= 4 GROUP BY symbol)"
+    return {
+        "swg01_zigzag": f"WITH RECURSIVE {', '.join(ZIGZAG)} SELECT symbol, k, idx, round(price, 6) AS price, kind, confirmed_idx, provisional FROM zigzag",
+        "swg02_fractals": f"WITH {', '.join(FRACTALS)} SELECT symbol, idx, round(price, 6) AS price, kind, confirmed_idx FROM swings",
+        "swg07_labels": f"WITH {', '.join(FRACTALS)} SELECT symbol, idx, kind, label FROM labels",
+        "swg08_trend": f"WITH {', '.join([*FRACTALS, trend, counted])} SELECT symbol, CASE WHEN n < 3 THEN 'undetermined' WHEN up >= 3 AND (down = 0 OR n = 4) THEN 'uptrend' WHEN down >= 3 AND (up = 0 OR n = 4) THEN 'downtrend' ELSE 'range' END AS trend FROM counted",
+    }
+
+
+def candles() -> dict[str, str]:
+    x, p, a, _, f = range(5)
+    o, h, l, c = (lambda k, s=s: f"{s}{k}" for s in "ohlc")  # noqa: E741
+    r, body = (lambda k: f"(h{k} - l{k})"), (lambda k: f"abs(c{k} - o{k})")
+    top, bottom = (lambda k: f"greatest(o{k}, c{k})"), (lambda k: f"least(o{k}, c{k})")
+    up, dn = (lambda k: f"(h{k} - greatest(o{k}, c{k}))"), (lambda k: f"(least(o{k}, c{k}) - l{k})")
+    bull, bear = (lambda k: f"c{k} > o{k}"), (lambda k: f"c{k} < o{k}")
+    doji = lambda k: f"({r(k)} > 0 AND {body(k)} <= 0.1 * {r(k)})"
+    long = lambda k: f"({body(k)} >= ab AND {r(k)} > 0 AND {body(k)} >= 0.5 * {r(k)})"
+    maru = lambda k: f"({body(k)} >= 0.9 * {r(k)} AND {body(k)} >= ab)"
+    small = lambda k: f"{body(k)} <= 0.5 * ab"
+    tol = "(0.05 * ab + 0.002 * c0)"
+    d1, d2 = f"({up(x)} <= 0.1 * {r(x)} AND {dn(x)} >= 0.6 * {r(x)})", f"({dn(x)} <= 0.1 * {r(x)} AND {up(x)} >= 0.6 * {r(x)})"
+    d3 = f"({up(x)} >= 0.3 * {r(x)} AND {dn(x)} >= 0.3 * {r(x)} AND {r(x)} >= 1.5 * ab)"
+    hammer, inverted = f"NOT {doji(x)} AND {dn(x)} >= 2 * {body(x)} AND {up(x)} <= 0.1 * {r(x)}", f"NOT {doji(x)} AND {up(x)} >= 2 * {body(x)} AND {dn(x)} <= 0.1 * {r(x)}"
+    held = " AND ".join(f"{small(k)} AND h{k} <= h4 AND l{k} >= l4" for k in (1, 2, 3))
+    star = {"bull": f"{long(a)} AND {bear(a)} AND {small(p)} AND {top(p)} <= c2 + 0.1 * ab AND {bull(x)} AND c0 > (o2 + c2) / 2", "bear": f"{long(a)} AND {bull(a)} AND {small(p)} AND {bottom(p)} >= c2 - 0.1 * ab AND {bear(x)} AND c0 < (o2 + c2) / 2"}
+    forms = [
+        ("doji", 1, "neutral", "indecision", 0, f"{doji(x)} AND NOT {d1} AND NOT {d2} AND NOT {d3}"),
+        ("dragonfly_doji", 1, "bullish", "reversal", -1, f"{doji(x)} AND {d1}"),
+        ("gravestone_doji", 1, "bearish", "reversal", 1, f"{doji(x)} AND NOT {d1} AND {d2}"),
+        ("long_legged_doji", 1, "neutral", "indecision", 0, f"{doji(x)} AND NOT {d1} AND NOT {d2} AND {d3}"),
+        ("hammer", 1, "bullish", "reversal", -1, f"{hammer} AND t <= 0"),
+        ("hanging_man", 1, "bearish", "reversal", 1, f"{hammer} AND t >= 0"),
+        ("inverted_hammer", 1, "bullish", "reversal", -1, f"{inverted} AND t <= 0"),
+        ("shooting_star", 1, "bearish", "reversal", 1, f"{inverted} AND t >= 0"),
+        ("spinning_top", 1, "neutral", "indecision", 0, f"NOT {doji(x)} AND {body(x)} <= 0.3 * {r(x)} AND {up(x)} >= {body(x)} AND {dn(x)} >= {body(x)}"),
+        ("bullish_marubozu", 1, "bullish", "continuation", 0, f"NOT {doji(x)} AND {body(x)} >= 0.9 * {r(x)} AND {body(x)} >= 1.2 * ab AND {bull(x)}"),
+        ("bearish_marubozu", 1, "bearish", "continuation", 0, f"NOT {doji(x)} AND {body(x)} >= 0.9 * {r(x)} AND {body(x)} >= 1.2 * ab AND NOT {bull(x)}"),
+        ("bullish_engulfing", 2, "bullish", "reversal", -1, f"{bear(p)} AND {bull(x)} AND o0 <= c1 AND c0 >= o1 AND {body(x)} > {body(p)}"),
+        ("bearish_engulfing", 2, "bearish", "reversal", 1, f"{bull(p)} AND {bear(x)} AND o0 >= c1 AND c0 <= o1 AND {body(x)} > {body(p)}"),
+        ("bullish_harami", 2, "bullish", "reversal", -1, f"{long(p)} AND {bear(p)} AND {top(x)} <= o1 AND {bottom(x)} >= c1 AND {body(x)} < 0.6 * {body(p)}"),
+        ("bearish_harami", 2, "bearish", "reversal", 1, f"{long(p)} AND {bull(p)} AND {top(x)} <= c1 AND {bottom(x)} >= o1 AND {body(x)} < 0.6 * {body(p)}"),
+        ("piercing", 2, "bullish", "reversal", -1, f"{long(p)} AND {bear(p)} AND {bull(x)} AND o0 < c1 AND c0 > (o1 + c1) / 2 AND c0 < o1"),
+        ("dark_cloud_cover", 2, "bearish", "reversal", 1, f"{long(p)} AND {bull(p)} AND {bear(x)} AND o0 > c1 AND c0 < (o1 + c1) / 2 AND c0 > o1"),
+        ("tweezer_bottom", 2, "bullish", "reversal", -1, f"abs(l0 - l1) <= {tol} AND {bear(p)} AND {bull(x)}"),
+        ("tweezer_top", 2, "bearish", "reversal", 1, f"abs(h0 - h1) <= {tol} AND {bull(p)} AND {bear(x)}"),
+        ("matching_low", 2, "bullish", "reversal", -1, f"{bear(p)} AND {bear(x)} AND abs(c0 - c1) <= {tol} AND {long(p)}"),
+        ("bullish_kicking", 2, "bullish", "reversal", 0, f"{maru(p)} AND {maru(x)} AND {bear(p)} AND {bull(x)} AND o0 > o1"),
+        ("bearish_kicking", 2, "bearish", "reversal", 0, f"{maru(p)} AND {maru(x)} AND {bull(p)} AND {bear(x)} AND o0 < o1"),
+        ("morning_star", 3, "bullish", "reversal", -1, f"{star['bull']} AND NOT {doji(p)}"),
+        ("evening_star", 3, "bearish", "reversal", 1, f"{star['bear']} AND NOT {doji(p)}"),
+        ("morning_doji_star", 3, "bullish", "reversal", -1, f"{star['bull']} AND {doji(p)}"),
+        ("evening_doji_star", 3, "bearish", "reversal", 1, f"{star['bear']} AND {doji(p)}"),
+        ("three_white_soldiers", 3, "bullish", "reversal", -1, " AND ".join(f"{bull(k)} AND {body(k)} >= 0.8 * ab AND {up(k)} <= 0.35 * {body(k)}" for k in (2, 1, 0)) + " AND c2 < c1 AND c1 < c0 AND o2 < o1 AND o1 <= c2 AND o1 < o0 AND o0 <= c1"),
+        ("three_black_crows", 3, "bearish", "reversal", 1, " AND ".join(f"{bear(k)} AND {body(k)} >= 0.8 * ab AND {dn(k)} <= 0.35 * {body(k)}" for k in (2, 1, 0)) + " AND c2 > c1 AND c1 > c0 AND o2 > o1 AND o1 >= c2 AND o1 > o0 AND o0 >= c1"),
+        ("three_inside_up", 3, "bullish", "reversal", -1, f"{long(a)} AND {bear(a)} AND {top(p)} <= o2 AND {bottom(p)} >= c2 AND {body(p)} < 0.6 * {body(a)} AND {bull(p)} AND c0 > o2"),
+        ("three_inside_down", 3, "bearish", "reversal", 1, f"{long(a)} AND {bull(a)} AND {top(p)} <= c2 AND {bottom(p)} >= o2 AND {body(p)} < 0.6 * {body(a)} AND {bear(p)} AND c0 < o2"),
+        ("three_outside_up", 3, "bullish", "reversal", -1, f"{bear(a)} AND {bull(p)} AND o1 <= c2 AND c1 >= o2 AND {body(p)} > {body(a)} AND c0 > c1"),
+        ("three_outside_down", 3, "bearish", "reversal", 1, f"{bull(a)} AND {bear(p)} AND o1 >= c2 AND c1 <= o2 AND {body(p)} > {body(a)} AND c0 < c1"),
+        ("rising_three_methods", 5, "bullish", "continuation", 1, f"{long(f)} AND {bull(f)} AND {long(x)} AND {bull(x)} AND c0 > c4 AND {held} AND c1 < c3 + 0.5 * ab"),
+        ("falling_three_methods", 5, "bearish", "continuation", -1, f"{long(f)} AND {bear(f)} AND {long(x)} AND {bear(x)} AND c0 < c4 AND {held} AND c1 > c3 - 0.5 * ab"),
+    ]
+    lags = {f"{s[0]}{k}": lag(s, k) if k else s for s in ("open", "high", "low", "close") for k in range(5)}
+    prep = [
+        *SCALED, stage("cb", "sc", **lags, bd="abs(close - open)"),
+        stage("cc", "cb", am=f"CASE WHEN count(bd) OVER {w(10, 1)} >= 3 THEN avg(bd) OVER {w(10, 1)} END", an=f"avg(bd) OVER {w(11)}", n="count(*) OVER (PARTITION BY symbol)", nx=f"lead(close) OVER ({PER})",
+              rv=f"volume / nullif({mean('volume', 20, 1)}, 0)", **{f"m{k}": f"({lag('close', k)} - coalesce({lag('close', k + 10)}, first_value(close) OVER ({PER}))) / greatest({lag('a', k)}, 1e-9)" for k in (1, 2, 3, 5)},
+              **{f"s{k}": f"max(high) OVER {w(k)} - min(low) OVER {w(k)}" for k in (1, 2, 3, 5)}),
+        "cd AS (SELECT *, CASE WHEN am > 0 THEN am ELSE coalesce(nullif(an, 0), 1e-9) END AS ab FROM cc)",
+    ]
+    widest = "greatest(" + ", ".join(f"CASE WHEN {cond.replace(' AND t <= 0', '').replace(' AND t >= 0', '')} THEN {n} ELSE 0 END" for _, n, _, _, _, cond in forms) + ")"
+    mv = "CASE mx WHEN 1 THEN m1 WHEN 2 THEN m2 WHEN 3 THEN m3 WHEN 5 THEN m5 END"
+    more = [
+        f"ce AS (SELECT *, {widest} AS mx FROM cd WHERE h0 - l0 > 0 AND i >= 10 AND n >= 15)",
+        f"cf AS (SELECT *, {mv} AS mv, {mv.replace('m', 's').replace('sx', 'mx')} AS sp FROM ce WHERE mx > 0)",
+        "cg AS (SELECT *, CASE WHEN mv >= 2 THEN 1 WHEN mv <= -2 THEN -1 ELSE 0 END AS t FROM cf)",
+        "ch AS (" + " UNION ALL ".join(f"SELECT *, '{name}' AS pattern_id, {n} AS candles, '{d}' AS direction, '{k}' AS kind, {need} AS need FROM cg WHERE {cond}" for name, n, d, k, need, cond in forms) + ")",
+        "ci AS (SELECT *, CASE WHEN direction = 'bullish' THEN nx > close WHEN direction = 'bearish' THEN nx < close END AS ok, CASE WHEN need = 0 THEN 0.6 WHEN need = t THEN least(1.0, abs(mv) / 4) ELSE 0.1 END AS tc, greatest(0.0, least(1.0, sp / (1.2 * a))) AS sz, CASE WHEN rv IS NOT NULL THEN greatest(0.0, least(1.0, rv / 1.5)) END AS vv FROM ch)",
+    ]
+    last = "CASE WHEN direction = 'neutral' THEN 'n/a' WHEN nx IS NULL THEN 'pending' WHEN ok THEN 'confirmed' ELSE 'not_confirmed' END"
+    score = "100 * (3 * tc + sz + coalesce(vv, 0) + CASE WHEN ok THEN 2 ELSE 0 END) / (4 + CASE WHEN vv IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN ok IS NOT NULL THEN 2 ELSE 0 END)"
+    return {"cdl01_34_formations": f"WITH RECURSIVE {', '.join([*prep, *more])} SELECT symbol, i, pattern_id, candles, direction, kind, round(mv, 6) AS trend_scales, {last} AS confirmation, round({score}, 6) AS score FROM ci"}
