@@ -12,4 +12,4 @@ def queries() -> dict[str, indicators.Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**oracle.indicators(), **oracle.swings(), **oracle.candles()}
+    return {**oracle.indicators(), **oracle.swings(), **oracle.candles(), **oracle.patterns()}

@@ -272,3 +272,52 @@ def candles() -> dict[str, str]:
     last = "CASE WHEN direction = 'neutral' THEN 'n/a' WHEN nx IS NULL THEN 'pending' WHEN ok THEN 'confirmed' ELSE 'not_confirmed' END"
     score = "100 * (3 * tc + sz + coalesce(vv, 0) + CASE WHEN ok THEN 2 ELSE 0 END) / (4 + CASE WHEN vv IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN ok IS NOT NULL THEN 2 ELSE 0 END)"
     return {"cdl01_34_formations": f"WITH RECURSIVE {', '.join([*prep, *more])} SELECT symbol, i, pattern_id, candles, direction, kind, round(mv, 6) AS trend_scales, {last} AS confirmation, round({score}, 6) AS score FROM ci"}
+
+
+PIVOTS = [
+    *ZIGZAG,
+    "pw AS (SELECT *, (high - min(low) OVER pa) / a AS pu, (max(high) OVER pa - low) / a AS pd, avg(volume) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS vn, "
+    f"volume / nullif({mean('volume', 20, 1)}, 0) AS rv, count(*) OVER (PARTITION BY symbol) - 1 AS last FROM sc WINDOW pa AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING))",
+    "px AS (SELECT *, CASE WHEN i = 0 THEN 0 WHEN pu >= pd THEN pu ELSE -pd END AS prior FROM pw)",
+    "pv AS (SELECT z.symbol, z.k, z.idx, z.price, z.kind, z.provisional, x.a, x.prior, x.vn FROM zigzag z JOIN px x ON x.symbol = z.symbol AND x.i = z.idx)",
+    "r3 AS (SELECT p.symbol, CASE WHEN p.kind = 'H' THEN 1.0 ELSE -1.0 END AS s, p.idx AS i1, q.idx AS i2, r.idx AS i3, p.price AS a, q.price AS t, r.price AS b, q.a AS sq, r.a AS sr, p.prior, p.vn AS v1, r.vn AS v3, r.provisional AS unsure "
+    "FROM pv p JOIN pv q ON q.symbol = p.symbol AND q.k = p.k + 1 JOIN pv r ON r.symbol = p.symbol AND r.k = p.k + 2)",
+]
+CLOSE = "greatest(0.0, 1 - abs({0}) / ({1}))"
+CLIP = "greatest(0.0, least(1.0, {0}))"
+
+
+def _life(candidates: str) -> list[str]:
+    """Stages of candidates cand(symbol, pattern_id, sgn, i1, ix, unsure, level, inval, target, parts, n)."""
+    return [
+        f"cand AS ({candidates})",
+        "cl AS (SELECT c.*, x.last, x.close AS lc, x.a AS la, CASE WHEN ix + 62 <= x.last THEN ix + 62 END AS ex FROM cand c JOIN px x ON x.symbol = c.symbol AND x.i = x.last)",
+        "cj AS (SELECT c.*, min(x.i) FILTER (sgn * (inval - x.close) > 0.25 * x.a AND x.i <= ix + 62) AS inv, min(x.i) FILTER (sgn * (x.close - level) > 0.25 * x.a AND x.i <= ix + 62) AS brk FROM cl c LEFT JOIN px x ON x.symbol = c.symbol AND x.i > c.ix GROUP BY ALL)",
+        "ck AS (SELECT *, CASE WHEN inv <= coalesce(brk, 1e9) AND inv <= coalesce(ex, 1e9) THEN 'inv' WHEN ex < coalesce(brk, 1e9) THEN 'exp' WHEN brk IS NOT NULL THEN 'brk' ELSE 'open' END AS fate FROM cj)",
+        "cm AS (SELECT c.*, max(x.rv) FILTER (x.i = brk) AS rel, min(x.i) FILTER (x.i > brk AND CASE WHEN sgn > 0 THEN x.high >= target ELSE x.low <= target END) AS tgt, min(x.i) FILTER (x.i > brk AND x.i <= brk + 15 AND sgn * (level - x.close) > 0.25 * x.a) AS fail, "
+        "max(x.i) FILTER (x.i > brk AND CASE WHEN sgn > 0 THEN x.low - level ELSE level - x.high END <= 0.6 * x.a) AS ret FROM ck c LEFT JOIN px x ON x.symbol = c.symbol AND x.i > c.ix GROUP BY ALL)",
+        "cn AS (SELECT *, CASE fate WHEN 'inv' THEN 'invalidated' WHEN 'exp' THEN 'invalidated' WHEN 'brk' THEN CASE WHEN fail < coalesce(tgt, 1e9) THEN 'failed' WHEN tgt IS NULL AND last - ret <= 2 THEN 'retesting' ELSE 'confirmed' END ELSE CASE WHEN sgn * (level - lc) <= la THEN 'approaching_confirmation' ELSE 'forming' END END AS stage FROM cm)",
+        "co AS (SELECT *, CASE WHEN fate = 'brk' THEN brk END AS conf, stage IN ('confirmed', 'retesting') AND tgt IS NOT NULL AS hit, least(last, greatest(ix, CASE fate WHEN 'inv' THEN inv WHEN 'exp' THEN ex WHEN 'brk' THEN CASE WHEN stage = 'failed' THEN fail ELSE brk END ELSE ix END)) AS fin, CASE WHEN fate = 'brk' THEN CASE WHEN rel >= 1.5 THEN 1.0 WHEN rel IS NOT NULL THEN 0.3 END END AS vol, "
+        "CASE WHEN stage IN ('confirmed', 'retesting') THEN 1.0 WHEN stage = 'approaching_confirmation' THEN 0.6 WHEN stage = 'forming' THEN 0.4 ELSE 0.0 END AS bonus FROM cn)",
+    ]
+
+
+def _patterns(ctes: list[str], candidates: str) -> str:
+    shown = "symbol, pattern_id, CASE WHEN sgn > 0 THEN 'bullish' ELSE 'bearish' END AS direction, stage, i1 AS start_idx, fin AS end_idx, conf AS confirmation_idx, hit AS target_reached, round(level, 6) AS level, round(inval, 6) AS inval, round(target, 6) AS target, round(100 * (parts + coalesce(vol, 0) + bonus) / (n + 1 + CASE WHEN vol IS NULL THEN 0 ELSE 1 END), 6) AS quality"
+    return f"WITH RECURSIVE {', '.join([*ctes, *_life(candidates)])} SELECT {shown} FROM co WHERE NOT (unsure AND conf IS NOT NULL) AND fin >= last - 250"
+
+
+def patterns() -> dict[str, str]:
+    clip, close = CLIP.format, CLOSE.format
+    double = [*PIVOTS, "d AS (SELECT *, s * least(s * a, s * b) AS near, s * greatest(s * a, s * b) AS far FROM r3)", "dd AS (SELECT *, s * near - s * t AS depth, i3 - i1 AS gap, s * prior AS pr FROM d)"]
+    parts = " + ".join([close("a - b", "sr"), clip("depth / (5 * sr)"), clip("pr / 6"), "CASE WHEN gap BETWEEN 15 AND 80 THEN 1.0 ELSE 0.6 END", "CASE WHEN v3 < v1 THEN 1.0 ELSE 0.5 END"])
+    doubles = f"SELECT symbol, CASE WHEN s > 0 THEN 'double_top' ELSE 'double_bottom' END AS pattern_id, -s AS sgn, i1, i3 AS ix, unsure, t AS level, far AS inval, t - (far - t) AS target, {parts} AS parts, 5 AS n FROM dd WHERE abs(a - b) <= sr AND depth >= 2.5 * sr AND depth >= 0.03 * abs(t) AND gap BETWEEN 8 AND 120 AND pr >= 1.5"
+    five = ("r5 AS (SELECT p.symbol, CASE WHEN p.kind = 'H' THEN 1.0 ELSE -1.0 END AS s, p.idx AS i1, z.idx AS i5, p.price AS x1, q.price AS t1, r.price AS x2, y.price AS t2, z.price AS x3, z.a AS sc, p.prior, z.provisional AS unsure "
+            "FROM pv p JOIN pv q ON q.symbol = p.symbol AND q.k = p.k + 1 JOIN pv r ON r.symbol = p.symbol AND r.k = p.k + 2 JOIN pv y ON y.symbol = p.symbol AND y.k = p.k + 3 JOIN pv z ON z.symbol = p.symbol AND z.k = p.k + 4)")
+    triple = [*PIVOTS, five, "t5 AS (SELECT *, s * least(s * t1, s * t2) AS neck, greatest(x1, x2, x3) - least(x1, x2, x3) AS spread, s * greatest(s * x1, s * x2, s * x3) AS far, i5 - i1 AS span, s * prior AS pr FROM r5)", "t6 AS (SELECT *, s * ((x1 + x2 + x3) / 3 - neck) AS depth FROM t5)"]
+    parts3 = " + ".join([close("spread", "1.2 * sc"), clip("depth / (5 * sc)"), clip("pr / 6"), close("t1 - t2", "2 * sc")])
+    triples = f"SELECT symbol, CASE WHEN s > 0 THEN 'triple_top' ELSE 'triple_bottom' END AS pattern_id, -s AS sgn, i1, i5 AS ix, unsure, neck AS level, far AS inval, neck - (far - neck) AS target, {parts3} AS parts, 4 AS n FROM t6 WHERE spread <= 1.2 * sc AND depth >= 2.5 * sc AND depth >= 0.03 * abs(neck) AND span BETWEEN 16 AND 240 AND pr >= 1.5"
+    moves = [*PIVOTS, "m AS (SELECT *, abs(t - a) AS leg, abs(t - b) / nullif(abs(t - a), 0) AS back FROM r3)"]
+    partsm = " + ".join([clip("leg / (10 * sq)"), clip("1 - abs(back - 0.5) / 0.25")])
+    measured = f"SELECT symbol, CASE WHEN s < 0 THEN 'measured_move_up' ELSE 'measured_move_down' END AS pattern_id, -s AS sgn, i1, i3 AS ix, unsure, t AS level, b AS inval, b + (t - a) AS target, {partsm} AS parts, 2 AS n FROM m WHERE leg >= 5 * sq AND leg >= 0.03 * a AND back BETWEEN 0.3 AND 0.7"
+    return {"cht02_doubles": _patterns(double, doubles), "cht03_triples": _patterns(triple, triples), "cht12_measured_moves": _patterns(moves, measured)}

@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
-from tapeworks.operators import candles, swings
+from pyspark.sql import DataFrame
+
+from tapeworks.operators import candles, patterns, swings
 from tapeworks.operators.recursive import recursive, zigzag
 from tapeworks.plans.indicators import Query, shown
 from tapeworks.sources.bars import hourly_events
 
+PATTERN = ("pattern_id", "direction", "stage", "start_idx", "end_idx", "confirmation_idx", "target_reached", "level", "inval", "target", "quality")
+
+
+def of_pattern(detector: str) -> Query:
+    def run(spark, sf_dir) -> DataFrame:
+        bars = patterns.context(recursive(hourly_events(spark, sf_dir), "scale"))
+        found = patterns.DETECTORS[detector](patterns.pivots(zigzag(bars), bars))
+        return shown(patterns.lifecycle(found, bars), *PATTERN, keys=("symbol",))
+
+    return run
+
+
 QUERIES: dict[str, Query] = {
     "swg01_zigzag": lambda spark, d: shown(zigzag(hourly_events(spark, d)), "k", "idx", "price", "kind", "confirmed_idx", "provisional", keys=("symbol",)),
     "swg02_fractals": lambda spark, d: shown(swings.fractals(hourly_events(spark, d)), "idx", "price", "kind", "confirmed_idx", keys=("symbol",)),
     "swg07_labels": lambda spark, d: swings.labelled(swings.fractals(hourly_events(spark, d))).select("symbol", "idx", "kind", "label"),
     "swg08_trend": lambda spark, d: swings.trend(swings.fractals(hourly_events(spark, d))).select("symbol", "trend"),
     "cdl01_34_formations": lambda spark, d: shown(candles.detect(recursive(hourly_events(spark, d), "scale")), "i", "pattern_id", "candles", "direction", "kind", "trend_scales", "confirmation", "score", keys=("symbol",)),
+    "cht02_doubles": of_pattern("double"),
+    "cht03_triples": of_pattern("triple"),
+    "cht12_measured_moves": of_pattern("measured_move"),
 }
