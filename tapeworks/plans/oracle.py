@@ -321,3 +321,55 @@ def patterns() -> dict[str, str]:
     partsm = " + ".join([clip("leg / (10 * sq)"), clip("1 - abs(back - 0.5) / 0.25")])
     measured = f"SELECT symbol, CASE WHEN s < 0 THEN 'measured_move_up' ELSE 'measured_move_down' END AS pattern_id, -s AS sgn, i1, i3 AS ix, unsure, t AS level, b AS inval, b + (t - a) AS target, {partsm} AS parts, 2 AS n FROM m WHERE leg >= 5 * sq AND leg >= 0.03 * a AND back BETWEEN 0.3 AND 0.7"
     return {"cht02_doubles": _patterns(double, doubles), "cht03_triples": _patterns(triple, triples), "cht12_measured_moves": _patterns(moves, measured)}
+
+
+def structure() -> dict[str, str]:
+    sized = "sn AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM sc)"
+    broken = [
+        *ZIGZAG, sized,
+        "ks AS (SELECT symbol, kind, idx, price, confirmed_idx, lead(confirmed_idx) OVER (PARTITION BY symbol, kind ORDER BY idx) AS until FROM zigzag WHERE NOT provisional)",
+        "bk AS (SELECT k.symbol, k.kind, k.idx, any_value(k.price) AS level, min(b.i) AS i, any_value(b.n) AS n FROM ks k JOIN sn b ON b.symbol = k.symbol AND b.i >= k.confirmed_idx AND (k.until IS NULL OR b.i < k.until) WHERE CASE WHEN k.kind = 'H' THEN b.close > k.price ELSE b.close < k.price END GROUP BY k.symbol, k.kind, k.idx)",
+        "ev AS (SELECT *, coalesce(lag(kind) OVER (PARTITION BY symbol ORDER BY i, kind) = kind, true) AS same FROM bk)",
+        "events AS (SELECT symbol, CASE WHEN same THEN 'BOS' ELSE 'CHoCH' END AS type, CASE WHEN kind = 'H' THEN 'bullish' ELSE 'bearish' END AS direction, i, level, idx AS broken_idx FROM ev WHERE i >= n - 200)",
+    ]
+    future = "(PARTITION BY symbol ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+    gaps = [*SCALED, sized, f"g0 AS (SELECT *, {lag('high', 2)} AS h2, {lag('low', 2)} AS l2, min(low) OVER {future} AS fl, max(high) OVER {future} AS fh FROM sn)",
+            "g1 AS (SELECT symbol, i, a, fl, fh, 'bullish' AS direction, h2 AS lo, low AS hi FROM g0 WHERE i >= greatest(2, n - 200) UNION ALL SELECT symbol, i, a, fl, fh, 'bearish', high, l2 FROM g0 WHERE i >= greatest(2, n - 200))",
+            "g2 AS (SELECT *, coalesce(CASE WHEN direction = 'bullish' THEN fl < hi ELSE fh > lo END, false) AS partly, row_number() OVER (PARTITION BY symbol ORDER BY i DESC, direction) AS place FROM g1 WHERE hi - lo > 0.1 * a AND NOT coalesce(CASE WHEN direction = 'bullish' THEN fl <= lo ELSE fh >= hi END, false))"]
+    base = [*SCALED, sized, f"b0 AS (SELECT *, max(abs(close - open)) OVER {w(3)} AS body, min(low) OVER {w(3)} AS lo, max(high) OVER {w(3)} AS hi, lead(close, 3) OVER ({PER}) - close AS mv FROM sn)",
+            "b1 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY i DESC) AS place FROM b0 WHERE i >= greatest(3, n - 200) AND body <= 0.6 * a AND abs(mv) >= 2.5 * a)"]
+    traps = [*SCALED, sized, f"w0 AS (SELECT *, max(high) OVER {w(40, 1)} AS top, min(low) OVER {w(40, 1)} AS bottom FROM sn)", "w1 AS (SELECT * FROM w0 WHERE i >= greatest(40, n - 200) AND top - bottom <= 8 * a)",
+             "w2 AS (SELECT symbol, 'spring' AS type, i, low AS lo, bottom AS hi FROM w1 WHERE low < bottom - 0.2 * a AND close > bottom UNION ALL SELECT symbol, 'upthrust', i, top, high FROM w1 WHERE high > top + 0.2 * a AND close < top)",
+             "w3 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY i DESC, type DESC) AS place FROM w2)"]
+    blocks = [*broken, "o1 AS (SELECT e.symbol, e.direction, e.i AS bi, max(b.i) AS j FROM events e JOIN sc b ON b.symbol = e.symbol AND b.i < e.i AND b.i > greatest(0, e.broken_idx - 30) AND CASE WHEN e.direction = 'bullish' THEN b.close < b.open ELSE b.close > b.open END GROUP BY ALL)",
+              f"fu AS (SELECT *, min(low) OVER {future} AS fl, max(high) OVER {future} AS fh FROM sc)",
+              "o2 AS (SELECT o.*, b.low, b.high, CASE WHEN o.direction = 'bullish' THEN f.fl <= b.high ELSE f.fh >= b.low END AS hit, row_number() OVER (PARTITION BY o.symbol ORDER BY o.bi DESC, o.direction) AS place FROM o1 o JOIN sc b ON b.symbol = o.symbol AND b.i = o.j JOIN fu f ON f.symbol = o.symbol AND f.i = o.bi)"]
+    say = lambda ctes, rest: f"WITH RECURSIVE {', '.join(ctes)} SELECT {rest}"
+    return {
+        "str01_breaks": say(broken, "symbol, type, direction, i, round(level, 6) AS level, broken_idx FROM events"),
+        "str02_value_gaps": say(gaps, "symbol, direction, i - 1 AS i, round(lo, 6) AS low, round(hi, 6) AS high, CASE WHEN partly THEN 'partially_filled' ELSE 'open' END AS status FROM g2 WHERE place <= 10"),
+        "str03_order_blocks": say(blocks, "symbol, direction, bi AS break_i, j AS i, round(low, 6) AS low, round(high, 6) AS high, CASE WHEN coalesce(hit, false) THEN 'mitigated' ELSE 'open' END AS status FROM o2 WHERE place <= 6"),
+        "str04_bases": say(base, "symbol, CASE WHEN mv > 0 THEN 'demand' ELSE 'supply' END AS type, i, round(lo, 6) AS low, round(hi, 6) AS high FROM b1 WHERE place <= 6"),
+        "str05_range_traps": say(traps, "symbol, type, i, round(lo, 6) AS low, round(hi, 6) AS high FROM w3 WHERE place <= 6"),
+    }
+
+
+def resampling() -> dict[str, str]:
+    last = "round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close, round(volume, 8) AS volume"
+    agg = "first(open ORDER BY ts) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY ts) AS close, sum(volume) AS volume, min(ts) AS ts"
+    place = "row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i"
+
+    def of(bars: str, key: str) -> str:
+        return f"WITH {bars}, r AS (SELECT symbol, {agg} FROM bars GROUP BY symbol, {key}) SELECT symbol, {place}, strftime(ts, '%Y-%m-%d %H:%M') AS at, {last} FROM r"
+
+    quarter = "time_bucket(INTERVAL '15 minutes', ts, TIMESTAMP '2000-01-01')"
+    fives = ("bars AS (SELECT symbol, b AS ts, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close, CAST(count(*) AS DOUBLE) AS volume "
+             "FROM (SELECT *, event_type AS symbol, time_bucket(INTERVAL '5 minutes', ts, TIMESTAMP '2000-01-01') AS b FROM events WHERE value IS NOT NULL) GROUP BY 1, 2)")
+    return {
+        "src_hourly_bars": f"WITH {HOURLY} SELECT symbol, i, strftime(ts, '%Y-%m-%d %H:%M') AS at, {last} FROM bars",
+        "src_daily_bars": f"WITH {DAILY} SELECT symbol, i, strftime(ts, '%Y-%m-%d %H:%M') AS at, {last} FROM bars",
+        "rsm03_five_to_fifteen_minutes": of(fives, quarter),
+        "rsm03_hours_to_days": of(HOURLY, "CAST(ts AS DATE)"),
+        "rsm05_days_to_weeks": of(DAILY, "CAST(ts AS DATE) + CAST((12 - isodow(ts)) % 7 AS INTEGER)"),
+        "rsm06_days_to_months": of(DAILY, "date_trunc('month', ts)"),
+    }

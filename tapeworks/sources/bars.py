@@ -37,3 +37,11 @@ def daily_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
     price = F.col("l_extendedprice") / F.col("l_quantity")
     return from_ticks(trades, "1d", F.col("l_returnflag"), F.date_trunc("day", F.col("l_shipdate").cast("timestamp_ntz")), price, F.col("l_quantity"), order)
+
+
+def five_minute_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five-minute candles of the events' values."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ts = F.col("ts").cast("timestamp_ntz")
+    start = F.date_trunc("minute", ts) - F.make_dt_interval(F.lit(0), F.lit(0), F.minute(ts) % 5)
+    return from_ticks(events, "5m", F.col("event_type"), start.cast("timestamp_ntz"), F.col("value"), F.lit(1.0), ["ts", "event_id"])
