@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from tapeworks.plans import indicators, market, oracle, shapes
+from tapeworks.plans import indicators, market, oracle, shapes, trading
 
 FLAGSHIP = indicators.QUERIES["ind23_bollinger"]
 
 
 def queries() -> dict[str, indicators.Query]:
-    return {**indicators.QUERIES, **shapes.QUERIES, **market.QUERIES}
+    return {**indicators.QUERIES, **shapes.QUERIES, **market.QUERIES, **trading.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**oracle.indicators(), **oracle.swings(), **oracle.candles(), **oracle.patterns(), **oracle.structure(), **oracle.resampling()}
+    return {**oracle.indicators(), **oracle.swings(), **oracle.candles(), **oracle.patterns(), **oracle.structure(), **oracle.resampling(), **oracle.trading()}

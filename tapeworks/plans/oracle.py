@@ -373,3 +373,59 @@ def resampling() -> dict[str, str]:
         "rsm05_days_to_weeks": of(DAILY, "CAST(ts AS DATE) + CAST((12 - isodow(ts)) % 7 AS INTEGER)"),
         "rsm06_days_to_months": of(DAILY, "date_trunc('month', ts)"),
     }
+
+
+def trading() -> dict[str, str]:
+    rsi = [stage("rg0", "bars", ch=f"close - {lag('close')}"), *smooth("rsg", "rg0", "greatest(ch, 0) + ch * 0", 14, "(1.0 / 14)"), *smooth("rsl", "rg0", "greatest(-ch, 0) + ch * 0", 14, "(1.0 / 14)"), with_smooth("rsz", "rg0", g="rsg", l="rsl"),
+           "rs AS (SELECT symbol, i, CASE WHEN l = 0 AND g = 0 THEN 50 WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END AS v FROM rsz)"]
+    macd = [*smooth("m12", "bars", "close", 12, "(2.0 / 13)"), *smooth("m26", "bars", "close", 26, "(2.0 / 27)"), with_smooth("mz", "bars", f="m12", s="m26"), "mc AS (SELECT symbol, i, f - s AS v FROM mz)"]
+    hist = [*smooth("m9", "mc", "v", 9, "0.2"), with_smooth("mh0", "mc", sig="m9"), "mh AS (SELECT symbol, i, v - sig AS v FROM mh0)"]
+    obv = [stage("ob0", "bars", v=f"coalesce(sign(close - {lag('close')}) * volume, 0)"), f"ob AS (SELECT symbol, i, sum(v) OVER ({PER}) + first_value(volume) OVER ({PER}) AS v FROM ob0)"]
+    mfi = [stage("mf0", "bars", t=TYPICAL), stage("mf1", "mf0", ch=f"t - {lag('t')}"), stage("mf2", "mf1", u="CASE WHEN ch > 0 THEN t * volume WHEN ch IS NOT NULL THEN 0 END", d="CASE WHEN ch < 0 THEN t * volume WHEN ch IS NOT NULL THEN 0 END"), stage("mf3", "mf2", us=total("u", 14), ds=total("d", 14)), "mf AS (SELECT symbol, i, 100 * us / nullif(us + ds, 0) AS v FROM mf3)"]
+    div = [
+        *ZIGZAG, *rsi, *macd, *obv, *mfi,
+        "il AS (SELECT 'rsi' AS indicator, * FROM rs UNION ALL SELECT 'macd', * FROM mc UNION ALL SELECT 'obv', * FROM ob UNION ALL SELECT 'mfi', * FROM mf)",
+        "id AS (SELECT *, coalesce(nullif(CASE WHEN count(v) OVER q >= 20 THEN stddev_samp(v) OVER q END, 0), stddev_pop(v) OVER (PARTITION BY indicator, symbol ORDER BY i)) AS d FROM il WINDOW q AS (PARTITION BY indicator, symbol ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))",
+        "da AS (SELECT z.symbol, z.kind, z.idx, z.price, z.confirmed_idx, x.indicator, CASE WHEN any_value(z.kind) = 'L' THEN min(x.v) ELSE max(x.v) END AS v, max(x.d) FILTER (x.i = z.idx) AS d FROM zigzag z JOIN id x ON x.symbol = z.symbol AND x.i BETWEEN z.idx - 3 AND least(z.idx + 3, z.confirmed_idx) WHERE NOT z.provisional GROUP BY ALL)",
+        "dl AS (SELECT da.*, s.a, lag(idx) OVER p AS idx1, lag(v) OVER p AS v1, lag(price) OVER p AS price1, (SELECT max(i) FROM bars b WHERE b.symbol = da.symbol) AS last FROM da JOIN sc s ON s.symbol = da.symbol AND s.i = da.idx WINDOW p AS (PARTITION BY da.symbol, indicator, kind ORDER BY idx))",
+        "dx AS (SELECT *, (price - price1) / a AS dp, (v - v1) / nullif(d, 0) AS di FROM dl WHERE idx - idx1 BETWEEN 5 AND 80 AND confirmed_idx >= last - 120)",
+    ]
+    kind = "CASE WHEN kind = 'L' THEN CASE WHEN dp < 0 THEN 'regular_bullish' ELSE 'hidden_bullish' END ELSE CASE WHEN dp < 0 THEN 'hidden_bearish' ELSE 'regular_bearish' END END"
+    ratios = ", ".join(f"('{k}', {r}, {j})" for j, (k, r) in enumerate([("retracement", r) for r in (0.236, 0.382, 0.5, 0.618, 0.786)] + [("extension", r) for r in (1.272, 1.618, 2.0, 2.618)]))
+    fib = [
+        *ZIGZAG, "fz AS (SELECT *, row_number() OVER (PARTITION BY symbol, provisional ORDER BY k DESC) AS place FROM zigzag)", "ff AS (SELECT * FROM fz WHERE provisional OR place <= 8)",
+        "fn AS (SELECT *, lead(idx) OVER (PARTITION BY symbol ORDER BY k) AS ei2, lead(price) OVER (PARTITION BY symbol ORDER BY k) AS ep2 FROM ff)",
+        "fb AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY abs(ep2 - price) DESC, k) AS best FROM fn WHERE ep2 IS NOT NULL)",
+        f"fr2(rk, ratio, j) AS (VALUES {ratios})",
+        "fv AS (SELECT symbol, rk, ratio, j, idx, ei2, CASE WHEN rk = 'retracement' THEN ep2 - ratio * (ep2 - price) ELSE price + ratio * (ep2 - price) END AS lv FROM fb, fr2 WHERE best = 1)",
+        "fc AS (SELECT symbol, last(close ORDER BY i) AS lc FROM bars GROUP BY symbol)",
+        "fw2 AS (SELECT v.*, row_number() OVER (PARTITION BY v.symbol ORDER BY abs(round(lv, 4) - lc), j) AS place FROM fv v JOIN fc USING (symbol))",
+    ]
+    raw = "raw AS (SELECT event_type AS symbol, CASE WHEN event_id % 50 = 0 THEN NULL ELSE date_trunc('hour', ts) END AS ts, event_id AS pos, value - CASE WHEN user_id % 10 = 0 THEN 100 ELSE 0 END AS p FROM events)"
+    marked = "marked AS (SELECT *, CASE WHEN ts IS NULL THEN 'bad' WHEN row_number() OVER (PARTITION BY symbol, ts ORDER BY pos DESC) > 1 THEN 'dup' WHEN p - 1 > 0 THEN NULL ELSE 'inv' END AS problem FROM raw)"
+    good = "good AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM marked WHERE problem IS NULL)"
+    val = [raw, marked, good, "gj AS (SELECT *, abs(p / lag(p) OVER q - 1) > 0.3 AS jump, date_diff('minute', lag(ts) OVER q, ts) > 90 AND CAST(ts AS DATE) = CAST(lag(ts) OVER q AS DATE) AS gap FROM good WINDOW q AS (PARTITION BY symbol ORDER BY i))",
+           "gs AS (SELECT symbol, count(*) AS n, count(*) FILTER (jump) AS jumps, count(*) FILTER (gap) AS gaps FROM gj GROUP BY symbol)",
+           "gc AS (SELECT symbol, count(*) AS rows_in, count(*) FILTER (problem = 'bad') AS bad, count(*) FILTER (problem = 'dup') AS dup, count(*) FILTER (problem = 'inv') AS inv FROM marked GROUP BY symbol)",
+           "gr AS (SELECT *, 100 - CASE WHEN n < 60 THEN 35 WHEN n < 200 THEN 10 ELSE 0 END - least(20.0, 100 * inv / rows_in) - least(15.0, 100 * gaps / n) - CASE WHEN jumps > 0 THEN 10 ELSE 0 END AS score FROM gc JOIN gs USING (symbol))"]
+    b200 = stage("al0", "bars", s5=mean("close", 50), s20=mean("close", 200), rv=f"volume / nullif({mean('volume', 20, 1)}, 0)", prev=lag("close"), n="count(*) OVER (PARTITION BY symbol)")
+    b201 = stage("al1", "al0", p5=lag("s5"), p20=lag("s20"))
+    rules = "ru(rule_id, condition, level, factor) AS (VALUES (0, 'price_above', 40.0, NULL), (1, 'price_below', 40.0, NULL), (2, 'cross_sma50', NULL, NULL), (3, 'cross_sma200', NULL, NULL), (4, 'ma_crossover', NULL, NULL), (5, 'unusual_volume', NULL, 1.2))"
+    names = "sy AS (SELECT DISTINCT symbol FROM bars UNION ALL SELECT 'absent')"
+    hit = "CASE condition WHEN 'price_above' THEN close > level AND prev <= level WHEN 'price_below' THEN close < level AND prev >= level WHEN 'cross_sma50' THEN (close - s5) * (prev - p5) < 0 WHEN 'cross_sma200' THEN (close - s20) * (prev - p20) < 0 WHEN 'ma_crossover' THEN (s5 - s20) * (p5 - p20) < 0 ELSE rv >= factor END"
+    sig = [
+        *SCALED, *rsi, *macd, *hist,
+        "sg AS (SELECT s.*, r.v AS rsi, h.v AS hist FROM sc s JOIN rs r ON r.symbol = s.symbol AND r.i = s.i JOIN mh h ON h.symbol = s.symbol AND h.i = s.i)",
+        stage("sh", "sg", f=mean("close", 20), s=mean("close", 50), l=mean("close", 200)),
+        stage("si", "sh", pf=lag("f"), ps=lag("s"), pr=lag("rsi"), ph=lag("hist")),
+        "sj AS (SELECT *, 0 AS spec_id, CASE WHEN f > s AND pf <= ps THEN 1 WHEN f < s AND pf >= ps THEN -1 END AS side FROM si UNION ALL SELECT *, 1, CASE WHEN pr < 30 AND rsi >= 30 THEN 1 WHEN pr > 70 AND rsi <= 70 THEN -1 END FROM si UNION ALL SELECT *, 2, CASE WHEN hist > 0 AND ph <= 0 AND close > l THEN 1 WHEN hist < 0 AND ph >= 0 AND close < l THEN -1 END FROM si)",
+    ]
+    say = lambda ctes, rest: f"WITH RECURSIVE {', '.join(ctes)} SELECT {rest}"
+    return {
+        "div01_divergences": say(div, f"symbol, indicator, {kind} AS type, idx1, idx AS idx2, round(v1, 6) AS ind1, round(v, 6) AS ind2, confirmed_idx AS signal_i, round(25 * least(abs(di), 2) + 50 * least(abs(dp), 3) / 3, 6) AS strength FROM dx WHERE abs(dp) >= 0.25 AND abs(di) >= 0.15 AND dp * di < 0"),
+        "fib01_levels": say(fib, "symbol, rk AS kind, CAST(ratio AS DOUBLE) AS ratio, round(lv, 6) AS price, idx AS start_idx, ei2 AS end_idx, place = 1 AS nearest FROM fw2"),
+        "val07_clean_bars": say([raw, marked, good], "symbol, i, strftime(ts, '%Y-%m-%d %H:%M') AS at, round(p, 6) AS open, round(p + 1, 6) AS high, round(p - 1, 6) AS low, round(p, 6) AS close, CAST(1 AS DOUBLE) AS volume FROM good"),
+        "val14_report": say(val, "symbol, rows_in, bad AS bad_timestamps, dup AS duplicates, inv AS invalid_rows, n AS rows_out, 0 AS zero_volume_bars, false AS illiquid, jumps, gaps AS missing_candles, round(greatest(0, score), 6) AS score, CASE WHEN score >= 80 THEN 'high' WHEN score >= 60 THEN 'medium' WHEN score >= 30 THEN 'low' ELSE 'insufficient' END AS rating FROM gr"),
+        "alr_conditions": say([HOURLY, b200, b201, rules, names], f"sy.symbol, rule_id, i, condition, CASE WHEN n IS NULL THEN 'no_data' WHEN n < 30 THEN 'short_history' WHEN {hit} THEN 'hit' ELSE 'no_hit' END AS status, round(close, 6) AS price FROM sy CROSS JOIN ru LEFT JOIN (SELECT * FROM al1 WHERE i = n - 1) b ON b.symbol = sy.symbol"),
+        "bkt01_03_signals": say(sig, "symbol, i, spec_id, side, round(close - side * 2 * a, 6) AS stop, round(close + 2 * (side * 2 * a), 6) AS target FROM sj WHERE side IS NOT NULL"),
+    }
