@@ -18,8 +18,13 @@ from pyspark.sql import functions as F
 
 from .common import SHINGLE, SIMILARITY, by_bytes, components, mix, shingle_hashes, stored, weighted_jaccard, word_hashes
 
-#: At a similarity of 0.8 all bands differ with a chance of (1 - 0.8 ** 6) ** 40, five in a million.
-BANDS, ROWS = 40, 6
+#: At a similarity of 0.8 all bands differ with a chance of (1 - 0.8 ** 5) ** 30, seven in a million.
+BANDS, ROWS = 30, 5
+#: Candidates are first held against each other by a code of a byte for each of CODES coordinates. Of those with a
+#: similarity of 0.8, one in a hundred thousand agrees in fewer than 0.8 less SLACK deviations.
+CODES, SLACK = 512, 4.2
+#: Classes of a band that one task compares at most (about: they are dealt by hash); larger bands are compared in blocks.
+BLOCK = 2048
 GOLD, SIDE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -86,10 +91,38 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The ``pairs(a, b)`` whose texts have at least ``similarity``."""
+def _coded(texts: DataFrame, shingle: int) -> DataFrame:
+    """(key, code): the low bytes of a long signature of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in by_bytes(batches, 1):
+            codes = []
+            for text in part.column(1).to_pylist():
+                elements, counts = np.unique(shingle_hashes(word_hashes(text), shingle), return_counts=True)
+                codes.append((mix(darts(elements, counts.astype(float), CODES)) >> np.uint64(56)).astype(np.uint8).tobytes())
+            yield pa.record_batch([part.column(0), pa.array(codes, pa.binary())], names=["key", "code"])
+
+    return texts.select("key", "text").mapInArrow(run, "key binary, code binary")
+
+
+def _bar(similarity: float) -> int:
+    """In how many coordinates codes must agree for their texts to be compared."""
+    return int(CODES * (similarity - SLACK * math.sqrt(similarity * (1 - similarity) / CODES)))
+
+
+def _codes(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CODES)
+
+
+def _verified(pairs: DataFrame, codes: DataFrame | None, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The ``pairs(a, b)`` whose codes, if given, agree often enough and whose texts have at least ``similarity``."""
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = (_codes(batch.column(2)) == _codes(batch.column(3))).sum(axis=1) >= _bar(similarity) if batch.num_rows else []
+            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known = None, None
         for batch in batches:
             keep = []
@@ -99,16 +132,54 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: in
                 keep.append(weighted_jaccard(known, shingle_hashes(word_hashes(y), shingle)) >= similarity)
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    def both(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
+        sides = [of.select(F.col("key").alias(side), F.col(column).alias(name)) for side, name in (("a", "x"), ("b", "y"))]
+        return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "x", "y")
+
+    if codes is not None:
+        pairs = stored(both(pairs, codes, "code").mapInArrow(agree, "a binary, b binary"), "alike")
+    return both(pairs, texts, "text").mapInArrow(compare, "a binary, b binary")
+
+
+def _across(left: DataFrame, codes: DataFrame, similarity: float, block: int) -> DataFrame:
+    """The pairs (a, b) of ``left(band, key, weight, component)`` in one band but in different components that may be similar.
+
+    A band's classes meet in one task, or in one for each two blocks of a large band; only pairs whose codes agree
+    often enough leave it.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, codes_of = table["key"].to_pylist(), _codes(table["code"])
+        weights, own = table["weight"].to_numpy(), table["own"].to_numpy()
+        numbers: dict[bytes, int] = {}
+        component = np.array([numbers.setdefault(x, len(numbers)) for x in table["component"].to_pylist()])
+        order = np.argsort(weights, kind="stable")
+        keys, codes_of, weights, own, component = [keys[i] for i in order], codes_of[order], weights[order], own[order], component[order]
+        crossed = table["i"][0].as_py() != table["j"][0].as_py()
+        out: list[tuple[bytes, bytes]] = []
+        ends = np.searchsorted(weights * similarity, weights, "right")  # the first that is too heavy
+        for i in range(len(keys)):
+            near = np.arange(i + 1, ends[i])
+            near = near[component[near] != component[i]]
+            near = near[own[near] != own[i]] if crossed else near
+            for at in range(0, len(near), 1024):
+                part = near[at : at + 1024]
+                hits = part[(codes_of[part] == codes_of[i]).sum(axis=1) >= _bar(similarity)]
+                out += [(min(keys[i], keys[k]), max(keys[i], keys[k])) for k in hits.tolist()]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
+
+    sizes = left.groupBy("band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = left.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "weight", "component")
+    return placed.join(codes, "key").groupBy("band", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, cluster_id, cluster_size, kept, key): a row for each document; cluster_id is the smallest doc_id of its group.
 
     Equal texts are one class. Classes that share a band are first compared with the smallest and the largest key of
-    the band; then, where a band still joins several components, with all classes of the others of like weight. So a
-    group of copies costs a few comparisons each, and every pair that shares a band is either compared or joined
+    the band; then, where a band still joins several components, with all classes of the others. So most of a group of
+    copies costs a few comparisons each, and every pair that shares a band is either held against each other or joined
     already. A class is linked if the weighted Jaccard similarity of its shingles is at least ``similarity``.
 
     Texts of fewer words than a shingle are one shingle; texts without words (null, empty) are each a group of their
@@ -127,16 +198,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ends = ends.join(member.select(F.col("key").alias("a"), F.col("weight").alias("v")), "a").where(like(F.col("v"), F.col("w"))).select("a", "b")
     keys = inside.select("key").distinct()
     texts = stored(_keyed(docs, id_col, text_col).select("key", "text").join(keys, "key", "left_semi").dropDuplicates(["key"]), "texts")
-    links = stored(_verified(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, similarity, shingle), "links")
+    codes = stored(_coded(texts, shingle), "codes")
+    tried = stored(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
+    links = stored(_verified(tried, codes, texts, similarity, shingle), "links")
 
     of = stored(components(links), "components")
     placed = inside.select("band", "key", "weight").join(of.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     several = placed.groupBy("band").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l < h").select("band")
     left = stored(placed.join(several, "band", "left_semi"), "left")
-    x, y = left.alias("x"), left.alias("y")
-    cross = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.component") < F.col("y.component")) & like(F.col("x.weight"), F.col("y.weight")))
-    more = cross.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct().join(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    found = stored(_verified(more, texts, similarity, shingle), "links")
+    more = stored(_across(left, codes, similarity, BLOCK).join(tried, ["a", "b"], "left_anti"), "more")
+    found = stored(_verified(more, None, texts, similarity, shingle), "links")
     joined = components(links.unionByName(found)) if found.take(1) else of
 
     group = member.select("key", "first", "copies").join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
