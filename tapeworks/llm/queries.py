@@ -58,5 +58,50 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op3_sharding, op4_pii, op5_minhash_near_dedup, op6_embedding_near_dup, op7_secret_scans, op8_token_counts, op9_best_fit_packing, op10_language_id)}
 
 
+#: Weighted Jaccard similarity of all pairs of documents that share a shingle, and what links of 0.8 reach.
+NEAR = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents),
+shingles AS (SELECT doc_id, array_to_string(w[k : k + least(5, len(w)) - 1], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS k FROM words WHERE len(w) > 0)),
+counted AS (SELECT doc_id, s, count(*) AS n FROM shingles GROUP BY ALL),
+sizes AS (SELECT doc_id, sum(n) AS n FROM counted GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.n, y.n)) AS n FROM counted x JOIN counted y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE shared.n >= 0.8 * (p.n + q.n - shared.n)),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, w.b FROM reach r JOIN ways w ON w.a = r.b),
+tops AS (SELECT a AS doc_id, min(b) AS cluster_id FROM reach GROUP BY a)
+SELECT doc_id, cluster_id, count(*) OVER (PARTITION BY cluster_id) AS cluster_size, doc_id = cluster_id AS kept FROM tops"""
+
+#: Cosines of all pairs of a label.
+COSINES = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+u AS (SELECT vec_id, label, x, sqrt(list_dot_product(x, x)) AS n FROM v WHERE list_dot_product(x, x) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_dot_product(a.x, b.x) / (a.n * b.n) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+tops AS (SELECT a, min(b) AS top FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT t.a AS vec_id, coalesce(c.n, 0) AS n_links, t.top AS component_id, t.a = t.top AS kept FROM tops t LEFT JOIN counts c ON c.a = t.a"""
+
+
+def _secrets_sql() -> str:
+    """All matches of each rule; what stands between them gives their places."""
+    quote = lambda p: p.replace("'", "''")
+    assign = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
+    value = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
+    patterns = [assign if r.kind == "assign" else r.pattern for r in secrets.RULES]
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {k} AS r, '{rule.kind}' AS kind, regexp_extract_all(t, '(?s)(.*?)({quote(p)})', 1) AS g, regexp_extract_all(t, '(?s)(.*?)({quote(p)})', 2) AS m FROM d" for k, (rule, p) in enumerate(zip(secrets.RULES, patterns, strict=True))
+    )
+    joined = "coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, r){}, '')"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in secrets.BASE)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), k AS ({found}),
+s AS (SELECT doc_id, r, kind, unnest(range(1, len(m) + 1)) AS j, g, m FROM k),
+p AS (SELECT doc_id, r, kind, m[j] AS x, list_sum(list_transform(g[1 : j], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1 : j - 1], lambda y: length(y))), 0) AS a FROM s),
+q AS (SELECT doc_id, r, kind, CAST(a AS BIGINT) AS a, CAST(a + length(x) AS BIGINT) AS b FROM p
+      WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(x, '{quote(value)}', 1)) >= 6 WHEN 'access' THEN length(x) >= 20 ELSE true END)
+SELECT d.doc_id, {counts}, sha256({joined.format(f" FILTER (r < {len(secrets.BASE)})")}) AS base_sha256, {joined.format("")} AS spans FROM d LEFT JOIN q ON q.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of those that it can express; the others are held against brute force in the tests."""
+    return {"op5_minhash_near_dedup": NEAR, "op6_embedding_near_dup": COSINES, "op7_secret_scans": _secrets_sql()}
