@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.operators import structure
+from tapeworks.operators import levels, structure
 from tapeworks.operators.recursive import recursive, zigzag
 from tapeworks.operators.resample import resample
 from tapeworks.plans.indicators import Query, shown
 from tapeworks.sources.bars import daily_trades, five_minute_events, hourly_events
+from tapeworks.streaming.bars import streamed_bars
 
 
 def candles(bars: DataFrame) -> DataFrame:
@@ -36,4 +37,7 @@ QUERIES: dict[str, Query] = {
     "str03_order_blocks": of_structure(lambda b: structure.order_blocks(b, structure.breaks(b, zigzag(b))), "direction", "break_i", "i", "low", "high", "status"),
     "str04_bases": of_structure(structure.bases, "type", "i", "low", "high"),
     "str05_range_traps": of_structure(structure.range_traps, "type", "i", "low", "high"),
+    "lvl08_auxiliary": lambda spark, d: shown(levels.auxiliary(hourly_events(spark, d)), "kind", "price", keys=("symbol",)),
+    "lvl09_volume_at_price": lambda spark, d: shown(levels.volume_at_price(hourly_events(spark, d)), "price", "volume", keys=("symbol",)),
+    "src_streamed_bars": lambda spark, d: streamed_bars(spark, d).select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("at"), *(F.round(c, 8).alias(c) for c in ("open", "high", "low", "close", "volume"))),
 }

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tapeworks.operators import candles, patterns, swings
+from tapeworks.operators import candles, harmonics, patterns, swings
 from tapeworks.operators.recursive import recursive, zigzag
 from tapeworks.plans.indicators import Query, shown
-from tapeworks.sources.bars import hourly_events
+from tapeworks.sources.bars import daily_trades, hourly_events
 
 PATTERN = ("pattern_id", "direction", "stage", "start_idx", "end_idx", "confirmation_idx", "target_reached", "level", "inval", "target", "quality")
 
@@ -21,6 +22,14 @@ def of_pattern(detector: str) -> Query:
     return run
 
 
+def harmonic(spark, sf_dir) -> DataFrame:
+    """All of a series' history, and ratios that may be a quarter off: trades of random prices hold no closer ones."""
+    bars = patterns.context(recursive(daily_trades(spark, sf_dir), "scale"))
+    found = harmonics.candidates(patterns.pivots(zigzag(bars), bars), tolerance=0.25)
+    rows = harmonics.resolved(found, bars, age=1 << 30).withColumns({c: F.round(c, 4) for c in ("level", "inval", "target")})
+    return shown(rows, "pattern_id", "stage", "start_idx", "end_idx", "confirmation_idx", "level", "inval", "target", "quality", keys=("symbol",))
+
+
 QUERIES: dict[str, Query] = {
     "swg01_zigzag": lambda spark, d: shown(zigzag(hourly_events(spark, d)), "k", "idx", "price", "kind", "confirmed_idx", "provisional", keys=("symbol",)),
     "swg02_fractals": lambda spark, d: shown(swings.fractals(hourly_events(spark, d)), "idx", "price", "kind", "confirmed_idx", keys=("symbol",)),
@@ -30,4 +39,5 @@ QUERIES: dict[str, Query] = {
     "cht02_doubles": of_pattern("double"),
     "cht03_triples": of_pattern("triple"),
     "cht12_measured_moves": of_pattern("measured_move"),
+    "cht15_17_harmonics": harmonic,
 }
