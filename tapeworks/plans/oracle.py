@@ -466,3 +466,33 @@ def levels() -> dict[str, str]:
         "lvl08_auxiliary": f"WITH {', '.join(last)} SELECT symbol, kind, round(price, 6) AS price FROM lv2 WHERE price IS NOT NULL",
         "src_streamed_bars": f"WITH {HOURLY} SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M') AS at, round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close, round(volume, 8) AS volume FROM bars WHERE ts + INTERVAL '70 minutes' <= (SELECT max(ts) FROM events WHERE value IS NOT NULL)",
     }
+
+
+def timeframes() -> dict[str, str]:
+    agg = "first(open ORDER BY ts) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY ts) AS close, sum(volume) AS volume, min(ts) AS ts"
+    place = "row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i"
+    daily = DAILY.replace("bars AS (", "days AS (", 1)
+    many = (f"bars AS (SELECT symbol || '|1d' AS symbol, ts, open, high, low, close, volume, i FROM days UNION ALL SELECT symbol || '|1w', ts, open, high, low, close, volume, {place} FROM (SELECT symbol, {agg} FROM days GROUP BY symbol, CAST(ts AS DATE) + CAST((12 - isodow(ts)) % 7 AS INTEGER)) "
+            f"UNION ALL SELECT symbol || '|1M', ts, open, high, low, close, volume, {place} FROM (SELECT symbol, {agg} FROM days GROUP BY symbol, date_trunc('month', ts)))")
+    adx = [stage("t", "bars", tr=TR), stage("dm", "t", up=f"high - {lag('high')}", dn=f"{lag('low')} - low"), stage("dms", "dm", pdm="CASE WHEN up > dn AND up > 0 THEN up WHEN up IS NOT NULL THEN 0 END", mdm="CASE WHEN dn > up AND dn > 0 THEN dn WHEN up IS NOT NULL THEN 0 END"),
+           *smooth("ra", "dms", "tr", 14, "(1.0 / 14)"), *smooth("rp", "dms", "pdm", 14, "(1.0 / 14)"), *smooth("rm", "dms", "mdm", 14, "(1.0 / 14)"), with_smooth("az", "dms", a="ra", p="rp", m="rm"),
+           stage("ay", "az", pdi="100 * p / nullif(a, 0)", mdi="100 * m / nullif(a, 0)"), stage("ax", "ay", dx="100 * abs(pdi - mdi) / nullif(pdi + mdi, 0)"), *smooth("rx", "ax", "dx", 14, "(1.0 / 14)")]
+    rsi = [stage("rg0", "bars", ch=f"close - {lag('close')}"), *smooth("rsg", "rg0", "greatest(ch, 0) + ch * 0", 14, "(1.0 / 14)"), *smooth("rsl", "rg0", "greatest(-ch, 0) + ch * 0", 14, "(1.0 / 14)"), with_smooth("rsz", "rg0", g="rsg", l="rsl"),
+           "rs AS (SELECT symbol, i, CASE WHEN l = 0 AND g = 0 THEN 50 WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END AS v FROM rsz)"]
+    macd = [*smooth("m12", "bars", "close", 12, "(2.0 / 13)"), *smooth("m26", "bars", "close", 26, "(2.0 / 27)"), with_smooth("mz", "bars", f="m12", s="m26"), "mc AS (SELECT symbol, i, f - s AS v FROM mz)", *smooth("m9", "mc", "v", 9, "0.2")]
+    zig = [many if x is HOURLY else x for x in ZIGZAG]
+    label = ["zp AS (SELECT *, lag(price) OVER (PARTITION BY symbol, kind ORDER BY idx) AS pp FROM zigzag WHERE NOT provisional)", "zl AS (SELECT *, CASE WHEN pp IS NOT NULL THEN CASE WHEN price > pp THEN 'H' ELSE 'L' END || kind END AS label, row_number() OVER (PARTITION BY symbol ORDER BY idx DESC, kind DESC) AS place FROM zp)",
+             "zt AS (SELECT symbol, count(label) AS n, count(*) FILTER (label IN ('HH', 'HL')) AS up, count(*) FILTER (label IN ('LH', 'LL')) AS down FROM zl WHERE place <= 4 GROUP BY symbol)",
+             "zs AS (SELECT symbol, CASE WHEN n < 3 THEN 'undetermined' WHEN up >= 3 AND (down = 0 OR n = 4) THEN 'uptrend' WHEN down >= 3 AND (up = 0 OR n = 4) THEN 'downtrend' ELSE 'range' END AS structure FROM zt)"]
+    last = [stage("ta", "bars", n="count(*) OVER (PARTITION BY symbol)", **{f"s{p}": mean("close", p) for p in (10, 20, 50, 200)}), stage("tb", "ta", **{f"b{p}": lag(f"s{p}", 5) for p in (20, 50, 200)}),
+            "tc AS (SELECT *, CASE WHEN n >= 220 THEN s50 WHEN n >= 60 THEN s20 ELSE s10 END AS fa, CASE WHEN n >= 220 THEN s200 WHEN n >= 60 THEN s50 ELSE s20 END AS sl, CASE WHEN n >= 220 THEN b200 WHEN n >= 60 THEN b50 ELSE b20 END AS pa, CASE WHEN n >= 220 THEN 200 WHEN n >= 60 THEN 50 ELSE 20 END AS per FROM tb WHERE i = n - 1 AND n >= 20)",
+            "td AS (SELECT tc.*, rs.v AS rsi, mc.v AS macd, m9.e AS sig, rx.e AS adx, coalesce(zs.structure, 'undetermined') AS structure FROM tc LEFT JOIN rs ON rs.symbol = tc.symbol AND rs.i = tc.i LEFT JOIN mc ON mc.symbol = tc.symbol AND mc.i = tc.i LEFT JOIN m9 ON m9.symbol = tc.symbol AND m9.i = tc.i LEFT JOIN rx ON rx.symbol = tc.symbol AND rx.i = tc.i LEFT JOIN zs ON zs.symbol = tc.symbol)",
+            "te AS (SELECT *, CASE WHEN close > sl THEN 1.0 ELSE -1.0 END AS c1, CASE WHEN fa > sl THEN 1.0 ELSE -1.0 END AS c2, CASE WHEN n - per + 1 > 6 THEN greatest(-1.0, least(1.0, (sl - pa) / pa * 100)) ELSE 0 END AS c3, CASE structure WHEN 'uptrend' THEN 1.0 WHEN 'downtrend' THEN -1.0 ELSE 0.0 END AS c4, CASE WHEN macd > sig THEN 0.5 ELSE -0.5 END + CASE WHEN macd > 0 THEN 0.5 ELSE -0.5 END AS c5, greatest(-1.0, least(1.0, (rsi - 50) / 20)) AS c6 FROM td)",
+            "tf AS (SELECT split_part(symbol, '|', 1) AS sym, split_part(symbol, '|', 2) AS tfm, n, structure, round(100 * (coalesce(2 * c1 + 2 * c2 + 1.5 * c3, 0) + 2 * c4 + CASE WHEN macd IS NULL THEN 0 ELSE c5 END + coalesce(CASE WHEN rsi IS NULL THEN NULL ELSE c6 END, 0)) / (CASE WHEN sl IS NULL THEN 0 ELSE 5.5 END + 2 + CASE WHEN macd IS NULL THEN 0 ELSE 1 END + CASE WHEN rsi IS NULL THEN 0 ELSE 1 END) * CASE WHEN adx IS NULL THEN 1 ELSE 0.7 + 0.3 * least(1.0, adx / 25) END, 1) AS score FROM te)",
+            "tg AS (SELECT *, CASE WHEN score >= 30 THEN 'bullish' WHEN score <= -30 THEN 'bearish' ELSE 'neutral' END AS trend FROM tf)"]
+    ctes = ", ".join([daily, *zig, *adx, *rsi, *macd, *label, *last])
+    return {
+        "mtf01_assess": f"WITH RECURSIVE {ctes} SELECT sym AS symbol, tfm AS timeframe, n AS bars, score, trend, CASE WHEN abs(score) >= 65 THEN 'strong' WHEN abs(score) >= 30 THEN 'moderate' ELSE 'weak' END AS strength, structure FROM tg",
+        "mtf02_combine": f"WITH RECURSIVE {ctes}, th AS (SELECT sym AS symbol, sum(w * score) / sum(w) AS s, count(*) AS n, count(*) FILTER (trend = 'bullish') AS up, count(*) FILTER (trend = 'bearish') AS down FROM tg JOIN (VALUES ('1M', 1.5), ('1w', 2.0), ('1d', 2.0)) v(t, w) ON v.t = tfm GROUP BY sym) "
+        "SELECT symbol, CASE WHEN s >= 55 AND up = n THEN 'strong_bullish' WHEN s >= 20 AND down = 0 THEN 'moderate_bullish' WHEN s <= -55 AND down = n THEN 'strong_bearish' WHEN s <= -20 AND up = 0 THEN 'moderate_bearish' ELSE 'mixed' END AS alignment, round(s, 1) AS alignment_score FROM th",
+    }

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.operators import alerts, backtest, divergence, indicators, validation
+from tapeworks.operators import alerts, backtest, divergence, indicators, trends, validation
 from tapeworks.operators.recursive import recursive, zigzag
+from tapeworks.operators.resample import resample
 from tapeworks.plans.indicators import Query, shown
 from tapeworks.sources.bars import daily_trades, hourly_events
 
@@ -75,6 +76,12 @@ def bkt09(spark, sf_dir) -> DataFrame:
     return shown(backtest.walk_forward(bars, STRATEGIES[0]), "fold", "start", "stop_i", *backtest.GRID, "train_expectancy_r", "trades", "win_rate", "expectancy_r", "profit_factor", keys=("symbol",))
 
 
+def timeframes(spark, sf_dir) -> DataFrame:
+    """Days, and the weeks and months made from them: one frame, one job."""
+    days = daily_trades(spark, sf_dir)
+    return days.unionByName(resample(days, "1d", "1w")).unionByName(resample(days, "1d", "1M"))
+
+
 QUERIES: dict[str, Query] = {
     "div01_divergences": div01,
     "fib01_levels": fib01,
@@ -85,4 +92,6 @@ QUERIES: dict[str, Query] = {
     "bkt06_trades": bkt06,
     "bkt08_metrics": bkt08,
     "bkt09_walk_forward": bkt09,
+    "mtf01_assess": lambda spark, d: trends.assess(timeframes(spark, d)),
+    "mtf02_combine": lambda spark, d: trends.combine(trends.assess(timeframes(spark, d))),
 }
