@@ -448,7 +448,7 @@ def harmonics() -> dict[str, str]:
             "hm AS (SELECT symbol, name, s, i1, ix, d, cd, last, lc, min(j) FILTER (breach) AS inv, min(j) FILTER (back AND NOT breach) AS conf FROM hb GROUP BY ALL)",
             "hn AS (SELECT m.*, p.rv AS rel, CASE WHEN inv < coalesce(conf, 1e9) THEN 'invalidated' WHEN conf IS NOT NULL THEN 'confirmed' WHEN s * (lc - d) > 0 THEN 'approaching_confirmation' ELSE 'forming' END AS stage FROM hm m LEFT JOIN px p ON p.symbol = m.symbol AND p.i = m.conf)",
             "ho AS (SELECT *, CASE stage WHEN 'invalidated' THEN inv WHEN 'confirmed' THEN conf ELSE ix END AS fin, CASE WHEN stage = 'confirmed' THEN CASE WHEN rel >= 1.5 THEN 1.0 WHEN rel IS NOT NULL THEN 0.3 END END AS vol, CASE stage WHEN 'confirmed' THEN 1.0 WHEN 'approaching_confirmation' THEN 0.6 WHEN 'forming' THEN 0.4 ELSE 0.0 END AS bonus FROM hn)"]
-    shown = "symbol, name || CASE WHEN s > 0 THEN '_bullish' ELSE '_bearish' END AS pattern_id, stage, i1 AS start_idx, fin AS end_idx, CASE WHEN stage = 'confirmed' THEN conf END AS confirmation_idx, round(d + s * 0.382 * cd, 4) AS level, round(d - s * 0.25 * cd, 4) AS inval, round(d + s * 0.618 * cd, 4) AS target, round(100 * (0.7 + coalesce(vol, 0) + bonus) / (2 + CASE WHEN vol IS NULL THEN 0 ELSE 1 END), 6) AS quality"
+    shown = "symbol, name || CASE WHEN s > 0 THEN '_bullish' ELSE '_bearish' END AS pattern_id, stage, i1 AS start_idx, fin AS end_idx, CASE WHEN stage = 'confirmed' THEN conf END AS confirmation_idx, round(d + s * 0.382 * cd + 1e-7, 4) AS level, round(d - s * 0.25 * cd + 1e-7, 4) AS inval, round(d + s * 0.618 * cd + 1e-7, 4) AS target, round(100 * (0.7 + coalesce(vol, 0) + bonus) / (2 + CASE WHEN vol IS NULL THEN 0 ELSE 1 END), 6) AS quality"
     ctes = [DAILY if x is HOURLY else x for x in ctes]
     return {"cht15_17_harmonics": f"WITH RECURSIVE {', '.join(ctes)} SELECT {shown} FROM ho"}
 

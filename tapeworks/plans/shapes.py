@@ -23,10 +23,13 @@ def of_pattern(detector: str) -> Query:
 
 
 def harmonic(spark, sf_dir) -> DataFrame:
-    """All of a series' history, and ratios that may be a quarter off: trades of random prices hold no closer ones."""
+    """All of a series' history, and ratios that may be a quarter off: trades of random prices hold no closer ones.
+
+    The little that is added keeps halves of the last decimal from being rounded either way.
+    """
     bars = patterns.context(recursive(daily_trades(spark, sf_dir), "scale"))
     found = harmonics.candidates(patterns.pivots(zigzag(bars), bars), tolerance=0.25)
-    rows = harmonics.resolved(found, bars, age=1 << 30).withColumns({c: F.round(c, 4) for c in ("level", "inval", "target")})
+    rows = harmonics.resolved(found, bars, age=1 << 30).withColumns({c: F.round(F.col(c) + 1e-7, 4) for c in ("level", "inval", "target")})
     return shown(rows, "pattern_id", "stage", "start_idx", "end_idx", "confirmation_idx", "level", "inval", "target", "quality", keys=("symbol",))
 
 
