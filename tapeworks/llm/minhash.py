@@ -25,6 +25,8 @@ BANDS, ROWS = 30, 5
 CODES, SLACK = 512, 4.2
 #: Classes of a band that one task compares at most (about: they are dealt by hash); larger bands are compared in blocks.
 BLOCK = 2048
+#: Bands of more classes than SMALL are first compared with their most central class, found by the first CENTRAL codes.
+SMALL, CENTRAL = 8, 128
 GOLD, SIDE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -105,13 +107,13 @@ def _coded(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("key", "text").mapInArrow(run, "key binary, code binary")
 
 
-def _bar(similarity: float) -> int:
-    """In how many coordinates codes must agree for their texts to be compared."""
-    return int(CODES * (similarity - SLACK * math.sqrt(similarity * (1 - similarity) / CODES)))
+def _bar(similarity: float, codes: int = CODES) -> int:
+    """In how many of ``codes`` coordinates two codes must agree for their texts to be compared."""
+    return int(codes * (similarity - SLACK * math.sqrt(similarity * (1 - similarity) / codes)))
 
 
-def _codes(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CODES)
+def _codes(column: pa.Array | pa.ChunkedArray, codes: int = CODES) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, codes)
 
 
 def _verified(pairs: DataFrame, codes: DataFrame | None, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -141,20 +143,44 @@ def _verified(pairs: DataFrame, codes: DataFrame | None, texts: DataFrame, simil
     return both(pairs, texts, "text").mapInArrow(compare, "a binary, b binary")
 
 
+def _blocked(rows: DataFrame, block: int) -> DataFrame:
+    """``rows`` with ``blocks``, how many their band is dealt into, and ``own``, the one that a class is in."""
+    sizes = rows.groupBy("band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    return rows.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+
+
+def _to_centre(inside: DataFrame, codes: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Pairs (a, b) of each class with the class of its band (or block of it) that agrees most with what most of them hold."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, found = table["key"].to_pylist(), _codes(table["code"], CENTRAL)
+        usual = np.array([np.bincount(x, minlength=256).argmax() for x in found.T], np.uint8)
+        order = sorted(range(len(keys)), key=lambda i: (-int((found[i] == usual).sum()), keys[i]))
+        centre = order[0]
+        near = np.flatnonzero((found == found[centre]).sum(axis=1) >= _bar(similarity, CENTRAL))
+        pairs = [(min(keys[i], keys[centre]), max(keys[i], keys[centre])) for i in near.tolist() if i != centre]
+        return pa.table({"a": pa.array([a for a, _ in pairs], pa.binary()), "b": pa.array([b for _, b in pairs], pa.binary())})
+
+    large = _blocked(inside.where(F.col("n") > SMALL).select("band", "key"), block)
+    coded = large.join(codes.select("key", F.substring("code", 1, CENTRAL).alias("code")), "key")
+    return coded.select("band", "own", "key", "code").groupBy("band", "own").applyInArrow(run, "a binary, b binary")
+
+
 def _across(left: DataFrame, codes: DataFrame, similarity: float, block: int) -> DataFrame:
     """The pairs (a, b) of ``left(band, key, weight, component)`` in one band but in different components that may be similar.
 
     A band's classes meet in one task, or in one for each two blocks of a large band; only pairs whose codes agree
-    often enough leave it.
+    often enough leave it, and only from the first band that they share.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        keys, codes_of = table["key"].to_pylist(), _codes(table["code"])
-        weights, own = table["weight"].to_numpy(), table["own"].to_numpy()
         numbers: dict[bytes, int] = {}
         component = np.array([numbers.setdefault(x, len(numbers)) for x in table["component"].to_pylist()])
+        keys, weights, own, found = table["key"].to_pylist(), table["weight"].to_numpy(), table["own"].to_numpy(), _codes(table["code"])
+        bands = np.array(table["bands"].to_pylist(), np.int64)
+        at = int(np.flatnonzero(bands[0] == table["band"][0].as_py())[0])
         order = np.argsort(weights, kind="stable")
-        keys, codes_of, weights, own, component = [keys[i] for i in order], codes_of[order], weights[order], own[order], component[order]
+        keys, weights, own, found, bands, component = [keys[i] for i in order], weights[order], own[order], found[order], bands[order][:, :at], component[order]
         crossed = table["i"][0].as_py() != table["j"][0].as_py()
         out: list[tuple[bytes, bytes]] = []
         ends = np.searchsorted(weights * similarity, weights, "right")  # the first that is too heavy
@@ -162,25 +188,25 @@ def _across(left: DataFrame, codes: DataFrame, similarity: float, block: int) ->
             near = np.arange(i + 1, ends[i])
             near = near[component[near] != component[i]]
             near = near[own[near] != own[i]] if crossed else near
-            for at in range(0, len(near), 1024):
-                part = near[at : at + 1024]
-                hits = part[(codes_of[part] == codes_of[i]).sum(axis=1) >= _bar(similarity)]
+            for start in range(0, len(near), 1024):
+                part = near[start : start + 1024]
+                hits = part[(found[part] == found[i]).sum(axis=1) >= _bar(similarity)]
+                hits = hits[~(bands[hits] == bands[i]).any(axis=1)]
                 out += [(min(keys[i], keys[k]), max(keys[i], keys[k])) for k in hits.tolist()]
         return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
 
-    sizes = left.groupBy("band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = left.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "weight", "component")
-    return placed.join(codes, "key").groupBy("band", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
+    placed = _blocked(left, block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "weight", "component")
+    return placed.join(codes, "key").groupBy("band", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, cluster_id, cluster_size, kept, key): a row for each document; cluster_id is the smallest doc_id of its group.
 
-    Equal texts are one class. Classes that share a band are first compared with the smallest and the largest key of
-    the band; then, where a band still joins several components, with all classes of the others. So most of a group of
-    copies costs a few comparisons each, and every pair that shares a band is either held against each other or joined
-    already. A class is linked if the weighted Jaccard similarity of its shingles is at least ``similarity``.
+    Equal texts are one class. Classes that share a band are first compared with its most central class (in small bands
+    with the smallest and the largest key); then, where a band still joins several components, with all classes of the
+    others. So most of a group of copies costs a few comparisons each, and every pair that shares a band is either held
+    against each other or joined already. A class is linked if the weighted Jaccard similarity of its shingles is at least ``similarity``.
 
     Texts of fewer words than a shingle are one shingle; texts without words (null, empty) are each a group of their
     own. Rows that repeat are counted each and share their kept flag. A null id takes no part in the smallest; a group
@@ -190,23 +216,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = rows_of.where("weight > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.any_value("weight").alias("weight"), F.any_value("bands").alias("bands"))
     member = stored(classes, "classes")
     banded = member.select(F.explode("bands").alias("band"), "key", "weight")
-    shared = banded.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
+    shared = banded.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n")).where("low < high")
     inside = stored(banded.join(shared, "band"), "bands")  # only bands with several classes
-    like = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(similarity)
-
-    ends = inside.select(F.explode(F.array("low", "high")).alias("a"), F.col("key").alias("b"), F.col("weight").alias("w")).where("a != b").distinct()
-    ends = ends.join(member.select(F.col("key").alias("a"), F.col("weight").alias("v")), "a").where(like(F.col("v"), F.col("w"))).select("a", "b")
     keys = inside.select("key").distinct()
     texts = stored(_keyed(docs, id_col, text_col).select("key", "text").join(keys, "key", "left_semi").dropDuplicates(["key"]), "texts")
     codes = stored(_coded(texts, shingle), "codes")
-    tried = stored(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
+
+    like = F.least("v", "weight") >= F.greatest("v", "weight") * F.lit(similarity)
+    ends = inside.where(F.col("n") <= SMALL).select(F.explode(F.array("low", "high")).alias("a"), F.col("key").alias("b"), "weight").where("a != b").distinct()
+    ends = ends.join(member.select(F.col("key").alias("a"), F.col("weight").alias("v")), "a").where(like).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tried = stored(ends.unionByName(_to_centre(inside, codes, similarity, BLOCK)).distinct(), "tried")
     links = stored(_verified(tried, codes, texts, similarity, shingle), "links")
 
     of = stored(components(links), "components")
     placed = inside.select("band", "key", "weight").join(of.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     several = placed.groupBy("band").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l < h").select("band")
     left = stored(placed.join(several, "band", "left_semi"), "left")
-    more = stored(_across(left, codes, similarity, BLOCK).join(tried, ["a", "b"], "left_anti"), "more")
+    more = stored(_across(left, codes.join(member.select("key", "bands"), "key"), similarity, BLOCK).join(tried, ["a", "b"], "left_anti"), "more")
     found = stored(_verified(more, None, texts, similarity, shingle), "links")
     joined = components(links.unionByName(found)) if found.take(1) else of
 
@@ -225,8 +251,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group: that of the smallest id; all columns stay. See ``near_duplicates``."""
-    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    key = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    keyed = docs.withColumn("_own", key)
+    near = near_duplicates(docs, id_col, text_col).where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    kept = stored(near.agg(F.count("*").alias("rows")), "kept")
+    keyed = docs.withColumn("_own", F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
     one = keyed.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")), "left_semi")
-    return one.dropDuplicates([id_col, "_own"]).drop("_own")
+    if kept.where("rows > 1").take(1):  # rows that repeat in id and text; else no second shuffle of the texts
+        one = one.dropDuplicates([id_col, "_own"])
+    return one.drop("_own")
