@@ -92,9 +92,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     order = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     each = rows.select("row", order.alias("order"), F.posexplode("chunks").alias("k", "c")).select("row", "order", "k", F.col("c.digest").alias("digest"), F.col("c.again").alias("again"))
     shared = (each if within else each.where("not again")).groupBy("digest").agg(F.count("*").alias("n"), F.min("order").alias("first")).where("n > 1").select("digest", "first")
-    held = each.join(shared, "digest").select("row", "k", (~F.col("again") & (F.col("order") == F.col("first"))).alias("is_first"))
-    marks = held.withColumn("run", F.col("k") - F.row_number().over(Window.partitionBy("row").orderBy("k")))
-    runs = marks.groupBy("row", "run").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.sum(F.col("is_first").cast("long")).alias("n_first"))
+    packed = each.select("digest", "row", (F.col("k") * 2 + F.col("again").cast("int")).alias("p"))  # all chunks go through one exchange
+    held = packed.join(shared, "digest").select("row", F.expr("p div 2").cast("int").alias("k"), F.when(F.col("p") % 2 == 0, F.col("first")).alias("first"))
+    marks = held.withColumn("run", F.col("k") - F.row_number().over(Window.partitionBy("row").orderBy("k"))).join(rows.select("row", order.alias("order")), "row")
+    runs = marks.groupBy("row", "run").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count_if(F.col("first") == F.col("order")).alias("n_first"))
     placed = runs.join(rows, "row").withColumn("n_chunks", (F.col("high") - F.col("low") + 1).cast("long"))
     size = F.aggregate(F.expr("slice(chunks, low + 1, high - low + 1)"), F.lit(0).cast("long"), lambda s, c: s + c["bytes"])
     return placed.select(
