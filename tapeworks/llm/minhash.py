@@ -42,19 +42,20 @@ def darts(elements: np.ndarray, weights: np.ndarray, coordinates: int) -> np.nda
         ranks, tokens = [], []
         at, live, drawn = np.zeros(len(strips)), np.arange(len(strips)), 0
         while len(live):
-            width = int(rank) + 1
+            width = int(rank + 2 * math.sqrt(rank)) + 1
             base = mix(strips[live, None] + np.arange(drawn, drawn + width, dtype=np.uint64) * GOLD)
             reach = at[live, None] + np.cumsum(-np.log(((base >> np.uint64(11)) + np.uint64(1)) * 2.0**-53), axis=1)
-            token = mix(base ^ SIDE)
             hit = reach <= rank
+            token, drawn_at = mix(base[hit] ^ SIDE), reach[hit]
             if room.min() < 1:
-                hit &= ((mix(token) >> np.uint64(11)) + np.uint64(1)) * 2.0**-53 <= room[live, None]
-            ranks.append(reach[hit])
-            tokens.append(token[hit])
+                inside = ((mix(token) >> np.uint64(11)) + np.uint64(1)) * 2.0**-53 <= np.broadcast_to(room[live, None], hit.shape)[hit]
+                token, drawn_at = token[inside], drawn_at[inside]
+            ranks.append(drawn_at)
+            tokens.append(token)
             at[live] = reach[:, -1]
             live, drawn = live[reach[:, -1] <= rank], drawn + width
         ranks, tokens = np.concatenate(ranks), np.concatenate(tokens)
-        tokens = tokens[np.argsort(-ranks, kind="stable")]
+        tokens = tokens[np.argsort(-ranks)]
         where = (tokens % np.uint64(coordinates)).astype(np.int64)
         signature, met = np.zeros(coordinates, np.uint64), np.zeros(coordinates, bool)
         signature[where] = tokens  # of several the last, the earliest dart, stays
