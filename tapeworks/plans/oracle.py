@@ -453,6 +453,14 @@ def harmonics() -> dict[str, str]:
     return {"cht15_17_harmonics": f"WITH RECURSIVE {', '.join(ctes)} SELECT {shown} FROM ho"}
 
 
+def impulses() -> dict[str, str]:
+    lead = lambda c, k: f"lead({c}, {k}) OVER (PARTITION BY symbol ORDER BY k)"
+    seq = "es AS (SELECT symbol, k, idx AS i1, price AS x1, CASE WHEN kind = 'L' THEN 1.0 ELSE -1.0 END AS s, " + ", ".join(f"{lead('idx', j)} AS i{j + 1}, {lead('price', j)} AS x{j + 1}" for j in range(1, 6)) + " FROM zigzag WHERE NOT provisional)"
+    waves = "ew AS (SELECT *, s * (x2 - x1) AS w1, s * (x4 - x3) AS w3, s * (x6 - x5) AS w5 FROM es WHERE i6 IS NOT NULL)"
+    rules = "w1 > 0 AND w3 > 0 AND w5 > 0 AND s * x3 > s * x1 AND w3 >= least(w1, w5) AND s * x5 > s * x2 AND w1 >= 2 * c.a"
+    return {"cht18_impulses": f"WITH RECURSIVE {', '.join([*(DAILY if x is HOURLY else x for x in ZIGZAG), seq, waves])} SELECT e.symbol, CASE WHEN s > 0 THEN 'elliott_impulse_up' ELSE 'elliott_impulse_down' END AS pattern_id, i1 AS start_idx, i6 AS end_idx, round(x5 + 1e-7, 4) AS level, round(x6 + 1e-7, 4) AS inval, round(x6 - 0.382 * (x6 - x1) + 1e-7, 4) AS target, round(100 * (least(1.0, w3 / greatest(w1, 1e-9) / 1.618) + 0.4) / 2, 6) AS quality FROM ew e JOIN sc c ON c.symbol = e.symbol AND c.i = e.i2 WHERE {rules}"}
+
+
 def levels() -> dict[str, str]:
     bins = [HOURLY, f"lt AS (SELECT *, {TYPICAL} AS t FROM bars)", "lb AS (SELECT *, min(t) OVER (PARTITION BY symbol) AS lo, max(t) OVER (PARTITION BY symbol) AS hi FROM lt)",
             "lc AS (SELECT symbol, lo, (hi - lo) / 30 AS wd, least(floor((t - lo) / ((hi - lo) / 30)), 29) AS bin, volume FROM lb WHERE hi > lo)",

@@ -33,6 +33,14 @@ def harmonic(spark, sf_dir) -> DataFrame:
     return shown(rows, "pattern_id", "stage", "start_idx", "end_idx", "confirmation_idx", "level", "inval", "target", "quality", keys=("symbol",))
 
 
+def impulse(spark, sf_dir) -> DataFrame:
+    """All of a series' history; prices are rounded as in ``harmonic``."""
+    bars = patterns.context(recursive(daily_trades(spark, sf_dir), "scale"))
+    found = harmonics.impulses(patterns.pivots(zigzag(bars), bars), recent=1 << 30)
+    rows = found.withColumns({c: F.round(F.col(c) + 1e-7, 4) for c in ("level", "inval", "target")})
+    return shown(rows, "pattern_id", "start_idx", "end_idx", "level", "inval", "target", "quality", keys=("symbol",))
+
+
 QUERIES: dict[str, Query] = {
     "swg01_zigzag": lambda spark, d: shown(zigzag(hourly_events(spark, d)), "k", "idx", "price", "kind", "confirmed_idx", "provisional", keys=("symbol",)),
     "swg02_fractals": lambda spark, d: shown(swings.fractals(hourly_events(spark, d)), "idx", "price", "kind", "confirmed_idx", keys=("symbol",)),
@@ -43,4 +51,5 @@ QUERIES: dict[str, Query] = {
     "cht03_triples": of_pattern("triple"),
     "cht12_measured_moves": of_pattern("measured_move"),
     "cht15_17_harmonics": harmonic,
+    "cht18_impulses": impulse,
 }

@@ -1,7 +1,7 @@
 import pandas as pd
 
 from tapeworks.operators import levels, trends, validation
-from tapeworks.operators.harmonics import candidates
+from tapeworks.operators.harmonics import candidates, impulses
 from tapeworks.operators.resample import resample
 from tapeworks.sources import files
 from tapeworks.sources.bars import daily_trades, hourly_events, indexed
@@ -67,8 +67,18 @@ def test_rising_series_is_bullish(spark):
     assert row["trend"] == "bullish" and row["strength"] in ("moderate", "strong")
 
 
+SWINGS = "symbol string, timeframe string, k int, idx int, price double, kind string, confirmed_idx int, provisional boolean, scale double, prior double, volume_near double, last int"
+
+
+def test_impulse(spark):
+    prices = {"good": (100, 110, 105, 125, 115, 130), "overlap": (100, 110, 105, 125, 109, 130), "short third": (100, 120, 110, 121, 120.5, 140)}
+    rows = [(name, "1d", k, 10 * k, float(p), "LH"[k % 2], 10 * k + 2, False, 1.0, 0.0, 1.0, 60) for name, ps in prices.items() for k, p in enumerate(ps)]
+    found = impulses(spark.createDataFrame(rows, SWINGS)).collect()
+    assert [(r["symbol"], r["pattern_id"], r["end_idx"], r["level"]) for r in found] == [("good", "elliott_impulse_up", 50, 115.0)] and abs(found[0]["target"] - (130 - 0.382 * 30)) < 1e-9
+
+
 def test_gartley(spark):
     points = [(0, 100.0, "L"), (10, 130.0, "H"), (20, 130 - 0.618 * 30, "L"), (30, 130 - 0.618 * 30 + 0.6 * 0.618 * 30, "H"), (40, 130 - 0.786 * 30, "L")]
     rows = [("A", "1d", k, i, p, kind, i + 2, False, 1.0, 0.0, 1.0, 60) for k, (i, p, kind) in enumerate(points)]
-    swings = spark.createDataFrame(rows, "symbol string, timeframe string, k int, idx int, price double, kind string, confirmed_idx int, provisional boolean, scale double, prior double, volume_near double, last int")
+    swings = spark.createDataFrame(rows, SWINGS)
     assert {r["pattern_id"] for r in candidates(swings).collect()} >= {"gartley_bullish"}
