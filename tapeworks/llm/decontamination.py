@@ -1,9 +1,10 @@
 """Benchmark decontamination by SimHash windows (operator 1).
 
-Windows as long as an item are laid over a document wherever it shares a shingle with an item; a window without a
-shared shingle has a similarity of 0. Each window's SimHash is looked up in a multi-index over the items' fingerprints:
-of ``BLOCKS`` blocks one must differ in at most RADIUS // BLOCKS bits if the fingerprints are within RADIUS. The items
-found are compared exactly, by the weighted Jaccard similarity of their shingles with the window's.
+Windows as long as an item slide over a document from word to word. The shingles that a window shares with an item are
+counted for all starts at once, and a window is only fingerprinted if the counts let it be similar enough to an item.
+Its SimHash is looked up in a multi-index over the items' fingerprints: of ``BLOCKS`` blocks one must differ in at most
+RADIUS // BLOCKS bits if the fingerprints are within RADIUS. The items found are compared exactly, by the weighted
+Jaccard similarity of their shingles with the window's.
 """
 
 from __future__ import annotations
@@ -49,17 +50,18 @@ class Items:
             values, first = np.unique(prints[order, b], return_index=True)
             self.blocks.append((values, np.split(order, first[1:])))
         self.tables = {int(k): self._table(k) for k in np.unique(self.size)}
+        self.lengths = {int(k): np.unique(self.words[self.size == k]) for k in np.unique(self.size)}
 
     def _table(self, k: int) -> tuple[np.ndarray, ...]:
-        """For shingles of ``k`` words: sorted hashes with their item and place, and a bit for each value of their top 20 bits."""
+        """For shingles of ``k`` words: sorted hashes with an item and how often it holds them, and a bit for each value of their top 20 bits."""
         own = np.flatnonzero(self.size == k)
-        hashes = np.concatenate([self.shingles[i] for i in own])
-        item = np.repeat(own, [len(self.shingles[i]) for i in own])
-        place = np.concatenate([np.arange(len(self.shingles[i])) for i in own])
+        distinct = [np.unique(self.shingles[i], return_counts=True) for i in own]
+        hashes, times = (np.concatenate(x) for x in zip(*distinct, strict=True))
+        item = np.repeat(own, [len(h) for h, _ in distinct])
         order = np.argsort(hashes, kind="stable")
         top = np.zeros(1 << 20, bool)
         top[(hashes >> np.uint64(44)).astype(np.int64)] = True
-        return hashes[order], item[order], place[order], top
+        return hashes[order], item[order], times[order], top
 
     def near(self, fingerprint: np.ndarray) -> list[int]:
         """All items whose fingerprints are within RADIUS."""
@@ -70,10 +72,10 @@ class Items:
         near = np.fromiter(found, np.int64, len(found))
         return sorted(near[ONES[self.prints[near] ^ fingerprint].sum(axis=1) <= RADIUS].tolist()) if len(near) else []
 
-    def windows(self, words: np.ndarray) -> set[tuple[int, int, int]]:
-        """(words in a shingle, start, words) of the windows that share a shingle with the item they are as long as."""
-        out: set[tuple[int, int, int]] = set()
-        for k, (hashes, item, place, top) in self.tables.items():
+    def windows(self, words: np.ndarray) -> list[tuple[float, int, int, int, int]]:
+        """(similarity, start, words, words in a shingle, item) of all windows as long as some item that are similar enough to an item."""
+        out: list[tuple[float, int, int, int, int]] = []
+        for k, (hashes, item, times, top) in self.tables.items():
             if len(words) < k:
                 continue
             own = shingle_hashes(words, k)
@@ -81,22 +83,49 @@ class Items:
             if not len(at):
                 continue
             low, high = np.searchsorted(hashes, own[at], "left"), np.searchsorted(hashes, own[at], "right")
-            for p, a, b in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
-                for i, q in zip(item[a:b].tolist(), place[a:b].tolist(), strict=True):
-                    n = int(self.words[i])
-                    out.add((k, min(max(p - q, 0), max(len(words) - n, 0)), n))
+            n = high - low
+            if n.sum() < self.similarity * (self.lengths[k][0] - k + 1) - 1e-6:  # too few for the shortest item
+                continue
+            row = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            place = np.repeat(at, n)
+            items, hits = np.unique(item[row], return_counts=True)
+            for i in items[hits / (self.words[items] - k + 1) >= self.similarity].tolist():
+                mine = item[row] == i
+                out += self._alike(i, k, row[mine], place[mine], times, len(own))
+        return out
+
+    def _alike(self, i: int, k: int, row: np.ndarray, place: np.ndarray, times: np.ndarray, most: int) -> list[tuple[float, int, int, int, int]]:
+        """``windows`` for item ``i``, whose shingles in rows ``row`` of the table are at ``place`` of the ``most`` in the text."""
+        order = np.lexsort((place, row))
+        row, place = row[order], place[order]
+        # a shingle that the item holds c times counts from after its c-th last place on
+        last = np.arange(len(row)) - times[row]
+        after = np.where((last >= 0) & (row[last] == row), place[last] + 1, 0)
+        m, out = len(self.shingles[i]), []
+        for n in self.lengths[k].tolist():
+            width = min(n - k + 1, most)
+            if min(width, m) / max(width, m) < self.similarity:
+                continue
+            # starts whose window holds each place: one more from the first of them, one less after the last
+            steps = np.bincount(np.maximum(after, place - width + 1), minlength=most + 1) - np.bincount(place + 1, minlength=most + 1)
+            shared = np.cumsum(steps)[: most - width + 1]
+            alike = shared / (m + width - shared)
+            starts = np.flatnonzero(alike >= self.similarity)
+            out += [(s, start, n, k, i) for s, start in zip(alike[starts].tolist(), starts.tolist(), strict=True)]
         return out
 
     def match(self, text: str | None) -> dict[int, tuple[float, int]]:
         """Item -> (similarity, first word) of the most similar window, of several the first."""
         words = word_hashes(text)
         best: dict[int, tuple[float, int]] = {}
-        for k, start, n in sorted(self.windows(words), key=lambda w: w[1]):
+        for s, start, n, k, item in sorted(self.windows(words), key=lambda w: (-w[0], w[1])):
+            if (s, -start) <= best.get(item, (0.0, 0)):
+                continue
             shingles = shingle_hashes(words[start : start + n], k)
             for i in self.near(simhash(shingles)):
-                if self.size[i] == k and (s := weighted_jaccard(shingles, self.shingles[i])) >= self.similarity and s > best.get(i, (0.0, 0))[0]:
-                    best[i] = s, start
-        return best
+                if self.size[i] == k and (s := weighted_jaccard(shingles, self.shingles[i])) >= self.similarity and (s, -start) > best.get(i, (0.0, 0)):
+                    best[i] = s, -start
+        return {i: (s, -start) for i, (s, start) in best.items()}
 
 
 def _passes(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int | None, str]]]:

@@ -57,6 +57,28 @@ def test_leaks_equal_all_windows(leaks):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in docs.collect() if r["doc_id"] not in flagged)
 
 
+def test_leaks_in_another_order_equal_all_windows(spark):
+    rng = random.Random(8)
+    items, docs = [], []
+    for k in range(12):
+        item = text_of(rng, rng.randint(60, 200)).split()
+        if k % 4 == 3:
+            item = (item[:20] * 5)[:90]  # shingles that repeat
+        cut = (20, len(item) // 2, len(item) - 20)[k % 3]
+        around = text_of(rng, 160).split()
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join(around[:80] + item[cut:] + item[:cut] + around[80:])))  # no shingle keeps its offset
+        docs.append((100 + k, " ".join(item[cut:] + item[:cut])))
+        docs.append((200 + k, " ".join(around[:50] + item[: len(item) // 2] + around[50:])))
+    columns = "doc_id long, text string", "item_id long, text string"
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["first_word"]) for r in decontamination.contaminated(spark.createDataFrame(docs, columns[0]), spark.createDataFrame(items, columns[1])).collect()}
+    want = {(d, i): s for d, text in docs for i, item in items if (s := all_windows(text, item)) >= 0.8}
+    assert got.keys() >= want.keys() and len(want) >= 18
+    assert all(got[k][0] >= want[k] for k in want)
+    kept = decontamination.decontaminate(spark.createDataFrame(docs, columns[0]), spark.createDataFrame(items, columns[1]))
+    assert not {r["doc_id"] for r in kept.collect()} & {d for d, _ in want}
+
+
 def test_leaks_in_passes_and_empty_tables(leaks, nothing, monkeypatch):
     docs, items = leaks
     one = sorted(tuple(r)[:3] for r in decontamination.contaminated(docs.where("doc_id is not null"), items).collect())
