@@ -179,12 +179,19 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_known(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without those whose language is ``und`` or has a score under ``least``; rows and columns that stay are unchanged."""
+    """``docs`` without those whose language is ``und`` or has a score under ``least``; rows and columns that stay are unchanged.
+
+    Where no row could be learned from (no languages, or only on rows that are held out), only texts without letters go.
+    """
     model, at = train(docs, id_col, text_col, lang_col), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_bytes(batches, at):
-            found = [model.predict(t) for t in part.column(at).to_pylist()]
-            yield part.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+            if model.languages:
+                found = [model.predict(t) for t in part.column(at).to_pylist()]
+                kept = [lang != UNKNOWN and score >= least for lang, score in found]
+            else:
+                kept = [ngram_counts(t) is not None for t in part.column(at).to_pylist()]
+            yield part.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

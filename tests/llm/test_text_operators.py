@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from public_tokenizers import path
+from pyspark.sql import functions as F
 
 from tapeworks.llm import chunks, decontamination, language_id, token_counts
 from tapeworks.llm.common import shingle_hashes, weighted_jaccard, word_hashes
@@ -192,6 +193,16 @@ def test_language_of_held_out_rows(documents, awkward, nothing):
     assert {r["lang_pred"] for r in language_id.identify(unlabelled).collect()} == {"und"}
 
 
+def test_nothing_learned_keeps_texts_with_letters(awkward):
+    lettered = sorted((r["doc_id"] is None, r["doc_id"], r["text"]) for r in awkward.collect() if any(map(str.isalpha, r["text"] or "")))
+    unlabelled = awkward.withColumn("lang", F.lit(None).cast("string"))
+    held_only = awkward.withColumn("lang", F.when(language_id.held_out(), "en"))
+    for docs in (unlabelled, held_only):
+        kept = language_id.keep_known(docs, 0.4)
+        assert kept.columns == docs.columns
+        assert sorted((r["doc_id"] is None, r["doc_id"], r["text"]) for r in kept.collect()) == lettered
+
+
 def test_predictions_use_the_text_alone(documents):
     plain = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(documents).collect()}
     model = language_id.train(documents)
