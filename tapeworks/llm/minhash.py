@@ -211,7 +211,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts of fewer words than a shingle are one shingle; texts without words (null, empty) are each a group of their
     own. Rows that repeat are counted each and share their kept flag. A null id takes no part in the smallest; a group
-    of null ids alone has a null cluster_id and is kept. An empty table gives no rows; other columns are unused.
+    of null ids alone has a null cluster_id. Of several classes with the group's smallest id (or with null ids alone) that
+    with the smallest key is kept. An empty table gives no rows; other columns are unused.
     """
     rows_of = stored(signatures(docs, id_col, text_col, bands, rows, shingle), "signatures")
     classes = rows_of.where("weight > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.any_value("weight").alias("weight"), F.any_value("bands").alias("bands"))
@@ -238,14 +239,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = components(links.unionByName(found)) if found.take(1) else of
 
     group = member.select("key", "first", "copies").join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    tops = group.groupBy("component").agg(F.min("first").alias("cluster_id"), F.sum("copies").alias("cluster_size"))
-    group = group.join(tops, "component").select("key", "cluster_id", "cluster_size")
+    best = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "key"))
+    tops = group.groupBy("component").agg(best.alias("best"), F.sum("copies").alias("cluster_size"))
+    group = group.join(tops, "component").select("key", F.col("best.first").alias("cluster_id"), "cluster_size", (F.col("key") == F.col("best.key")).alias("top"))
     worded = F.col("weight") > 0
     return rows_of.join(group, "key", "left").select(
         "doc_id",
         F.when(worded, F.col("cluster_id")).otherwise(F.col("doc_id")).alias("cluster_id"),
         F.when(worded, F.col("cluster_size")).otherwise(1).alias("cluster_size"),
-        F.when(worded, F.col("doc_id").eqNullSafe(F.col("cluster_id"))).otherwise(True).alias("kept"),
+        F.when(worded, F.col("top") & F.col("doc_id").eqNullSafe(F.col("cluster_id"))).otherwise(True).alias("kept"),
         "key",
     )
 

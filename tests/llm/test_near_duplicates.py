@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter, defaultdict
 
@@ -73,6 +74,18 @@ def test_awkward_rows(awkward, nothing):
     assert minhash.deduplicate(nothing).collect() == []
 
 
+def test_one_class_of_a_group_stays_whatever_its_ids(spark):
+    rng = random.Random(11)
+    nulls, same, mixed = ([f"{base} {text_of(rng, 1)}x{i}" for i in range(4)] for base in (text_of(rng, 80) for _ in range(3)))
+    rows = [(None, t) for t in nulls + nulls[:1]] + [(7, t) for t in same + same[:1]] + list(zip((None, 9, 9, 12), mixed, strict=True))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = minhash.near_duplicates(docs).collect()
+    assert Counter((r["cluster_id"], r["cluster_size"]) for r in found) == {(None, 5): 5, (7, 5): 5, (9, 4): 4}
+    kept = minhash.deduplicate(docs).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == ["7", "9", "None"]
+    assert {r["key"] for r in found if r["kept"]} == {hashlib.md5(r["text"].encode()).digest() for r in kept}
+
+
 def test_signatures_agree_as_often_as_sets_are_alike():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 1 << 63, 400).astype(np.uint64)
