@@ -13,7 +13,8 @@ from pyspark.sql.streaming import StreamingQuery
 def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of (symbol, ts, price, seq)."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    # as a pattern the path may be a file or a folder of part files; without one a stream takes folders only
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     return stream.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.col("event_id").alias("seq"))
 
 

@@ -5,7 +5,7 @@ from tapeworks.operators.harmonics import candidates, impulses
 from tapeworks.operators.resample import resample
 from tapeworks.sources import files
 from tapeworks.sources.bars import daily_trades, hourly_events, indexed
-from tapeworks.streaming.bars import closed_bars, run_to_end
+from tapeworks.streaming.bars import closed_bars, run_to_end, streamed_bars
 
 CSV = "# made up\nDate,O,High,l,Close,Vol\n2024-01-02,10,11,9,10.5,100\n2024-01-03,10.5,12,10,11,200\n"
 
@@ -82,3 +82,10 @@ def test_gartley(spark):
     rows = [("A", "1d", k, i, p, kind, i + 2, False, 1.0, 0.0, 1.0, 60) for k, (i, p, kind) in enumerate(points)]
     swings = spark.createDataFrame(rows, SWINGS)
     assert {r["pattern_id"] for r in candidates(swings).collect()} >= {"gartley_bullish"}
+
+
+def test_streamed_bars_of_a_file_and_of_part_files(spark, sf_dir, tmp_path):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    one, parts = (sorted(map(tuple, streamed_bars(spark, path).collect())) for path in (sf_dir, str(tmp_path)))
+    assert one and parts == one
