@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import by_bytes, stored
 
 CAPACITY, EOS = 1024, 2
+#: Pieces of one length that one task numbers, about.
+BUCKET = 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -33,28 +35,34 @@ def as_bytes(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-def load_encoder(path: str) -> tuple[Callable[[str], list[int]], bool]:
-    """The function from a text to the ids that the tokenizer file ``path`` gives; the strings of special tokens are ordinary text.
+def load_encoder(path: str) -> tuple[Callable[[str], list[int]], bool, list[str]]:
+    """(encode, byte level, special): the function from a text to the ids that the tokenizer file ``path`` gives, without special tokens around them.
 
-    A byte-level BPE whose ids follow its merges (then the second value is true) is run by tiktoken, which gives the
-    same ids several times sooner.
+    A byte-level BPE whose ids follow its merges (then ``byte level`` is true) is run by tiktoken, which gives the same ids
+    several times sooner. A text that holds a string of ``special``, the file's added tokens, goes to the tokenizer itself.
     """
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
-    vocab, merges = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-    if all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(merges)):
-        import tiktoken
-        from public_tokenizers import PATTERN
-
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # these bytes stand for themselves, the others follow 255
-        byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*printable}))}
-        ranks = {bytes(map(byte.__getitem__, token)): i for token, i in vocab.items() if i < 256 + len(merges)}
-        return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, True
     from tokenizers import Tokenizer
 
+    with open(path, encoding="utf-8") as f:
+        read = json.load(f)
+    special = [t["content"] for t in read.get("added_tokens") or []]
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids, False
+
+    def plainly(text: str) -> list[int]:
+        return tokenizer.encode(text, add_special_tokens=False).ids
+
+    model = read["model"]
+    vocab, merges = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", [])]
+    if not merges or any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
+        return plainly, False, special
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # these bytes stand for themselves, the others follow 255
+    byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*printable}))}
+    ranks = {bytes(map(byte.__getitem__, token)): i for token, i in vocab.items() if i < 256 + len(merges)}
+    ordinary = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return lambda text: plainly(text) if any(t in text for t in special) else ordinary(text), True, special
 
 
 @cache
@@ -63,9 +71,9 @@ def batch_encoder(path: str, most: int = 500_000) -> Callable[[list[str]], list[
 
     Where lines hold words with one blank between them, pre-tokens begin at each blank and line break, so words are
     looked up. The new ones of a batch go to the tokenizer as one text, whose ids are cut before each id that begins
-    with a blank. A text with any other white space goes to the tokenizer whole.
+    with a blank. A text with any other white space, or with the string of an added token, goes to the tokenizer whole.
     """
-    encode, byte_level = load_encoder(path)
+    encode, byte_level, special = load_encoder(path)
     if not byte_level:
         return lambda texts: [as_bytes(encode(t)) for t in texts]
     with open(path, encoding="utf-8") as f:
@@ -82,7 +90,7 @@ def batch_encoder(path: str, most: int = 500_000) -> Callable[[list[str]], list[
         new: set[str] = set()
         for text in texts:
             lines = [line.split() for line in text.split("\n")]
-            plain = all(lines) and "\n".join(map(" ".join, lines)) == text
+            plain = all(lines) and "\n".join(map(" ".join, lines)) == text and not any(t in text for t in special)
             cut.append(lines if plain else None)
             if plain:
                 for line in lines:
@@ -186,23 +194,24 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return runs
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, eos: int = EOS, buckets: int = 64) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, eos: int = EOS, bucket: int = BUCKET) -> DataFrame:
     """Each piece of every document with its sequence_id and offset; a sequence holds at most ``capacity`` ids.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null or empty text is one piece of ``eos``
     alone; repeated rows are packed each; an empty table gives no rows; a null id stays null; other columns are unused.
+    Pieces of one length are dealt into buckets of about ``bucket`` rows, which is what one task numbers at most.
     """
     spark = docs.sparkSession
-    pieces = stored(
-        token_pieces(docs, tokenizer_path, id_col, text_col, capacity, eos).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets))),
-        "pieces",
-    )
-    counts = stored(pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")), "lengths")  # at most capacity x buckets rows
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    pieces = stored(token_pieces(docs, tokenizer_path, id_col, text_col, capacity, eos), "pieces")
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
+    many = spark.createDataFrame([(length, -(-n // bucket)) for length, n in histogram.items()], "length long, buckets long")
+    dealt = pieces.join(F.broadcast(many), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "buckets")).drop("buckets")
+    counts = stored(dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")), "lengths")  # a row for each bucket
     runs = spark.createDataFrame(plan(histogram, capacity), "length long, first long, pieces long, base long, each long, shift long")
     before = counts.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
     order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = pieces.withColumn("rank", F.row_number().over(order).cast("long") - 1).join(F.broadcast(before), ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
+    # counts are a row for each ``bucket`` pieces: Spark broadcasts them while they are small, else both sides are dealt by bucket already
+    ranked = dealt.withColumn("rank", F.row_number().over(order).cast("long") - 1).join(before, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
     at = F.col("rank") - F.col("first")
     return (
         ranked.join(F.broadcast(runs), (ranked["length"] == runs["length"]) & (ranked["rank"] >= runs["first"]) & (ranked["rank"] < runs["first"] + runs["pieces"]))

@@ -75,12 +75,11 @@ def test_reduction_reaches_the_fewest_where_it_fixes_all(items):
     assert placed(dict(Counter(items)), 11) == fewest(sorted(items, reverse=True), 11)
 
 
-@pytest.mark.parametrize("text", ["", " ", " a", "a  b", "a   b\n c \n d ", "\ta b", "<|endoftext|> a", "a \x1c b c", "Ça 'tis I'll 12 34% ²³ ½ x", "a\nb c.\nd", "\n", "a\n", "x" * 5000, "漢字 😀 b", "a Ġb"])
+@pytest.mark.parametrize("text", ["", " ", " a", "a  b", "a   b\n c \n d ", "\ta b", "<|endoftext|> a", "a <|endoftext|>b <|endoftext|>\n c", "<|endoftext", "a \x1c b c", "Ça 'tis I'll 12 34% ²³ ½ x", "a\nb c.\nd", "\n", "a\n", "x" * 5000, "漢字 😀 b", "a Ġb"])
 def test_ids_equal_the_tokenizers(text):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(FILE)
-    tokenizer.encode_special_tokens = True
     assert np.frombuffer(packing.batch_encoder(FILE)([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
@@ -88,7 +87,6 @@ def test_pack_is_whole(spark, awkward, documents):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(FILE)
-    tokenizer.encode_special_tokens = True
     for docs in (awkward, documents):
         want = Counter()
         for r in docs.select("doc_id", "text").collect():
@@ -109,5 +107,28 @@ def test_pack_is_whole(spark, awkward, documents):
             assert at <= 1024
 
 
+def test_special_tokens_have_their_own_ids(spark):
+    assert np.frombuffer(packing.batch_encoder(FILE)(["<|endoftext|> x"])[0], "<u4").tolist() == [50256, 2124]
+    assert packing.pack(spark.createDataFrame([(1, "<|endoftext|> x")], "doc_id long, text string"), FILE).first()["length"] == 3
+
+
+def test_other_files_go_through_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    file = path("word_bpe_49k.json")
+    text = "A plain Text, <|endoftext|> and more"
+    assert np.frombuffer(packing.batch_encoder(file)([text])[0], "<u4").tolist() == Tokenizer.from_file(file).encode(text, add_special_tokens=False).ids
+
+
+def test_small_buckets_number_pieces_alike(spark, documents):
+    whole = documents.orderBy("doc_id").limit(150)
+    rows = packing.pack(whole, FILE, bucket=3).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
+    used = Counter()
+    for r in rows:
+        used[r["sequence_id"]] += r["length"]
+    assert max(used.values()) <= 1024 and len(used) == len({r["sequence_id"] for r in packing.pack(whole, FILE).collect()})
+
+
 def test_empty_table(nothing):
     assert packing.pack(nothing, FILE).collect() == []
