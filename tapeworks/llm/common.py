@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,26 +24,61 @@ def words(text: str | None) -> list[str]:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests."""
+    """A new path below ``spark.checkpoint.dir``. Where that is unset a local session, as in tests, takes a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+_MADE: list[list[str]] = []
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that are no longer read."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are stored inside are deleted at its end, apart from those that are kept. What is read later must be kept."""
+    made: list[str] = []
+    _MADE.append(made)
+    try:
+        yield
+    finally:
+        _MADE.remove(made)
+        remove(spark, *made)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read again: computed once, with no lineage to replay if an executor goes."""
     path = shared_path(df.sparkSession, name)
+    if _MADE and not keep:
+        _MADE[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` as (node, component): the smallest node that can be reached.
 
     Alternating large-star and small-star rounds. A node's least neighbour is a partial aggregate and its other
-    neighbours stay rows of a join, so a hub is never gathered into one row or task. Each round is a written table.
+    neighbours stay rows, never a list, so that a task streams them; all rows of a hub are read by one task of the join,
+    unless adaptive execution splits its partition. Each round is a written table, deleted when the next but one is.
     Rows with a null end and loops are left out.
     """
     edges = stored(

@@ -97,26 +97,42 @@ class Graph:
         if level > top:
             self.entry = node
 
-    def within(self, x: np.ndarray, least: float, beam: int | None = None) -> np.ndarray:
-        """Nodes found with a similarity of ``least``; the beam is widened until it holds others too, or all."""
+    def search(self, x: np.ndarray, least: float) -> np.ndarray | None:
+        """Nodes found with a similarity of ``least``. The beam is widened until it holds others too; None if it would take an eighth of the nodes."""
         if self.entry < 0:
             return np.zeros(0, np.int64)
-        beam = beam or self.beam
+        beam = self.beam
         near = [(float(self.vectors[self.entry] @ x), self.entry)]
         for at in range(int(self.levels[self.entry]), 0, -1):
             near = self._near(x, near[:1], 1, at)
-        while True:
+        while beam < max(256, len(self.vectors) // 8):
             found = self._near(x, near, beam, 0)
-            if len(found) < beam or found[-1][0] < least - 0.01 or beam >= len(self.vectors):
+            if len(found) < beam or found[-1][0] < least - 0.01:
                 return np.array(sorted(v for s, v in found if s >= least), np.int64)
             beam *= 4
+        return None
+
+    def within(self, x: np.ndarray, least: float) -> np.ndarray:
+        """``search``, or all nodes compared."""
+        found = self.search(x, least)
+        return np.flatnonzero(self.vectors @ x >= least) if found is None else found
 
     def audit(self, least: float, recall: float, sample: int) -> None:
-        """Widen the beam until searches for ``sample`` nodes find ``recall`` of what comparing all finds, or it takes all nodes."""
-        asked = np.unique(np.linspace(0, len(self.vectors) - 1, min(sample, len(self.vectors))).astype(int))
-        true = [np.flatnonzero(self.vectors @ self.vectors[i] >= least) for i in asked]
-        while self.beam < len(self.vectors):
-            if sum(len(np.intersect1d(self.within(self.vectors[i], least), t)) for i, t in zip(asked, true, strict=True)) >= recall * sum(map(len, true)):
+        """Widen the beam until searches find ``recall`` of what comparing all finds, or it takes all nodes.
+
+        Asked are up to ``sample`` nodes that are linked with others, out of 16 times as many; a node itself is left
+        out, and recall is the mean over nodes, so that a large group does not hide what is lost elsewhere.
+        """
+        tried = np.unique(np.linspace(0, len(self.vectors) - 1, min(16 * sample, len(self.vectors))).astype(int)) if len(self.vectors) else []
+        asked: list[tuple[int, np.ndarray]] = []
+        for low in range(0, len(tried), sample):
+            part = tried[low : low + sample]
+            alike = self.vectors @ self.vectors[part].T >= least
+            alike[part, np.arange(len(part))] = False
+            asked += [(int(i), np.flatnonzero(alike[:, k])) for k, i in enumerate(part) if alike[:, k].any()]
+        asked = asked[:: max(1, len(asked) // sample)][:sample]
+        while asked and self.beam < len(self.vectors):
+            if np.mean([len(np.intersect1d(self.within(self.vectors[i], least), true)) / len(true) for i, true in asked]) >= recall:
                 return
             self.beam *= 2
 

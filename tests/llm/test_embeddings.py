@@ -61,6 +61,32 @@ def test_repeats_nulls_and_empty_tables(spark):
     assert embeddings.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_labels_with_commas_and_numbers_are_not_mixed_up(spark):
+    rows = [(1, [2.0, 3.0], "1"), (2, [3.0], "1,2.0"), (3, [6.0], "1,2.0"), (4, [3.0], "1"), (5, [4.0, 6.0], "1"), (-7, [2.0, 3.0], "1")]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {1: (2, -7), 5: (2, -7), -7: (2, -7), 2: (1, 2), 3: (1, 2), 4: (0, 4)}
+
+
+def test_extreme_ids_are_the_smallest(spark):
+    ids = [(1 << 63) - 1, 0, -(1 << 63), None]
+    df = spark.createDataFrame([(i, [1.0, 0.1 * k]) for i in ids for k in (0, 1)], "vec_id long, embedding array<double>").selectExpr("*", "1 AS label")
+    assert {r["component_id"] for r in embeddings.near_duplicates(df).collect()} == {-(1 << 63)}
+    assert {r["component_id"] for r in embeddings.near_duplicates(df.where("vec_id > 0 or vec_id is null")).collect()} == {(1 << 63) - 1}
+
+
+def test_audit_counts_each_query_alike_and_not_itself():
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3000, 12))
+    x[:1000] = x[0] + 0.02 * rng.normal(size=(1000, 12))
+    x[2000:2400] = x[1000:1400] + 0.05 * rng.normal(size=(400, 12))  # sparse pairs beside a large group
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = Graph(x, 1 - rng.random(len(x)))
+    graph.beam = 1
+    graph.audit(0.98, 0.99, 64)
+    pairs = [(i, int(j)) for i in range(1000, 1400) for j in np.flatnonzero(x @ x[i] >= 0.98) if j != i]
+    assert sum(j in graph.within(x[i], 0.98) for i, j in pairs) >= 0.97 * len(pairs) > 0
+
+
 def test_graph_finds_large_groups_and_survives_storing():
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(size=(600, 24)), rng.normal(size=24) + 0.05 * rng.normal(size=(500, 24))])
