@@ -19,15 +19,17 @@ from .common import by_bytes, mix
 
 #: Buckets of hashed n-grams of 1 to 3 characters, labelled rows of each language that the weights and the temperature are fitted on at most.
 FEATURES, LONGEST, SAMPLE = 1 << 14, 3, 600
+#: Languages learned at most, those of the most labelled rows; rarer ones are never predicted.
+LANGUAGES = 500
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.02, 3
 UNKNOWN = "und"
-LETTER = np.array([chr(i).isalpha() for i in range(0xD800)] + [False] * 0x800 + [chr(i).isalpha() for i in range(0xE000, 0x30000)])
+LETTER = np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
 def ngram_counts(text: str | None) -> np.ndarray | None:
     """How often each bucket's n-grams occur in the lower-case letters of a text, other runs as one blank; None without letters."""
     codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = LETTER[np.minimum(codes, len(LETTER) - 1)]
+    letter = LETTER[codes]
     if not letter.any():
         return None
     keep = letter.copy()
@@ -117,7 +119,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """The model of the rows of ``docs`` that have an id, a text and a language and are not held out.
 
     Of each language the ``sample`` rows with the smallest hashes of id and text fit the weights; rows come to the
-    driver as bucket counts, so that it holds ``sample`` short arrays a language. Without such rows nothing is learned.
+    driver as bucket counts, so that it holds ``sample`` short arrays for each of LANGUAGES at most. Without such rows
+    nothing is learned.
     """
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out("id"))
 
@@ -137,12 +140,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     idf = np.full(FEATURES, np.log(1 + texts) + 1)
     idf[list(frequency)] = np.log((1 + texts) / (1 + np.array(list(frequency.values()), float))) + 1
 
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    likely = F.lit(0)
-    for lang, size in sizes.items():
-        likely = F.when(F.col("lang") == lang, F.lit(min(1 << 31, int((1 << 31) * 3 * sample / size) + 1))).otherwise(likely)
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    sizes = docs.sparkSession.createDataFrame(sizes.collect(), "lang string, size long")
+    likely = F.least(F.lit(1 << 31), F.lit((1 << 31) * 3 * sample) / F.col("size") + 1)
     order = F.pmod(F.xxhash64("id"), F.lit(1 << 31))
-    few = rows.withColumn("order", order).where(F.col("order") < likely).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("order", "id", F.xxhash64("text")))).where(F.col("k") <= sample)
+    few = rows.join(F.broadcast(sizes), "lang").withColumn("order", order).where(F.col("order") < likely)
+    few = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("order", "id", F.xxhash64("text")))).where(F.col("k") <= sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_bytes(batches, 2):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, SIMILARITY, by_bytes, components, mix, shingle_hashes, stored, weighted_jaccard, word_hashes
+from .common import SHINGLE, SIMILARITY, by_bytes, components, fresh, mix, shingle_hashes, stored, weighted_jaccard, word_hashes
 
 #: At a similarity of 0.8 all bands differ with a chance of (1 - 0.8 ** 5) ** 30, seven in a million.
 BANDS, ROWS = 30, 5
@@ -254,10 +254,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group: that of the smallest id; all columns stay. See ``near_duplicates``."""
-    near = near_duplicates(docs, id_col, text_col).where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    one, other, own = (fresh(docs, name) for name in ("kept_id", "kept_key", "text_key"))
+    near = near_duplicates(docs, id_col, text_col).where("kept").groupBy(F.col("doc_id").alias(one), F.col("key").alias(other))
     kept = stored(near.agg(F.count("*").alias("rows")), "kept")
-    keyed = docs.withColumn("_own", F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
-    one = keyed.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")), "left_semi")
-    if kept.where("rows > 1").take(1):  # rows that repeat in id and text; else no second shuffle of the texts
-        one = one.dropDuplicates([id_col, "_own"])
-    return one.drop("_own")
+    keyed = docs.withColumn(own, F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
+    several = kept.where("rows > 1").take(1)
+    stay = keyed.join(kept.select(one, other), F.col(id_col).cast("long").eqNullSafe(F.col(one)) & (F.col(own) == F.col(other)), "left_semi")
+    if several:  # rows that repeat in id and text; else no second shuffle of the texts
+        stay = stay.dropDuplicates([id_col, own])
+    return stay.drop(own)

@@ -58,7 +58,7 @@ class Scanner:
         self.lower[65:91] += 32
         self.number = np.zeros(1 << 24, np.uint8 if len(self.read) < 256 else np.uint16)  # of the trigram; 0: not read
         for i, t in enumerate(self.read):
-            a, b, c = t.encode("latin-1")
+            a, b, c = t.encode("ascii")
             self.number[a << 16 | b << 8 | c] = i + 1
 
     def postings(self, texts: pa.Array) -> dict[str, np.ndarray]:

@@ -6,7 +6,8 @@ slot to shard is a small versioned table: rebalancing writes a new version that
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_path, stored
@@ -70,22 +71,48 @@ def rebalance(old: DataFrame, stats: DataFrame, shards: int) -> DataFrame:
     return kept.unionByName(_as_map(moved.crossJoin(loads).select(_assign(F.col("items"), each).alias("at")), version + 1))  # one row each
 
 
+def latest(spark: SparkSession, map_path: str) -> DataFrame | None:
+    """The last version of the map stored below ``map_path``; None where there is none."""
+    try:
+        stored_maps = spark.read.schema(MAP).parquet(map_path)
+        version = stored_maps.agg(F.max("version")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return None if version is None else stored_maps.where(F.col("version") == version)
+
+
+def versioned_map(spark: SparkSession, stats: DataFrame, shards: int, map_path: str) -> DataFrame:
+    """The map of the slots in ``stats``, from what is stored below ``map_path``.
+
+    Without a stored map version 1 is written. Else the last version is edited (see ``rebalance``) into the next one,
+    which is written beside it; a version that is there is never written again.
+    """
+    old = latest(spark, map_path)
+    version = 1 if old is None else old.first()["version"] + 1
+    made = slot_map(stats, shards) if old is None else rebalance(old, stats, shards)
+    path = f"{map_path.rstrip('/')}/version={version}"
+    made.coalesce(1).drop("version").write.mode("error").parquet(path)
+    return spark.read.schema(MAP.replace("version int, ", "")).parquet(path).withColumn("version", F.lit(version))
+
+
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """Every row with its shard: (doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, version).
 
     The law is ``bytes``: shards' bytes differ by about the smallest slots. ``slot`` numbers a shard's rows from 0 without
-    gaps: the rows of the shard's slots before, plus the number inside the virtual slot, so no shard is one task's. The
-    map is written to ``map_path`` (else the shared folder) under its version and read from there. Null ids and texts,
-    empty texts and repeated rows are rows like others; an empty table gives no rows; other columns are unused.
+    gaps: the rows of the shard's slots before, plus the number inside the virtual slot, so no shard is one task's. With
+    ``map_path`` the map stored there is edited into its next version, so that most slots stay where they are; without
+    one, or at a path without a map, rows get version 1. Null ids and texts, empty texts and repeated rows are rows like
+    others; an empty table gives no rows (and a map without slots, at which the next call begins anew); other columns
+    are unused.
     """
     rows = stored(slotted(docs, id_col, text_col, slots), "slotted")
-    path = f"{map_path or shared_path(docs.sparkSession, 'slot-map')}/version=1"
-    slot_map(slot_bytes(rows), shards).coalesce(1).drop("version").write.mode("overwrite").parquet(path)
-    kept = docs.sparkSession.read.schema(MAP.replace("version int, ", "")).parquet(path)
-    before = kept.select("vslot", "shard", (F.sum("rows").over(Window.partitionBy("shard").orderBy("vslot")) - F.col("rows")).alias("before"))
+    kept = versioned_map(docs.sparkSession, slot_bytes(rows), shards, map_path or shared_path(docs.sparkSession, "slot-map"))
+    before = kept.select("vslot", "shard", "version", (F.sum("rows").over(Window.partitionBy("shard").orderBy("vslot")) - F.col("rows")).alias("before"))
     number = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")) - 1
     return (
         rows.withColumn("number", number)
         .join(F.broadcast(before), "vslot")  # a row for each slot
-        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("number")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot", F.lit(1).alias("version"))
+        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("number")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot", "version")
     )

@@ -114,3 +114,12 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {v: root(v) for v in parent}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_deduplicate_takes_columns_named_as_its_own(spark):
+    names = ("_own", "_id", "_key", "kept_id", "kept_key", "text_key", "KEY", "rows", "bands")
+    base = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, t, *range(len(names))) for i, t in ((3, base), (1, base + " x"), (1, base + " x"), (2, "other text"), (None, base))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    kept = minhash.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, base + " x", *range(len(names))), (2, "other text", *range(len(names)))]

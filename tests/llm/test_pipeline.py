@@ -2,6 +2,7 @@ from collections import Counter
 
 import corpus_pipeline
 from tapeworks.llm import decontamination, language_id, minhash, packing, secrets
+from tapeworks.llm.common import stored
 
 
 def test_stages_take_effect_and_keep_columns(spark, documents, sf_dir):
@@ -9,7 +10,7 @@ def test_stages_take_effect_and_keep_columns(spark, documents, sf_dir):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language id", "minhash near-dedup", "benchmark decontamination", "secret scans", "best-fit packing"]
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before = docs
-        docs = corpus_pipeline.stored(stage(spark, docs, sf_dir), "test")
+        docs = stored(stage(spark, docs, sf_dir), "test")
         assert docs.columns == documents.columns
         seen.append(docs.count())
         if name == "minhash near-dedup":

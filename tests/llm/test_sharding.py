@@ -38,5 +38,25 @@ def test_rebalance_moves_little(spark):
     assert len(loads) == 25 and moved < 0.08 * total and max(loads.values()) < 1.05 * total / 25
 
 
+def test_stored_maps_are_edited_not_replaced(spark, tmp_path):
+    path = str(tmp_path / "map")
+    docs = spark.range(6000).selectExpr("id AS doc_id", "repeat('x', cast(id % 300 as int)) AS text")
+    first = {r["doc_id"]: r for r in sharding.shard(docs.where("doc_id < 4000"), map_path=path).collect()}
+    stored = {r["vslot"]: (r["shard"], r["bytes"]) for r in sharding.latest(spark, path).collect()}
+    second = {r["doc_id"]: r for r in sharding.shard(docs, map_path=path).collect()}
+    assert {r["version"] for r in first.values()} == {1} and {r["version"] for r in second.values()} == {2}
+    maps = spark.read.schema(sharding.MAP).parquet(path)
+    assert {r["vslot"]: (r["shard"], r["bytes"]) for r in maps.where("version = 1").collect()} == stored
+    assert sorted(r["version"] for r in maps.select("version").distinct().collect()) == [1, 2]
+    assert sum(second[i]["shard"] != r["shard"] for i, r in first.items()) < 0.25 * len(first)
+    loads = Counter()
+    for r in second.values():
+        loads[r["shard"]] += r["size"]
+    assert max(loads.values()) < 1.03 * sum(loads.values()) / 24
+    grown = {r["doc_id"]: r for r in sharding.shard(docs, map_path=path, shards=25).collect()}
+    assert {r["version"] for r in grown.values()} == {3} and {r["shard"] for r in grown.values()} == set(range(25))
+    assert sum(grown[i]["shard"] != r["shard"] for i, r in second.items()) < 0.15 * len(second)
+
+
 def test_empty_table(nothing):
     assert sharding.shard(nothing).collect() == []

@@ -2,6 +2,8 @@ import hashlib
 import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tapeworks.llm import pii, regex_trigrams, secrets
@@ -108,6 +110,32 @@ def test_candidates_lose_no_match():
             assert {i for i, t in enumerate(texts) if expression.search(t)} <= rows < set(range(len(texts)))
 
 
+@pytest.mark.parametrize(("pattern", "flags", "text"), [("contraseña=[a-z]+", 0, "x contraseña=abc"), ("пароль=[a-z]+", 0, "пароль=abc"), ("secret=[a-z]+", re.IGNORECASE, "ſecret=abc"), ("(?i:token)=[a-z]+", 0, "to\u212aen=abc"), ("(?i)key[:=]x", 0, "\u212aEY:X"), ("h[i-k]t[0-9]", re.IGNORECASE, "h\u0130t1")])
+def test_rules_outside_ascii_lose_no_match(pattern, flags, text):
+    import pyarrow as pa
+
+    assert re.search(pattern, text, flags)
+    assert secrets.Scanner((secrets.Rule("own", pattern, flags),)).scan(pa.array(["", text, "z"]))[1]
+
+
+LETTERS = st.sampled_from("abksiABKſñ\u212a-")
+PATTERNS = st.recursive(
+    st.one_of(st.text(LETTERS, min_size=1, max_size=4).map(re.escape), st.sampled_from(["[a-c]", "[^a]", "[sk]", ".", r"\w", "ñ?"])),
+    lambda inner: st.one_of(st.tuples(inner, inner).map("".join), st.tuples(inner, inner).map("(?:{0[0]}|{0[1]})".format), inner.map("(?:{})?".format), inner.map("(?:{}){{1,2}}".format), inner.map("(?i:{})".format), inner.map("(?:{})*".format)),
+    max_leaves=8,
+)
+
+
+@settings(max_examples=400, deadline=None)
+@given(PATTERNS, st.sampled_from([0, re.IGNORECASE, re.IGNORECASE | re.ASCII]), st.lists(st.text(LETTERS, max_size=12), min_size=1, max_size=20))
+def test_candidates_of_any_rule_lose_no_match(pattern, flags, texts):
+    import pyarrow as pa
+
+    scanner = secrets.Scanner((secrets.Rule("own", pattern, flags),))
+    rows = scanner.candidates(scanner.queries[0], scanner.postings(pa.array(texts)), len(texts)).tolist() if scanner.queries[0] else range(len(texts))
+    assert {i for i, t in enumerate(texts) if re.search(pattern, t, flags)} <= set(rows)
+
+
 def test_redaction_keeps_rows_and_columns(spark, awkward):
     out = secrets.redact(awkward)
     assert out.columns == awkward.columns and out.count() == awkward.count()

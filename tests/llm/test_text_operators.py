@@ -206,6 +206,39 @@ def test_trie_shares_prefixes_and_is_bounded():
     assert trie.nodes == 5 and trie.terminal == {"ab": 2, "abb": 3, "abc": 3}
 
 
+@pytest.mark.parametrize("within", [False, True])
+def test_repeats_equal_brute_force(spark, within):
+    rng = random.Random(12)
+    shared = [text_of(rng, 60) for _ in range(4)]
+    docs = []
+    for d in range(40):
+        parts = [text_of(rng, rng.randint(5, 60)) for _ in range(4)]
+        for _ in range(rng.randint(0, 3)):
+            parts.insert(rng.randint(0, 4), rng.choice(shared))
+        docs.append((rng.choice([d, d, None, 7]), " ".join(parts)))
+    docs += docs[:2] + [(50, None), (51, ""), (52, "x" * 3000), (53, "x" * 3000)]
+    split = [(i if i is not None else 1 << 63, chunks.split(t) if t else []) for i, t in docs]
+    holders, first = Counter(), {}
+    for order, found in split:
+        for c in found if within else {c[0]: c for c in found}.values():
+            holders[c[0]] += 1
+            first[c[0]] = min(first.get(c[0], order), order)
+    want = Counter()
+    for (i, _), (order, found) in zip(docs, split, strict=True):
+        k = 0
+        while k < len(found):
+            end = k
+            while end < len(found) and holders[found[end][0]] > 1:
+                end += 1
+            size = sum(c[3] for c in found[k:end])
+            if end > k and size >= chunks.LEAST:
+                n_first = sum(first[c[0]] == order and not c[4] for c in found[k:end])
+                want[i, found[k][1], found[end - 1][2], end - k, size, n_first, n_first == end - k] += 1
+            k = max(end, k + 1)
+    got = chunks.repeats(spark.createDataFrame(docs, "doc_id long, text string"), within=within)
+    assert Counter(tuple(r[c] for c in ("doc_id", "start", "end", "n_chunks", "n_bytes", "n_first", "kept")) for r in got.collect()) == want and len(want) > 10
+
+
 # language
 
 
@@ -227,6 +260,60 @@ def test_language_of_held_out_rows(documents, awkward, nothing):
     assert {r["lang_pred"] for r in language_id.identify(unlabelled).collect()} == {"und"}
 
 
+def test_fit_equals_plain_ftrl(monkeypatch):
+    monkeypatch.setattr(language_id, "FEATURES", 40)
+    rng = np.random.default_rng(3)
+    rows = [(lang, rng.poisson(np.where(np.arange(40) % 3 == k, 2.0, 0.4)) + (np.arange(40) == 0)) for _ in range(30) for k, lang in enumerate(("de", "en", "fr"))]
+    idf = rng.uniform(1, 3, 40)
+    model = language_id.fit(rows, idf)
+    fitted, left = [r for i, r in enumerate(rows) if i % 5 != 4], rows[4::5]
+    z, n, weight = np.zeros((40, 3)), np.zeros((40, 3)), np.zeros((40, 3))
+
+    def tfidf(counts):
+        x = [np.log(1 + c) * f for c, f in zip(counts, idf, strict=True)]
+        norm = sum(v * v for v in x) ** 0.5
+        return [v / norm for v in x]
+
+    def chances(x, t=1.0):
+        logits = [sum(x[i] * weight[i, k] for i in range(40)) / t for k in range(3)]
+        e = [np.exp(v - max(logits)) for v in logits]
+        return [v / sum(e) for v in e]
+
+    for epoch in range(language_id.EPOCHS):
+        for r in np.random.default_rng(epoch).permutation(len(fitted)):
+            lang, counts = fitted[r]
+            x = tfidf(counts)
+            for i in range(40):
+                for k in range(3):
+                    rate = (language_id.BETA + n[i, k] ** 0.5) / language_id.ALPHA + language_id.L2
+                    weight[i, k] = 0 if abs(z[i, k]) <= language_id.L1 else (np.sign(z[i, k]) * language_id.L1 - z[i, k]) / rate
+            p = chances(x)
+            for i in range(40):
+                for k in range(3):
+                    g = x[i] * (p[k] - (model.languages[k] == lang))
+                    z[i, k] += g - ((n[i, k] + g * g) ** 0.5 - n[i, k] ** 0.5) / language_id.ALPHA * weight[i, k]
+                    n[i, k] += g * g
+    for i in range(40):
+        for k in range(3):
+            rate = (language_id.BETA + n[i, k] ** 0.5) / language_id.ALPHA + language_id.L2
+            weight[i, k] = 0 if abs(z[i, k]) <= language_id.L1 else (np.sign(z[i, k]) * language_id.L1 - z[i, k]) / rate
+    assert model.languages == ["de", "en", "fr"] and np.allclose(model.weights, weight, atol=1e-9) and (weight == 0).any()
+    doubt = 1 / (len(left) + 2)
+
+    def loss(t):
+        ps = [(model.languages.index(lang), chances(tfidf(counts), t)) for lang, counts in left]
+        return -sum((1 - doubt) * np.log(p[k]) + doubt / 2 * sum(np.log(p[j]) for j in range(3) if j != k) for k, p in ps)
+
+    assert loss(model.temperature) <= min(loss(model.temperature * f) for f in (0.8, 0.9, 1.1, 1.25)) + 1e-9
+
+
+def test_letters_of_all_planes_and_a_bound_on_languages(spark, monkeypatch):
+    assert language_id.ngram_counts(chr(0x30010)) is not None and language_id.ngram_counts("12 !") is None
+    docs = spark.createDataFrame([(i, f"wort nummer {i}", "de" if i % 3 else "en") for i in range(60)] + [(99, "mot rare", "fr")], "doc_id long, text string, lang string")
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    assert language_id.train(docs).languages == ["de", "en"]
+
+
 def test_nothing_learned_keeps_texts_with_letters(awkward):
     lettered = sorted((r["doc_id"] is None, r["doc_id"], r["text"]) for r in awkward.collect() if any(map(str.isalpha, r["text"] or "")))
     unlabelled = awkward.withColumn("lang", F.lit(None).cast("string"))
