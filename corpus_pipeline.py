@@ -6,7 +6,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
 from tapeworks.llm import decontamination, language_id, minhash, packing, secrets
-from tapeworks.llm.common import stored
+from tapeworks.llm.common import remove, scratch, shared_path
 from tapeworks.session import prepare
 
 #: Documents whose language has a lower probability are rejected, as are those without letters.
@@ -47,10 +47,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each written; what a stage stores for itself, and the one before it, is deleted once it is."""
     prepare(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, f"stage-{k}")
-    return docs
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark):
+            path = shared_path(spark, f"stage-{k}")
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.schema(docs.schema).parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
