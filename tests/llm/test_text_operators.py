@@ -262,7 +262,7 @@ def test_language_of_held_out_rows(documents, awkward, nothing):
 
 def test_fit_equals_plain_ftrl(monkeypatch):
     monkeypatch.setattr(language_id, "FEATURES", 40)
-    monkeypatch.setattr(language_id, "L1", 0.4)
+    monkeypatch.setattr(language_id, "L1", 2.0)
     rng = np.random.default_rng(3)
     rows = [(lang, rng.poisson(np.where(np.arange(40) % 3 == k, 2.0, 0.4)) + (np.arange(40) == 0)) for _ in range(30) for k, lang in enumerate(("de", "en", "fr"))]
     idf = rng.uniform(1, 3, 40)
