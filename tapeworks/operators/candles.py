@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.rolling import before, over, series
+from tapeworks.operators.levels import ZONE_NEAR, near_zone
 from tapeworks.sources.bars import SERIES
 
 # The formations with their bars, direction, kind and the trend that should stand before them (-1 down, 1 up, 0 any).
@@ -151,19 +152,24 @@ def _move(bars: int) -> Column:
     return (before(F.col("close"), bars) - start) / F.greatest(before(F.col("scale"), bars), F.lit(1e-9))
 
 
-def detect(bars: DataFrame, all_bars: bool = True, scanned: int = 60) -> DataFrame:
+def detect(bars: DataFrame, zones: DataFrame | None = None, all_bars: bool = True, scanned: int = 60) -> DataFrame:
     """The formations of ``bars`` with column ``scale``: a row for each that ends at a bar.
 
     (symbol, timeframe, i, pattern_id, candles, direction, kind, trend_scales, confirmation, score). The trend is taken
     before the longest formation that ends at the bar. ``score`` weighs the trend (3), size (1), relative volume (1, if
-    known) and the next close (2, if there is one and the formation has a direction). Series of fewer than 15 bars, the
-    first 10 bars and, unless ``all_bars``, all but the last ``scanned`` have none.
+    known), the next close (2, if there is one) and whether its extreme lies at one of the series' ``zones`` (2, if it has
+    any), the last two if the formation has a direction. Series of fewer than 15 bars, the first 10 bars, a last bar
+    that is not ``complete`` (if there is such a column) and, unless ``all_bars``, all but the last ``scanned`` have none.
     """
     bars = _prepared(bars).withColumn("_n", F.count("*").over(Window.partitionBy(*SERIES)))
     bars = bars.withColumns({f"_move{k}": _move(k) for k in (1, 2, 3, 5)}).withColumn("_next", F.lead("close").over(series()))
+    spans = {k: series().rowsBetween(1 - k, 0) for k in (1, 2, 3, 5)}
+    bars = bars.withColumns({f"_least{k}": F.min("low").over(w) for k, w in spans.items()} | {f"_most{k}": F.max("high").over(w) for k, w in spans.items()})
     bars = bars.withColumns({f"_span{k}": F.max("high").over(series().rowsBetween(1 - k, 0)) - F.min("low").over(series().rowsBetween(1 - k, 0)) for k in (1, 2, 3, 5)})
     mean = F.when(F.count("volume").over(series().rowsBetween(-20, -1)) >= 20, F.avg("volume").over(series().rowsBetween(-20, -1)))
     bars = bars.withColumn("_volume", over(F.col("volume"), mean)).where((F.col("_n") >= AVERAGED + 5) & (F.col("i") >= AVERAGED))
+    if "complete" in bars.columns:
+        bars = bars.where((F.col("i") < F.col("_n") - 1) | F.coalesce("complete", F.lit(True)))
     if not all_bars:
         bars = bars.where(F.col("i") >= F.col("_n") - scanned)
     found = shapes()
@@ -172,7 +178,7 @@ def detect(bars: DataFrame, all_bars: bool = True, scanned: int = 60) -> DataFra
     length = F.create_map(*(F.lit(x) for name, (n, *_) in FORMATIONS.items() for x in (name, n)))
     bars = bars.where(F.size("_hits") > 0).withColumn("_longest", F.array_max(F.transform("_hits", lambda x: length[x])))
     pick = lambda form: reduce(lambda rest, k: F.when(F.col("_longest") == k, F.col(form.format(k))).otherwise(rest), (1, 2, 3, 5), F.lit(None))
-    known = bars.withColumn("_moved", pick("_move{}")).withColumn("_span", pick("_span{}"))
+    known = bars.withColumn("_moved", pick("_move{}")).withColumns({"_span": pick("_span{}"), "_least": pick("_least{}"), "_most": pick("_most{}")})
     known = known.withColumn("_trend", F.when(F.col("_moved") >= TREND_SCALES, 1).when(F.col("_moved") <= -TREND_SCALES, -1).otherwise(0))
     about = bars.sparkSession.createDataFrame([(name, *x) for name, x in FORMATIONS.items()], "_id string, _candles int, _direction string, _kind string, _need int")
     rows = known.withColumn("_id", F.explode("_hits")).join(F.broadcast(about), "_id")  # a row for each formation there is
@@ -184,6 +190,10 @@ def detect(bars: DataFrame, all_bars: bool = True, scanned: int = 60) -> DataFra
     follows = F.when(direction == "bullish", F.col("_next") > F.col("close")).when(direction == "bearish", F.col("_next") < F.col("close"))
     confirmation = F.when(direction == "neutral", "n/a").when(F.col("_next").isNull(), "pending").when(follows, "confirmed").otherwise("not_confirmed")
     counted = F.when(follows.isNotNull(), 2).otherwise(0)
-    weighed = 3 * trend + size + F.coalesce(volume, F.lit(0.0)) + F.when(follows, 2).otherwise(0)
-    weights = 4 + F.when(volume.isNotNull(), 1).otherwise(0) + counted
+    located = F.lit(None).cast("double")
+    if zones is not None:
+        rows = near_zone(rows.withColumns({"_at": F.when(direction == "bullish", F.col("_least")).otherwise(F.col("_most")), "_reach": ZONE_NEAR * F.col("scale")}), zones, "_at", "_reach")
+        located = F.when((F.col("zones") > 0) & (direction != "neutral"), F.when(F.col("zone").isNotNull(), 1.0).otherwise(0.3))
+    weighed = 3 * trend + size + F.coalesce(volume, F.lit(0.0)) + F.when(follows, 2).otherwise(0) + F.coalesce(2 * located, F.lit(0.0))
+    weights = 4 + F.when(located.isNotNull(), 2).otherwise(0) + F.when(volume.isNotNull(), 1).otherwise(0) + counted
     return rows.select(*SERIES, "i", F.col("_id").alias("pattern_id"), F.col("_candles").alias("candles"), direction.alias("direction"), F.col("_kind").alias("kind"), F.col("_moved").alias("trend_scales"), confirmation.alias("confirmation"), (100 * weighed / weights).alias("score"))

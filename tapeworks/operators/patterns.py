@@ -1,50 +1,80 @@
 """Chart patterns of consecutive swings, and their life from forming to resolved.
 
-A detector turns runs of swings (``lead``) into candidates: a level to break, a level that ends it, a target. The life of
-all candidates is one range join with the bars after them and conditional minima; nothing walks bar by bar.
+A detector turns runs of swings (``lead``) or windows of bars into candidates: a level to break (a line, if ``slope`` is
+not 0), a level that ends it, a target. The life of all candidates of all detectors is one range join with the bars after
+them and conditional minima; nothing walks bar by bar. Overlapping patterns of one kind are then thinned out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeworks.functions.rolling import over, series
+from tapeworks.functions.rolling import before, mean, over, series
+from tapeworks.operators import indicators
 from tapeworks.sources.bars import SERIES
 
 # Tolerances in scales (average true ranges) and waits in bars.
 BREAK, NEAR, RETEST, FAIL_BARS, WAIT_BARS, AGE_BARS = 0.25, 1.0, 0.6, 15, 60, 250
-EQUAL, DEPTH, PRIOR, HEIGHT_PCT, TREND = 1.0, 2.5, 1.5, 3.0, 3.0
+EQUAL, DEPTH, PRIOR, TREND = 1.0, 2.5, 1.5, 3.0
+#: The least height of a pattern in percent, by timeframe; 3 for days.
+HEIGHT_PCT = {"5m": 0.8, "15m": 0.8, "1h": 0.8, "1w": 6.0, "1M": 6.0}
+OVERLAP, CURRENT_BARS, RESOLVED_BARS, LEAST_BARS = 0.6, 40, 10, 30
 BUCKET = 256
-CANDIDATE = ["pattern_id", "sgn", "start_idx", "last_idx", "unsure", "level", "inval", "target", "parts", "n_parts"]
+ACTIVE = ("forming", "approaching_confirmation", "confirmed", "retesting")
+#: What a candidate may leave out: ``slope`` and ``at`` make the level a line through it at bar ``at``, likewise those of
+#: ``inval``. ``reach`` is a distance from the level at the break to the target shown, which is also the one awaited if
+#: ``retarget``. ``need`` is a price that an unconfirmed one must have come to. ``rule``: 1 drops those that are
+#: invalidated without a break or miss ``need``, 2 all without a break, 3 keeps those that end at the last bar forming.
+#: Candidates with one ``pair`` are one pattern whose direction the break decides.
+OPTIONS = {
+    "slope": (0.0, "double"), "at": (0, "int"), "inval_slope": (0.0, "double"), "inval_at": (0, "int"), "reach": (None, "double"), "retarget": (False, "boolean"), "wait": (WAIT_BARS, "int"),
+    "need": (None, "double"), "rule": (0, "int"), "points": (None, "array<int>"), "shown_inval": (None, "double"), "pair": (None, "bigint"), "unsure": (False, "boolean"),
+}
+CANDIDATE = [*SERIES, "pattern_id", "sgn", "start_idx", "last_idx", "level", "inval", "target", "parts", "n_parts", *OPTIONS]
 
 
-def context(bars: DataFrame) -> DataFrame:
-    """``bars`` with column ``scale``, and what candidates need of a bar: prior move, relative volume, volume around it."""
-    w, past = series(), series().rowsBetween(-40, -1)
+def least_height() -> Column:
+    """The share of a price that a pattern must be high, by the row's timeframe."""
+    return F.coalesce(*(F.when(F.col("timeframe") == t, p / 100) for t, p in HEIGHT_PCT.items()), F.lit(0.03))
+
+
+def _prior(bars: int) -> Column:
+    past = series().rowsBetween(-bars, -1)
     up = (F.col("high") - F.min("low").over(past)) / F.col("scale")
     down = (F.max("high").over(past) - F.col("low")) / F.col("scale")
-    before = F.when(F.count("volume").over(w.rowsBetween(-20, -1)) >= 20, F.avg("volume").over(w.rowsBetween(-20, -1)))
+    return F.when(F.col("i") == 0, 0.0).when(up >= down, up).otherwise(-down)
+
+
+def context(bars: DataFrame) -> DataFrame:
+    """``bars`` with column ``scale``, and what candidates need of a bar: prior move, relative volume, volume around it.
+
+    A column ``complete``, whether a bar has ended, is kept; without one all have.
+    """
+    w = series()
+    average = F.when(F.count("volume").over(w.rowsBetween(-20, -1)) >= 20, F.avg("volume").over(w.rowsBetween(-20, -1)))
     return bars.withColumns({
-        "prior": F.when(F.col("i") == 0, 0.0).when(up >= down, up).otherwise(-down),
-        "rel_volume": over(F.col("volume"), before),
+        "prior": _prior(40),
+        "rel_volume": over(F.col("volume"), average),
         "volume_near": F.avg("volume").over(w.rowsBetween(-2, 2)),
         "last": F.count("*").over(Window.partitionBy(*SERIES)) - 1,
+        "complete": F.coalesce("complete", F.lit(True)) if "complete" in bars.columns else F.lit(True),
     })
 
 
-def pivots(swings: DataFrame, bars: DataFrame) -> DataFrame:
-    """``swings`` with the context of their bar."""
-    at = bars.select(*SERIES, F.col("i").alias("idx"), "scale", "prior", "volume_near", "last")
+def pivots(swings: DataFrame, bars: DataFrame, *more: str) -> DataFrame:
+    """``swings`` with the context of their bar, and ``more`` columns of it."""
+    at = bars.select(*SERIES, F.col("i").alias("idx"), "scale", "prior", "volume_near", "last", *more)
     return swings.join(at, [*SERIES, "idx"])
 
 
-def runs(swings: DataFrame, n: int) -> DataFrame:
+def runs(swings: DataFrame, n: int, *more: str) -> DataFrame:
     """A row for each ``n`` consecutive swings: columns p1 to pn, structs of a swing's own."""
     w = Window.partitionBy(*SERIES).orderBy("k")
-    whole = F.struct("idx", "price", "kind", "provisional", "scale", "prior", "volume_near", "last")
+    whole = F.struct("idx", "price", "kind", "provisional", "scale", "prior", "volume_near", "last", *more)
     row = swings.select(*SERIES, "k", whole.alias("p1"))
     return row.withColumns({f"p{j + 1}": F.lead("p1", j).over(w) for j in range(1, n)}).where(f"p{n} is not null")
 
@@ -65,11 +95,25 @@ def _total(parts: list[Column]) -> list[Column]:
     return [reduce(add, [F.coalesce(p, F.lit(0.0)) for p in clipped]).alias("parts"), reduce(add, [F.when(p.isNotNull(), 1).otherwise(0) for p in clipped]).alias("n_parts")]
 
 
-def _candidate(rows: DataFrame, pattern: Column, sgn: Column, first: str, last: str, level: Column, inval: Column, target: Column, parts: list[Column]) -> DataFrame:
-    return rows.select(*SERIES, pattern.alias("pattern_id"), sgn.alias("sgn"), F.col(f"{first}.idx").alias("start_idx"), F.col(f"{last}.idx").alias("last_idx"), F.col(f"{last}.provisional").alias("unsure"), level.alias("level"), inval.alias("inval"), target.alias("target"), *_total(parts))
+def _filled(candidates: DataFrame) -> DataFrame:
+    missing = {name: F.lit(value).cast(kind) for name, (value, kind) in OPTIONS.items() if name not in candidates.columns}
+    return candidates.withColumns(missing).select(*CANDIDATE) if missing else candidates.select(*CANDIDATE)
 
 
-def doubles(swings: DataFrame, has_volume: bool = True) -> DataFrame:
+def _candidate(rows: DataFrame, pattern: Column, sgn: Column, level: Column, inval: Column, target: Column, parts: list[Column], n: int = 0, **options: Column) -> DataFrame:
+    """Candidates of runs of ``n`` swings; without ``n`` ``start_idx``, ``last_idx`` and ``points`` are among the options."""
+    if n:
+        options = {"start_idx": F.col("p1.idx"), "last_idx": F.col(f"p{n}.idx"), "unsure": F.col(f"p{n}.provisional"), "points": F.array(*(F.col(f"p{k}.idx").cast("int") for k in range(1, n + 1)))} | options
+    return _filled(rows.select(*SERIES, pattern.alias("pattern_id"), sgn.cast("double").alias("sgn"), level.alias("level"), inval.cast("double").alias("inval"), target.alias("target"), *_total(parts), *(x.alias(name) for name, x in options.items())))
+
+
+def _fading(first: str, last: str) -> Column:
+    """1 if the volume around the last extreme is under that around the first, else 0.5; null without volume."""
+    a, b = F.col(f"{first}.volume_near"), F.col(f"{last}.volume_near")
+    return F.when(a.isNotNull() | b.isNotNull(), F.when(b < a, 1.0).otherwise(0.5))
+
+
+def doubles(swings: DataFrame) -> DataFrame:
     """Double tops and bottoms: two like extremes around a deep one, after a move."""
     c = F.col
     rows = runs(swings, 3)
@@ -77,10 +121,9 @@ def doubles(swings: DataFrame, has_volume: bool = True) -> DataFrame:
     a, t, b, scale = c("p1.price"), c("p2.price"), c("p3.price"), c("p3.scale")
     near, far = s * F.least(s * a, s * b), s * F.greatest(s * a, s * b)
     depth, gap, prior = s * near - s * t, c("p3.idx") - c("p1.idx"), s * c("p1.prior")
-    rows = rows.where((F.abs(a - b) <= EQUAL * scale) & (depth >= DEPTH * scale) & (depth >= HEIGHT_PCT / 100 * F.abs(t)) & gap.between(8, 120) & (prior >= PRIOR))
-    volume = F.when(c("p3.volume_near") < c("p1.volume_near"), 1.0).otherwise(0.5) if has_volume else F.lit(None).cast("double")
-    parts = [closeness(a - b, EQUAL * scale), depth / (5 * scale), prior / (2 * TREND), F.when(gap.between(15, 80), 1.0).otherwise(0.6), volume]
-    return _candidate(rows, F.when(s > 0, "double_top").otherwise("double_bottom"), -s, "p1", "p3", t, far, t - (far - t), parts)
+    rows = rows.where((F.abs(a - b) <= EQUAL * scale) & (depth >= DEPTH * scale) & (depth >= least_height() * F.abs(t)) & gap.between(8, 120) & (prior >= PRIOR))
+    parts = [closeness(a - b, EQUAL * scale), depth / (5 * scale), prior / (2 * TREND), F.when(gap.between(15, 80), 1.0).otherwise(0.6), _fading("p1", "p3")]
+    return _candidate(rows, F.when(s > 0, "double_top").otherwise("double_bottom"), -s, t, far, t - (far - t), parts, 3)
 
 
 def triples(swings: DataFrame) -> DataFrame:
@@ -92,9 +135,9 @@ def triples(swings: DataFrame) -> DataFrame:
     neck = s * F.least(s * c("p2.price"), s * c("p4.price"))
     spread, far = F.greatest(*peaks) - F.least(*peaks), s * F.greatest(*(s * p for p in peaks))
     depth, span, prior = s * ((peaks[0] + peaks[1] + peaks[2]) / 3 - neck), c("p5.idx") - c("p1.idx"), s * c("p1.prior")
-    rows = rows.where((spread <= 1.2 * EQUAL * scale) & (depth >= DEPTH * scale) & (depth >= HEIGHT_PCT / 100 * F.abs(neck)) & span.between(16, 240) & (prior >= PRIOR))
+    rows = rows.where((spread <= 1.2 * EQUAL * scale) & (depth >= DEPTH * scale) & (depth >= least_height() * F.abs(neck)) & span.between(16, 240) & (prior >= PRIOR))
     parts = [closeness(spread, 1.2 * EQUAL * scale), depth / (5 * scale), prior / (2 * TREND), closeness(c("p2.price") - c("p4.price"), 2 * scale)]
-    return _candidate(rows, F.when(s > 0, "triple_top").otherwise("triple_bottom"), -s, "p1", "p5", neck, far, neck - (far - neck), parts)
+    return _candidate(rows, F.when(s > 0, "triple_top").otherwise("triple_bottom"), -s, neck, far, neck - (far - neck), parts, 5)
 
 
 def measured_moves(swings: DataFrame) -> DataFrame:
@@ -105,57 +148,278 @@ def measured_moves(swings: DataFrame) -> DataFrame:
     a, b, d, scale = c("p1.price"), c("p2.price"), c("p3.price"), c("p2.scale")
     leg = F.abs(b - a)
     back = over(F.abs(b - d), leg)
-    rows = rows.where((leg >= 5 * scale) & (leg >= HEIGHT_PCT / 100 * a) & back.between(0.3, 0.7))
-    return _candidate(rows, F.when(s > 0, "measured_move_up").otherwise("measured_move_down"), s, "p1", "p3", b, d, d + (b - a), [leg / (10 * scale), 1 - F.abs(back - 0.5) / 0.25])
+    rows = rows.where((leg >= 5 * scale) & (leg >= least_height() * a) & back.between(0.3, 0.7))
+    return _candidate(rows, F.when(s > 0, "measured_move_up").otherwise("measured_move_down"), s, b, d, d + (b - a), [leg / (10 * scale), 1 - F.abs(back - 0.5) / 0.25], 3)
+
+
+def head_and_shoulders(swings: DataFrame) -> DataFrame:
+    """A head between two like shoulders over a neckline through the swings between them, after a move.
+
+    The level is the neckline; the head ends the pattern, though the right shoulder is shown as what does. The target
+    lies as far from the neckline at the break as the head does.
+    """
+    c = F.col
+    rows = runs(swings, 5)
+    s = F.when(c("p1.kind") == "H", 1.0).otherwise(-1.0)
+    left, head, right, scale = c("p1.price"), c("p3.price"), c("p5.price"), c("p5.scale")
+    rows = rows.withColumn("m", (c("p4.price") - c("p2.price")) / F.greatest(c("p4.idx") - c("p2.idx"), F.lit(1)))
+    neck = lambda p: c("p2.price") + c("m") * (c(f"{p}.idx") - c("p2.idx"))
+    rows = rows.withColumn("h", s * (head - neck("p3")))
+    first, second = c("p3.idx") - c("p1.idx"), c("p5.idx") - c("p3.idx")
+    drift, prior = F.abs(c("m") * (c("p5.idx") - c("p1.idx"))), s * c("p1.prior")
+    out = F.least(s * (head - left), s * (head - right))
+    rows = rows.where(
+        (out >= scale) & (c("h") > 0) & (c("h") >= least_height() * F.abs(neck("p3"))) & (F.abs(left - right) <= 0.5 * c("h")) & (s * (right - neck("p5")) > 0) & (s * (left - neck("p1")) > 0)
+        & (second > 0) & (first / second).between(1 / 2.5, 2.5) & (drift <= 0.6 * c("h")) & (prior >= PRIOR)
+    )
+    parts = [closeness(left - right, 0.5 * c("h")), closeness(1 - F.least(first, second) / F.greatest(first, second), F.lit(1.0)), out / (3 * scale), closeness(drift, 0.6 * c("h")), prior / (2 * TREND), _fading("p1", "p5")]
+    name = F.when(s > 0, "head_and_shoulders").otherwise("inverse_head_and_shoulders")
+    return _candidate(rows, name, -s, c("p2.price"), head, F.lit(None).cast("double"), parts, 5, slope=c("m"), at=c("p2.idx"), reach=c("h"), retarget=F.lit(True), shown_inval=right)
+
+
+def diamonds(swings: DataFrame) -> DataFrame:
+    """Six confirmed swings that broaden up to the middle and contract after it; the sides of the right half are the levels."""
+    c = F.col
+    rows = runs(swings.where("not provisional"), 6)
+    up = c("p1.kind") == "H"
+    h = [F.when(up, c(f"p{2 * k + 1}")).otherwise(c(f"p{2 * k + 2}")) for k in range(3)]
+    low = [F.when(up, c(f"p{2 * k + 2}")).otherwise(c(f"p{2 * k + 1}")) for k in range(3)]
+    rows = rows.withColumns({f"h{k + 1}": x for k, x in enumerate(h)} | {f"l{k + 1}": x for k, x in enumerate(low)})
+    price, idx, scale = lambda x: c(f"{x}.price"), lambda x: c(f"{x}.idx"), c("p6.scale")
+    width = price("h2") - price("l2")
+    rows = rows.where(
+        (price("h2") > price("h1")) & (price("h2") > price("h3")) & (price("l2") < price("l1")) & (price("l2") < price("l3")) & (width >= 4 * scale) & (width >= least_height() * price("h2"))
+        & (F.least(price("h2") - price("h3"), price("l3") - price("l2")) >= 0.5 * scale)
+    )
+    slope = {x: (price(f"{x}3") - price(f"{x}2")) / F.greatest(idx(f"{x}3") - idx(f"{x}2"), F.lit(1)) for x in "hl"}
+    top, prior = c("p1.prior") >= 0, c("p1.prior")
+    side = lambda a, b: F.when(top, a).otherwise(b)
+    sgn = side(F.lit(-1.0), F.lit(1.0))
+    reached = side(price("l2") + slope["l"] * (c("p6.idx") - idx("l2")), price("h2") + slope["h"] * (c("p6.idx") - idx("h2")))
+    parts = [width / (10 * scale), F.abs(prior) / (2 * TREND), 1 - F.least(F.lit(1.0), F.abs((idx("h2") - idx("h1")) - (idx("h3") - idx("h2"))) / F.greatest(idx("h3") - idx("h1"), F.lit(1)))]
+    return _candidate(
+        rows, side(F.lit("diamond_top"), F.lit("diamond_bottom")), sgn, side(price("l2"), price("h2")), side(price("h2"), price("l2")), reached + sgn * width, parts, 6,
+        slope=side(slope["l"], slope["h"]), at=side(idx("l2"), idx("h2")), inval_slope=side(slope["h"], slope["l"]), inval_at=side(idx("h2"), idx("l2")), reach=width,
+    )
+
+
+def v_reversals(swings: DataFrame) -> DataFrame:
+    """A steep leg of 2 to 20 bars that is taken back to 0.618 within one and a half times its bars.
+
+    Without a break it stays while it may still come and 0.382 has been taken back.
+    """
+    c = F.col
+    rows = runs(swings, 2)
+    s = F.when(c("p2.kind") == "L", 1.0).otherwise(-1.0)
+    a, b, scale, n = c("p1.price"), c("p2.price"), c("p2.scale"), c("p2.idx") - c("p1.idx")
+    drop = F.abs(a - b)
+    rows = rows.where(n.between(2, 20) & (drop >= 6 * scale) & (drop / n >= 0.5 * scale) & (drop >= least_height() * a))
+    return _candidate(
+        rows, F.when(s > 0, "v_bottom").otherwise("inverted_v_top"), s, b + 0.618 * (a - b), b, a, [drop / n / (1.5 * scale), drop / (12 * scale)], 2,
+        unsure=F.lit(False), wait=F.greatest(F.lit(3), (1.5 * n).cast("int")), need=b + 0.382 * (a - b), rule=F.lit(1),
+    )
+
+
+def traps(bars: DataFrame, past: int = 40, wait: int = 5, scan: int = 120) -> DataFrame:
+    """Closes beyond the extreme of the ``past`` bars before, the first of their kind, that close back within ``wait`` bars."""
+    c, w = F.col, series()
+    frame, ahead = w.rowsBetween(-past, -1), w.rowsBetween(0, wait)
+    rows = bars.withColumns({
+        "top": F.max("high").over(frame), "bottom": F.min("low").over(frame), "earlier": before(c("close")), "tol": BREAK * c("scale"),
+        "peak": F.max(F.struct("high", -c("i"))).over(ahead), "trough": F.min(F.struct("low", "i")).over(ahead),
+    }).where((c("i") >= past) & (c("i") >= c("last") - scan) & ((c("i") < c("last")) | c("complete")))
+    up = (c("close") > c("top") + c("tol")) & ~(c("earlier") > c("top") + c("tol"))
+    down = (c("close") < c("bottom") - c("tol")) & ~(c("earlier") < c("bottom") - c("tol"))
+    side = lambda name, sgn, level, extreme, at, other: F.struct(F.lit(name).alias("name"), F.lit(sgn).alias("sgn"), c(level).alias("level"), c(extreme).alias("extreme"), at.cast("int").alias("at"), c(other).alias("other"))
+    kinds = F.array_compact(F.array(F.when(up, side("bull_trap", -1.0, "top", "peak.high", -c("peak.col2"), "bottom")), F.when(down, side("bear_trap", 1.0, "bottom", "trough.low", c("trough.i"), "top"))))
+    rows = rows.withColumn("x", F.explode(kinds))
+    return _candidate(
+        rows, c("x.name"), c("x.sgn"), c("x.level"), c("x.extreme"), c("x.other"), [F.lit(min(1.0, past / 40))],
+        start_idx=c("i") - past, last_idx=c("i"), points=F.array(c("i").cast("int"), c("x.at")), wait=F.lit(wait), rule=F.lit(2),
+    )
+
+
+def compressions(bars: DataFrame, least: int = 6, most: int = 3, ratio: float = 0.55) -> DataFrame:
+    """The last runs of squeezed Bollinger bands that are narrow against their median; the direction comes from the break."""
+    c, w = F.col, series()
+    wide = indicators.bollinger_squeeze(indicators.bollinger(bars), share=0.15)
+    middle = F.when(F.count("bb_width").over(w.rowsBetween(-119, 0)) >= 60, F.percentile("bb_width", 0.5).over(w.rowsBetween(-119, 0)))
+    wide = wide.withColumn("usual", middle).where(c("bb_squeeze") & (c("last") + 1 >= 80))
+    island = wide.withColumn("run", c("i") - F.row_number().over(w))
+    found = island.groupBy(*SERIES, "run").agg(
+        F.min("i").alias("first"), F.max("i").alias("end"), F.max("high").alias("top"), F.min("low").alias("bottom"), F.avg("bb_width").alias("width"), F.min_by("usual", "i").alias("usual"), F.max_by("scale", "i").alias("scale"),
+    ).where(c("end") - c("first") + 1 >= least)
+    found = found.withColumn("place", F.row_number().over(Window.partitionBy(*SERIES).orderBy(F.desc("end")))).where((c("place") <= most) & (c("usual") > 0) & (c("width") / c("usual") <= ratio))
+    rows = found.withColumn("sgn", F.explode(F.array(F.lit(1.0), F.lit(-1.0))))
+    high, s = c("top") - c("bottom"), c("sgn")
+    level, other = F.when(s > 0, c("top")).otherwise(c("bottom")), F.when(s > 0, c("bottom")).otherwise(c("top"))
+    return _candidate(
+        rows, F.lit("compression_breakout"), s, level, F.lit(None), level + s * high, [(c("end") - c("first") + 1) / 15, 1 - F.least(F.lit(1.0), high / (6 * c("scale")))],
+        start_idx=c("first"), last_idx=c("end"), points=F.array(c("first").cast("int"), c("end").cast("int")), rule=F.lit(3), shown_inval=other, pair=F.xxhash64("first", "end"),
+    )
+
+
+def contractions(swings: DataFrame, bars: DataFrame) -> DataFrame:
+    """Pullbacks of an uptrend each at most 0.8 of the one before, with highs within 8 percent: the newest such run of the last five swings."""
+    c = F.col
+    w = series()
+    known = bars.withColumns({"sma50": mean(c("close"), 50), "prior80": _prior(80), "v": c("volume"), "v_sum": F.sum("volume").over(w.rowsBetween(Window.unboundedPreceding, 0)), "v_n": F.count("volume").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    more = ("close", "sma50", "prior80", "v", "v_sum", "v_n")
+    sure = pivots(swings.where("not provisional"), known, *more)
+    order = Window.partitionBy(*SERIES).orderBy("k")
+    whole = F.struct("idx", "price", *more)
+    row = sure.withColumns({"me": whole, "place": F.row_number().over(Window.partitionBy(*SERIES).orderBy(F.desc("k")))})
+    pulls = [F.when(F.lag("idx", 2 * j + 1).over(order).isNotNull(), F.struct(F.lag("me", 2 * j + 1).over(order).alias("h"), F.lag("me", 2 * j).over(order).alias("l"))) for j in range(5)]
+    row = row.withColumn("pulls", F.array_compact(F.array(*pulls))).where((c("kind") == "L") & (c("place") <= 5) & (F.size("pulls") > 0))
+    depth = lambda p: (p["h"]["price"] - p["l"]["price"]) / p["h"]["price"] * 100
+    row = row.withColumn("depths", F.transform("pulls", depth))
+    stop = F.filter(F.sequence(F.lit(1), F.size("depths")), lambda j: (j == F.size("depths")) | (F.try_element_at("depths", j) > 0.8 * F.try_element_at("depths", j + 1)))
+    row = row.withColumn("n", F.array_min(stop)).where("n >= 2").withColumn("run", F.slice("pulls", F.lit(1), c("n")))
+    highs = F.transform("run", lambda p: p["h"]["price"])
+    row = row.withColumns({"new": F.try_element_at("run", F.lit(1)), "old": F.try_element_at("run", F.lit(-1)), "top": F.array_max(highs), "low_top": F.array_min(highs)})
+    row = row.where(((c("top") - c("low_top")) / c("top") * 100 <= 8.0) & (c("old.h.close") >= c("old.h.sma50")) & (c("old.h.prior80") >= TREND))
+    row = row.withColumn("best", F.min("place").over(Window.partitionBy(*SERIES))).where("place = best")
+    average = lambda p: (c(f"{p}.l.v_sum") - c(f"{p}.h.v_sum") + F.coalesce(c(f"{p}.h.v"), F.lit(0.0))) / F.nullif(c(f"{p}.l.v_n") - c(f"{p}.h.v_n") + F.when(c(f"{p}.h.v").isNotNull(), 1).otherwise(0), F.lit(0))
+    dry = F.when(average("new").isNotNull() & average("old").isNotNull(), F.when(average("new") < 0.8 * average("old"), 1.0).otherwise(0.4))
+    pivot = c("new.h.price")
+    return _candidate(
+        row, F.lit("vcp"), F.lit(1.0), pivot, c("new.l.price"), pivot + c("old.h.price") - c("old.l.price"), [c("n") / 4, 1 - F.least(F.lit(1.0), c("depths")[0] / 10), dry],
+        start_idx=c("old.h.idx"), last_idx=c("new.l.idx"), points=F.flatten(F.transform("run", lambda p: F.array(p["h"]["idx"].cast("int"), p["l"]["idx"].cast("int")))),
+    )
 
 
 def lifecycle(candidates: DataFrame, bars: DataFrame) -> DataFrame:
-    """The stage of each candidate of ``bars``, which have ``context``; all bars count as complete.
+    """The stage of each candidate of ``bars``, which have ``context``.
 
-    Before the break: a close beyond ``inval`` invalidates, one beyond ``level`` confirms, and ``WAIT_BARS`` without
-    either expires it; else it is forming, or approaching if the last close is near. After it: a close back through the
-    level within ``FAIL_BARS`` fails it unless the target was reached, on that bar or before; a bar near the level among
-    the last three makes it retesting. Candidates on an unsure pivot that confirm, and those whose end is older than
-    ``AGE_BARS``, are left out.
+    Before the break: a close beyond ``inval`` invalidates, one beyond the level confirms, and ``wait`` bars without
+    either expire it; else it is forming, or approaching if the last close is near or a bar that has not ended broke it
+    (``provisional``). After it: a close back through the level within FAIL_BARS fails it unless the target was reached,
+    on that bar or before; a bar near the level among the last three makes it retesting. Candidates on an unsure pivot
+    that confirm, and those whose end is older than AGE_BARS, are left out.
     """
     c = F.col
-    ends = bars.where("i = last").select(*SERIES, "last", F.col("close").alias("last_close"), F.col("scale").alias("last_scale"))
+    ends = bars.where("i = last").select(*SERIES, "last", c("close").alias("last_close"), c("scale").alias("last_scale"))
     key = [*SERIES, "cand"]
-    found = candidates.join(ends, SERIES).where(c("last_idx") >= c("last") - AGE_BARS - WAIT_BARS - FAIL_BARS - 2)
-    found = found.withColumn("cand", F.xxhash64("pattern_id", "start_idx", "last_idx", "level", "sgn"))
-    reach = found.select(*key, "sgn", "level", "inval", "target", "last_idx", "last", F.explode(F.sequence(((c("last_idx") + 1) / BUCKET).cast("int"), (F.greatest(c("last"), c("last_idx") + 1) / BUCKET).cast("int"))).alias("bucket"))
-    after = bars.select(*SERIES, F.col("i").alias("j"), "high", "low", "close", "scale", "rel_volume", (F.col("i") / BUCKET).cast("int").alias("bucket"))
+    found = _filled(candidates).join(ends, SERIES).where(c("last_idx") >= c("last") - AGE_BARS - c("wait") - FAIL_BARS - 2)
+    found = found.withColumn("cand", F.xxhash64("pattern_id", "start_idx", "last_idx", "level", "slope", "sgn", "target"))
+    line = lambda j, of="": c("inval" if of else "level") + c(f"{of}slope") * (j - c(f"{of}at"))
+    blocks = F.sequence(((c("last_idx") + 1) / BUCKET).cast("int"), (F.greatest(c("last"), c("last_idx") + 1) / BUCKET).cast("int"))
+    reach = found.select(*key, "sgn", "level", "slope", "at", "inval", "inval_slope", "inval_at", "target", "reach", "retarget", "wait", "last_idx", "last", F.explode(blocks).alias("bucket"))
+    after = bars.select(*SERIES, c("i").alias("j"), "high", "low", "close", "scale", "rel_volume", "complete", (c("i") / BUCKET).cast("int").alias("bucket"))
     both = reach.join(after, [*SERIES, "bucket"]).where("j > last_idx")
     s, tolerance = c("sgn"), BREAK * c("scale")
-    waiting = c("j") <= c("last_idx") + 1 + WAIT_BARS + 1
-    both = both.withColumns({"_inv": F.when(waiting & (s * (c("inval") - c("close")) > tolerance), c("j")), "_brk": F.when(waiting & (s * (c("close") - c("level")) > tolerance), c("j"))})
+    waiting = c("j") <= c("last_idx") + c("wait") + 2
+    both = both.withColumn("line", line(c("j")))
+    both = both.withColumns({"_inv": F.when(waiting & (s * (line(c("j"), "inval_") - c("close")) > tolerance), c("j")), "_brk": F.when(waiting & (s * (c("close") - c("line")) > tolerance), F.struct("j", "line", "complete", "rel_volume"))})
     own = Window.partitionBy(*key)
     both = both.withColumns({"inv": F.min("_inv").over(own), "brk": F.min("_brk").over(own)})
-    later = (c("j") > c("brk"))
-    favoured, adverse = F.when(s > 0, c("high")).otherwise(c("low")), F.when(s > 0, c("low") - c("level")).otherwise(c("level") - c("high"))
+    goal = F.when(c("retarget"), c("brk.line") + s * c("reach")).otherwise(c("target"))
+    later = c("j") > c("brk.j")
+    favoured, adverse = F.when(s > 0, c("high")).otherwise(c("low")), F.when(s > 0, c("low") - c("line")).otherwise(c("line") - c("high"))
     seen = both.groupBy(*key).agg(
-        F.min("inv").alias("inv"), F.min("brk").alias("brk"), F.max(F.when(c("j") == c("brk"), c("rel_volume"))).alias("rel_volume"),
-        F.min(F.when(later & (s * favoured >= s * c("target")), c("j"))).alias("tgt"),
-        F.min(F.when(later & (c("j") <= c("brk") + FAIL_BARS) & (s * (c("level") - c("close")) > tolerance), c("j"))).alias("fail"),
+        F.min("inv").alias("inv"), F.min("brk").alias("b"), F.max(s * favoured).alias("best"),
+        F.min(F.when(later & (s * favoured >= s * goal), c("j"))).alias("tgt"),
+        F.min(F.when(later & c("complete") & (c("j") <= c("brk.j") + FAIL_BARS) & (s * (c("brk.line") - c("close")) > tolerance), c("j"))).alias("fail"),
         F.max(F.when(later & (adverse <= RETEST * c("scale")), c("j"))).alias("retest"),
     )
-    rows = found.join(seen, key, "left").withColumn("expiry", F.when(c("last_idx") + 2 + WAIT_BARS <= c("last"), c("last_idx") + 2 + WAIT_BARS))
+    expiry = c("last_idx") + c("wait") + 2
+    rows = found.join(seen, key, "left").withColumn("expiry", F.when(expiry <= c("last"), expiry))
     never = F.lit(1 << 40)
-    inv, brk, exp, tgt, fail = (F.coalesce(c(x), never) for x in ("inv", "brk", "expiry", "tgt", "fail"))
+    inv, brk, exp, tgt, fail = (F.coalesce(x, never) for x in (c("inv"), c("b.j"), c("expiry"), c("tgt"), c("fail")))
     ended = (inv <= brk) & (inv <= exp) & (inv < never) | (exp < brk) & (exp < never)
-    confirmed = ~ended & (brk < never)
+    broken = ~ended & (brk < never)
+    whole = F.coalesce(c("b.complete"), F.lit(True))
+    confirmed = broken & whole
     failed = confirmed & (fail < tgt)
     hit = confirmed & ~failed & (tgt < never)
-    distance = c("sgn") * (c("level") - c("last_close"))
+    near = s * (line(c("last")) - c("last_close")) <= NEAR * c("last_scale")
     stage = (
-        F.when(ended, "invalidated").when(failed, "failed").when(confirmed & ~hit & (c("last") - c("retest") <= 2), "retesting").when(confirmed, "confirmed").when(distance <= NEAR * c("last_scale"), "approaching_confirmation").otherwise("forming")
+        F.when(ended, "invalidated").when(failed, "failed").when(confirmed & ~hit & (c("last") - c("retest") <= 2), "retesting").when(confirmed, "confirmed")
+        .when((c("rule") == 3) & (c("last_idx") == c("last")), "forming").when(broken | near, "approaching_confirmation").otherwise("forming")
     )
-    rows = rows.withColumns({"stage": stage, "confirmation_idx": F.when(confirmed, c("brk")), "target_reached": hit, "rel_volume": F.when(confirmed, c("rel_volume")), "_end": F.when(ended, F.least(inv, exp)).when(failed, c("fail")).when(confirmed, c("brk")).otherwise(c("last_idx"))})
-    rows = rows.withColumn("end_idx", F.least(F.greatest(c("last_idx"), c("_end")), c("last"))).where(~(c("unsure") & c("confirmation_idx").isNotNull()) & (c("end_idx") >= c("last") - AGE_BARS))
-    volume = F.when(c("rel_volume") >= 1.5, 1.0).when(c("rel_volume").isNotNull(), 0.3)
+    rows = rows.withColumns({
+        "stage": stage, "confirmation_idx": F.when(confirmed, c("b.j")), "target_reached": hit, "provisional": broken & ~whole, "rel_volume": F.when(confirmed, c("b.rel_volume")),
+        "_end": F.when(ended, F.least(inv, exp)).when(failed, c("fail")).when(confirmed, c("b.j")).otherwise(c("last_idx")),
+    })
+    rows = rows.withColumn("end_idx", F.least(F.greatest(c("last_idx"), c("_end")), c("last")))
+    open_ = c("confirmation_idx").isNull()
+    lapsed = (c("rule") == 1) & open_ & ((c("stage") == "invalidated") | F.coalesce(c("best") < s * c("need"), F.lit(True))) | (c("rule") == 2) & open_ & ~c("provisional")
+    rows = rows.where(~(c("unsure") & ~open_) & ~lapsed & (c("end_idx") >= c("last") - AGE_BARS))
+    # of a pair the earlier break counts, of equal ones that upwards; without one the side that is not invalidated
+    first = F.row_number().over(Window.partitionBy(*SERIES, "pattern_id", "pair", F.when(c("pair").isNull(), c("cand"))).orderBy(F.asc_nulls_last("confirmation_idx"), c("stage") == "invalidated", F.desc("sgn")))
+    rows = rows.withColumn("side", first).where("side = 1")
+    told = c("pair").isNull() | ~open_
+    at = F.coalesce("confirmation_idx", "last")
+    confirms = F.when(c("rel_volume").isNotNull(), c("rel_volume") >= 1.5)
+    volume = F.when(confirms, 1.0).when(confirms.isNotNull(), 0.3)
     bonus = F.when(c("stage").isin("confirmed", "retesting"), 1.0).when(c("stage") == "approaching_confirmation", 0.6).when(c("stage") == "forming", 0.4).otherwise(0.0)
-    quality = 100 * (c("parts") + F.coalesce(volume, F.lit(0.0)) + bonus) / (c("n_parts") + 1 + F.when(volume.isNotNull(), 1).otherwise(0))
-    return rows.select(*SERIES, "pattern_id", F.when(c("sgn") > 0, "bullish").otherwise("bearish").alias("direction"), "stage", "start_idx", "end_idx", "confirmation_idx", "target_reached", "level", "inval", "target", quality.alias("quality"))
+    swift = F.when(c("rule") == 2, F.when(F.coalesce(c("confirmation_idx"), c("last_idx") + c("wait")) - c("last_idx") <= 3, 1.0).otherwise(0.6))
+    extra = lambda x: F.when(x.isNotNull(), 1).otherwise(0)
+    quality = 100 * (c("parts") + F.coalesce(volume, F.lit(0.0)) + F.coalesce(swift, F.lit(0.0)) + bonus) / (c("n_parts") + 1 + extra(volume) + extra(swift))
+    return rows.select(
+        *SERIES, "pattern_id", F.when(~told, "neutral").when(c("sgn") > 0, "bullish").otherwise("bearish").alias("direction"), "stage", "start_idx", "end_idx", "confirmation_idx", "target_reached",
+        F.when(told, line(at)).alias("level"), F.when(told, F.coalesce(c("shown_inval"), line(at, "inval_"))).alias("inval"), F.when(told, F.coalesce(line(at) + c("sgn") * c("reach"), c("target"))).alias("target"),
+        F.round(quality, 1).alias("quality"), confirms.alias("volume_confirmation"), "rel_volume", "provisional", "points", "last_idx", "last",
+    )
+
 
+def distinct(found: DataFrame) -> DataFrame:
+    """``found`` without patterns that overlap a better one of their kind by over 0.6 of the shorter, or share two key points with it.
 
-DETECTORS = {"double": doubles, "triple": triples, "measured_move": measured_moves}
+    Better is of higher quality, then of later end, then of earlier start. A kind's patterns of a series are at most a
+    few hundred, as their age is bounded, so that one row holds them.
+    """
+    whole = F.struct((-F.col("quality")).alias("_q"), (-F.col("end_idx")).alias("_e"), F.col("start_idx").alias("_s"), F.col("last_idx").alias("_l"), F.struct(*found.columns).alias("row"))
+    grouped = found.groupBy(*SERIES, "pattern_id").agg(F.sort_array(F.collect_list(whole)).alias("all"))
+
+    def clash(x: Column, y: Column) -> Column:
+        shared = F.least(x["row"]["end_idx"], y["row"]["end_idx"]) - F.greatest(x["row"]["start_idx"], y["row"]["start_idx"])
+        span = F.least(x["row"]["end_idx"] - x["row"]["start_idx"], y["row"]["end_idx"] - y["row"]["start_idx"])
+        return (shared / F.when(span == 0, 1).otherwise(span) > OVERLAP) | (F.coalesce(F.size(F.array_intersect(x["row"]["points"], y["row"]["points"])) >= 2, F.lit(False)))
+
+    kept = F.aggregate("all", F.filter("all", lambda x: F.lit(False)), lambda acc, x: F.when(F.exists(acc, lambda y: clash(x, y)), acc).otherwise(F.array_append(acc, x)))
+    return grouped.select(F.explode(kept).alias("x")).select("x.row.*")
+
+
+#: Pattern ids that each detector finds.
+IDS = {
+    "double": ("double_top", "double_bottom"), "triple": ("triple_top", "triple_bottom"), "measured_move": ("measured_move_up", "measured_move_down"),
+    "head_and_shoulders": ("head_and_shoulders", "inverse_head_and_shoulders"), "diamond": ("diamond_top", "diamond_bottom"), "v_reversal": ("v_bottom", "inverted_v_top"),
+    "trap": ("bull_trap", "bear_trap"), "compression": ("compression_breakout",), "vcp": ("vcp",),
+}
+DETECTORS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
+    "double": lambda z, bars: doubles(pivots(z, bars)), "triple": lambda z, bars: triples(pivots(z, bars)), "measured_move": lambda z, bars: measured_moves(pivots(z, bars)),
+    "head_and_shoulders": lambda z, bars: head_and_shoulders(pivots(z, bars)), "diamond": lambda z, bars: diamonds(pivots(z, bars)), "v_reversal": lambda z, bars: v_reversals(pivots(z, bars)),
+    "trap": lambda z, bars: traps(bars), "compression": lambda z, bars: compressions(bars), "vcp": contractions,
+}
+EXPERIMENTAL = frozenset({"vcp"})
+CONTINUATION, BILATERAL = frozenset({"measured_move_up", "measured_move_down", "vcp"}), frozenset({"compression_breakout"})
+
+
+def category(pattern: Column) -> Column:
+    return F.when(pattern.isin(*CONTINUATION), "continuation").when(pattern.isin(*BILATERAL), "bilateral").otherwise("reversal")
+
+
+def detect(bars: DataFrame, swings: DataFrame, include: tuple[str, ...] | None = None, experimental: bool = True) -> DataFrame:
+    """All patterns of ``bars`` with ``context``, thinned out (see ``distinct``), with ``category`` and ``experimental``.
+
+    Only detectors that find an id of ``include`` run. Series of fewer than LEAST_BARS bars have none. The candidates of
+    all detectors share one join with the bars.
+    """
+    wanted = [d for d, ids in IDS.items() if (include is None or set(ids) & set(include)) and (experimental or not set(ids) & EXPERIMENTAL)]
+    if not wanted:
+        raise ValueError(f"no detector finds any of {include}")
+    enough = bars.where(F.col("last") + 1 >= LEAST_BARS)
+    found = reduce(DataFrame.unionByName, [DETECTORS[d](swings, enough) for d in wanted])
+    if include is not None:
+        found = found.where(F.col("pattern_id").isin(*include))
+    rows = distinct(lifecycle(found, enough))
+    return rows.withColumns({"category": category(F.col("pattern_id")), "experimental": F.col("pattern_id").isin(*EXPERIMENTAL)})
+
+
+def current(found: DataFrame) -> DataFrame:
+    """``found`` with ``current``: confirmed within CURRENT_BARS, active with an end within them, or resolved within RESOLVED_BARS."""
+    c = F.col
+    active = c("stage").isin(*ACTIVE) & (c("end_idx") >= c("last") - CURRENT_BARS)
+    resolved = c("stage").isin("failed", "invalidated") & (c("end_idx") >= c("last") - RESOLVED_BARS)
+    return found.withColumn("current", F.coalesce(c("last") - c("confirmation_idx") <= CURRENT_BARS, F.lit(False)) | active | resolved)

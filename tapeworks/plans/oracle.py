@@ -15,6 +15,7 @@ bars AS (
                first(p ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS open,
                last(p ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS close
         FROM (SELECT *, l_extendedprice / l_quantity AS p FROM lineitem) WHERE p IS NOT NULL GROUP BY 1, 2))"""
+LINES = DAILY.replace("l_returnflag AS symbol", "l_returnflag || ' ' || l_linenumber AS symbol")
 PER = "PARTITION BY symbol ORDER BY i"
 
 
@@ -199,6 +200,30 @@ def swings() -> dict[str, str]:
     }
 
 
+#: zones(symbol, place, low, ...) from ZIGZAG.
+ZONES = [
+    "z0 AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n, (high - min(low) OVER ah) / a AS fall, (max(high) OVER ah - low) / a AS rise, CASE WHEN count(volume) OVER pv >= 5 THEN volume / nullif(avg(volume) OVER pv, 0) END AS rel FROM sc WINDOW ah AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), pv AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))",
+    "z1 AS (SELECT * FROM z0 WHERE n >= 20)",
+    "z2 AS (SELECT symbol, any_value(n) AS n, arg_max(close, i) AS price, arg_max(a, i) AS sc_now, max(high) AS top, min(low) AS bottom, arg_max(close, i) FILTER (i <= greatest(0, n - 6)) AS earlier, sum(volume) > 0 AS hv FROM z1 GROUP BY symbol)",
+    "z3 AS (SELECT symbol, 'swing_' || kind AS source, price AS level, idx FROM zigzag WHERE NOT provisional UNION ALL SELECT symbol, 'historical_high', top, (SELECT min(y.i) FROM z1 y WHERE y.symbol = z2.symbol AND y.high = top) FROM z2 UNION ALL SELECT symbol, 'historical_low', bottom, (SELECT min(y.i) FROM z1 y WHERE y.symbol = z2.symbol AND y.low = bottom) FROM z2)",
+    "z4 AS (SELECT z3.*, sc_now, row_number() OVER (PARTITION BY symbol ORDER BY level, idx, source) AS r FROM z3 JOIN z2 USING (symbol))",
+    "z5 AS (SELECT symbol, r, 1 AS zone, level AS s, 1 AS m FROM z4 WHERE r = 1 UNION ALL SELECT y.symbol, y.r, CASE WHEN y.level - x.s / x.m <= 0.8 * y.sc_now THEN x.zone ELSE x.zone + 1 END, CASE WHEN y.level - x.s / x.m <= 0.8 * y.sc_now THEN x.s + y.level ELSE y.level END, CASE WHEN y.level - x.s / x.m <= 0.8 * y.sc_now THEN x.m + 1 ELSE 1 END FROM z5 x JOIN z4 y ON y.symbol = x.symbol AND y.r = x.r + 1)",
+    "z6 AS (SELECT z4.symbol, z5.zone, min(level) AS lo, max(level) AS hi, count(DISTINCT idx) AS pivots, min(idx) AS first_idx, max(idx) AS pivot_idx, avg(CASE WHEN source IN ('swing_H', 'historical_high') THEN fall ELSE rise END) AS reaction, avg(rel) AS rel, bool_or(source IN ('swing_H', 'historical_high')) AND bool_or(source NOT IN ('swing_H', 'historical_high')) AS both_sides, bool_or(source LIKE 'historical%') AS extreme, "
+    "string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM z4 JOIN z5 USING (symbol, r) JOIN z1 ON z1.symbol = z4.symbol AND z1.i = z4.idx GROUP BY ALL)",
+    "z7 AS (SELECT z6.*, z2.* EXCLUDE (symbol), lo - 0.15 * sc_now AS zlow, hi + 0.15 * sc_now AS zhigh, (lo - 0.15 * sc_now + (hi + 0.15 * sc_now)) / 2 AS mid FROM z6 JOIN z2 USING (symbol))",
+    "z8 AS (SELECT z7.symbol, z7.zone, z1.i, z1.low <= zhigh AND z1.high >= zlow AS inside, nullif(sign(close - mid), 0) AS side FROM z7 JOIN z1 USING (symbol))",
+    "z9 AS (SELECT *, inside AND NOT coalesce(lag(inside) OVER o, false) AS begins, last_value(side IGNORE NULLS) OVER (PARTITION BY symbol, zone ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM z8 WINDOW o AS (PARTITION BY symbol, zone ORDER BY i))",
+    "za AS (SELECT *, count(*) FILTER (begins) OVER (PARTITION BY symbol, zone ORDER BY i) AS stay FROM z9)",
+    "zb AS (SELECT symbol, zone, stay, min(i) FILTER (inside) AS f, max(i) FILTER (inside) AS t, count(*) FILTER (side <> was) AS crossings FROM za GROUP BY ALL)",
+    "zc AS (SELECT symbol, zone, count(*) FILTER (t - f < 15) AS episodes, max(t) AS stay_idx, sum(crossings) AS crossings FROM zb GROUP BY ALL)",
+    "zd AS (SELECT z7.*, zc.* EXCLUDE (symbol, zone), greatest(pivots, episodes) AS touches, greatest(pivot_idx, coalesce(stay_idx, pivot_idx)) AS last_idx FROM z7 JOIN zc USING (symbol, zone) WHERE greatest(pivots, episodes) >= 2 OR extreme)",
+    "ze AS (SELECT *, CASE WHEN hv AND rel IS NOT NULL THEN greatest(0.0, least(1.0, rel / 2)) END AS vp FROM zd)",
+    "zf AS (SELECT *, round(100 * (3 * least(1.0, touches / 5) + 2 * pow(0.5, (n - 1 - last_idx) / 120) + 2 * least(1.0, coalesce(reaction, 0) / 4) + CASE WHEN both_sides THEN 1.0 ELSE 0.3 END + CASE WHEN crossings > 0 THEN least(1.0, crossings / 4) ELSE 0.2 END + coalesce(vp, 0)) / (9 + CASE WHEN vp IS NULL THEN 0 ELSE 1 END), 1) AS strength, CASE WHEN CASE WHEN price BETWEEN zlow AND zhigh THEN earlier > mid ELSE mid < price END THEN 'support' ELSE 'resistance' END AS kind FROM ze)",
+    "zg AS (SELECT * FROM zf QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY strength DESC, zone) <= 12)",
+    "zones AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY mid) AS place, zlow AS low, zhigh AS high, mid, kind, touches, first_idx, last_idx, strength, both_sides AS role_reversals, CAST(crossings AS BIGINT) AS crossings, sources, round((mid - price) / sc_now, 2) AS distance, row_number() OVER (PARTITION BY symbol, kind ORDER BY CASE kind WHEN 'support' THEN -mid ELSE mid END) = 1 AS immediate, row_number() OVER (PARTITION BY symbol, kind ORDER BY strength DESC, mid) = 1 AS major FROM zg)",
+]
+
+
 def candles() -> dict[str, str]:
     x, p, a, _, f = range(5)
     o, h, l, c = (lambda k, s=s: f"{s}{k}" for s in "ohlc")  # noqa: E741
@@ -254,10 +279,10 @@ def candles() -> dict[str, str]:
     ]
     lags = {f"{s[0]}{k}": lag(s, k) if k else s for s in ("open", "high", "low", "close") for k in range(5)}
     prep = [
-        *SCALED, stage("cb", "sc", **lags, bd="abs(close - open)"),
+        *ZIGZAG, *ZONES, stage("cb", "sc", **lags, bd="abs(close - open)"),
         stage("cc", "cb", am=f"CASE WHEN count(bd) OVER {w(10, 1)} >= 3 THEN avg(bd) OVER {w(10, 1)} END", an=f"avg(bd) OVER {w(11)}", n="count(*) OVER (PARTITION BY symbol)", nx=f"lead(close) OVER ({PER})",
               rv=f"volume / nullif({mean('volume', 20, 1)}, 0)", **{f"m{k}": f"({lag('close', k)} - coalesce({lag('close', k + 10)}, first_value(close) OVER ({PER}))) / greatest({lag('a', k)}, 1e-9)" for k in (1, 2, 3, 5)},
-              **{f"s{k}": f"max(high) OVER {w(k)} - min(low) OVER {w(k)}" for k in (1, 2, 3, 5)}),
+              **{f"s{k}": f"max(high) OVER {w(k)} - min(low) OVER {w(k)}" for k in (1, 2, 3, 5)}, **{f"l{k}_": f"min(low) OVER {w(k)}" for k in (1, 2, 3, 5)}, **{f"h{k}_": f"max(high) OVER {w(k)}" for k in (1, 2, 3, 5)}),
         "cd AS (SELECT *, CASE WHEN am > 0 THEN am ELSE coalesce(nullif(an, 0), 1e-9) END AS ab FROM cc)",
     ]
     widest = "greatest(" + ", ".join(f"CASE WHEN {cond.replace(' AND t <= 0', '').replace(' AND t >= 0', '')} THEN {n} ELSE 0 END" for _, n, _, _, _, cond in forms) + ")"
@@ -267,11 +292,12 @@ def candles() -> dict[str, str]:
         f"cf AS (SELECT *, {mv} AS mv, {mv.replace('m', 's').replace('sx', 'mx')} AS sp FROM ce WHERE mx > 0)",
         "cg AS (SELECT *, CASE WHEN mv >= 2 THEN 1 WHEN mv <= -2 THEN -1 ELSE 0 END AS t FROM cf)",
         "ch AS (" + " UNION ALL ".join(f"SELECT *, '{name}' AS pattern_id, {n} AS candles, '{d}' AS direction, '{k}' AS kind, {need} AS need FROM cg WHERE {cond}" for name, n, d, k, need, cond in forms) + ")",
-        "ci AS (SELECT *, CASE WHEN direction = 'bullish' THEN nx > close WHEN direction = 'bearish' THEN nx < close END AS ok, CASE WHEN need = 0 THEN 0.6 WHEN need = t THEN least(1.0, abs(mv) / 4) ELSE 0.1 END AS tc, greatest(0.0, least(1.0, sp / (1.2 * a))) AS sz, CASE WHEN rv IS NOT NULL THEN greatest(0.0, least(1.0, rv / 1.5)) END AS vv FROM ch)",
+        "cx AS (SELECT ch.*, (SELECT count(*) FROM zones z WHERE z.symbol = ch.symbol) AS nz, EXISTS (SELECT 1 FROM zones z WHERE z.symbol = ch.symbol AND CASE ch.direction WHEN 'bullish' THEN CASE mx WHEN 1 THEN l1_ WHEN 2 THEN l2_ WHEN 3 THEN l3_ ELSE l5_ END ELSE CASE mx WHEN 1 THEN h1_ WHEN 2 THEN h2_ WHEN 3 THEN h3_ ELSE h5_ END END BETWEEN z.low - 0.6 * a AND z.high + 0.6 * a) AS at_zone FROM ch)",
+        "ci AS (SELECT *, CASE WHEN nz > 0 AND direction <> 'neutral' THEN CASE WHEN at_zone THEN 2.0 ELSE 0.6 END END AS lc, CASE WHEN direction = 'bullish' THEN nx > close WHEN direction = 'bearish' THEN nx < close END AS ok, CASE WHEN need = 0 THEN 0.6 WHEN need = t THEN least(1.0, abs(mv) / 4) ELSE 0.1 END AS tc, greatest(0.0, least(1.0, sp / (1.2 * a))) AS sz, CASE WHEN rv IS NOT NULL THEN greatest(0.0, least(1.0, rv / 1.5)) END AS vv FROM cx)",
     ]
     last = "CASE WHEN direction = 'neutral' THEN 'n/a' WHEN nx IS NULL THEN 'pending' WHEN ok THEN 'confirmed' ELSE 'not_confirmed' END"
-    score = "100 * (3 * tc + sz + coalesce(vv, 0) + CASE WHEN ok THEN 2 ELSE 0 END) / (4 + CASE WHEN vv IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN ok IS NOT NULL THEN 2 ELSE 0 END)"
-    return {"cdl01_34_formations": f"WITH RECURSIVE {', '.join([*prep, *more])} SELECT symbol, i, pattern_id, candles, direction, kind, round(mv, 6) AS trend_scales, {last} AS confirmation, round({score}, 6) AS score FROM ci"}
+    score = "100 * (3 * tc + sz + coalesce(vv, 0) + CASE WHEN ok THEN 2 ELSE 0 END + coalesce(lc, 0)) / (4 + CASE WHEN lc IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN vv IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN ok IS NOT NULL THEN 2 ELSE 0 END)"
+    return {"lvl01_07_zones": f"WITH RECURSIVE {', '.join([LINES, *(x for x in ZIGZAG if x != HOURLY), *ZONES])} SELECT * REPLACE (round(low, 6) AS low, round(high, 6) AS high, round(mid, 6) AS mid) FROM zones", "cdl01_35_formations": f"WITH RECURSIVE {', '.join([*prep, *more])} SELECT symbol, i, pattern_id, candles, direction, kind, round(mv, 6) AS trend_scales, {last} AS confirmation, round({score}, 6) AS score FROM ci"}
 
 
 PIVOTS = [
@@ -287,40 +313,116 @@ CLOSE = "greatest(0.0, 1 - abs({0}) / ({1}))"
 CLIP = "greatest(0.0, least(1.0, {0}))"
 
 
+OPTIONAL = {"m": "0.0", "ma": "0", "vm": "0.0", "va": "0", "reach": "CAST(NULL AS DOUBLE)", "retarget": "false", "wait": "60", "need": "CAST(NULL AS DOUBLE)", "rule": "0", "pts": "CAST([] AS BIGINT[])", "stop": "CAST(NULL AS DOUBLE)", "pair": "CAST(NULL AS VARCHAR)", "unsure": "false"}
+
+
 def _life(candidates: str) -> list[str]:
-    """Stages of candidates cand(symbol, pattern_id, sgn, i1, ix, unsure, level, inval, target, parts, n)."""
+    """Stages of candidates cand(symbol, pattern_id, sgn, i1, ix, level, inval, target, parts, n, and some of OPTIONAL), thinned out in ``best``."""
+    empty = "SELECT " + ", ".join(f"{x} AS {name}" for name, x in OPTIONAL.items()) + " WHERE false"
+    filled = ", ".join(f"coalesce({name}, {x}) AS {name}" for name, x in OPTIONAL.items())
+    line, lost = "(level + m * (x.i - ma))", "(inval + vm * (x.i - va))"
     return [
-        f"cand AS ({candidates})",
-        "cl AS (SELECT c.*, x.last, x.close AS lc, x.a AS la, CASE WHEN ix + 62 <= x.last THEN ix + 62 END AS ex FROM cand c JOIN px x ON x.symbol = c.symbol AND x.i = x.last)",
-        "cj AS (SELECT c.*, min(x.i) FILTER (sgn * (inval - x.close) > 0.25 * x.a AND x.i <= ix + 62) AS inv, min(x.i) FILTER (sgn * (x.close - level) > 0.25 * x.a AND x.i <= ix + 62) AS brk FROM cl c LEFT JOIN px x ON x.symbol = c.symbol AND x.i > c.ix GROUP BY ALL)",
-        "ck AS (SELECT *, CASE WHEN inv <= coalesce(brk, 1e9) AND inv <= coalesce(ex, 1e9) THEN 'inv' WHEN ex < coalesce(brk, 1e9) THEN 'exp' WHEN brk IS NOT NULL THEN 'brk' ELSE 'open' END AS fate FROM cj)",
-        "cm AS (SELECT c.*, max(x.rv) FILTER (x.i = brk) AS rel, min(x.i) FILTER (x.i > brk AND CASE WHEN sgn > 0 THEN x.high >= target ELSE x.low <= target END) AS tgt, min(x.i) FILTER (x.i > brk AND x.i <= brk + 15 AND sgn * (level - x.close) > 0.25 * x.a) AS fail, "
-        "max(x.i) FILTER (x.i > brk AND CASE WHEN sgn > 0 THEN x.low - level ELSE level - x.high END <= 0.6 * x.a) AS ret FROM ck c LEFT JOIN px x ON x.symbol = c.symbol AND x.i > c.ix GROUP BY ALL)",
-        "cn AS (SELECT *, CASE fate WHEN 'inv' THEN 'invalidated' WHEN 'exp' THEN 'invalidated' WHEN 'brk' THEN CASE WHEN fail < coalesce(tgt, 1e9) THEN 'failed' WHEN tgt IS NULL AND last - ret <= 2 THEN 'retesting' ELSE 'confirmed' END ELSE CASE WHEN sgn * (level - lc) <= la THEN 'approaching_confirmation' ELSE 'forming' END END AS stage FROM cm)",
-        "co AS (SELECT *, CASE WHEN fate = 'brk' THEN brk END AS conf, stage IN ('confirmed', 'retesting') AND tgt IS NOT NULL AS hit, least(last, greatest(ix, CASE fate WHEN 'inv' THEN inv WHEN 'exp' THEN ex WHEN 'brk' THEN CASE WHEN stage = 'failed' THEN fail ELSE brk END ELSE ix END)) AS fin, CASE WHEN fate = 'brk' THEN CASE WHEN rel >= 1.5 THEN 1.0 WHEN rel IS NOT NULL THEN 0.3 END END AS vol, "
+        f"cand AS (SELECT * REPLACE ({filled}) FROM ({empty} UNION ALL BY NAME {candidates}))",
+        "cl AS (SELECT c.*, x.last, x.close AS lc, x.a AS la, row_number() OVER () AS id, CASE WHEN ix + wait + 2 <= x.last THEN ix + wait + 2 END AS ex FROM cand c JOIN px x ON x.symbol = c.symbol AND x.i = x.last)",
+        f"cj AS (SELECT c.*, min(x.i) FILTER (sgn * ({lost} - x.close) > 0.25 * x.a AND x.i <= ix + wait + 2) AS inv, min(x.i) FILTER (sgn * (x.close - {line}) > 0.25 * x.a AND x.i <= ix + wait + 2) AS brk, max(CASE WHEN sgn > 0 THEN x.high ELSE -x.low END) AS reached FROM cl c LEFT JOIN px x ON x.symbol = c.symbol AND x.i > c.ix GROUP BY ALL)",
+        "ck AS (SELECT *, level + m * (brk - ma) AS frozen, CASE WHEN inv <= coalesce(brk, 1e9) AND inv <= coalesce(ex, 1e9) THEN 'inv' WHEN ex < coalesce(brk, 1e9) THEN 'exp' WHEN brk IS NOT NULL THEN 'brk' ELSE 'open' END AS fate FROM cj)",
+        "cg AS (SELECT *, CASE WHEN retarget THEN frozen + sgn * reach ELSE target END AS goal FROM ck)",
+        "cm AS (SELECT c.*, max(x.rv) FILTER (x.i = brk) AS rel, min(x.i) FILTER (x.i > brk AND CASE WHEN sgn > 0 THEN x.high >= goal ELSE x.low <= goal END) AS tgt, min(x.i) FILTER (x.i > brk AND x.i <= brk + 15 AND sgn * (frozen - x.close) > 0.25 * x.a) AS fail, "
+        f"max(x.i) FILTER (x.i > brk AND CASE WHEN sgn > 0 THEN x.low - {line} ELSE {line} - x.high END <= 0.6 * x.a) AS ret FROM cg c LEFT JOIN px x ON x.symbol = c.symbol AND x.i > c.ix GROUP BY ALL)",
+        "cn AS (SELECT *, CASE fate WHEN 'inv' THEN 'invalidated' WHEN 'exp' THEN 'invalidated' WHEN 'brk' THEN CASE WHEN fail < coalesce(tgt, 1e9) THEN 'failed' WHEN tgt IS NULL AND last - ret <= 2 THEN 'retesting' ELSE 'confirmed' END ELSE CASE WHEN rule = 3 AND ix = last THEN 'forming' WHEN sgn * (level + m * (last - ma) - lc) <= la THEN 'approaching_confirmation' ELSE 'forming' END END AS stage FROM cm)",
+        "co AS (SELECT *, CASE WHEN fate = 'brk' THEN brk END AS conf, stage IN ('confirmed', 'retesting') AND tgt IS NOT NULL AS hit, least(last, greatest(ix, CASE fate WHEN 'inv' THEN inv WHEN 'exp' THEN ex WHEN 'brk' THEN CASE WHEN stage = 'failed' THEN fail ELSE brk END ELSE ix END)) AS fin, CASE WHEN fate = 'brk' THEN rel >= 1.5 END AS sure, "
         "CASE WHEN stage IN ('confirmed', 'retesting') THEN 1.0 WHEN stage = 'approaching_confirmation' THEN 0.6 WHEN stage = 'forming' THEN 0.4 ELSE 0.0 END AS bonus FROM cn)",
+        "cp AS (SELECT *, coalesce(conf, last) AS b, CASE WHEN sure THEN 1.0 WHEN NOT sure THEN 0.3 END AS vol, CASE WHEN rule = 2 THEN CASE WHEN coalesce(conf, ix + wait) - ix <= 3 THEN 1.0 ELSE 0.6 END END AS swift FROM co WHERE NOT (unsure AND conf IS NOT NULL) AND fin >= last - 250 AND NOT (rule = 2 AND conf IS NULL) AND NOT (rule = 1 AND conf IS NULL AND (stage = 'invalidated' OR coalesce(reached < sgn * need, true))))",
+        "cq AS (SELECT * FROM cp QUALIFY row_number() OVER (PARTITION BY symbol, pattern_id, coalesce(pair, CAST(id AS VARCHAR) || '#') ORDER BY conf NULLS LAST, stage = 'invalidated', sgn DESC) = 1)",
+        "rk AS (SELECT *, pair IS NULL OR conf IS NOT NULL AS told, round(100 * (parts + coalesce(vol, 0) + coalesce(swift, 0) + bonus) / (n + 1 + CASE WHEN vol IS NULL THEN 0 ELSE 1 END + CASE WHEN swift IS NULL THEN 0 ELSE 1 END), 1) AS quality FROM cq)",
+        *_best("rk"),
     ]
 
 
-def _patterns(ctes: list[str], candidates: str) -> str:
-    shown = "symbol, pattern_id, CASE WHEN sgn > 0 THEN 'bullish' ELSE 'bearish' END AS direction, stage, i1 AS start_idx, fin AS end_idx, conf AS confirmation_idx, hit AS target_reached, round(level, 6) AS level, round(inval, 6) AS inval, round(target, 6) AS target, round(100 * (parts + coalesce(vol, 0) + bonus) / (n + 1 + CASE WHEN vol IS NULL THEN 0 ELSE 1 END), 6) AS quality"
-    return f"WITH RECURSIVE {', '.join([*ctes, *_life(candidates)])} SELECT {shown} FROM co WHERE NOT (unsure AND conf IS NOT NULL) AND fin >= last - 250"
+def _best(source: str) -> list[str]:
+    """``best``: rows of ``source(symbol, pattern_id, quality, i1, ix, fin, pts)`` that no better row of their kind overlaps or shares two points with."""
+    return [
+        f"rl AS (SELECT *, row_number() OVER (PARTITION BY symbol, pattern_id ORDER BY quality DESC, fin DESC, i1, ix) AS place FROM {source})",
+        "nm AS (SELECT symbol, pattern_id, place, true AS stays, [struct_pack(s := CAST(i1 AS BIGINT), e := CAST(fin AS BIGINT), p := pts)] AS held FROM rl WHERE place = 1 UNION ALL "
+        "SELECT symbol, pattern_id, place, NOT clash, CASE WHEN clash THEN held ELSE list_append(held, struct_pack(s := CAST(i1 AS BIGINT), e := CAST(fin AS BIGINT), p := pts)) END FROM ("
+        "SELECT r.symbol, r.pattern_id, r.place, r.i1, r.fin, r.pts, n.held, len(list_filter(n.held, lambda y: (least(y.e, r.fin) - greatest(y.s, r.i1)) / CASE WHEN least(y.e - y.s, r.fin - r.i1) = 0 THEN 1.0 ELSE least(y.e - y.s, r.fin - r.i1) END > 0.6 OR len(list_intersect(y.p, r.pts)) >= 2)) > 0 AS clash "
+        "FROM nm n JOIN rl r ON r.symbol = n.symbol AND r.pattern_id = n.pattern_id AND r.place = n.place + 1))",
+        "best AS (SELECT rl.* FROM rl JOIN nm USING (symbol, pattern_id, place) WHERE stays)",
+    ]
+
+
+NOW = "coalesce(last - conf <= 40, false) OR (stage IN ('forming', 'approaching_confirmation', 'confirmed', 'retesting') AND fin >= last - 40) OR (stage IN ('failed', 'invalidated') AND fin >= last - 10)"
+
+
+def _patterns(ctes: list[str], candidates: str, category: str = "reversal") -> str:
+    shown = (
+        "symbol, pattern_id, CASE WHEN NOT told THEN 'neutral' WHEN sgn > 0 THEN 'bullish' ELSE 'bearish' END AS direction, stage, i1 AS start_idx, fin AS end_idx, conf AS confirmation_idx, hit AS target_reached, CASE WHEN told THEN round(level + m * (b - ma), 6) END AS level, "
+        f"CASE WHEN told THEN round(coalesce(stop, inval + vm * (b - va)), 6) END AS inval, CASE WHEN told THEN round(coalesce(level + m * (b - ma) + sgn * reach, target), 6) END AS target, quality, sure AS volume_confirmation, '{category}' AS category, {NOW} AS current"
+    )
+    return f"WITH RECURSIVE {', '.join([*ctes, *_life(candidates)])} SELECT {shown} FROM best"
 
 
 def patterns() -> dict[str, str]:
     clip, close = CLIP.format, CLOSE.format
     double = [*PIVOTS, "d AS (SELECT *, s * least(s * a, s * b) AS near, s * greatest(s * a, s * b) AS far FROM r3)", "dd AS (SELECT *, s * near - s * t AS depth, i3 - i1 AS gap, s * prior AS pr FROM d)"]
     parts = " + ".join([close("a - b", "sr"), clip("depth / (5 * sr)"), clip("pr / 6"), "CASE WHEN gap BETWEEN 15 AND 80 THEN 1.0 ELSE 0.6 END", "CASE WHEN v3 < v1 THEN 1.0 ELSE 0.5 END"])
-    doubles = f"SELECT symbol, CASE WHEN s > 0 THEN 'double_top' ELSE 'double_bottom' END AS pattern_id, -s AS sgn, i1, i3 AS ix, unsure, t AS level, far AS inval, t - (far - t) AS target, {parts} AS parts, 5 AS n FROM dd WHERE abs(a - b) <= sr AND depth >= 2.5 * sr AND depth >= 0.03 * abs(t) AND gap BETWEEN 8 AND 120 AND pr >= 1.5"
-    five = ("r5 AS (SELECT p.symbol, CASE WHEN p.kind = 'H' THEN 1.0 ELSE -1.0 END AS s, p.idx AS i1, z.idx AS i5, p.price AS x1, q.price AS t1, r.price AS x2, y.price AS t2, z.price AS x3, z.a AS sc, p.prior, z.provisional AS unsure "
+    doubles = f"SELECT symbol, CASE WHEN s > 0 THEN 'double_top' ELSE 'double_bottom' END AS pattern_id, -s AS sgn, i1, i3 AS ix, unsure, t AS level, far AS inval, t - (far - t) AS target, {parts} AS parts, 5 AS n, [i1, i2, i3] AS pts FROM dd WHERE abs(a - b) <= sr AND depth >= 2.5 * sr AND depth >= 0.008 * abs(t) AND gap BETWEEN 8 AND 120 AND pr >= 1.5"
+    five = ("r5 AS (SELECT p.symbol, CASE WHEN p.kind = 'H' THEN 1.0 ELSE -1.0 END AS s, p.idx AS i1, q.idx AS i2, r.idx AS i3, y.idx AS i4, z.idx AS i5, p.vn AS v1, z.vn AS v5, p.price AS x1, q.price AS t1, r.price AS x2, y.price AS t2, z.price AS x3, z.a AS sc, p.prior, z.provisional AS unsure "
             "FROM pv p JOIN pv q ON q.symbol = p.symbol AND q.k = p.k + 1 JOIN pv r ON r.symbol = p.symbol AND r.k = p.k + 2 JOIN pv y ON y.symbol = p.symbol AND y.k = p.k + 3 JOIN pv z ON z.symbol = p.symbol AND z.k = p.k + 4)")
     triple = [*PIVOTS, five, "t5 AS (SELECT *, s * least(s * t1, s * t2) AS neck, greatest(x1, x2, x3) - least(x1, x2, x3) AS spread, s * greatest(s * x1, s * x2, s * x3) AS far, i5 - i1 AS span, s * prior AS pr FROM r5)", "t6 AS (SELECT *, s * ((x1 + x2 + x3) / 3 - neck) AS depth FROM t5)"]
     parts3 = " + ".join([close("spread", "1.2 * sc"), clip("depth / (5 * sc)"), clip("pr / 6"), close("t1 - t2", "2 * sc")])
-    triples = f"SELECT symbol, CASE WHEN s > 0 THEN 'triple_top' ELSE 'triple_bottom' END AS pattern_id, -s AS sgn, i1, i5 AS ix, unsure, neck AS level, far AS inval, neck - (far - neck) AS target, {parts3} AS parts, 4 AS n FROM t6 WHERE spread <= 1.2 * sc AND depth >= 2.5 * sc AND depth >= 0.03 * abs(neck) AND span BETWEEN 16 AND 240 AND pr >= 1.5"
+    triples = f"SELECT symbol, CASE WHEN s > 0 THEN 'triple_top' ELSE 'triple_bottom' END AS pattern_id, -s AS sgn, i1, i5 AS ix, unsure, neck AS level, far AS inval, neck - (far - neck) AS target, {parts3} AS parts, 4 AS n, [i1, i2, i3, i4, i5] AS pts FROM t6 WHERE spread <= 1.2 * sc AND depth >= 2.5 * sc AND depth >= 0.008 * abs(neck) AND span BETWEEN 16 AND 240 AND pr >= 1.5"
     moves = [*PIVOTS, "m AS (SELECT *, abs(t - a) AS leg, abs(t - b) / nullif(abs(t - a), 0) AS back FROM r3)"]
     partsm = " + ".join([clip("leg / (10 * sq)"), clip("1 - abs(back - 0.5) / 0.25")])
-    measured = f"SELECT symbol, CASE WHEN s < 0 THEN 'measured_move_up' ELSE 'measured_move_down' END AS pattern_id, -s AS sgn, i1, i3 AS ix, unsure, t AS level, b AS inval, b + (t - a) AS target, {partsm} AS parts, 2 AS n FROM m WHERE leg >= 5 * sq AND leg >= 0.03 * a AND back BETWEEN 0.3 AND 0.7"
-    return {"cht02_doubles": _patterns(double, doubles), "cht03_triples": _patterns(triple, triples), "cht12_measured_moves": _patterns(moves, measured)}
+    measured = f"SELECT symbol, CASE WHEN s < 0 THEN 'measured_move_up' ELSE 'measured_move_down' END AS pattern_id, -s AS sgn, i1, i3 AS ix, unsure, t AS level, b AS inval, b + (t - a) AS target, {partsm} AS parts, 2 AS n, [i1, i2, i3] AS pts FROM m WHERE leg >= 5 * sq AND leg >= 0.008 * a AND back BETWEEN 0.3 AND 0.7"
+    return {"cht02_doubles": _patterns(double, doubles), "cht03_triples": _patterns(triple, triples), "cht12_measured_moves": _patterns(moves, measured, "continuation"), **_more_patterns(five)}
+
+
+
+
+
+def _chain(n: int, source: str = "pv") -> str:
+    """rN: runs of ``n`` swings of ``source`` as x1, i1 (price, bar) to xn, in, with the scale an, and what the first and last tell."""
+    names = "pqrstu"[:n]
+    columns = ", ".join(f"{t}.price AS x{k}, {t}.idx AS i{k}, {t}.a AS a{k}, {t}.vn AS v{k}" for k, t in enumerate(names, 1))
+    joins = " ".join(f"JOIN {source} {t} ON {t}.symbol = p.symbol AND {t}.k = p.k + {k}" for k, t in enumerate(names) if k)
+    return f"r{n}{source} AS (SELECT p.symbol, p.kind, p.prior, {names[-1]}.provisional AS unsure, {columns} FROM {source} p {joins})"
+
+
+def _more_patterns(five: str) -> dict[str, str]:
+    clip, close = CLIP.format, CLOSE.format
+    daily = [LINES, *(x for x in PIVOTS if x != HOURLY and not x.startswith("r3 AS"))]
+    sure = "pc AS (SELECT * FROM pv WHERE NOT provisional)"
+    fading = "CASE WHEN {1} < {0} THEN 1.0 ELSE 0.5 END".format
+
+    hs = [*daily, _chain(5), "h1 AS (SELECT *, CASE WHEN kind = 'H' THEN 1.0 ELSE -1.0 END AS s, (x4 - x2) / greatest(i4 - i2, 1) AS sl FROM r5pv)", "h2 AS (SELECT *, s * (x3 - (x2 + sl * (i3 - i2))) AS h, i3 - i1 AS d1, i5 - i3 AS d2, abs(sl * (i5 - i1)) AS drift, s * prior AS pr, least(s * (x3 - x1), s * (x3 - x5)) AS o FROM h1)"]
+    parts = " + ".join([close("x1 - x5", "0.5 * h"), close("1 - least(d1, d2) / greatest(d1, d2)", "1.0"), clip("o / (3 * a5)"), close("drift", "0.6 * h"), clip("pr / 6"), fading("v1", "v5")])
+    shoulders = f"""SELECT symbol, CASE WHEN s > 0 THEN 'head_and_shoulders' ELSE 'inverse_head_and_shoulders' END AS pattern_id, -s AS sgn, i1, i5 AS ix, unsure, x2 AS level, sl AS m, i2 AS ma, x3 AS inval, CAST(NULL AS DOUBLE) AS target, h AS reach, true AS retarget, x5 AS stop, {parts} AS parts, 6 AS n, [i1, i2, i3, i4, i5] AS pts FROM h2
+        WHERE o >= a5 AND h > 0 AND h >= 0.03 * abs(x2 + sl * (i3 - i2)) AND abs(x1 - x5) <= 0.5 * h AND s * (x5 - (x2 + sl * (i5 - i2))) > 0 AND s * (x1 - (x2 + sl * (i1 - i2))) > 0 AND d2 > 0 AND d1 / d2 BETWEEN 1 / 2.5 AND 2.5 AND drift <= 0.6 * h AND pr >= 1.5"""
+
+    dia = [*daily, sure, _chain(6, "pc"), "d1 AS (SELECT *, " + ", ".join(f"CASE WHEN kind = 'H' THEN {v}{2 * k + 1 + o} ELSE {v}{2 * k + 2 - o} END AS {n}{w}{k + 1}" for k in range(3) for v, w in (("x", ""), ("i", "i")) for n, o in (("h", 0), ("l", 1))) + " FROM r6pc)",
+           "d2 AS (SELECT *, h2 - l2 AS width, (h3 - h2) / greatest(hi3 - hi2, 1) AS mu, (l3 - l2) / greatest(li3 - li2, 1) AS ml, prior >= 0 AS top FROM d1)"]
+    partsd = " + ".join([clip("width / (10 * a6)"), clip("abs(prior) / 6"), clip("1 - least(1.0, abs((hi2 - hi1) - (hi3 - hi2)) / greatest(hi3 - hi1, 1))")])
+    diamond = f"""SELECT symbol, CASE WHEN top THEN 'diamond_top' ELSE 'diamond_bottom' END AS pattern_id, CASE WHEN top THEN -1.0 ELSE 1.0 END AS sgn, i1, i6 AS ix, CASE WHEN top THEN l2 ELSE h2 END AS level, CASE WHEN top THEN ml ELSE mu END AS m, CASE WHEN top THEN li2 ELSE hi2 END AS ma, CASE WHEN top THEN h2 ELSE l2 END AS inval, CASE WHEN top THEN mu ELSE ml END AS vm, CASE WHEN top THEN hi2 ELSE li2 END AS va,
+        CASE WHEN top THEN l2 + ml * (i6 - li2) - width ELSE h2 + mu * (i6 - hi2) + width END AS target, width AS reach, {partsd} AS parts, 3 AS n, [i1, i2, i3, i4, i5, i6] AS pts FROM d2
+        WHERE h2 > h1 AND h2 > h3 AND l2 < l1 AND l2 < l3 AND width >= 4 * a6 AND width >= 0.03 * h2 AND least(h2 - h3, l3 - l2) >= 0.5 * a6"""
+
+    vs = [*daily, _chain(2), "v1 AS (SELECT *, CASE WHEN kind = 'H' THEN 1.0 ELSE -1.0 END AS s, abs(x1 - x2) AS dr, i2 - i1 AS nb FROM r2pv)"]
+    partsv = " + ".join([clip("dr / nb / (1.5 * a2)"), clip("dr / (12 * a2)")])
+    reversal = f"SELECT symbol, CASE WHEN s > 0 THEN 'v_bottom' ELSE 'inverted_v_top' END AS pattern_id, s AS sgn, i1, i2 AS ix, x2 + 0.618 * (x1 - x2) AS level, x2 AS inval, x1 AS target, greatest(3, CAST(floor(1.5 * nb) AS BIGINT)) AS wait, x2 + 0.382 * (x1 - x2) AS need, 1 AS rule, {partsv} AS parts, 2 AS n, [i1, i2] AS pts FROM v1 WHERE nb BETWEEN 2 AND 20 AND dr >= 6 * a2 AND dr / nb >= 0.5 * a2 AND dr >= 0.03 * x1"
+
+    tr = [*daily, "tw AS (SELECT *, max(high) OVER pa AS top, min(low) OVER pa AS bottom, lag(close) OVER o AS earlier, max(high) OVER ah AS peak, min(low) OVER ah AS trough FROM px WINDOW o AS (PARTITION BY symbol ORDER BY i), pa AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING), ah AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING))",
+          "tx AS (SELECT t.symbol, 'bull_trap' AS pattern_id, -1.0 AS sgn, t.i, top AS level, peak AS inval, bottom AS target, (SELECT min(y.i) FROM px y WHERE y.symbol = t.symbol AND y.i BETWEEN t.i AND t.i + 5 AND y.high = t.peak) AS pk FROM tw t WHERE t.i >= 40 AND t.i >= last - 120 AND close > top + 0.25 * a AND NOT earlier > top + 0.25 * a UNION ALL "
+          "SELECT t.symbol, 'bear_trap', 1.0, t.i, bottom, trough, top, (SELECT min(y.i) FROM px y WHERE y.symbol = t.symbol AND y.i BETWEEN t.i AND t.i + 5 AND y.low = t.trough) FROM tw t WHERE t.i >= 40 AND t.i >= last - 120 AND close < bottom - 0.25 * a AND NOT earlier < bottom - 0.25 * a)"]
+    trap = "SELECT symbol, pattern_id, sgn, i - 40 AS i1, i AS ix, level, inval, target, 5 AS wait, 2 AS rule, 1.0 AS parts, 1 AS n, [i, pk] AS pts FROM tx"
+
+    cw = w(120)
+    co = [*daily, f"b0 AS (SELECT *, {mean('close', 20)} AS mid, {full('stddev_pop(close) OVER ' + w(20), 'close', 20)} AS sd FROM px)", "b1 AS (SELECT *, 4 * sd / nullif(mid, 0) AS bw FROM b0)", f"b2 AS (SELECT *, count(bw) OVER {cw} >= 60 AND bw <= quantile_cont(bw, 0.15) OVER {cw} AS sq, CASE WHEN count(bw) OVER {cw} >= 60 THEN quantile_cont(bw, 0.5) OVER {cw} END AS usual FROM b1)",
+          f"b3 AS (SELECT *, i - row_number() OVER ({PER}) AS run FROM b2 WHERE sq AND last + 1 >= 80)", "b4 AS (SELECT symbol, run, min(i) AS f, max(i) AS e, max(high) AS top, min(low) AS bottom, avg(bw) AS aw, arg_min(usual, i) AS usual, arg_max(a, i) AS a FROM b3 GROUP BY ALL HAVING count(*) >= 6)",
+          "b5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY e DESC) AS place FROM b4) WHERE place <= 3 AND usual > 0 AND aw / usual <= 0.55)"]
+    partsc = " + ".join([clip("(e - f + 1) / 15"), clip("1 - least(1.0, (top - bottom) / (6 * a))")])
+    squeeze = f"SELECT symbol, 'compression_breakout' AS pattern_id, s AS sgn, f AS i1, e AS ix, CASE WHEN s > 0 THEN top ELSE bottom END AS level, CAST(NULL AS DOUBLE) AS inval, CASE WHEN s > 0 THEN top ELSE bottom END + s * (top - bottom) AS target, CASE WHEN s > 0 THEN bottom ELSE top END AS stop, 3 AS rule, f || '-' || e AS pair, {partsc} AS parts, 2 AS n, [f, e] AS pts FROM b5, (VALUES (1.0), (-1.0)) AS t(s)"
+    return {"cht01_head_and_shoulders": _patterns(hs, shoulders), "cht09_diamonds": _patterns(dia, diamond), "cht10_v_reversals": _patterns(vs, reversal), "cht11_traps": _patterns(tr, trap), "cht13_compressions": _patterns(co, squeeze, "bilateral")}
 
 
 def structure() -> dict[str, str]:
@@ -466,12 +568,12 @@ def levels() -> dict[str, str]:
             "lc AS (SELECT symbol, lo, (hi - lo) / 30 AS wd, least(floor((t - lo) / ((hi - lo) / 30)), 29) AS bin, volume FROM lb WHERE hi > lo)",
             "ls AS (SELECT symbol, bin, sum(volume) AS volume, any_value(lo) + (bin + 0.5) * any_value(wd) AS price FROM lc GROUP BY symbol, bin HAVING sum(volume) > 0)",
             "lr AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY volume DESC, bin) AS place FROM ls)"]
-    last = [HOURLY, stage("la", "bars", s50=mean("close", 50), s100=mean("close", 100), s200=mean("close", 200), n="count(*) OVER (PARTITION BY symbol)"), "lz AS (SELECT *, pow(10, floor(log10(close / 40))) AS pw FROM la WHERE i = n - 1 AND close > 0)",
-            "lq AS (SELECT *, CASE WHEN close / pw < 40 THEN pw WHEN close / (pw * 2) < 40 THEN pw * 2 WHEN close / (pw * 5) < 40 THEN pw * 5 WHEN close / (pw * 10) < 40 THEN pw * 10 ELSE pw * 20 END AS step FROM lz)",
+    last = [HOURLY, stage("la", "bars", s50=mean("close", 50), s100=mean("close", 100), s200=mean("close", 200), n="count(*) OVER (PARTITION BY symbol)"), "lz AS (SELECT * FROM la WHERE i = n - 1 AND close > 0)",
+            "lq AS (SELECT *, coalesce((SELECT min(x) FROM (VALUES (0.5), (1), (5), (10), (50), (100), (500), (1000), (5000)) t(x) WHERE close / x < 40), 10000) AS step FROM lz)",
             "lv2 AS (SELECT symbol, 'sma_50' AS kind, s50 AS price FROM lq UNION ALL SELECT symbol, 'sma_100', s100 FROM lq UNION ALL SELECT symbol, 'sma_200', s200 FROM lq UNION ALL SELECT symbol, 'round', (floor(close / step) + k) * step FROM lq, (VALUES (-1), (0), (1), (2)) v(k))"]
     return {
         "lvl09_volume_at_price": f"WITH {', '.join(bins)} SELECT symbol, round(price, 6) AS price, round(volume, 6) AS volume FROM lr WHERE place <= 2",
-        "lvl08_auxiliary": f"WITH {', '.join(last)} SELECT symbol, kind, round(price, 6) AS price FROM lv2 WHERE price IS NOT NULL",
+        "lvl08_auxiliary": f"WITH {', '.join(last)} SELECT symbol, kind, round(price, 6) AS price FROM lv2 WHERE price IS NOT NULL AND (kind <> 'round' OR price > 0)",
         "src_streamed_bars": f"WITH {HOURLY} SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M') AS at, round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close, round(volume, 8) AS volume FROM bars WHERE ts + INTERVAL '70 minutes' <= (SELECT max(ts) FROM events WHERE value IS NOT NULL)",
     }
 

@@ -5,23 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.operators import candles, harmonics, patterns, swings
+from tapeworks.operators import candles, harmonics, levels, patterns, swings
 from tapeworks.operators.recursive import recursive, zigzag
 from tapeworks.plans.indicators import Query, shown
-from tapeworks.sources.bars import daily_trades, hourly_events
+from tapeworks.sources.bars import line_trades, daily_trades, hourly_events
 
-PATTERN = ("pattern_id", "direction", "stage", "start_idx", "end_idx", "confirmation_idx", "target_reached", "level", "inval", "target", "quality")
+PATTERN = ("pattern_id", "direction", "stage", "start_idx", "end_idx", "confirmation_idx", "target_reached", "level", "inval", "target", "quality", "volume_confirmation", "category", "current")
 
 
-def of_pattern(detector: str) -> Query:
+def of_pattern(*detectors: str, daily: bool = False) -> Query:
     def run(spark, sf_dir) -> DataFrame:
-        bars = patterns.context(recursive(hourly_events(spark, sf_dir), "scale"))
-        found = patterns.DETECTORS[detector](patterns.pivots(zigzag(bars), bars))
-        return shown(patterns.lifecycle(found, bars), *PATTERN, keys=("symbol",))
+        bars = patterns.context(recursive((line_trades if daily else hourly_events)(spark, sf_dir), "scale"))
+        found = patterns.detect(bars, zigzag(bars), tuple(i for d in detectors for i in patterns.IDS[d]))
+        return shown(patterns.current(found), *PATTERN, keys=("symbol",))
 
     return run
 
 
+def formations(spark, sf_dir) -> DataFrame:
+    bars = recursive(hourly_events(spark, sf_dir), "scale")
+    return shown(candles.detect(bars, levels.zones(bars, zigzag(bars))), "i", "pattern_id", "candles", "direction", "kind", "trend_scales", "confirmation", "score", keys=("symbol",))
+
+
+def zones(spark, sf_dir) -> DataFrame:
+    bars = recursive(line_trades(spark, sf_dir), "scale")
+    found = levels.zones(bars, zigzag(bars)).withColumn("sources", F.array_join("sources", ","))
+    return shown(found, "place", "low", "high", "mid", "kind", "touches", "first_idx", "last_idx", "strength", "role_reversals", "crossings", "sources", "distance", "immediate", "major", keys=("symbol",))
+
+
 def harmonic(spark, sf_dir) -> DataFrame:
     """All of a series' history, and ratios that may be a quarter off: trades of random prices hold no closer ones.
 
@@ -46,10 +57,17 @@ QUERIES: dict[str, Query] = {
     "swg02_fractals": lambda spark, d: shown(swings.fractals(hourly_events(spark, d)), "idx", "price", "kind", "confirmed_idx", keys=("symbol",)),
     "swg07_labels": lambda spark, d: swings.labelled(swings.fractals(hourly_events(spark, d))).select("symbol", "idx", "kind", "label"),
     "swg08_trend": lambda spark, d: swings.trend(swings.fractals(hourly_events(spark, d))).select("symbol", "trend"),
-    "cdl01_34_formations": lambda spark, d: shown(candles.detect(recursive(hourly_events(spark, d), "scale")), "i", "pattern_id", "candles", "direction", "kind", "trend_scales", "confirmation", "score", keys=("symbol",)),
+    "cdl01_35_formations": formations,
+    "lvl01_07_zones": zones,
     "cht02_doubles": of_pattern("double"),
     "cht03_triples": of_pattern("triple"),
     "cht12_measured_moves": of_pattern("measured_move"),
+    "cht01_head_and_shoulders": of_pattern("head_and_shoulders", daily=True),
+    "cht09_diamonds": of_pattern("diamond", daily=True),
+    "cht10_v_reversals": of_pattern("v_reversal", daily=True),
+    "cht11_traps": of_pattern("trap", daily=True),
+    "cht13_compressions": of_pattern("compression", daily=True),
+    "cht14_contractions": of_pattern("vcp", daily=True),
     "cht15_17_harmonics": harmonic,
     "cht18_impulses": impulse,
 }

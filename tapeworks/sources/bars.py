@@ -39,6 +39,14 @@ def daily_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_ticks(trades, "1d", F.col("l_returnflag"), F.date_trunc("day", F.col("l_shipdate").cast("timestamp_ntz")), price, F.col("l_quantity"), order)
 
 
+def line_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily candles of the unit prices in lineitem, one series for each return flag and line number."""
+    trades = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    return from_ticks(trades, "1d", F.concat_ws(" ", "l_returnflag", "l_linenumber"), F.date_trunc("day", F.col("l_shipdate").cast("timestamp_ntz")), price, F.col("l_quantity"), order)
+
+
 def five_minute_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-minute candles of the events' values."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
