@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.operators import alerts, backtest, divergence, indicators, trends, validation
+from tapeworks.operators import alerts, analysis, backtest, divergence, indicators, trends, validation
 from tapeworks.operators.recursive import recursive, zigzag
 from tapeworks.operators.resample import resample
 from tapeworks.plans.indicators import Query, shown
-from tapeworks.sources.bars import daily_trades, hourly_events
+from tapeworks.sources.bars import daily_trades, hourly_events, line_trades
 
 STRATEGIES = [{"kind": "sma_cross", "allow_short": True}, {"kind": "rsi_recovery", "allow_short": True}, {"kind": "macd_cross", "allow_short": True, "trend_filter": True}]
 
@@ -82,7 +82,50 @@ def timeframes(spark, sf_dir) -> DataFrame:
     return days.unionByName(resample(days, "1d", "1w")).unionByName(resample(days, "1d", "1M"))
 
 
+def _parts(spark, sf_dir) -> dict[str, DataFrame]:
+    days = line_trades(spark, sf_dir)
+    return analysis.parts_of(days, days.unionByName(resample(days, "1d", "1w")).unionByName(resample(days, "1d", "1M")))
+
+
+def ind37(spark, sf_dir) -> DataFrame:
+    frame = analysis.indicator_frame(hourly_events(spark, sf_dir))
+    names = [c for c in frame.columns if c not in ("symbol", "timeframe", "ts", "i", "open", "high", "low", "close", "volume", "scale", "has_volume")]
+    return frame.groupBy("symbol").agg(*(F.count(c).alias(c) for c in names))
+
+
+def ind38(spark, sf_dir) -> DataFrame:
+    now = analysis.snapshot(analysis.indicator_frame(line_trades(spark, sf_dir)))
+    return shown(now, *(c for c in now.columns if c not in ("symbol", "timeframe", "scale")), keys=("symbol",))
+
+
+def set03(spark, sf_dir) -> DataFrame:
+    made = _parts(spark, sf_dir)["setups"].withColumns({"targets": F.array_join(F.transform("targets", lambda t: F.concat_ws(":", F.format_string("%.4f", t["price"]), t["ratio"], t["source"])), ","), "risks": F.array_join("risks", ",")})
+    return shown(made, *(c for c in made.columns if c not in ("symbol", "timeframe")), keys=("symbol",))
+
+
+def sco07(spark, sf_dir) -> DataFrame:
+    found = _parts(spark, sf_dir)["score"]
+    return shown(found, *(c for c in found.columns if c not in ("symbol", "timeframe")), keys=("symbol",))
+
+
+def scn05(spark, sf_dir) -> DataFrame:
+    rows, _ = analysis.scan(_parts(spark, sf_dir))
+    rows = rows.withColumn("flags", F.array_join("flags", ","))
+    return shown(rows, *(c for c in rows.columns if c not in ("symbol", "timeframe")), keys=("symbol",))
+
+
+def rpt01(spark, sf_dir) -> DataFrame:
+    rows = analysis.reports(_parts(spark, sf_dir))
+    return analysis.checked(rows.withColumn("text", F.concat_ws(" ", "summary", "conclusion", F.array_join("changes", " ")))).select("symbol", "summary", "conclusion", "stay_neutral", "passed")
+
+
 QUERIES: dict[str, Query] = {
+    "ind37_frame": ind37,
+    "ind38_snapshot": ind38,
+    "rpt01_reports": rpt01,
+    "scn05_scan": scn05,
+    "sco07_scores": sco07,
+    "set03_setups": set03,
     "div01_divergences": div01,
     "fib01_levels": fib01,
     "val07_clean_bars": val07,

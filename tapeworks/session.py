@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -17,3 +19,20 @@ def prepare(spark: SparkSession) -> SparkSession:
     if ROOT not in path.split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [path, ROOT]))
     return spark
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written below ``spark.checkpoint.dir`` and read again: computed once, with no lineage or plan behind it.
+
+    Where that is unset a local session takes a temporary folder; elsewhere it must be set, as executors share it.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
