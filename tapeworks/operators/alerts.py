@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.rolling import before, mean, over
+from tapeworks.operators import levels
+from tapeworks.operators.recursive import recursive, zigzag
 from tapeworks.sources.bars import SERIES
 
 #: A rule: its condition, the level or factor it needs, and the averages that it compares.
 RULE = "rule_id long, symbol string, condition string, level double, factor double, fast int, slow int"
+#: Conditions that ``signals`` answers.
+BY_ANALYSIS = ("break_resistance", "break_support", "pattern_confirmed", "pattern_invalidated", "bullish_rsi_divergence", "bearish_macd_divergence", "breakout_retest", "bullish_reversal", "bearish_reversal")
 
 
 def newest(bars: DataFrame, averages: tuple[int, ...] = (50, 200)) -> DataFrame:
@@ -22,14 +26,67 @@ def newest(bars: DataFrame, averages: tuple[int, ...] = (50, 200)) -> DataFrame:
     return b.withColumn("n", F.count("*").over(Window.partitionBy(*SERIES))).where("i = n - 1")
 
 
-def evaluate(bars: DataFrame, rules: DataFrame, least_bars: int = 30) -> DataFrame:
+def signals(bars: DataFrame, found: DataFrame, diverged: DataFrame) -> DataFrame:
+    """(symbol, timeframe, condition, pattern_id, price) of what the newest bar of each series triggers among BY_ANALYSIS.
+
+    ``found`` are patterns with ``current``. A break needs the last two closes on both sides of the nearest zone of the
+    bars before the last.
+    """
+    c = F.col
+    past = bars.withColumn("n", F.count("*").over(Window.partitionBy(*SERIES))).where("i < n - 1").select(*SERIES, "i", "open", "high", "low", "close", "volume")
+    past = recursive(past, "scale")
+    zones = levels.zones(past, zigzag(past)).where("immediate").groupBy(*SERIES).agg(F.max(F.when(c("kind") == "resistance", c("high"))).alias("top"), F.max(F.when(c("kind") == "support", c("low"))).alias("bottom"))
+    w = Window.partitionBy(*SERIES)
+    now = bars.withColumns({"n": F.count("*").over(w), "prev": before(c("close"))}).where("i = n - 1").join(zones, SERIES, "left")
+    broken = {"break_resistance": (c("close") > c("top")) & (c("prev") <= c("top")), "break_support": (c("close") < c("bottom")) & (c("prev") >= c("bottom"))}
+    entry = lambda name, price: F.struct(F.lit(name).alias("condition"), price.alias("price"))
+    fired = now.select(*SERIES, F.explode(F.array_compact(F.array(*(F.when(x, entry(name, c("close"))) for name, x in broken.items())))).alias("x")).select(*SERIES, "x.condition", F.lit(None).cast("string").alias("pattern_id"), "x.price")
+    fresh, turned = c("confirmation_idx") == c("last"), c("category") == "reversal"
+    of_pattern = {
+        "pattern_confirmed": (fresh, c("level")), "bullish_reversal": (fresh & turned & (c("direction") == "bullish"), c("level")), "bearish_reversal": (fresh & turned & (c("direction") == "bearish"), c("level")),
+        "pattern_invalidated": (c("current") & c("stage").isin("failed", "invalidated") & (c("end_idx") == c("last")), c("inval")), "breakout_retest": (c("current") & (c("stage") == "retesting"), c("level")),
+    }
+    shaped = found.select(*SERIES, "pattern_id", F.explode(F.array_compact(F.array(*(F.when(x, entry(name, price)) for name, (x, price) in of_pattern.items())))).alias("x")).select(*SERIES, "x.condition", "pattern_id", "x.price")
+    apart = F.when((c("indicator") == "rsi") & (c("type") == "regular_bullish"), "bullish_rsi_divergence").when((c("indicator") == "macd") & (c("type") == "regular_bearish"), "bearish_macd_divergence")
+    newest_i = now.select(*SERIES, "n", "close")
+    late = diverged.join(newest_i, SERIES).where(c("signal_i") == c("n") - 1).select(*SERIES, apart.alias("condition"), F.lit(None).cast("string").alias("pattern_id"), c("close").alias("price")).where("condition is not null")
+    return fired.unionByName(shaped).unionByName(late)
+
+
+def evaluate_signals(bars: DataFrame, rules: DataFrame, fired: DataFrame, state: DataFrame | None = None, least_bars: int = 30) -> DataFrame:
+    """``evaluate`` for rules of BY_ANALYSIS, which may name a ``pattern_id``: (rule_id, symbol, timeframe, i, condition, status, price).
+
+    ``state(symbol, timeframe, stale, synthetic)``, if given, makes series stale that are old and not synthetic.
+    """
+    c = F.col
+    now = bars.groupBy(*SERIES).agg(F.max("i").alias("i"))
+    rows = rules.where(c("condition").isin(*BY_ANALYSIS)).join(now, "symbol", "left")
+    ours = fired.select(*SERIES, "condition", c("pattern_id").alias("_pattern"), "price")
+    met = rows.join(ours, [*SERIES, "condition"]).where(c("pattern_id").isNull() | (c("condition") != "pattern_confirmed") | (c("pattern_id") == c("_pattern")))
+    hits = met.groupBy("rule_id", *SERIES).agg(F.min("price").alias("price"), F.lit(True).alias("hit"))
+    rows = rows.join(hits, ["rule_id", *SERIES], "left")
+    stale = F.lit(False)
+    if state is not None:
+        rows = rows.join(state.select(*SERIES, "stale", "synthetic"), SERIES, "left")
+        stale = F.coalesce(c("stale") & ~F.coalesce("synthetic", F.lit(False)), F.lit(False))
+    status = F.when(c("i").isNull(), "no_data").when(stale, "stale").when(c("i") + 1 < least_bars, "short_history").when(c("hit"), "hit").otherwise("no_hit")
+    return rows.select("rule_id", "symbol", "timeframe", "i", "condition", status.alias("status"), "price")
+
+
+def completed(bars: DataFrame) -> DataFrame:
+    """``bars`` without a last one that is not ``complete``."""
+    return bars.where(F.coalesce("complete", F.lit(True))) if "complete" in bars.columns else bars
+
+
+def evaluate(bars: DataFrame, rules: DataFrame, least_bars: int = 30, state: DataFrame | None = None) -> DataFrame:
     """(rule_id, symbol, timeframe, i, condition, status, price): a row for each rule and series of its symbol.
 
-    ``status``: ``no_data``, ``short_history`` (fewer than ``least_bars``), ``hit`` or ``no_hit``. A price has to cross
-    its level between the last two closes; an average is crossed if the difference changes its sign.
+    ``status``: ``no_data``, ``stale`` (by ``state``, see ``evaluate_signals``), ``short_history`` (fewer than
+    ``least_bars``), ``hit`` or ``no_hit``. A last bar that is not ``complete``, if there is such a column, is left out. A
+    price has to cross its level between the last two closes; an average is crossed if the difference changes its sign.
     """
     c = F.col
-    now = newest(bars)
+    now = newest(completed(bars))
     rows = rules.join(now, "symbol", "left")
     value = lambda which, form: reduce(lambda rest, p: F.when(c(which) == p, c(form.format(p))).otherwise(rest), (50, 200), F.lit(None))
     crossed = lambda f, s, pf, ps: F.coalesce((f - s) * (pf - ps) < 0, F.lit(False))
@@ -41,7 +98,11 @@ def evaluate(bars: DataFrame, rules: DataFrame, least_bars: int = 30) -> DataFra
         .when(c("condition") == "ma_crossover", crossed(value("fast", "sma_{}"), value("slow", "sma_{}"), value("fast", "prev_sma_{}"), value("slow", "prev_sma_{}")))
         .when(c("condition") == "unusual_volume", c("rel_volume") >= F.coalesce("factor", F.lit(2.0)))
     )
-    status = F.when(c("n").isNull(), "no_data").when(c("n") < least_bars, "short_history").when(hit, "hit").otherwise("no_hit")
+    stale = F.lit(False)
+    if state is not None:
+        rows = rows.join(state.select(*SERIES, "stale", "synthetic"), SERIES, "left")
+        stale = F.coalesce(c("stale") & ~F.coalesce("synthetic", F.lit(False)), F.lit(False))
+    status = F.when(c("n").isNull(), "no_data").when(stale, "stale").when(c("n") < least_bars, "short_history").when(hit, "hit").otherwise("no_hit")
     return rows.select("rule_id", "symbol", "timeframe", "i", "condition", status.alias("status"), c("close").alias("price"))
 
 

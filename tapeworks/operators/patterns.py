@@ -29,10 +29,12 @@ ACTIVE = ("forming", "approaching_confirmation", "confirmed", "retesting")
 #: ``inval``. ``reach`` is a distance from the level at the break to the target shown, which is also the one awaited if
 #: ``retarget``. ``need`` is a price that an unconfirmed one must have come to. ``rule``: 1 drops those that are
 #: invalidated without a break or miss ``need``, 2 all without a break, 3 keeps those that end at the last bar forming.
+#: 4 is for pairs of lines. ``shown_inval`` is shown for ``inval``, along ``stop_slope`` from bar 0. Past ``apex`` an unbroken one is invalidated.
 #: Candidates with one ``pair`` are one pattern whose direction the break decides.
 OPTIONS = {
     "slope": (0.0, "double"), "at": (0, "int"), "inval_slope": (0.0, "double"), "inval_at": (0, "int"), "reach": (None, "double"), "retarget": (False, "boolean"), "wait": (WAIT_BARS, "int"),
     "need": (None, "double"), "rule": (0, "int"), "points": (None, "array<int>"), "shown_inval": (None, "double"), "pair": (None, "bigint"), "unsure": (False, "boolean"),
+    "stop_slope": (0.0, "double"), "apex": (None, "double"),
 }
 CANDIDATE = [*SERIES, "pattern_id", "sgn", "start_idx", "last_idx", "level", "inval", "target", "parts", "n_parts", *OPTIONS]
 
@@ -288,6 +290,67 @@ def contractions(swings: DataFrame, bars: DataFrame) -> DataFrame:
     )
 
 
+def two_lines(swings: DataFrame, bars: DataFrame, anchors: int = 10) -> DataFrame:
+    """Triangles, wedges, channels, rectangles and broadening shapes: lines fitted to the highs and lows of 5 to 9 confirmed swings.
+
+    For each of the last ``anchors`` swings the longest run that ends there and fits: points within 0.9 scales (the median
+    of its bars) of their line, at most 8 % of the closes beyond a line by 0.35, 12 to 220 bars, lines that don't cross.
+    Shapes whose direction is open are pairs of candidates.
+    """
+    c, w = F.col, Window.partitionBy(*SERIES)
+    sure = swings.where("not provisional").withColumn("back", F.row_number().over(w.orderBy(F.desc("k"))) - 1)
+    runs_ = sure.where(c("back") < anchors).select(*SERIES, c("k").alias("anchor"), F.explode(F.sequence(F.lit(5), F.lit(9))).alias("count"))
+    key = [*SERIES, "anchor", "count"]
+    points = runs_.withColumn("k", F.explode(F.sequence(c("anchor") - c("count") + 1, c("anchor")))).join(sure.select(*SERIES, "k", "idx", "price", "kind"), [*SERIES, "k"])
+    of = lambda kind, x: F.when(c("kind") == kind, x)
+    x = c("idx").cast("double")
+    fits = points.groupBy(*key).agg(
+        F.count("*").alias("n"), F.min("idx").alias("first"), F.max("idx").alias("end"), F.sort_array(F.collect_list(F.struct("idx", "price", "kind"))).alias("seg"), F.count_if(c("kind") == "H").alias("nh"), F.count_if(c("kind") == "L").alias("nl"),
+        *(f(of(kind, c("price")), of(kind, x)).alias(f"{name}{side}") for kind, side in (("H", "u"), ("L", "l")) for f, name in ((F.regr_slope, "m"), (F.regr_intercept, "b"))),
+    ).where((c("n") == c("count")) & (c("nh") >= 2) & (c("nl") >= 2) & (c("end") - c("first")).between(12, 220))
+    gap = F.array_max(F.transform("seg", lambda p: F.abs(p["price"] - F.when(p["kind"] == "H", c("mu") * p["idx"] + c("bu")).otherwise(c("ml") * p["idx"] + c("bl")))))
+    upper, lower = (lambda j: c("mu") * j + c("bu")), (lambda j: c("ml") * j + c("bl"))
+    fits = fits.withColumns({"gap": gap, "w0": upper(c("first")) - lower(c("first")), "w1": upper(c("end")) - lower(c("end"))}).where((c("w0") > 0) & (c("w1") > 0))
+    near = bars.select(*SERIES, "i", "close", "scale", "volume", "prior", "last")
+    met = fits.withColumn("i", F.explode(F.sequence("first", "end"))).join(near, [*SERIES, "i"])
+    met = met.withColumn("a", F.percentile("scale", 0.5).over(Window.partitionBy(*key)))
+    half = c("first") + F.floor((c("end") - c("first") + 1) / 2)
+    columns = ["n", "first", "end", "gap", "w0", "w1", "mu", "bu", "ml", "bl"]
+    fits = met.groupBy(*key, *columns).agg(
+        F.first("seg").alias("seg"), F.max("a").alias("a"), F.avg(((c("close") > upper(c("i")) + 0.35 * c("a")) | (c("close") < lower(c("i")) - 0.35 * c("a"))).cast("double")).alias("outside"), F.max(F.when(c("i") == c("first"), c("prior"))).alias("prior"), F.max("last").alias("last"),
+        F.avg(F.when(c("i") < half, c("volume"))).alias("v0"), F.avg(F.when(c("i") >= half, c("volume"))).alias("v1"),
+    ).where((c("gap") <= 0.9 * c("a")) & (c("outside") <= 0.08))
+    n = c("end") - c("first")
+    tilt = lambda m: F.when(F.abs(m * n / c("a")) <= 1.2, "flat").when(m > 0, "up").otherwise("down")
+    fits = fits.withColumns({"su": tilt(c("mu")), "sl": tilt(c("ml")), "du": F.abs(c("mu") * n / c("a")), "dl": F.abs(c("ml") * n / c("a")), "ratio": c("w1") / c("w0")})
+    both = lambda a, b: (c("su") == a) & (c("sl") == b)
+    shape = (
+        F.when(c("ratio") < 0.72, F.when(both("flat", "up"), "ascending_triangle").when(both("down", "flat"), "descending_triangle").when(both("down", "up"), "symmetrical_triangle").when(both("up", "up"), "rising_wedge").when(both("down", "down"), "falling_wedge"))
+        .when(c("ratio") <= 1.4, F.when(both("up", "up"), "ascending_channel").when(both("down", "down"), "descending_channel").when(both("flat", "flat"), F.when(F.abs("prior") >= TREND, "rectangle").otherwise("horizontal_channel")))
+        .when(both("up", "down"), F.when(c("prior") >= TREND, "broadening_top").when(c("prior") <= -TREND, "broadening_bottom").when(F.abs(c("du") - c("dl")) <= 0.5 * F.greatest("du", "dl"), "expanding_triangle").otherwise("broadening_formation"))
+        .when(both("up", "flat") | both("flat", "down"), "broadening_formation")
+    )
+    triangle = c("pattern").isin("ascending_triangle", "descending_triangle", "symmetrical_triangle")
+    fits = fits.withColumn("pattern", shape).where("pattern is not null")
+    fits = fits.withColumn("apex", F.when(triangle & (c("mu") != c("ml")), (c("bl") - c("bu")) / (c("mu") - c("ml")))).where(c("apex").isNull() | (c("apex") > c("end")))
+    fits = fits.withColumn("place", F.row_number().over(Window.partitionBy(*SERIES, "anchor").orderBy(F.desc("count")))).where("place = 1")
+    fixed = F.when(c("pattern").isin("ascending_triangle", "falling_wedge"), 1.0).when(c("pattern").isin("descending_triangle", "rising_wedge"), -1.0)
+    rows = fits.withColumns({"fixed": fixed, "wedge": c("pattern").isin("rising_wedge", "falling_wedge"), "measure": F.when(triangle, c("w0")).otherwise(c("w1"))})
+    rows = rows.withColumn("sgn", F.explode(F.when(c("fixed").isNotNull(), F.array("fixed")).otherwise(F.array(F.lit(1.0), F.lit(-1.0)))))
+    s = c("sgn")
+    side = lambda a, b: F.when(s > 0, a).otherwise(b)
+    target = F.when(c("wedge"), side(upper(c("first")), lower(c("first")))).otherwise(side(upper(c("last")) + c("measure"), lower(c("last")) - c("measure")))
+    parts = [
+        0.4 + 0.15 * (c("count") - 4), 1 - c("gap") / (0.9 * c("a")), 1 - c("outside") / 0.08, F.when(n.between(20, 150), 1.0).otherwise(0.6), F.when(c("fixed").isNotNull(), F.when(c("fixed") * c("prior") > 0, 1.0).otherwise(0.5)),
+        F.when((F.floor((n + 1) / 2) > 2) & (c("v0").isNotNull() | c("v1").isNotNull()), F.when(c("v1") < c("v0"), 1.0).otherwise(0.5)),
+    ]
+    held = c("fixed").isNotNull()
+    return _candidate(
+        rows, c("pattern"), s, side(c("bu"), c("bl")), F.when(held, side(c("bl"), c("bu"))), target, parts, start_idx=c("first"), last_idx=c("end"), slope=side(c("mu"), c("ml")), inval_slope=F.when(held, side(c("ml"), c("mu"))).otherwise(0.0), reach=F.when(~c("wedge"), c("measure")),
+        shown_inval=side(c("bl"), c("bu")), stop_slope=side(c("ml"), c("mu")), apex=c("apex"), rule=F.when(held, 0).otherwise(4), pair=F.when(~held, F.xxhash64("anchor", "count")), points=F.transform("seg", lambda p: p["idx"].cast("int")),
+    )
+
+
 def lifecycle(candidates: DataFrame, bars: DataFrame) -> DataFrame:
     """The stage of each candidate of ``bars``, which have ``context``.
 
@@ -301,7 +364,7 @@ def lifecycle(candidates: DataFrame, bars: DataFrame) -> DataFrame:
     ends = bars.where("i = last").select(*SERIES, "last", c("close").alias("last_close"), c("scale").alias("last_scale"))
     key = [*SERIES, "cand"]
     found = _filled(candidates).join(ends, SERIES).where(c("last_idx") >= c("last") - AGE_BARS - c("wait") - FAIL_BARS - 2)
-    found = found.withColumn("cand", F.xxhash64("pattern_id", "start_idx", "last_idx", "level", "slope", "sgn", "target"))
+    found = found.withColumn("cand", F.xxhash64("pattern_id", "start_idx", "last_idx", "level", "slope", "sgn", "target", "pair"))
     line = lambda j, of="": c("inval" if of else "level") + c(f"{of}slope") * (j - c(f"{of}at"))
     blocks = F.sequence(((c("last_idx") + 1) / BUCKET).cast("int"), (F.greatest(c("last"), c("last_idx") + 1) / BUCKET).cast("int"))
     reach = found.select(*key, "sgn", "level", "slope", "at", "inval", "inval_slope", "inval_at", "target", "reach", "retarget", "wait", "last_idx", "last", F.explode(blocks).alias("bucket"))
@@ -343,22 +406,25 @@ def lifecycle(candidates: DataFrame, bars: DataFrame) -> DataFrame:
     })
     rows = rows.withColumn("end_idx", F.least(F.greatest(c("last_idx"), c("_end")), c("last")))
     open_ = c("confirmation_idx").isNull()
+    rows = rows.withColumn("stage", F.when(open_ & (c("last") > c("apex")), "invalidated").otherwise(c("stage")))
     lapsed = (c("rule") == 1) & open_ & ((c("stage") == "invalidated") | F.coalesce(c("best") < s * c("need"), F.lit(True))) | (c("rule") == 2) & open_ & ~c("provisional")
     rows = rows.where(~(c("unsure") & ~open_) & ~lapsed & (c("end_idx") >= c("last") - AGE_BARS))
-    # of a pair the earlier break counts, of equal ones that upwards; without one the side that is not invalidated
-    first = F.row_number().over(Window.partitionBy(*SERIES, "pattern_id", "pair", F.when(c("pair").isNull(), c("cand"))).orderBy(F.asc_nulls_last("confirmation_idx"), c("stage") == "invalidated", F.desc("sgn")))
+    # of a pair the earlier break counts, of equal ones that upwards; without one the side that is not invalidated, of lines that in approach
+    first = F.row_number().over(Window.partitionBy(*SERIES, "pattern_id", "pair", F.when(c("pair").isNull(), c("cand"))).orderBy(F.asc_nulls_last("confirmation_idx"), (c("rule") == 4) & ~c("provisional"), c("stage") == "invalidated", (c("rule") == 4) & (c("stage") != "approaching_confirmation"), F.desc("sgn")))
     rows = rows.withColumn("side", first).where("side = 1")
-    told = c("pair").isNull() | ~open_
+    told = c("pair").isNull() | ~open_ | ((c("rule") == 4) & c("provisional"))
     at = F.coalesce("confirmation_idx", "last")
     confirms = F.when(c("rel_volume").isNotNull(), c("rel_volume") >= 1.5)
     volume = F.when(confirms, 1.0).when(confirms.isNotNull(), 0.3)
     bonus = F.when(c("stage").isin("confirmed", "retesting"), 1.0).when(c("stage") == "approaching_confirmation", 0.6).when(c("stage") == "forming", 0.4).otherwise(0.0)
     swift = F.when(c("rule") == 2, F.when(F.coalesce(c("confirmation_idx"), c("last_idx") + c("wait")) - c("last_idx") <= 3, 1.0).otherwise(0.6))
+    along = (c("confirmation_idx") - c("start_idx")) / (c("apex") - c("start_idx"))
+    timing = F.when(along.isNotNull(), F.when(along.between(0.5, 0.85), 1.0).otherwise(0.6))
     extra = lambda x: F.when(x.isNotNull(), 1).otherwise(0)
-    quality = 100 * (c("parts") + F.coalesce(volume, F.lit(0.0)) + F.coalesce(swift, F.lit(0.0)) + bonus) / (c("n_parts") + 1 + extra(volume) + extra(swift))
+    quality = 100 * (c("parts") + F.coalesce(volume, F.lit(0.0)) + F.coalesce(swift, F.lit(0.0)) + F.coalesce(timing, F.lit(0.0)) + bonus) / (c("n_parts") + 1 + extra(volume) + extra(swift) + extra(timing))
     return rows.select(
         *SERIES, "pattern_id", F.when(~told, "neutral").when(c("sgn") > 0, "bullish").otherwise("bearish").alias("direction"), "stage", "start_idx", "end_idx", "confirmation_idx", "target_reached",
-        F.when(told, line(at)).alias("level"), F.when(told, F.coalesce(c("shown_inval"), line(at, "inval_"))).alias("inval"), F.when(told, F.coalesce(line(at) + c("sgn") * c("reach"), c("target"))).alias("target"),
+        F.when(told, line(at)).alias("level"), F.when(told, F.coalesce(c("shown_inval") + c("stop_slope") * at, line(at, "inval_"))).alias("inval"), F.when(told, F.coalesce(line(at) + c("sgn") * c("reach"), c("target"))).alias("target"),
         F.round(quality, 1).alias("quality"), confirms.alias("volume_confirmation"), "rel_volume", "provisional", "points", "last_idx", "last",
     )
 
@@ -385,15 +451,19 @@ def distinct(found: DataFrame) -> DataFrame:
 IDS = {
     "double": ("double_top", "double_bottom"), "triple": ("triple_top", "triple_bottom"), "measured_move": ("measured_move_up", "measured_move_down"),
     "head_and_shoulders": ("head_and_shoulders", "inverse_head_and_shoulders"), "diamond": ("diamond_top", "diamond_bottom"), "v_reversal": ("v_bottom", "inverted_v_top"),
+    "two_line": (
+        "ascending_triangle", "descending_triangle", "symmetrical_triangle", "rising_wedge", "falling_wedge", "ascending_channel", "descending_channel", "rectangle", "horizontal_channel", "broadening_top", "broadening_bottom", "expanding_triangle", "broadening_formation",
+    ),
     "trap": ("bull_trap", "bear_trap"), "compression": ("compression_breakout",), "vcp": ("vcp",),
 }
 DETECTORS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
     "double": lambda z, bars: doubles(pivots(z, bars)), "triple": lambda z, bars: triples(pivots(z, bars)), "measured_move": lambda z, bars: measured_moves(pivots(z, bars)),
     "head_and_shoulders": lambda z, bars: head_and_shoulders(pivots(z, bars)), "diamond": lambda z, bars: diamonds(pivots(z, bars)), "v_reversal": lambda z, bars: v_reversals(pivots(z, bars)),
-    "trap": lambda z, bars: traps(bars), "compression": lambda z, bars: compressions(bars), "vcp": contractions,
+    "two_line": two_lines, "trap": lambda z, bars: traps(bars), "compression": lambda z, bars: compressions(bars), "vcp": contractions,
 }
 EXPERIMENTAL = frozenset({"vcp"})
-CONTINUATION, BILATERAL = frozenset({"measured_move_up", "measured_move_down", "vcp"}), frozenset({"compression_breakout"})
+CONTINUATION = frozenset({"measured_move_up", "measured_move_down", "vcp", "ascending_triangle", "descending_triangle", "ascending_channel", "descending_channel", "rectangle"})
+BILATERAL = frozenset({"compression_breakout", "symmetrical_triangle", "expanding_triangle", "broadening_formation", "horizontal_channel"})
 
 
 def category(pattern: Column) -> Column:

@@ -40,7 +40,8 @@ def checked(raw: DataFrame, order: str = "position") -> DataFrame:
     numbers = {c: F.expr(f"try_cast({c} AS DOUBLE)") for c in ("open", "high", "low", "close", "volume")}
     ts = F.expr("try_cast(timestamp AS TIMESTAMP_NTZ)")
     b = raw.withColumns({**numbers, "ts": F.when(F.col("timeframe").isin("1d", "1w", "1M"), F.date_trunc("day", ts)).otherwise(ts)})
-    twin = F.row_number().over(Window.partitionBy(*SERIES, "ts").orderBy(F.desc(order)))
+    # rows without a time are dealt by their place, so that a broken file is not one task's
+    twin = F.row_number().over(Window.partitionBy(*SERIES, "ts", F.when(F.col("ts").isNull(), F.col(order))).orderBy(F.desc(order)))
     o, h, l, c = (F.col(x) for x in ("open", "high", "low", "close"))  # noqa: E741
     sound = (h >= l) & (h >= F.greatest(o, c) - 1e-9) & (l <= F.least(o, c) + 1e-9) & (o > 0) & (h > 0) & (l > 0) & (c > 0) & F.coalesce(F.col("volume") >= 0, F.lit(True))
     sound = sound & o.isNotNull() & h.isNotNull() & l.isNotNull() & c.isNotNull()
@@ -79,3 +80,27 @@ def report(raw: DataFrame, order: str = "position", holidays: DataFrame | None =
     r = r.withColumn("raw", F.when(F.col("rows_out") > 0, score).otherwise(0.0))
     rating = F.when(F.col("rows_out") == 0, "insufficient").when(F.col("raw") >= 80, "high").when(F.col("raw") >= 60, "medium").when(F.col("raw") >= 30, "low").otherwise("insufficient")
     return r.select(*SERIES, "rows_in", "bad_timestamps", "duplicates", "invalid_rows", "rows_out", "zero_volume_bars", (F.coalesce("flat_share", F.lit(0.0)) > 0.05).alias("illiquid"), "jumps", "missing_candles", F.greatest(F.lit(0.0), F.col("raw")).alias("score"), rating.alias("rating"))
+
+
+def freshness(bars: DataFrame, as_of: str, most_days: float | None = None, closes: str = "15:30", friday_closes: str = "16:30") -> DataFrame:
+    """(symbol, timeframe, last_ts, last_complete, staleness_days, stale) of each series of ``bars``, seen at the local time ``as_of``.
+
+    An intraday bar is complete when its interval has passed; one of a day at the close of its session, of a week at the
+    close of its Friday, of a month after its last day. A series is stale if its last bar is over ``most_days`` old.
+    """
+    c, now = F.col, F.to_timestamp_ntz(F.lit(as_of))
+    last = bars.groupBy(*SERIES).agg(F.max("ts").alias("last_ts"))
+    minutes = F.create_map(*(F.lit(x) for pair in MINUTES.items() for x in pair))
+    day = F.when(c("timeframe") == "1w", F.date_add(F.to_date("last_ts"), (F.lit(11) - F.weekday("last_ts")) % 7)).otherwise(F.to_date("last_ts"))
+    session = F.to_timestamp_ntz(F.concat_ws(" ", day.cast("string"), F.when(F.weekday(day) == 4, friday_closes).otherwise(closes)))
+    until = (c("last_ts") + F.make_dt_interval(mins=F.try_element_at(minutes, "timeframe"))).cast("timestamp_ntz")
+    complete = F.when(c("timeframe").isin("1d", "1w"), now >= session).when(c("timeframe") == "1M", F.to_date(now) > F.last_day("last_ts")).otherwise(now >= until)
+    seconds = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(c("last_ts").cast("timestamp"))
+    days = seconds / 86400
+    return last.select(*SERIES, "last_ts", complete.alias("last_complete"), F.round(days, 2).alias("staleness_days"), (days > most_days if most_days is not None else F.lit(False)).alias("stale"))
+
+
+def with_completeness(bars: DataFrame, fresh: DataFrame) -> DataFrame:
+    """``bars`` with ``complete``: false only for a series' last bar that ``freshness`` finds open."""
+    open_ = fresh.where("not last_complete").select(*SERIES, F.col("last_ts").alias("ts"), F.lit(False).alias("complete"))
+    return bars.join(open_, [*SERIES, "ts"], "left").withColumn("complete", F.coalesce("complete", F.lit(True)))

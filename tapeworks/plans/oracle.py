@@ -313,7 +313,7 @@ CLOSE = "greatest(0.0, 1 - abs({0}) / ({1}))"
 CLIP = "greatest(0.0, least(1.0, {0}))"
 
 
-OPTIONAL = {"m": "0.0", "ma": "0", "vm": "0.0", "va": "0", "reach": "CAST(NULL AS DOUBLE)", "retarget": "false", "wait": "60", "need": "CAST(NULL AS DOUBLE)", "rule": "0", "pts": "CAST([] AS BIGINT[])", "stop": "CAST(NULL AS DOUBLE)", "pair": "CAST(NULL AS VARCHAR)", "unsure": "false"}
+OPTIONAL = {"m": "0.0", "ma": "0", "vm": "0.0", "va": "0", "reach": "CAST(NULL AS DOUBLE)", "retarget": "false", "wait": "60", "need": "CAST(NULL AS DOUBLE)", "rule": "0", "pts": "CAST([] AS BIGINT[])", "stop": "CAST(NULL AS DOUBLE)", "pair": "CAST(NULL AS VARCHAR)", "unsure": "false", "stopm": "0.0", "apex": "CAST(NULL AS DOUBLE)"}
 
 
 def _life(candidates: str) -> list[str]:
@@ -330,11 +330,12 @@ def _life(candidates: str) -> list[str]:
         "cm AS (SELECT c.*, max(x.rv) FILTER (x.i = brk) AS rel, min(x.i) FILTER (x.i > brk AND CASE WHEN sgn > 0 THEN x.high >= goal ELSE x.low <= goal END) AS tgt, min(x.i) FILTER (x.i > brk AND x.i <= brk + 15 AND sgn * (frozen - x.close) > 0.25 * x.a) AS fail, "
         f"max(x.i) FILTER (x.i > brk AND CASE WHEN sgn > 0 THEN x.low - {line} ELSE {line} - x.high END <= 0.6 * x.a) AS ret FROM cg c LEFT JOIN px x ON x.symbol = c.symbol AND x.i > c.ix GROUP BY ALL)",
         "cn AS (SELECT *, CASE fate WHEN 'inv' THEN 'invalidated' WHEN 'exp' THEN 'invalidated' WHEN 'brk' THEN CASE WHEN fail < coalesce(tgt, 1e9) THEN 'failed' WHEN tgt IS NULL AND last - ret <= 2 THEN 'retesting' ELSE 'confirmed' END ELSE CASE WHEN rule = 3 AND ix = last THEN 'forming' WHEN sgn * (level + m * (last - ma) - lc) <= la THEN 'approaching_confirmation' ELSE 'forming' END END AS stage FROM cm)",
+        "cn2 AS (SELECT * REPLACE (CASE WHEN fate <> 'brk' AND last > apex THEN 'invalidated' ELSE stage END AS stage) FROM cn)",
         "co AS (SELECT *, CASE WHEN fate = 'brk' THEN brk END AS conf, stage IN ('confirmed', 'retesting') AND tgt IS NOT NULL AS hit, least(last, greatest(ix, CASE fate WHEN 'inv' THEN inv WHEN 'exp' THEN ex WHEN 'brk' THEN CASE WHEN stage = 'failed' THEN fail ELSE brk END ELSE ix END)) AS fin, CASE WHEN fate = 'brk' THEN rel >= 1.5 END AS sure, "
-        "CASE WHEN stage IN ('confirmed', 'retesting') THEN 1.0 WHEN stage = 'approaching_confirmation' THEN 0.6 WHEN stage = 'forming' THEN 0.4 ELSE 0.0 END AS bonus FROM cn)",
-        "cp AS (SELECT *, coalesce(conf, last) AS b, CASE WHEN sure THEN 1.0 WHEN NOT sure THEN 0.3 END AS vol, CASE WHEN rule = 2 THEN CASE WHEN coalesce(conf, ix + wait) - ix <= 3 THEN 1.0 ELSE 0.6 END END AS swift FROM co WHERE NOT (unsure AND conf IS NOT NULL) AND fin >= last - 250 AND NOT (rule = 2 AND conf IS NULL) AND NOT (rule = 1 AND conf IS NULL AND (stage = 'invalidated' OR coalesce(reached < sgn * need, true))))",
-        "cq AS (SELECT * FROM cp QUALIFY row_number() OVER (PARTITION BY symbol, pattern_id, coalesce(pair, CAST(id AS VARCHAR) || '#') ORDER BY conf NULLS LAST, stage = 'invalidated', sgn DESC) = 1)",
-        "rk AS (SELECT *, pair IS NULL OR conf IS NOT NULL AS told, round(100 * (parts + coalesce(vol, 0) + coalesce(swift, 0) + bonus) / (n + 1 + CASE WHEN vol IS NULL THEN 0 ELSE 1 END + CASE WHEN swift IS NULL THEN 0 ELSE 1 END), 1) AS quality FROM cq)",
+        "CASE WHEN stage IN ('confirmed', 'retesting') THEN 1.0 WHEN stage = 'approaching_confirmation' THEN 0.6 WHEN stage = 'forming' THEN 0.4 ELSE 0.0 END AS bonus FROM cn2)",
+        "cp AS (SELECT *, coalesce(conf, last) AS b, CASE WHEN sure THEN 1.0 WHEN NOT sure THEN 0.3 END AS vol, CASE WHEN rule = 2 THEN CASE WHEN coalesce(conf, ix + wait) - ix <= 3 THEN 1.0 ELSE 0.6 END END AS swift, CASE WHEN conf IS NOT NULL AND apex IS NOT NULL THEN CASE WHEN (conf - i1) / (apex - i1) BETWEEN 0.5 AND 0.85 THEN 1.0 ELSE 0.6 END END AS timing FROM co WHERE NOT (unsure AND conf IS NOT NULL) AND fin >= last - 250 AND NOT (rule = 2 AND conf IS NULL) AND NOT (rule = 1 AND conf IS NULL AND (stage = 'invalidated' OR coalesce(reached < sgn * need, true))))",
+        "cq AS (SELECT * FROM cp QUALIFY row_number() OVER (PARTITION BY symbol, pattern_id, coalesce(pair, CAST(id AS VARCHAR) || '#') ORDER BY conf NULLS LAST, stage = 'invalidated', rule = 4 AND stage <> 'approaching_confirmation', sgn DESC) = 1)",
+        "rk AS (SELECT *, pair IS NULL OR conf IS NOT NULL AS told, round(100 * (parts + coalesce(vol, 0) + coalesce(swift, 0) + coalesce(timing, 0) + bonus) / (n + 1 + CASE WHEN timing IS NULL THEN 0 ELSE 1 END + CASE WHEN vol IS NULL THEN 0 ELSE 1 END + CASE WHEN swift IS NULL THEN 0 ELSE 1 END), 1) AS quality FROM cq)",
         *_best("rk"),
     ]
 
@@ -354,10 +355,10 @@ def _best(source: str) -> list[str]:
 NOW = "coalesce(last - conf <= 40, false) OR (stage IN ('forming', 'approaching_confirmation', 'confirmed', 'retesting') AND fin >= last - 40) OR (stage IN ('failed', 'invalidated') AND fin >= last - 10)"
 
 
-def _patterns(ctes: list[str], candidates: str, category: str = "reversal") -> str:
+def _patterns(ctes: list[str], candidates: str, category: str = "'reversal'") -> str:
     shown = (
         "symbol, pattern_id, CASE WHEN NOT told THEN 'neutral' WHEN sgn > 0 THEN 'bullish' ELSE 'bearish' END AS direction, stage, i1 AS start_idx, fin AS end_idx, conf AS confirmation_idx, hit AS target_reached, CASE WHEN told THEN round(level + m * (b - ma), 6) END AS level, "
-        f"CASE WHEN told THEN round(coalesce(stop, inval + vm * (b - va)), 6) END AS inval, CASE WHEN told THEN round(coalesce(level + m * (b - ma) + sgn * reach, target), 6) END AS target, quality, sure AS volume_confirmation, '{category}' AS category, {NOW} AS current"
+        f"CASE WHEN told THEN round(coalesce(stop + stopm * b, inval + vm * (b - va)), 6) END AS inval, CASE WHEN told THEN round(coalesce(level + m * (b - ma) + sgn * reach, target), 6) END AS target, quality, sure AS volume_confirmation, {category} AS category, {NOW} AS current"
     )
     return f"WITH RECURSIVE {', '.join([*ctes, *_life(candidates)])} SELECT {shown} FROM best"
 
@@ -375,7 +376,7 @@ def patterns() -> dict[str, str]:
     moves = [*PIVOTS, "m AS (SELECT *, abs(t - a) AS leg, abs(t - b) / nullif(abs(t - a), 0) AS back FROM r3)"]
     partsm = " + ".join([clip("leg / (10 * sq)"), clip("1 - abs(back - 0.5) / 0.25")])
     measured = f"SELECT symbol, CASE WHEN s < 0 THEN 'measured_move_up' ELSE 'measured_move_down' END AS pattern_id, -s AS sgn, i1, i3 AS ix, unsure, t AS level, b AS inval, b + (t - a) AS target, {partsm} AS parts, 2 AS n, [i1, i2, i3] AS pts FROM m WHERE leg >= 5 * sq AND leg >= 0.008 * a AND back BETWEEN 0.3 AND 0.7"
-    return {"cht02_doubles": _patterns(double, doubles), "cht03_triples": _patterns(triple, triples), "cht12_measured_moves": _patterns(moves, measured, "continuation"), **_more_patterns(five)}
+    return {"cht02_doubles": _patterns(double, doubles), "cht03_triples": _patterns(triple, triples), "cht12_measured_moves": _patterns(moves, measured, "'continuation'"), **_more_patterns(five)}
 
 
 
@@ -422,7 +423,24 @@ def _more_patterns(five: str) -> dict[str, str]:
           "b5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY e DESC) AS place FROM b4) WHERE place <= 3 AND usual > 0 AND aw / usual <= 0.55)"]
     partsc = " + ".join([clip("(e - f + 1) / 15"), clip("1 - least(1.0, (top - bottom) / (6 * a))")])
     squeeze = f"SELECT symbol, 'compression_breakout' AS pattern_id, s AS sgn, f AS i1, e AS ix, CASE WHEN s > 0 THEN top ELSE bottom END AS level, CAST(NULL AS DOUBLE) AS inval, CASE WHEN s > 0 THEN top ELSE bottom END + s * (top - bottom) AS target, CASE WHEN s > 0 THEN bottom ELSE top END AS stop, 3 AS rule, f || '-' || e AS pair, {partsc} AS parts, 2 AS n, [f, e] AS pts FROM b5, (VALUES (1.0), (-1.0)) AS t(s)"
-    return {"cht01_head_and_shoulders": _patterns(hs, shoulders), "cht09_diamonds": _patterns(dia, diamond), "cht10_v_reversals": _patterns(vs, reversal), "cht11_traps": _patterns(tr, trap), "cht13_compressions": _patterns(co, squeeze, "bilateral")}
+    upper, lower, tilt = "(mu * {0} + bu)".format, "(ml * {0} + bl)".format, "CASE WHEN abs({0} * (e - f) / md) <= 1.2 THEN 'flat' WHEN {0} > 0 THEN 'up' ELSE 'down' END".format
+    tl = [*daily, "t0 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY k DESC) - 1 AS back FROM pv WHERE NOT provisional)", "t1 AS (SELECT x.symbol, x.k AS anchor, c AS cnt, y.idx, y.price, y.kind FROM t0 x, (VALUES (5), (6), (7), (8), (9)) v(c) JOIN t0 y ON y.symbol = x.symbol AND y.k BETWEEN x.k - c + 1 AND x.k WHERE x.back < 10)",
+          "t2 AS (SELECT symbol, anchor, cnt, min(idx) AS f, max(idx) AS e, list(idx ORDER BY idx) AS pts, " + ", ".join(f"regr_{fn}(price, idx) FILTER (kind = '{kind}') AS {n}{side}" for kind, side in (("H", "u"), ("L", "l")) for fn, n in (("slope", "m"), ("intercept", "b"))) + " FROM t1 GROUP BY ALL HAVING count(*) = cnt AND count(*) FILTER (kind = 'H') >= 2 AND count(*) FILTER (kind = 'L') >= 2 AND max(idx) - min(idx) BETWEEN 12 AND 220)",
+          f"t3 AS (SELECT t2.*, max(abs(price - CASE kind WHEN 'H' THEN {upper('idx')} ELSE {lower('idx')} END)) AS gap FROM t2 JOIN t1 USING (symbol, anchor, cnt) GROUP BY ALL)",
+          f"t4 AS (SELECT *, {upper('f')} - {lower('f')} AS w0, {upper('e')} - {lower('e')} AS w1 FROM t3 WHERE {upper('f')} - {lower('f')} > 0 AND {upper('e')} - {lower('e')} > 0)",
+          "t5 AS (SELECT t4.symbol, anchor, cnt, quantile_cont(x.a, 0.5) AS md FROM t4 JOIN px x ON x.symbol = t4.symbol AND x.i BETWEEN f AND e GROUP BY ALL)",
+          f"t6 AS (SELECT t4.*, md, avg(CASE WHEN x.close > {upper('x.i')} + 0.35 * md OR x.close < {lower('x.i')} - 0.35 * md THEN 1.0 ELSE 0.0 END) AS outside, max(x.prior) FILTER (x.i = f) AS pr, max(x.last) AS fin_i, avg(x.volume) FILTER (x.i < f + (e - f + 1) // 2) AS v0, avg(x.volume) FILTER (x.i >= f + (e - f + 1) // 2) AS v1 FROM t4 JOIN t5 USING (symbol, anchor, cnt) JOIN px x ON x.symbol = t4.symbol AND x.i BETWEEN f AND e GROUP BY ALL)",
+          f"t7 AS (SELECT *, {tilt('mu')} AS su, {tilt('ml')} AS sl, w1 / w0 AS ratio, abs(mu * (e - f) / md) AS du, abs(ml * (e - f) / md) AS dl FROM t6 WHERE gap <= 0.9 * md AND outside <= 0.08)",
+          "t8 AS (SELECT *, CASE WHEN ratio < 0.72 THEN CASE su || ' ' || sl WHEN 'flat up' THEN 'ascending_triangle' WHEN 'down flat' THEN 'descending_triangle' WHEN 'down up' THEN 'symmetrical_triangle' WHEN 'up up' THEN 'rising_wedge' WHEN 'down down' THEN 'falling_wedge' END WHEN ratio <= 1.4 THEN CASE su || ' ' || sl WHEN 'up up' THEN 'ascending_channel' WHEN 'down down' THEN 'descending_channel' WHEN 'flat flat' THEN CASE WHEN abs(pr) >= 3 THEN 'rectangle' ELSE 'horizontal_channel' END END "
+          "ELSE CASE su || ' ' || sl WHEN 'up down' THEN CASE WHEN pr >= 3 THEN 'broadening_top' WHEN pr <= -3 THEN 'broadening_bottom' WHEN abs(du - dl) <= 0.5 * greatest(du, dl) THEN 'expanding_triangle' ELSE 'broadening_formation' END WHEN 'up flat' THEN 'broadening_formation' WHEN 'flat down' THEN 'broadening_formation' END END AS pattern FROM t7)",
+          "t9 AS (SELECT *, CASE WHEN pattern IN ('ascending_triangle', 'descending_triangle', 'symmetrical_triangle') AND mu <> ml THEN (bl - bu) / (mu - ml) END AS apex FROM t8 WHERE pattern IS NOT NULL)",
+          "ta AS (SELECT *, CASE WHEN pattern IN ('ascending_triangle', 'falling_wedge') THEN 1.0 WHEN pattern IN ('descending_triangle', 'rising_wedge') THEN -1.0 END AS fixed, pattern IN ('rising_wedge', 'falling_wedge') AS wedge, CASE WHEN pattern IN ('ascending_triangle', 'descending_triangle', 'symmetrical_triangle') THEN w0 ELSE w1 END AS measure FROM t9 WHERE apex IS NULL OR apex > e QUALIFY row_number() OVER (PARTITION BY symbol, anchor ORDER BY cnt DESC) = 1)",
+          "tb AS (SELECT * FROM ta JOIN (VALUES (1.0), (-1.0)) v(s) ON fixed IS NULL OR fixed = s)"]
+    partst = " + ".join([clip("0.4 + 0.15 * (cnt - 4)"), clip("1 - gap / (0.9 * md)"), clip("1 - outside / 0.08"), "CASE WHEN e - f BETWEEN 20 AND 150 THEN 1.0 ELSE 0.6 END", "CASE WHEN fixed IS NULL THEN 0.0 WHEN fixed * pr > 0 THEN 1.0 ELSE 0.5 END", "CASE WHEN v1 < v0 THEN 1.0 ELSE 0.5 END"])
+    lines = (f"SELECT symbol, pattern AS pattern_id, s AS sgn, f AS i1, e AS ix, CASE WHEN s > 0 THEN bu ELSE bl END AS level, CASE WHEN s > 0 THEN mu ELSE ml END AS m, CASE WHEN fixed IS NOT NULL THEN CASE WHEN s > 0 THEN bl ELSE bu END END AS inval, CASE WHEN fixed IS NOT NULL THEN CASE WHEN s > 0 THEN ml ELSE mu END ELSE 0.0 END AS vm, "
+             f"CASE WHEN wedge THEN CASE WHEN s > 0 THEN {upper('f')} ELSE {lower('f')} END WHEN s > 0 THEN {upper('fin_i')} + measure ELSE {lower('fin_i')} - measure END AS target, CASE WHEN NOT wedge THEN measure END AS reach, CASE WHEN s > 0 THEN bl ELSE bu END AS stop, CASE WHEN s > 0 THEN ml ELSE mu END AS stopm, apex, CASE WHEN fixed IS NULL THEN 4 ELSE 0 END AS rule, CASE WHEN fixed IS NULL THEN anchor || '-' || cnt END AS pair, {partst} AS parts, CASE WHEN fixed IS NULL THEN 5 ELSE 6 END AS n, pts FROM tb")
+    kind = "CASE WHEN pattern_id IN ('symmetrical_triangle', 'expanding_triangle', 'broadening_formation', 'horizontal_channel') THEN 'bilateral' WHEN pattern_id IN ('broadening_top', 'broadening_bottom', 'rising_wedge', 'falling_wedge') THEN 'reversal' ELSE 'continuation' END"
+    return {"cht05_two_lines": _patterns(tl, lines, kind), "cht01_head_and_shoulders": _patterns(hs, shoulders), "cht09_diamonds": _patterns(dia, diamond), "cht10_v_reversals": _patterns(vs, reversal), "cht11_traps": _patterns(tr, trap), "cht13_compressions": _patterns(co, squeeze, "'bilateral'")}
 
 
 def structure() -> dict[str, str]:
