@@ -26,31 +26,40 @@ def newest(bars: DataFrame, averages: tuple[int, ...] = (50, 200)) -> DataFrame:
     return b.withColumn("n", F.count("*").over(Window.partitionBy(*SERIES))).where("i = n - 1")
 
 
-def signals(bars: DataFrame, found: DataFrame, diverged: DataFrame) -> DataFrame:
-    """(symbol, timeframe, condition, pattern_id, price) of what the newest bar of each series triggers among BY_ANALYSIS.
-
-    ``found`` are patterns with ``current``. A break needs the last two closes on both sides of the nearest zone of the
-    bars before the last.
-    """
+def broken_zones(bars: DataFrame) -> DataFrame:
+    """(symbol, timeframe, condition, pattern_id, price) where the last two closes are on both sides of the nearest zone of the bars before the last."""
     c = F.col
     past = bars.withColumn("n", F.count("*").over(Window.partitionBy(*SERIES))).where("i < n - 1").select(*SERIES, "i", "open", "high", "low", "close", "volume")
     past = recursive(past, "scale")
     zones = levels.zones(past, zigzag(past)).where("immediate").groupBy(*SERIES).agg(F.max(F.when(c("kind") == "resistance", c("high"))).alias("top"), F.max(F.when(c("kind") == "support", c("low"))).alias("bottom"))
-    w = Window.partitionBy(*SERIES)
-    now = bars.withColumns({"n": F.count("*").over(w), "prev": before(c("close"))}).where("i = n - 1").join(zones, SERIES, "left")
-    broken = {"break_resistance": (c("close") > c("top")) & (c("prev") <= c("top")), "break_support": (c("close") < c("bottom")) & (c("prev") >= c("bottom"))}
-    entry = lambda name, price: F.struct(F.lit(name).alias("condition"), price.alias("price"))
-    fired = now.select(*SERIES, F.explode(F.array_compact(F.array(*(F.when(x, entry(name, c("close"))) for name, x in broken.items())))).alias("x")).select(*SERIES, "x.condition", F.lit(None).cast("string").alias("pattern_id"), "x.price")
+    now = bars.withColumns({"n": F.count("*").over(Window.partitionBy(*SERIES)), "prev": before(c("close"))}).where("i = n - 1").join(zones, SERIES)
+    kinds = F.array_compact(F.array(F.when((c("close") > c("top")) & (c("prev") <= c("top")), "break_resistance"), F.when((c("close") < c("bottom")) & (c("prev") >= c("bottom")), "break_support")))
+    return now.select(*SERIES, F.explode(kinds).alias("condition"), F.lit(None).cast("string").alias("pattern_id"), c("close").alias("price"))
+
+
+def fired_patterns(found: DataFrame) -> DataFrame:
+    """(symbol, timeframe, condition, pattern_id, price) of patterns, with ``current``, that confirm or end at the newest bar, or are retested."""
+    c = F.col
     fresh, turned = c("confirmation_idx") == c("last"), c("category") == "reversal"
-    of_pattern = {
+    kinds = {
         "pattern_confirmed": (fresh, c("level")), "bullish_reversal": (fresh & turned & (c("direction") == "bullish"), c("level")), "bearish_reversal": (fresh & turned & (c("direction") == "bearish"), c("level")),
         "pattern_invalidated": (c("current") & c("stage").isin("failed", "invalidated") & (c("end_idx") == c("last")), c("inval")), "breakout_retest": (c("current") & (c("stage") == "retesting"), c("level")),
     }
-    shaped = found.select(*SERIES, "pattern_id", F.explode(F.array_compact(F.array(*(F.when(x, entry(name, price)) for name, (x, price) in of_pattern.items())))).alias("x")).select(*SERIES, "x.condition", "pattern_id", "x.price")
-    apart = F.when((c("indicator") == "rsi") & (c("type") == "regular_bullish"), "bullish_rsi_divergence").when((c("indicator") == "macd") & (c("type") == "regular_bearish"), "bearish_macd_divergence")
-    newest_i = now.select(*SERIES, "n", "close")
-    late = diverged.join(newest_i, SERIES).where(c("signal_i") == c("n") - 1).select(*SERIES, apart.alias("condition"), F.lit(None).cast("string").alias("pattern_id"), c("close").alias("price")).where("condition is not null")
-    return fired.unionByName(shaped).unionByName(late)
+    entries = F.array_compact(F.array(*(F.when(x, F.struct(F.lit(name).alias("condition"), price.alias("price"))) for name, (x, price) in kinds.items())))
+    return found.select(*SERIES, "pattern_id", F.explode(entries).alias("x")).select(*SERIES, "x.condition", "pattern_id", "x.price")
+
+
+def fired_divergences(bars: DataFrame, diverged: DataFrame) -> DataFrame:
+    """(symbol, timeframe, condition, pattern_id, price) of regular divergences that are known at the newest bar."""
+    c = F.col
+    newest_bar = bars.groupBy(*SERIES).agg(F.max("i").alias("signal_i"), F.max_by("close", "i").alias("price"))
+    kind = F.when((c("indicator") == "rsi") & (c("type") == "regular_bullish"), "bullish_rsi_divergence").when((c("indicator") == "macd") & (c("type") == "regular_bearish"), "bearish_macd_divergence")
+    return diverged.join(newest_bar, [*SERIES, "signal_i"]).select(*SERIES, kind.alias("condition"), F.lit(None).cast("string").alias("pattern_id"), "price").where("condition is not null")
+
+
+def signals(bars: DataFrame, found: DataFrame, diverged: DataFrame) -> DataFrame:
+    """What the newest bar of each series triggers among BY_ANALYSIS: (symbol, timeframe, condition, pattern_id, price)."""
+    return broken_zones(bars).unionByName(fired_patterns(found)).unionByName(fired_divergences(bars, diverged))
 
 
 def evaluate_signals(bars: DataFrame, rules: DataFrame, fired: DataFrame, state: DataFrame | None = None, least_bars: int = 30) -> DataFrame:

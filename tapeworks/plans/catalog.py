@@ -12,4 +12,4 @@ def queries() -> dict[str, indicators.Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**oracle.indicators(), **oracle.swings(), **oracle.candles(), **oracle.patterns(), **oracle.structure(), **oracle.resampling(), **oracle.trading(), **oracle.harmonics(), **oracle.levels(), **oracle.timeframes(), **oracle.impulses()}
+    return {**oracle.indicators(), **oracle.swings(), **oracle.candles(), **oracle.patterns(), **oracle.structure(), **oracle.resampling(), **oracle.trading(), **oracle.harmonics(), **oracle.levels(), **oracle.timeframes(), **oracle.impulses(), **oracle.alerts()}

@@ -596,6 +596,36 @@ def levels() -> dict[str, str]:
     }
 
 
+def alerts() -> dict[str, str]:
+    short = [LINES.replace("bars AS (", "every AS (", 1), "bars AS (SELECT e.* FROM every e JOIN (SELECT symbol, max(i) AS m FROM every GROUP BY symbol) USING (symbol) WHERE i < m)", *(x for x in ZIGZAG if x != HOURLY), *ZONES,
+             "nw AS (SELECT symbol, max(i) AS i, arg_max(close, i) AS close, arg_max(close, i) FILTER (i < m) AS prev FROM every JOIN (SELECT symbol, max(i) AS m FROM every GROUP BY symbol) USING (symbol) GROUP BY symbol)",
+             "ni AS (SELECT nw.*, (SELECT high FROM zones z WHERE z.symbol = nw.symbol AND immediate AND kind = 'resistance') AS top, (SELECT low FROM zones z WHERE z.symbol = nw.symbol AND immediate AND kind = 'support') AS bottom FROM nw)",
+             "nh AS (SELECT symbol, i, close, r, c, coalesce(CASE c WHEN 'break_resistance' THEN close > top AND prev <= top ELSE close < bottom AND prev >= bottom END, false) AS hit FROM ni, (VALUES (0, 'break_resistance'), (1, 'break_support')) v(r, c))"]
+    v = _more_patterns("")["cht10_v_reversals"]
+    hits = {"pattern_confirmed": ("conf = last", "level + m * (b - ma)"), "pattern_invalidated": (f"({NOW}) AND stage IN ('failed', 'invalidated') AND fin = last", "inval + vm * (b - va)"), "breakout_retest": (f"({NOW}) AND stage = 'retesting'", "level + m * (b - ma)"), "bullish_reversal": ("conf = last AND sgn > 0", "level + m * (b - ma)"), "bearish_reversal": ("conf = last AND sgn < 0", "level + m * (b - ma)")}
+    fired = " UNION ALL ".join(f"SELECT symbol, {k} AS r, min({price}) AS price FROM best WHERE {rule} GROUP BY symbol" for k, (rule, price) in enumerate(hits.values()))
+    names = ", ".join(f"({k}, '{x}')" for k, x in enumerate(hits))
+    return {
+        "alr01_02_breaks": f"WITH RECURSIVE {', '.join(short)} SELECT symbol, r AS rule_id, i, c AS condition, CASE WHEN i + 1 < 30 THEN 'short_history' WHEN hit THEN 'hit' ELSE 'no_hit' END AS status, CASE WHEN hit THEN round(close, 6) END AS price FROM nh",
+        "alr05_15_patterns": v[: v.rindex(" SELECT symbol, pattern_id")] + f", fh AS ({fired}), fn AS (SELECT symbol, max(i) AS i FROM bars GROUP BY symbol) SELECT fn.symbol, v.r AS rule_id, fn.i, v.c AS condition, CASE WHEN fn.i + 1 < 30 THEN 'short_history' WHEN fh.r IS NOT NULL THEN 'hit' ELSE 'no_hit' END AS status, round(fh.price, 6) AS price FROM fn CROSS JOIN (VALUES {names}) v(r, c) LEFT JOIN fh ON fh.symbol = fn.symbol AND fh.r = v.r",
+        "val12_13_freshness": freshness(),
+    }
+
+
+def freshness() -> str:
+    days = f"d AS (WITH {DAILY} SELECT * FROM bars)"
+    week = "w AS (SELECT symbol, min(ts) AS ts FROM (SELECT symbol, ts, ts - INTERVAL (CAST((dayofweek(ts) + 1) % 7 AS INTEGER)) DAY AS b FROM d) GROUP BY symbol, b)"
+    month = "mo AS (SELECT symbol, min(ts) AS ts FROM d GROUP BY symbol, date_trunc('month', ts))"
+    hours = f"h AS (WITH {HOURLY} SELECT * FROM bars)"
+    last = "l AS (SELECT symbol, '1d' AS timeframe, max(ts) AS t FROM d GROUP BY 1 UNION ALL SELECT symbol, '1w', max(ts) FROM w GROUP BY 1 UNION ALL SELECT symbol, '1M', max(ts) FROM mo GROUP BY 1 UNION ALL SELECT symbol, '1h', max(ts) FROM h GROUP BY 1)"
+    now = "TIMESTAMP '2001-11-09 12:00:00'"
+    close = "CASE WHEN dayofweek({0}) = 5 THEN INTERVAL '16 hours 30 minutes' ELSE INTERVAL '15 hours 30 minutes' END"
+    friday = "(date_trunc('day', t) + INTERVAL (CAST((12 - dayofweek(t)) % 7 AS INTEGER)) DAY)"
+    done = f"CASE timeframe WHEN '1h' THEN {now} >= t + INTERVAL '1 hour' WHEN '1d' THEN {now} >= date_trunc('day', t) + {close.format('t')} WHEN '1w' THEN {now} >= {friday} + INTERVAL '16 hours 30 minutes' ELSE CAST({now} AS DATE) > last_day(t) END"
+    old = f"((epoch({now}) - epoch(t)) / 86400)"
+    return f"WITH {', '.join([days, week, month, hours, last])} SELECT symbol, timeframe, strftime(t, '%Y-%m-%d %H:%M') AS last, {done} AS last_complete, round({old}, 2) AS staleness_days, {old} > 5 AS stale FROM l"
+
+
 def timeframes() -> dict[str, str]:
     agg = "first(open ORDER BY ts) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY ts) AS close, sum(volume) AS volume, min(ts) AS ts"
     place = "row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i"

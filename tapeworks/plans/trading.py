@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.operators import alerts, analysis, backtest, divergence, indicators, trends, validation
+from tapeworks.operators import alerts, analysis, backtest, divergence, indicators, patterns, trends, validation
 from tapeworks.operators.recursive import recursive, zigzag
 from tapeworks.operators.resample import resample
 from tapeworks.plans.indicators import Query, shown
@@ -82,6 +82,29 @@ def timeframes(spark, sf_dir) -> DataFrame:
     return days.unionByName(resample(days, "1d", "1w")).unionByName(resample(days, "1d", "1M"))
 
 
+def _ruled(spark, bars, fired, *conditions: str) -> DataFrame:
+    table = spark.createDataFrame([(k, x, None) for k, x in enumerate(conditions)], "rule_id long, condition string, pattern_id string")
+    rules = bars.select("symbol").distinct().crossJoin(F.broadcast(table))  # a few conditions
+    return shown(alerts.evaluate_signals(bars, rules, fired), "rule_id", "i", "condition", "status", "price", keys=("symbol",))
+
+
+def alr01(spark, sf_dir) -> DataFrame:
+    bars = line_trades(spark, sf_dir)
+    return _ruled(spark, bars, alerts.broken_zones(bars), "break_resistance", "break_support")
+
+
+def alr05(spark, sf_dir) -> DataFrame:
+    bars = patterns.context(recursive(line_trades(spark, sf_dir), "scale"))
+    found = patterns.current(patterns.detect(bars, zigzag(bars), ("v_bottom", "inverted_v_top")))
+    return _ruled(spark, bars, alerts.fired_patterns(found), "pattern_confirmed", "pattern_invalidated", "breakout_retest", "bullish_reversal", "bearish_reversal")
+
+
+def val12(spark, sf_dir) -> DataFrame:
+    """Seen at noon of a Friday a week after the last trades; the events begin long after it."""
+    bars = timeframes(spark, sf_dir).unionByName(hourly_events(spark, sf_dir))
+    return validation.freshness(bars, "2001-11-09 12:00:00", 5).select("symbol", "timeframe", F.date_format("last_ts", "yyyy-MM-dd HH:mm").alias("last"), "last_complete", "staleness_days", "stale")
+
+
 def _parts(spark, sf_dir) -> dict[str, DataFrame]:
     days = line_trades(spark, sf_dir)
     return analysis.parts_of(days, days.unionByName(resample(days, "1d", "1w")).unionByName(resample(days, "1d", "1M")))
@@ -120,6 +143,9 @@ def rpt01(spark, sf_dir) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "alr01_02_breaks": alr01,
+    "alr05_15_patterns": alr05,
+    "val12_13_freshness": val12,
     "ind37_frame": ind37,
     "ind38_snapshot": ind38,
     "rpt01_reports": rpt01,
