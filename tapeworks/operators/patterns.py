@@ -7,9 +7,11 @@ them and conditional minima; nothing walks bar by bar. Overlapping patterns of o
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,12 +31,12 @@ ACTIVE = ("forming", "approaching_confirmation", "confirmed", "retesting")
 #: ``inval``. ``reach`` is a distance from the level at the break to the target shown, which is also the one awaited if
 #: ``retarget``. ``need`` is a price that an unconfirmed one must have come to. ``rule``: 1 drops those that are
 #: invalidated without a break or miss ``need``, 2 all without a break, 3 keeps those that end at the last bar forming.
-#: 4 is for pairs of lines. ``shown_inval`` is shown for ``inval``, along ``stop_slope`` from bar 0. Past ``apex`` an unbroken one is invalidated.
+#: 4 is for pairs of lines. ``shown_end`` is where it ends, if that isn't ``last_idx``, after which it is watched. ``shown_inval`` is shown for ``inval``, along ``stop_slope`` from bar 0. Past ``apex`` an unbroken one is invalidated.
 #: Candidates with one ``pair`` are one pattern whose direction the break decides.
 OPTIONS = {
     "slope": (0.0, "double"), "at": (0, "int"), "inval_slope": (0.0, "double"), "inval_at": (0, "int"), "reach": (None, "double"), "retarget": (False, "boolean"), "wait": (WAIT_BARS, "int"),
     "need": (None, "double"), "rule": (0, "int"), "points": (None, "array<int>"), "shown_inval": (None, "double"), "pair": (None, "bigint"), "unsure": (False, "boolean"),
-    "stop_slope": (0.0, "double"), "apex": (None, "double"),
+    "stop_slope": (0.0, "double"), "apex": (None, "double"), "shown_end": (None, "int"),
 }
 CANDIDATE = [*SERIES, "pattern_id", "sgn", "start_idx", "last_idx", "level", "inval", "target", "parts", "n_parts", *OPTIONS]
 
@@ -128,6 +130,109 @@ def doubles(swings: DataFrame) -> DataFrame:
     return _candidate(rows, F.when(s > 0, "double_top").otherwise("double_bottom"), -s, t, far, t - (far - t), parts, 3)
 
 
+def _widths(bars: DataFrame, reach: int = 30) -> DataFrame:
+    """``bars`` with ``wide_high`` and ``wide_low``: bars around each, up to ``reach`` to a side, that stay within a scale of its high and low."""
+    w = series()
+
+    def side(price: str, sign: int, ahead: bool) -> Column:
+        near = F.collect_list(price).over(w.rowsBetween(1, reach) if ahead else w.rowsBetween(-reach, -1))
+        near = near if ahead else F.reverse(near)
+        far = F.array_position(F.transform(near, lambda v: sign * (F.col(price) - v) <= EQUAL * F.col("scale")), F.lit(False))
+        return F.when(far > 0, far - 1).otherwise(F.size(near))
+
+    return bars.withColumns({name: 1 + side(price, sign, False) + side(price, sign, True) for name, price, sign in (("wide_high", "high", 1), ("wide_low", "low", -1))})
+
+
+def adam_and_eve(swings: DataFrame, bars: DataFrame) -> DataFrame:
+    """Double tops and bottoms whose first extreme is at most 5 bars wide and whose second is twice as wide, 6 bars at least."""
+    wide = _widths(bars).select(*SERIES, "i", "wide_high", "wide_low")
+    found = doubles(pivots(swings, bars))
+    for name, place in (("a", "start_idx"), ("b", "last_idx")):
+        own = F.when(F.col("sgn") < 0, F.col("wide_high")).otherwise(F.col("wide_low"))
+        found = found.join(wide.withColumnRenamed("i", place), [*SERIES, place]).withColumn(f"_{name}", own).drop("wide_high", "wide_low")
+    found = found.where((F.col("_a") <= 5) & (F.col("_b") >= F.greatest(2 * F.col("_a"), F.lit(6))))
+    return found.withColumn("pattern_id", F.when(F.col("sgn") < 0, "adam_eve_top").otherwise("adam_eve_bottom")).select(*CANDIDATE)
+
+
+BOWL = "symbol string, timeframe string, r0 int, s double, cup boolean, level double, inval double, begins int, ends int, depth double, fit double, vertex double, base double, a double, prior double, pull double, points array<int>"
+
+
+def bowl(h: np.ndarray, low: np.ndarray, c: np.ndarray, a: np.ndarray, least_share: float, least: int, most: int, handle: int) -> list[dict]:
+    """The rounded bottom, and before it the cup, that begin at the first bar of the arrays (highs, lows, closes, scales); places count from it."""
+    part = low[1 : most + 1]
+    dip = 1 + int(part.argmin())
+    back = np.flatnonzero(h[dip + 1 : most + 1] >= h[0] - NEAR * a[dip + 1 : most + 1])
+    if not len(back) or (e := dip + 1 + int(back[0])) < least:
+        return []
+    bottom = int(low[: e + 1].argmin())
+    depth, scale = h[0] - low[bottom], float(np.median(a[: e + 1]))
+    if depth < 4 * scale or not least_share <= depth / abs(h[0]) <= 0.5:
+        return []
+    x, y = np.arange(e + 1.0), c[: e + 1]
+    a2, a1, a0 = np.polyfit(x, y, 2)
+    if a2 <= 0:
+        return []
+    fit = 1 - ((y - (a2 * x * x + a1 * x + a0)) ** 2).sum() / max(((y - y.mean()) ** 2).sum(), 1e-12)
+    found = {"depth": depth, "fit": fit, "vertex": -a1 / (2 * a2) / e, "base": float((y <= low[bottom] + depth / 3).mean()), "a": scale}
+    if fit < 0.7 or not 0.25 <= found["vertex"] <= 0.75 or found["base"] < 0.42:
+        return []
+    rounds = [found | {"cup": False, "level": h[0], "inval": low[bottom], "begins": e, "ends": e, "pull": None, "points": [0, bottom, e]}]
+    # the right rim: the highest bar from there until a pullback of 1.5 scales, unless a close breaks out first
+    span = slice(e, min(len(h), e + handle + 1))
+    top = np.maximum.accumulate(h[span])
+    higher = np.concatenate([[True], h[span][1:] > top[:-1]])
+    out = c[span] > h[0] + BREAK * a[span]
+    falls = ~higher & (top - low[span] >= 1.5 * a[span])
+    first_out, first_fall = (int(z.argmax()) if z.any() else len(z) for z in (out, falls))
+    if first_fall >= first_out:
+        return rounds
+    rim = e + int(np.flatnonzero(higher[: first_fall + 1])[-1])
+    level, tail = max(h[0], h[rim]), slice(rim + 1, min(len(h), rim + handle + 1))
+    broke = np.flatnonzero(c[tail] > level + BREAK * a[tail])
+    stop = rim + 1 + int(broke[0]) if len(broke) else tail.stop
+    if len(h) - 1 - rim < 5 or stop - rim - 1 < 5:
+        return rounds
+    dent = rim + 1 + int(low[rim + 1 : stop].argmin())
+    pull = level - low[dent]
+    if 0 < pull <= 0.5 * depth and low[dent] > low[bottom] + depth / 2:
+        cup = {"cup": True, "level": level, "inval": low[dent], "begins": rim + 1, "ends": max(e, dent), "pull": pull, "points": [0, bottom, e, dent]}
+        return [found | cup, *rounds]
+    return rounds
+
+
+def roundings(swings: DataFrame, bars: DataFrame, least: int = 30, most: int = 200, handle: int = 30) -> DataFrame:
+    """Rounded bottoms and tops, and cups with a handle: closes from a rim back to its height that a parabola fits.
+
+    After the lowest bar of the ``most`` that follow a confirmed high, the first within a scale of the rim ends the bowl,
+    ``least`` bars at least. The fit explains 0.7, its vertex lies in the middle half, 0.42 of the closes in the lowest
+    third. A pullback of up to half the depth, 5 to ``handle`` bars after the right rim, is a handle. Tops are bottoms
+    upside down. A rim is one row, with the at most ``most + 2 * handle + 1`` bars that it needs; rims are fitted one by one.
+    """
+    c = F.col
+    kept = AGE_BARS + most + WAIT_BARS + FAIL_BARS + 2
+    rims = swings.where("not provisional").select(*SERIES, c("idx").alias("r0"), F.when(c("kind") == "H", 1.0).otherwise(-1.0).alias("s"))
+    ends = bars.where("i = last").select(*SERIES, "last")
+    rims = rims.join(ends, SERIES).where((c("last") - c("r0") >= least) & (c("r0") >= c("last") - kept))
+    near = rims.withColumn("i", F.explode(F.sequence(c("r0"), F.least(c("last"), c("r0") + most + 2 * handle)))).join(bars.select(*SERIES, "i", "high", "low", "close", "scale", "prior"), [*SERIES, "i"])
+    grouped = near.groupBy(*SERIES, "r0", "s").agg(F.sort_array(F.collect_list(F.struct("i", "high", "low", "close", "scale"))).alias("b"), F.max(F.when(c("i") == c("r0"), c("s") * c("prior"))).alias("prior"))
+    rows = grouped.select(*SERIES, "r0", "s", "prior", least_height().alias("share"), *(c(f"b.{x}").alias(x) for x in ("high", "low", "close", "scale")))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for r in frame.itertuples(index=False):
+                up, high, low = r.s > 0, np.asarray(r.high), np.asarray(r.low)
+                for x in bowl(high if up else -low, low if up else -high, r.s * np.asarray(r.close), np.asarray(r.scale), r.share, least, most, handle):
+                    out.append({"symbol": r.symbol, "timeframe": r.timeframe, "r0": r.r0, "s": r.s, "prior": r.prior} | x | {k: x[k] + r.r0 for k in ("begins", "ends")} | {"points": [u + r.r0 for u in x["points"]]})
+            yield pd.DataFrame(out, columns=[f.split()[0] for f in BOWL.split(", ")])
+
+    rows = rows.mapInPandas(run, BOWL)
+    s, cup = c("s"), c("cup")
+    name = F.when(cup, F.when(s > 0, "cup_and_handle").otherwise("inverted_cup_and_handle")).otherwise(F.when(s > 0, "rounding_bottom").otherwise("rounding_top"))
+    parts = [(c("fit") - 0.7) / 0.3, c("base") / 0.55, 1 - F.abs(c("vertex") - 0.5) / 0.25, c("depth") / (8 * c("a")), F.when(c("prior") < 0, 1.0).otherwise(0.5), F.when(cup, F.when(c("pull") <= c("depth") / 3, 1.0).otherwise(0.6))]
+    return _candidate(rows, name, s, s * c("level"), s * c("inval"), s * (c("level") + c("depth")), parts, start_idx=c("r0"), last_idx=c("begins") - 1, shown_end=c("ends"), points=c("points"))
+
+
 def triples(swings: DataFrame) -> DataFrame:
     """Triple tops and bottoms: three like extremes."""
     c = F.col
@@ -404,7 +509,8 @@ def lifecycle(candidates: DataFrame, bars: DataFrame) -> DataFrame:
         "stage": stage, "confirmation_idx": F.when(confirmed, c("b.j")), "target_reached": hit, "provisional": broken & ~whole, "rel_volume": F.when(confirmed, c("b.rel_volume")),
         "_end": F.when(ended, F.least(inv, exp)).when(failed, c("fail")).when(confirmed, c("b.j")).otherwise(c("last_idx")),
     })
-    rows = rows.withColumn("end_idx", F.least(F.greatest(c("last_idx"), c("_end")), c("last")))
+    drawn = F.coalesce("shown_end", "last_idx")
+    rows = rows.withColumn("end_idx", F.least(F.greatest(drawn, F.when(ended | confirmed, c("_end")).otherwise(drawn)), c("last")))
     open_ = c("confirmation_idx").isNull()
     rows = rows.withColumn("stage", F.when(open_ & (c("last") > c("apex")), "invalidated").otherwise(c("stage")))
     lapsed = (c("rule") == 1) & open_ & ((c("stage") == "invalidated") | F.coalesce(c("best") < s * c("need"), F.lit(True))) | (c("rule") == 2) & open_ & ~c("provisional")
@@ -450,6 +556,7 @@ def distinct(found: DataFrame) -> DataFrame:
 #: Pattern ids that each detector finds.
 IDS = {
     "double": ("double_top", "double_bottom"), "triple": ("triple_top", "triple_bottom"), "measured_move": ("measured_move_up", "measured_move_down"),
+    "adam_eve": ("adam_eve_top", "adam_eve_bottom"), "rounding": ("rounding_bottom", "rounding_top", "cup_and_handle", "inverted_cup_and_handle"),
     "head_and_shoulders": ("head_and_shoulders", "inverse_head_and_shoulders"), "diamond": ("diamond_top", "diamond_bottom"), "v_reversal": ("v_bottom", "inverted_v_top"),
     "two_line": (
         "ascending_triangle", "descending_triangle", "symmetrical_triangle", "rising_wedge", "falling_wedge", "ascending_channel", "descending_channel", "rectangle", "horizontal_channel", "broadening_top", "broadening_bottom", "expanding_triangle", "broadening_formation",
@@ -459,7 +566,7 @@ IDS = {
 DETECTORS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
     "double": lambda z, bars: doubles(pivots(z, bars)), "triple": lambda z, bars: triples(pivots(z, bars)), "measured_move": lambda z, bars: measured_moves(pivots(z, bars)),
     "head_and_shoulders": lambda z, bars: head_and_shoulders(pivots(z, bars)), "diamond": lambda z, bars: diamonds(pivots(z, bars)), "v_reversal": lambda z, bars: v_reversals(pivots(z, bars)),
-    "two_line": two_lines, "trap": lambda z, bars: traps(bars), "compression": lambda z, bars: compressions(bars), "vcp": contractions,
+    "adam_eve": adam_and_eve, "rounding": roundings, "two_line": two_lines, "trap": lambda z, bars: traps(bars), "compression": lambda z, bars: compressions(bars), "vcp": contractions,
 }
 EXPERIMENTAL = frozenset({"vcp"})
 CONTINUATION = frozenset({"measured_move_up", "measured_move_down", "vcp", "ascending_triangle", "descending_triangle", "ascending_channel", "descending_channel", "rectangle"})

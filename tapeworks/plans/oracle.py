@@ -440,7 +440,13 @@ def _more_patterns(five: str) -> dict[str, str]:
     lines = (f"SELECT symbol, pattern AS pattern_id, s AS sgn, f AS i1, e AS ix, CASE WHEN s > 0 THEN bu ELSE bl END AS level, CASE WHEN s > 0 THEN mu ELSE ml END AS m, CASE WHEN fixed IS NOT NULL THEN CASE WHEN s > 0 THEN bl ELSE bu END END AS inval, CASE WHEN fixed IS NOT NULL THEN CASE WHEN s > 0 THEN ml ELSE mu END ELSE 0.0 END AS vm, "
              f"CASE WHEN wedge THEN CASE WHEN s > 0 THEN {upper('f')} ELSE {lower('f')} END WHEN s > 0 THEN {upper('fin_i')} + measure ELSE {lower('fin_i')} - measure END AS target, CASE WHEN NOT wedge THEN measure END AS reach, CASE WHEN s > 0 THEN bl ELSE bu END AS stop, CASE WHEN s > 0 THEN ml ELSE mu END AS stopm, apex, CASE WHEN fixed IS NULL THEN 4 ELSE 0 END AS rule, CASE WHEN fixed IS NULL THEN anchor || '-' || cnt END AS pair, {partst} AS parts, CASE WHEN fixed IS NULL THEN 5 ELSE 6 END AS n, pts FROM tb")
     kind = "CASE WHEN pattern_id IN ('symmetrical_triangle', 'expanding_triangle', 'broadening_formation', 'horizontal_channel') THEN 'bilateral' WHEN pattern_id IN ('broadening_top', 'broadening_bottom', 'rising_wedge', 'falling_wedge') THEN 'reversal' ELSE 'continuation' END"
-    return {"cht05_two_lines": _patterns(tl, lines, kind), "cht01_head_and_shoulders": _patterns(hs, shoulders), "cht09_diamonds": _patterns(dia, diamond), "cht10_v_reversals": _patterns(vs, reversal), "cht11_traps": _patterns(tr, trap), "cht13_compressions": _patterns(co, squeeze, "'bilateral'")}
+    ae = [*daily, _chain(3), "e0 AS (SELECT *, CASE WHEN kind = 'H' THEN 1.0 ELSE -1.0 END AS s FROM r3pv)", "e1 AS (SELECT *, s * least(s * x1, s * x3) AS near, s * greatest(s * x1, s * x3) AS far FROM e0)", "e2 AS (SELECT *, s * near - s * x2 AS depth, i3 - i1 AS gp, s * prior AS pr FROM e1 WHERE abs(x1 - x3) <= a3)",
+          "ew AS (SELECT x.symbol, x.i, s, 1 + (SELECT count(*) FROM px y WHERE y.symbol = x.symbol AND y.i BETWEEN x.i + 1 AND x.i + 30 AND y.i < coalesce((SELECT min(q.i) FROM px q WHERE q.symbol = x.symbol AND q.i BETWEEN x.i + 1 AND x.i + 30 AND CASE WHEN s > 0 THEN x.high - q.high ELSE q.low - x.low END > x.a), 1e9)) + (SELECT count(*) FROM px y WHERE y.symbol = x.symbol AND y.i BETWEEN x.i - 30 AND x.i - 1 AND y.i > coalesce((SELECT max(q.i) FROM px q WHERE q.symbol = x.symbol AND q.i BETWEEN x.i - 30 AND x.i - 1 AND CASE WHEN s > 0 THEN x.high - q.high ELSE q.low - x.low END > x.a), -1)) AS wd "
+          "FROM px x JOIN (SELECT DISTINCT symbol, i, s FROM (SELECT symbol, i1 AS i, s FROM e2 UNION ALL SELECT symbol, i3, s FROM e2)) u ON u.symbol = x.symbol AND u.i = x.i)",
+          "e3 AS (SELECT e2.*, p.wd AS wa, q.wd AS wb FROM e2 JOIN ew p ON p.symbol = e2.symbol AND p.i = e2.i1 AND p.s = e2.s JOIN ew q ON q.symbol = e2.symbol AND q.i = e2.i3 AND q.s = e2.s)"]
+    partse = " + ".join([close("x1 - x3", "a3"), clip("depth / (5 * a3)"), clip("pr / 6"), "CASE WHEN gp BETWEEN 15 AND 80 THEN 1.0 ELSE 0.6 END", fading("v1", "v3")])
+    adam = f"SELECT symbol, CASE WHEN s > 0 THEN 'adam_eve_top' ELSE 'adam_eve_bottom' END AS pattern_id, -s AS sgn, i1, i3 AS ix, unsure, x2 AS level, far AS inval, x2 - (far - x2) AS target, {partse} AS parts, 5 AS n, [i1, i2, i3] AS pts FROM e3 WHERE depth >= 2.5 * a3 AND depth >= 0.03 * abs(x2) AND gp BETWEEN 8 AND 120 AND pr >= 1.5 AND wa <= 5 AND wb >= greatest(2 * wa, 6)"
+    return {"cht04_adam_and_eve": _patterns(ae, adam), "cht05_two_lines": _patterns(tl, lines, kind), "cht01_head_and_shoulders": _patterns(hs, shoulders), "cht09_diamonds": _patterns(dia, diamond), "cht10_v_reversals": _patterns(vs, reversal), "cht11_traps": _patterns(tr, trap), "cht13_compressions": _patterns(co, squeeze, "'bilateral'")}
 
 
 def structure() -> dict[str, str]:
