@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import by_bytes, stored
 
 CAPACITY, EOS = 1024, 2
-#: Pieces of one length that one task numbers, about.
-BUCKET = 500_000
+#: Pieces of one length that one task numbers at most, about; fewer while all pieces are dealt into fewer than SPREAD parts.
+BUCKET, SPREAD = 500_000, 512
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -199,11 +199,12 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null or empty text is one piece of ``eos``
     alone; repeated rows are packed each; an empty table gives no rows; a null id stays null; other columns are unused.
-    Pieces of one length are dealt into buckets of about ``bucket`` rows, which is what one task numbers at most.
+    Pieces of one length are dealt into buckets of about ``bucket`` rows (fewer in small tables), which one task numbers.
     """
     spark = docs.sparkSession
     pieces = stored(token_pieces(docs, tokenizer_path, id_col, text_col, capacity, eos), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
+    bucket = max(1, min(bucket, sum(histogram.values()) // SPREAD))
     many = spark.createDataFrame([(length, -(-n // bucket)) for length, n in histogram.items()], "length long, buckets long")
     dealt = pieces.join(F.broadcast(many), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "buckets")).drop("buckets")
     counts = stored(dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")), "lengths")  # a row for each bucket
