@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.rolling import before, mean
+from tapeworks.operators import patterns
+from tapeworks.operators.recursive import recursive, zigzag
 from tapeworks.sources.bars import SERIES
 
 
@@ -197,3 +199,54 @@ def walk_forward(bars: DataFrame, spec: dict, folds: int = 4, train: float = 0.6
     tested = run(tested.withColumn("side", F.when(inside, F.col("side"))))
     params = specs(spark, [spec | s for s in sets] + [spec]).select(F.col("spec_id").alias("chosen"), *GRID)
     return chosen.join(tested, [*SERIES, "fold"]).join(F.broadcast(params), "chosen").select(*SERIES, "fold", "start", "stop_i", *GRID, "train_expectancy_r", "trades", "win_rate", "expectancy_r", "profit_factor")
+
+
+def split(bars: DataFrame, spec: dict, share: float = 0.7) -> DataFrame:
+    """(symbol, timeframe, part, split_i, figures): ``spec`` on the first ``share`` of each series, and on the rest, in one job."""
+    grid = signals(bars, specs(bars.sparkSession, [spec])).drop("spec_id")
+    n = bars.groupBy(*SERIES).agg(F.floor(F.count("*") * share).cast("int").alias("split_i"))
+    both = grid.join(n, SERIES).withColumn("spec_id", F.when(F.col("i") < F.col("split_i"), 0).otherwise(1))
+    part = F.when(F.col("spec_id") == 0, "in_sample").otherwise("out_of_sample")
+    return metrics(ledger(both.drop("split_i"))).withColumn("part", part).drop("spec_id").join(n, SERIES)
+
+
+def by_symbol(figures: DataFrame) -> DataFrame:
+    """What a table of symbols shows of ``metrics``."""
+    return figures.select("symbol", "timeframe", "trades", "expectancy_r", "win_rate", "profit_factor")
+
+
+def replayed(bars: DataFrame, lookback: int = 250, least: int = 40) -> DataFrame:
+    """For each bar of ``bars`` the ``lookback`` bars up to it as a series of its own, called ``symbol@i``, without those of fewer than ``least``.
+
+    So whatever works on series sees each bar as the last one. The frame is ``lookback`` times as long.
+    """
+    c = F.col
+    last = F.count("*").over(Window.partitionBy(*SERIES)) - 1
+    rows = bars.withColumn("_last", last).withColumn("t", F.explode(F.sequence(F.greatest(c("i"), F.lit(least - 1)), F.least(c("i") + lookback - 1, c("_last")))))
+    rows = rows.where(c("t") >= c("i"))
+    start = F.greatest(F.lit(0), c("t") - lookback + 1)
+    return rows.select(F.concat_ws("@", "symbol", "t").alias("symbol"), "timeframe", "ts", "open", "high", "low", "close", "volume", (c("i") - start).cast("int").alias("i"))
+
+
+def pattern_signals(bars: DataFrame, pattern_ids: tuple[str, ...], lookback: int = 250, allow_short: bool = False, volume: bool = False, trend_filter: bool = False, target_r: float | None = None, max_hold: int = 40, buffer: float = 0.2) -> DataFrame:
+    """Signals, as ``ledger`` takes them, at each bar that confirms a pattern among the ``lookback`` bars up to it, of several the best.
+
+    Stop beyond the pattern's invalidation by ``buffer`` scales; target that of the pattern, or ``target_r`` times the
+    risk. All bars of all series are looked at in one job.
+    """
+    c = F.col
+    seen = recursive(replayed(bars, lookback), "scale")
+    found = patterns.detect(patterns.context(seen), zigzag(seen), pattern_ids)
+    found = found.where((c("confirmation_idx") == c("last")) & ~c("provisional") & c("direction").isin("bullish", "bearish"))
+    found = found.where(c("direction") == "bullish") if not allow_short else found
+    found = found.where(F.coalesce("volume_confirmation", F.lit(False))) if volume else found
+    now = seen.groupBy(*SERIES).agg(F.max_by("scale", "i").alias("scale"))
+    cut = F.length("symbol") - F.locate("@", F.reverse("symbol"))
+    best = found.join(now, SERIES).withColumns({"t": F.substring_index("symbol", "@", -1).cast("int"), "symbol": F.left("symbol", cut)})
+    sgn = F.when(c("direction") == "bullish", 1).otherwise(-1)
+    best = best.groupBy(*SERIES, c("t").alias("i")).agg(F.max_by(F.struct(sgn.alias("side"), (c("inval") - sgn * buffer * c("scale")).alias("stop"), c("target").alias("goal")), F.struct("quality", -c("start_idx"))).alias("x"))
+    rows = bars.withColumn("_trend", c("close") - mean(c("close"), 200)).join(best, [*SERIES, "i"], "left")
+    fits = F.coalesce(c("x.side") * c("_trend") > 0, F.lit(False)) if trend_filter else F.lit(True)
+    of = lambda x: F.when(fits, x)
+    goal = c("x.goal") if target_r is None else c("close") + c("x.side") * target_r * F.abs(c("close") - c("x.stop"))
+    return rows.select(*SERIES, "i", "open", "high", "low", "close", "volume", F.lit(0).alias("spec_id"), F.lit(2.0).alias("stop_scales"), F.lit(target_r or 2.0).alias("target_r"), F.lit(max_hold).alias("max_hold"), of(c("x.side")).alias("side"), of(c("x.stop")).alias("stop"), of(goal).alias("target"))

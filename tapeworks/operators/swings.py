@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.rolling import series
+from tapeworks.operators.recursive import zigzag
 from tapeworks.sources.bars import SERIES
 
 
@@ -29,6 +32,66 @@ def fractals(bars: DataFrame, n: int = 3) -> DataFrame:
     return kept.select(*SERIES, "idx", "price", "kind", (F.col("idx") + n).alias("confirmed_idx"))
 
 
+def prominent(x: np.ndarray, least: float, distance: int) -> list[int]:
+    """Places of peaks (the middle of flat ones) at least ``distance`` apart, higher ones first, that stand ``least`` above the higher of the valleys on both sides."""
+    edge = np.flatnonzero(np.diff(x)) + 1
+    starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(x)]]) - 1
+    level = x[starts]
+    inner = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1
+    peaks = (starts[inner] + ends[inner]) // 2
+    kept = np.ones(len(peaks), bool)
+    for k in np.argsort(x[peaks], kind="stable")[::-1]:
+        if kept[k]:
+            kept &= (np.abs(peaks - peaks[k]) >= distance) | (np.arange(len(peaks)) == k)
+    out = []
+    for p in peaks[kept].tolist():
+        higher = np.flatnonzero(x > x[p])
+        left, right = higher[higher < p].max(initial=-1) + 1, higher[higher > p].min(initial=len(x))
+        if x[p] - max(x[left : p + 1].min(), x[p:right].min()) >= least:
+            out.append(p)
+    return out
+
+
+def peaks(bars: DataFrame, width: float = 2.0, distance: int = 3) -> DataFrame:
+    """Swings of closes by prominence: ``width`` times the median of ``scale``. They look ahead, so they are for drawing alone.
+
+    (symbol, timeframe, idx, price, kind, confirmed_idx), alternating; a series is one pandas group.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("i")
+        x, least = frame["close"].to_numpy(float), max(width * float(frame["scale"].median()), 1e-9)
+        found = [(i, x[i], "H") for i in prominent(x, least, distance)] + [(i, x[i], "L") for i in prominent(-x, least, distance)]
+        out: list[tuple] = []
+        for one in sorted(found):
+            if out and out[-1][2] == one[2]:
+                if (one[1] > out[-1][1]) == (one[2] == "H") and one[1] != out[-1][1]:
+                    out[-1] = one
+            else:
+                out.append(one)
+        first = frame.iloc[0]
+        return pd.DataFrame([(first["symbol"], first["timeframe"], *o, o[0]) for o in out], columns=["symbol", "timeframe", "idx", "price", "kind", "confirmed_idx"])
+
+    return bars.select(*SERIES, "i", "close", "scale").groupBy(*SERIES).applyInPandas(run, "symbol string, timeframe string, idx int, price double, kind string, confirmed_idx int")
+
+
+def detect(bars: DataFrame, method: str = "zigzag") -> DataFrame:
+    """Confirmed swings of ``bars`` with ``scale`` by ``zigzag``, ``fractal`` or ``peaks``: (symbol, timeframe, idx, price, kind, confirmed_idx)."""
+    if method == "fractal":
+        return fractals(bars)
+    if method == "peaks":
+        return peaks(bars)
+    if method != "zigzag":
+        raise ValueError(f"unknown method {method}")
+    return zigzag(bars).where("not provisional").select(*SERIES, "idx", "price", "kind", "confirmed_idx")
+
+
+def confirmed_upto(swings: DataFrame, bar: int) -> DataFrame:
+    """The swings that are known at bar ``bar``."""
+    known = F.col("confirmed_idx") <= bar
+    return swings.where(known & ~F.col("provisional") if "provisional" in swings.columns else known)
+
+
 def labelled(swings: DataFrame) -> DataFrame:
     """Confirmed ``swings`` with ``label``: HH or LH for highs, HL or LL for lows, against the last of their kind; equal counts as lower."""
     prev = F.lag("price").over(Window.partitionBy(*SERIES, "kind").orderBy("idx"))

@@ -55,6 +55,7 @@ def impulse(spark, sf_dir) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "swg01_zigzag": lambda spark, d: shown(zigzag(hourly_events(spark, d)), "k", "idx", "price", "kind", "confirmed_idx", "provisional", keys=("symbol",)),
     "swg02_fractals": lambda spark, d: shown(swings.fractals(hourly_events(spark, d)), "idx", "price", "kind", "confirmed_idx", keys=("symbol",)),
+    "swg03_peaks": lambda spark, d: shown(swings.detect(recursive(hourly_events(spark, d), "scale"), "peaks"), "idx", "price", "kind", keys=("symbol",)),
     "swg07_labels": lambda spark, d: swings.labelled(swings.fractals(hourly_events(spark, d))).select("symbol", "idx", "kind", "label"),
     "swg08_trend": lambda spark, d: swings.trend(swings.fractals(hourly_events(spark, d))).select("symbol", "trend"),
     "cdl01_35_formations": formations,

@@ -76,6 +76,16 @@ def bkt09(spark, sf_dir) -> DataFrame:
     return shown(backtest.walk_forward(bars, STRATEGIES[0]), "fold", "start", "stop_i", *backtest.GRID, "train_expectancy_r", "trades", "win_rate", "expectancy_r", "profit_factor", keys=("symbol",))
 
 
+def bkt10(spark, sf_dir) -> DataFrame:
+    bars = recursive(daily_trades(spark, sf_dir), "scale", "rsi", "macd_hist")
+    return shown(backtest.split(bars, STRATEGIES[0]), "part", "split_i", "trades", "win_rate", "expectancy_r", "profit_factor", "final_equity", keys=("symbol",))
+
+
+def bkt04(spark, sf_dir) -> DataFrame:
+    found = backtest.pattern_signals(hourly_events(spark, sf_dir), ("double_top", "double_bottom"), lookback=150, allow_short=True)
+    return shown(found.where("side is not null"), "i", "side", "stop", "target", keys=("symbol",))
+
+
 def timeframes(spark, sf_dir) -> DataFrame:
     """Days, and the weeks and months made from them: one frame, one job."""
     days = daily_trades(spark, sf_dir)
@@ -158,6 +168,8 @@ QUERIES: dict[str, Query] = {
     "val14_report": val14,
     "alr_conditions": alr,
     "bkt01_03_signals": bkt01,
+    "bkt04_pattern_signals": bkt04,
+    "bkt10_split": bkt10,
     "bkt06_trades": bkt06,
     "bkt08_metrics": bkt08,
     "bkt09_walk_forward": bkt09,
