@@ -558,7 +558,11 @@ def trading() -> dict[str, str]:
 
 
 def harmonics() -> dict[str, str]:
-    within = lambda x, lo, hi: f"{x} BETWEEN {lo} * 0.75 AND {hi} * 1.25"
+    return {"cht15_17_harmonics": _harmonics(DAILY, 0.25), "cht15_17_close_harmonics": _harmonics(LINES, 0.05)}
+
+
+def _harmonics(source: str, missed: float) -> str:
+    within = lambda x, lo, hi: f"{x} BETWEEN {lo} * {1 - missed} AND {hi} * {1 + missed}"
     specs = {"gartley": ((0.618, 0.618), (0.382, 0.886), (1.272, 1.618), (0.786, 0.786)), "bat": ((0.382, 0.5), (0.382, 0.886), (1.618, 2.618), (0.886, 0.886)), "butterfly": ((0.786, 0.786), (0.382, 0.886), (1.618, 2.24), (1.27, 1.618)), "crab": ((0.382, 0.618), (0.382, 0.886), (2.24, 3.618), (1.618, 1.618))}
     lead = lambda c, k: f"lead({c}, {k}) OVER (PARTITION BY symbol ORDER BY k)"
     seq = "hs AS (SELECT symbol, k, idx AS i1, price AS x1, kind AS k1, " + ", ".join(f"{lead('idx', j)} AS i{j + 1}, {lead('price', j)} AS x{j + 1}, {lead('kind', j)} AS k{j + 1}" for j in range(1, 5)) + " FROM zigzag WHERE NOT provisional)"
@@ -566,17 +570,18 @@ def harmonics() -> dict[str, str]:
     five = "l1 > 0 AND l2 > 0 AND l3 > 0 AND l4 > 0"
     names = [(n, f"{within('l2 / l1', *r[0])} AND {within('l3 / l2', *r[1])} AND {within('l4 / l3', *r[2])} AND {within('abs(x2 - x5) / l1', *r[3])}") for n, r in specs.items()]
     names.append(("cypher", f"{within('l2 / l1', 0.382, 0.618)} AND {within('abs(x4 - x1) / l1', 1.272, 1.414)} AND {within('l4 / greatest(abs(x4 - x1), 1e-9)', 0.786, 0.786)}"))
-    parts = [f"SELECT symbol, '{n}' AS name, CASE WHEN k5 = 'L' THEN 1.0 ELSE -1.0 END AS s, i1, i5 AS ix, x5 AS d, l4 AS cd, {'NULL' if n in ('butterfly', 'crab') else 'x1'} AS x FROM hl WHERE i5 IS NOT NULL AND {five} AND {cond}" for n, cond in names]
-    parts.append(f"SELECT symbol, 'abcd', CASE WHEN k4 = 'L' THEN 1.0 ELSE -1.0 END, i1, i4, x4, l3, NULL FROM hl WHERE i4 IS NOT NULL AND l1 > 0 AND l2 > 0 AND l3 > 0 AND {within('l2 / l1', 0.618, 0.786)} AND {within('l3 / l2', 1.272, 1.618)}")
+    parts = [f"SELECT symbol, '{n}' AS name, CASE WHEN k5 = 'L' THEN 1.0 ELSE -1.0 END AS s, i1, i5 AS ix, x5 AS d, l4 AS cd, {'NULL' if n in ('butterfly', 'crab') else 'x1'} AS x, [i1, i2, i3, i4, i5] AS pts FROM hl WHERE i5 IS NOT NULL AND {five} AND {cond}" for n, cond in names]
+    parts.append(f"SELECT symbol, 'abcd', CASE WHEN k4 = 'L' THEN 1.0 ELSE -1.0 END, i1, i4, x4, l3, NULL, [i1, i2, i3, i4] FROM hl WHERE i4 IS NOT NULL AND l1 > 0 AND l2 > 0 AND l3 > 0 AND {within('l2 / l1', 0.618, 0.786)} AND {within('l3 / l2', 1.272, 1.618)}")
     ctes = [*PIVOTS, seq, legs, f"hc AS ({' UNION ALL '.join(parts)})",
             "he AS (SELECT h.*, p.last, p.close AS lc FROM hc h JOIN px p ON p.symbol = h.symbol AND p.i = p.last)",
             "hb AS (SELECT h.*, p.i AS j, p.rv, s * (d - p.close) > 0.25 * cd OR coalesce(s * (x - p.close) > 0, false) AS breach, s * (p.close - (d + s * 0.382 * cd)) > 0 AS back FROM he h LEFT JOIN px p ON p.symbol = h.symbol AND p.i > h.ix)",
-            "hm AS (SELECT symbol, name, s, i1, ix, d, cd, last, lc, min(j) FILTER (breach) AS inv, min(j) FILTER (back AND NOT breach) AS conf FROM hb GROUP BY ALL)",
+            "hm AS (SELECT symbol, name, s, i1, ix, d, cd, last, lc, pts, min(j) FILTER (breach) AS inv, min(j) FILTER (back AND NOT breach) AS conf FROM hb GROUP BY ALL)",
             "hn AS (SELECT m.*, p.rv AS rel, CASE WHEN inv < coalesce(conf, 1e9) THEN 'invalidated' WHEN conf IS NOT NULL THEN 'confirmed' WHEN s * (lc - d) > 0 THEN 'approaching_confirmation' ELSE 'forming' END AS stage FROM hm m LEFT JOIN px p ON p.symbol = m.symbol AND p.i = m.conf)",
             "ho AS (SELECT *, CASE stage WHEN 'invalidated' THEN inv WHEN 'confirmed' THEN conf ELSE ix END AS fin, CASE WHEN stage = 'confirmed' THEN CASE WHEN rel >= 1.5 THEN 1.0 WHEN rel IS NOT NULL THEN 0.3 END END AS vol, CASE stage WHEN 'confirmed' THEN 1.0 WHEN 'approaching_confirmation' THEN 0.6 WHEN 'forming' THEN 0.4 ELSE 0.0 END AS bonus FROM hn)"]
-    shown = "symbol, name || CASE WHEN s > 0 THEN '_bullish' ELSE '_bearish' END AS pattern_id, stage, i1 AS start_idx, fin AS end_idx, CASE WHEN stage = 'confirmed' THEN conf END AS confirmation_idx, round(d + s * 0.382 * cd + 1e-7, 4) AS level, round(d - s * 0.25 * cd + 1e-7, 4) AS inval, round(d + s * 0.618 * cd + 1e-7, 4) AS target, round(100 * (0.7 + coalesce(vol, 0) + bonus) / (2 + CASE WHEN vol IS NULL THEN 0 ELSE 1 END), 6) AS quality"
-    ctes = [DAILY if x is HOURLY else x for x in ctes]
-    return {"cht15_17_harmonics": f"WITH RECURSIVE {', '.join(ctes)} SELECT {shown} FROM ho"}
+    ctes.append("hp AS (SELECT *, name || CASE WHEN s > 0 THEN '_bullish' ELSE '_bearish' END AS pattern_id, round(100 * (0.7 + coalesce(vol, 0) + bonus) / (2 + CASE WHEN vol IS NULL THEN 0 ELSE 1 END), 1) AS quality FROM ho)")
+    shown = "symbol, pattern_id, stage, i1 AS start_idx, fin AS end_idx, CASE WHEN stage = 'confirmed' THEN conf END AS confirmation_idx, round(d + s * 0.382 * cd + 1e-7, 4) AS level, round(d - s * 0.25 * cd + 1e-7, 4) AS inval, round(d + s * 0.618 * cd + 1e-7, 4) AS target, quality"
+    ctes = [source if x is HOURLY else x for x in [*ctes, *_best("hp")]]
+    return f"WITH RECURSIVE {', '.join(ctes)} SELECT {shown} FROM best"
 
 
 def impulses() -> dict[str, str]:

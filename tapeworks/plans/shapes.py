@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,15 +35,20 @@ def zones(spark, sf_dir) -> DataFrame:
     return shown(found, "place", "low", "high", "mid", "kind", "touches", "first_idx", "last_idx", "strength", "role_reversals", "crossings", "sources", "distance", "immediate", "major", keys=("symbol",))
 
 
-def harmonic(spark, sf_dir) -> DataFrame:
-    """All of a series' history, and ratios that may be a quarter off: trades of random prices hold no closer ones.
+def harmonic(load: Callable, tolerance: float) -> Query:
+    """All of a series' history. The little that is added keeps halves of the last decimal from being rounded either way.
 
-    The little that is added keeps halves of the last decimal from being rounded either way.
+    Trades of random prices hold few close ratios: the lines of the table are enough for the operator's own tolerance, the
+    fewer series of return flags are asked for ratios that may be a quarter off.
     """
-    bars = patterns.context(recursive(daily_trades(spark, sf_dir), "scale"))
-    found = harmonics.candidates(patterns.pivots(zigzag(bars), bars), tolerance=0.25)
-    rows = harmonics.resolved(found, bars, age=1 << 30).withColumns({c: F.round(F.col(c) + 1e-7, 4) for c in ("level", "inval", "target")})
-    return shown(rows, "pattern_id", "stage", "start_idx", "end_idx", "confirmation_idx", "level", "inval", "target", "quality", keys=("symbol",))
+
+    def run(spark, sf_dir) -> DataFrame:
+        bars = patterns.context(recursive(load(spark, sf_dir), "scale"))
+        found = harmonics.candidates(patterns.pivots(zigzag(bars), bars), tolerance=tolerance)
+        rows = patterns.distinct(harmonics.resolved(found, bars, age=1 << 30)).withColumns({c: F.round(F.col(c) + 1e-7, 4) for c in ("level", "inval", "target")})
+        return shown(rows, "pattern_id", "stage", "start_idx", "end_idx", "confirmation_idx", "level", "inval", "target", "quality", keys=("symbol",))
+
+    return run
 
 
 def impulse(spark, sf_dir) -> DataFrame:
@@ -72,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "cht11_traps": of_pattern("trap", daily=True),
     "cht13_compressions": of_pattern("compression", daily=True),
     "cht14_contractions": of_pattern("vcp", daily=True),
-    "cht15_17_harmonics": harmonic,
+    "cht15_17_harmonics": harmonic(daily_trades, 0.25),
+    "cht15_17_close_harmonics": harmonic(line_trades, harmonics.TOLERANCE),
     "cht18_impulses": impulse,
 }
