@@ -72,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "cht12_measured_moves": of_pattern("measured_move"),
     "cht01_head_and_shoulders": of_pattern("head_and_shoulders", daily=True),
     "cht04_adam_and_eve": of_pattern("adam_eve", daily=True),
+    "cht06_flags": of_pattern("flag", daily=True),
     "cht07_08_roundings": of_pattern("rounding", daily=True),
     "cht05_two_lines": of_pattern("two_line", daily=True),
     "cht09_diamonds": of_pattern("diamond", daily=True),

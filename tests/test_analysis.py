@@ -154,6 +154,21 @@ def test_cups_and_rounded_bottoms(spark):
     assert found["A", "cup_and_handle"]["stage"] in ("confirmed", "retesting") and len(found["A", "cup_and_handle"]["points"]) == 4
 
 
+def test_flags_of_both_sides(spark):
+    wave = np.array([0, -1.2, -0.3, -1.6, -0.7, -2.0, -1.1, -2.4, -1.5, -2.8, -1.9])
+    close = np.concatenate([np.full(30, 50.0) + 0.2 * np.sin(np.arange(30)), np.linspace(50, 66, 9)[1:], 66 + wave[1:], [67.5, 68.5, 69.0]])
+    pdf = pd.DataFrame({"symbol": "A", "timeframe": "1d", "ts": pd.date_range("2024-01-01", periods=len(close)), "open": close, "high": close + 0.5, "low": close - 0.5, "close": close, "volume": np.where(np.arange(len(close)) < 38, 2e6, 1e6)})
+    upside = pdf.assign(symbol="B", open=120 - pdf.open, high=120 - pdf.low, low=120 - pdf.high, close=120 - pdf.close)
+    bars = patterns.context(recursive(indexed(spark.createDataFrame(pd.concat([pdf, upside]))), "scale"))
+    found = {(r["symbol"], r["pattern_id"]): r for r in patterns.detect(bars, zigzag(bars), patterns.IDS["flag"]).collect()}
+    assert {("A", "bull_flag"), ("B", "bear_flag")} <= found.keys()
+    for (symbol, _), r in found.items():
+        assert r["stage"] in ("confirmed", "retesting") and r["direction"] == ("bullish" if symbol == "A" else "bearish") and r["category"] == "continuation"
+        assert abs(abs(r["target"] - r["level"]) - 17) < 1.5
+    open_ = bars.where("i <= 46").withColumn("last", F.lit(46))
+    assert {r["stage"] for r in patterns.detect(open_, zigzag(open_), patterns.IDS["flag"]).collect()} <= {"forming", "approaching_confirmation"}
+
+
 def test_alerts_of_divergences_and_stale_series(spark, drawn):
     last = {r["symbol"]: r["i"] for r in drawn.groupBy("symbol").agg(F.max("i").alias("i")).collect()}
     diverged = spark.createDataFrame([("UP", "1d", "rsi", "regular_bullish", last["UP"]), ("UP", "1d", "macd", "regular_bearish", last["UP"] - 1), ("DOWN", "1d", "macd", "regular_bearish", last["DOWN"])], f"{KEYS}, indicator string, type string, signal_i int")
