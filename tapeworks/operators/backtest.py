@@ -1,15 +1,17 @@
 """Signals by windows, a ledger by one grouped pass, and figures of it by aggregates.
 
 Any number of specifications runs in one job: they are rows, joined with the bars, and each (series, specification) is
-a group of its own.
+a group of its own. Walking forward, whose sets share their signals, sends each bar once.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import product
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,83 +80,126 @@ LEDGER = "symbol string, timeframe string, spec_id int, i int, equity double, si
 LEDGER_COLUMNS = [x.split()[0] for x in LEDGER.split(", ")]
 
 
-def simulate(bars: pd.DataFrame, costs: Costs, capital: float, risk: float) -> pd.DataFrame:
-    """The ledger of one series and specification, a row for each bar.
+@dataclass(frozen=True)
+class Prices:
+    """One series as arrays, in order of time."""
+
+    open: np.ndarray
+    high: np.ndarray
+    low: np.ndarray
+    close: np.ndarray
+    volume: np.ndarray
+
+    @classmethod
+    def of(cls, bars: pd.DataFrame) -> Prices:
+        return cls(*(bars[x].to_numpy(float) for x in ("open", "high", "low", "close", "volume")))
+
+    def part(self, start: int, stop: int) -> Prices:
+        return Prices(*(x[start:stop] for x in (self.open, self.high, self.low, self.close, self.volume)))
+
+
+def refusal(p: Prices, t: int, sign: float, stop: float, target: float, costs: Costs) -> str | None:
+    """Why the open of bar ``t`` can't fill an order."""
+    moved = p.open[t] / p.close[t - 1] - 1
+    if p.volume[t] == 0:
+        return "zero_volume"
+    if p.high[t] == p.low[t] and sign * moved > 0 and abs(moved) * 100 >= 0.98 * costs.limit_pct:
+        return "price_limit_locked"
+    if sign * (p.open[t] - stop) <= 0:
+        return "gap_through_stop"
+    return "gap_through_target" if sign * (p.open[t] - target) >= 0 else None
+
+
+def shares_for(equity: float, entry: float, stop: float, volume: float, costs: Costs, risk: float) -> int:
+    """The least of what risk, equity and the bar's volume (if known) allow."""
+    gap = abs(entry - stop)
+    caps = [equity * risk / gap if gap > 0 else 0.0, equity / entry, costs.participation * volume]
+    return int(min(x for x in caps if not math.isnan(x)))
 
-    A signal is filled at the next open unless the bar trades nothing, is locked at its limit, or opens beyond stop or
-    target. Size is by risk, then by equity, then by volume. On a bar the stop comes before the target, both before
-    the holding time; a gap over either fills at the open, save on the bar of entry. What is open at the end is closed.
+
+def way_out(p: Prices, entered: int, sign: float, stop: float, target: float, hold: float) -> tuple[int, float, str]:
+    """(bar, price, reason) of leaving a position: the first bar within the holding time that touches stop or target.
+
+    Both on one bar count as the stop; a bar that opens beyond either, save that of entry, fills at its open.
     """
+    last = len(p.close) - 1
+    end = int(min(last, entered + hold))
+    near, far = (p.low, p.high) if sign > 0 else (p.high, p.low)
+    span = slice(entered, end + 1)
+    stopped, reached = sign * (near[span] - stop) <= 0, sign * (far[span] - target) >= 0
+    touched = np.flatnonzero(stopped | reached)
+    if not len(touched):
+        return end, p.close[end], "time" if end - entered >= hold else "end_of_data"
+    at = int(touched[0])
+    reason, edge, beyond = ("stop", stop, -sign) if stopped[at] else ("target", target, sign)
+    opened = p.open[entered + at]
+    return entered + at, opened if at and beyond * (opened - edge) > 0 else edge, reason
+
+
+def simulate(p: Prices, side: np.ndarray, stop: np.ndarray, target: np.ndarray, hold: float, costs: Costs, capital: float, risk: float) -> tuple[np.ndarray, list[dict], dict[int, str]]:
+    """(equity at each close, trades, refusals by bar) of one series and specification.
+
+    A signal met while flat is filled at the next open or refused. The walk is from signal to signal: bars between, and
+    those of a position, are looked at as arrays. The close that ends a position may signal the next one.
+    """
+    n = len(side)
+    worth, trades, refused, equity = np.full(n, capital), [], {}, capital
+    wanted = np.flatnonzero(~np.isnan(side[: max(n - 1, 0)]))
+    place = 0
+    while place < len(wanted):
+        k = int(wanted[place])
+        t, sign = k + 1, side[k]
+        why = refusal(p, t, sign, stop[k], target[k], costs)
+        entry = costs.fill(p.open[t], sign > 0)
+        shares = 0 if why else shares_for(equity, entry, stop[k], p.volume[t], costs, risk)
+        if shares <= 0:
+            refused[t] = why or "size_zero_liquidity"
+            place += 1
+            continue
+        left, price, reason = way_out(p, t, sign, stop[k], target[k], hold)
+        got = costs.fill(price, sign < 0)
+        pnl = sign * (got - entry) * shares - costs.fees(got, shares) - costs.fees(entry, shares)
+        risked = abs(entry - stop[k]) * shares
+        worth[t:left] = equity + sign * (p.close[t:left] - entry) * shares
+        equity += pnl
+        worth[left:] = equity
+        trades.append({"t": left, "side": int(sign), "signal_i": k, "entry_i": t, "entry": round(entry, 4), "exit": round(got, 4), "shares": shares, "reason": reason, "bars_held": left - t, "pnl": round(pnl, 2), "return_pct": round(100 * pnl / (entry * shares), 3), "r": round(pnl / risked, 3) if risked > 0 else 0.0})
+        place = int(np.searchsorted(wanted, left))
+    return worth.round(2), trades, refused
+
+
+WHOLE = {"side": "Int32", "signal_i": "Int32", "entry_i": "Int32", "bars_held": "Int32", "shares": "Int64"}
+
+
+def booked(at: np.ndarray, worth: np.ndarray, trades: list[dict], refused: dict[int, str]) -> pd.DataFrame:
+    """What ``simulate`` found as a row for each bar; ``at`` holds their numbers."""
+    made = pd.DataFrame(trades, columns=["t", *LEDGER_COLUMNS[5:-1]]).set_index("t").reindex(range(len(at)))
+    return made.assign(i=at, equity=worth, skipped=pd.Series(refused, dtype=object)).astype(WHOLE)
+
+
+def simulated(bars: pd.DataFrame, costs: Costs = Costs(), capital: float = 1_000_000.0, risk: float = 0.01) -> pd.DataFrame:
+    """The ledger of one series and specification, as rows of ``LEDGER``."""
     bars = bars.sort_values("i")
-    o, h, l, c, v = (bars[x].to_numpy(float) for x in ("open", "high", "low", "close", "volume"))  # noqa: E741
-    side, stop, target, hold = (bars[x].to_numpy(float) for x in ("side", "stop", "target", "max_hold"))
-    last, equity, place, waiting, out = len(bars) - 1, capital, None, None, []
-
-    def leave(t: int, price: float, reason: str) -> list:
-        nonlocal equity, place
-        s, at, entry, shares, stopped, _, _, signalled, paid = place
-        out_price = costs.fill(price, s < 0)
-        pnl = s * (out_price - entry) * shares - costs.fees(out_price, shares) - paid
-        risked = abs(entry - stopped) * shares
-        equity, place = equity + pnl, None
-        return [s, signalled, at, round(entry, 4), round(out_price, 4), shares, reason, t - at, round(pnl, 2), round(100 * pnl / (entry * shares), 3), round(pnl / risked, 3) if risked > 0 else 0.0]
-
-    for t in range(last + 1):
-        trade, skipped = [None] * 11, None
-        if waiting is not None:
-            k, waiting = waiting, None
-            s = int(side[k])
-            moved = o[t] / c[t - 1] - 1
-            if v[t] == 0:
-                skipped = "zero_volume"
-            elif h[t] == l[t] and abs(moved) * 100 >= 0.98 * costs.limit_pct and s * moved > 0:
-                skipped = "price_limit_locked"
-            elif s * (o[t] - stop[k]) <= 0:
-                skipped = "gap_through_stop"
-            elif s * (o[t] - target[k]) >= 0:
-                skipped = "gap_through_target"
-            else:
-                entry = costs.fill(o[t], s > 0)
-                risked = abs(entry - stop[k])
-                sizes = [int(equity * risk / risked) if risked > 0 else 0, int(equity / entry)] + ([] if math.isnan(v[t]) else [int(costs.participation * v[t])])
-                if (shares := min(sizes)) > 0:
-                    place = (s, t, entry, shares, stop[k], target[k], hold[k], k, costs.fees(entry, shares))
-                else:
-                    skipped = "size_zero_liquidity"
-        if place is not None:
-            s, at, _, _, stopped, aimed, held, _, _ = place
-            worst, best = (l[t], h[t]) if s > 0 else (h[t], l[t])
-            if s * (worst - stopped) <= 0:
-                trade = leave(t, o[t] if s * (o[t] - stopped) < 0 and t > at else stopped, "stop")
-            elif s * (best - aimed) >= 0:
-                trade = leave(t, o[t] if s * (o[t] - aimed) > 0 and t > at else aimed, "target")
-            elif t - at >= held:
-                trade = leave(t, c[t], "time")
-        if place is None and t < last and not math.isnan(side[t]):
-            waiting = t
-        if place is not None and t == last:
-            trade = leave(t, c[t], "end_of_data")
-        worth = equity + (place[0] * (c[t] - place[2]) * place[3] if place is not None else 0.0)
-        out.append([t, round(worth, 2), *trade, skipped])
-    named = pd.DataFrame(out, columns=LEDGER_COLUMNS[3:])
-    named["i"] = bars["i"].to_numpy()
-    for k, x in enumerate(("symbol", "timeframe", "spec_id")):
-        named.insert(k, x, bars[x].iloc[0])
-    whole = {"side": "Int32", "signal_i": "Int32", "entry_i": "Int32", "bars_held": "Int32", "shares": "Int64"}
-    return named.astype(whole)
+    side, stop, target = (bars[x].to_numpy(float) for x in ("side", "stop", "target"))
+    first = bars.iloc[0]
+    rows = booked(bars["i"].to_numpy(), *simulate(Prices.of(bars), side, stop, target, float(first["max_hold"]), costs, capital, risk))
+    return rows.assign(symbol=first["symbol"], timeframe=first["timeframe"], spec_id=first["spec_id"])[LEDGER_COLUMNS]
 
 
 def ledger(signalled: DataFrame, costs: Costs = Costs(), capital: float = 1_000_000.0, risk: float = 0.01) -> DataFrame:
     """A row for each bar and specification of ``signals``: the equity, and the trade that was closed on it, if any."""
-    return signalled.groupBy(*SERIES, "spec_id").applyInPandas(lambda b: simulate(b, costs, capital, risk), LEDGER)
+    return signalled.groupBy(*SERIES, "spec_id").applyInPandas(lambda b: simulated(b, costs, capital, risk), LEDGER)
 
 
 def trades(ledgers: DataFrame) -> DataFrame:
     return ledgers.where("reason is not null").drop("equity", "skipped")
 
 
-def metrics(ledgers: DataFrame, year: int = 245) -> DataFrame:
-    """Figures of each series and specification. The Sharpe ratio needs 20 trades and 120 returns; null where undefined."""
+def metrics(ledgers: DataFrame, year: int = 245, also: Sequence[str] = ()) -> DataFrame:
+    """Figures of each series and specification, and the columns ``also``, which are one value for each.
+
+    The Sharpe ratio needs 20 trades and 120 returns; null where undefined.
+    """
     key = [*SERIES, "spec_id"]
     w = Window.partitionBy(*key).orderBy("i")
     rows = ledgers.withColumns({"peak": F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0)), "past": F.lag("equity").over(w)})
@@ -164,7 +209,7 @@ def metrics(ledgers: DataFrame, year: int = 245) -> DataFrame:
         F.count("reason").alias("trades"), F.count("*").alias("bars"), F.avg(won.cast("double")).alias("win_rate"), F.avg(of(F.col("return_pct"), won)).alias("avg_win_pct"), F.avg(of(F.col("return_pct"), ~won)).alias("avg_loss_pct"),
         F.sum(of(F.col("pnl"), F.col("pnl") > 0)).alias("gained"), F.sum(of(-F.col("pnl"), F.col("pnl") <= 0)).alias("lost"), (F.min((F.col("equity") - F.col("peak")) / F.col("peak")) * 100).alias("max_drawdown_pct"),
         F.avg("r").alias("expectancy_r"), F.avg("return_pct").alias("expectancy_pct"), F.avg("bars_held").alias("avg_holding_bars"), F.count("past").alias("returns"), F.avg(F.col("equity") / F.col("past") - 1).alias("mean"), F.stddev_pop(F.col("equity") / F.col("past") - 1).alias("spread"),
-        F.count("skipped").alias("skipped"), F.max_by("equity", "i").alias("final_equity"),
+        F.count("skipped").alias("skipped"), F.max_by("equity", "i").alias("final_equity"), *(F.first(c).alias(c) for c in also),
     )
     sharpe = F.when((F.col("trades") >= 20) & (F.col("returns") >= 120) & (F.col("spread") > 0), F.col("mean") / F.col("spread") * F.sqrt(F.lit(float(year))))
     factor = F.when(F.col("lost") > 0, F.coalesce(F.col("gained"), F.lit(0.0)) / F.col("lost"))
@@ -174,31 +219,52 @@ def metrics(ledgers: DataFrame, year: int = 245) -> DataFrame:
 GRID = {"stop_scales": [1.5, 2.0, 3.0], "max_hold": [20, 40], "target_r": [2.0, 3.0]}
 
 
+TESTED = LEDGER + ", fold int, start int, stop_i int, chosen int, train_expectancy_r double"
+
+
 def walk_forward(bars: DataFrame, spec: dict, folds: int = 4, train: float = 0.6, least: int = 3) -> DataFrame:
     """(symbol, timeframe, fold, chosen parameters, figures of the test): the grid's best by expectancy on all before a fold, run on the fold.
 
-    Training of all series, folds and sets is one job, testing another. A set needs ``least`` trades; where none has
-    them the defaults are tested.
+    The sets share their signals, so bars go once to their series' group, where each fold is trained and tested; what
+    leaves it is the ledgers of the tests. A set needs ``least`` trades; where none has them the defaults are tested.
+    Folds of under ten bars are left out.
     """
-    spark = bars.sparkSession
-    sets = [dict(zip(GRID, x, strict=True)) for x in product(*GRID.values())]
-    grid = signals(bars, specs(spark, [spec | s for s in sets] + [spec]))
-    n = bars.groupBy(*SERIES).agg(F.count("*").alias("n")).select(*SERIES, "n", F.floor(F.col("n") * train).cast("int").alias("first"))
-    step = F.greatest(F.lit(1), ((F.col("n") - F.col("first")) / folds).cast("int"))
-    cut = n.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).withColumns({"start": F.col("first") + F.col("fold") * step, "stop_i": F.least(F.col("n"), F.col("first") + (F.col("fold") + 1) * step).cast("int")}).where(F.col("stop_i") - F.col("start") >= 10)
-
-    def run(rows: DataFrame) -> DataFrame:
-        named = rows.withColumn("spec_id", (F.col("fold") * 1000 + F.col("spec_id")).cast("int"))
-        return metrics(ledger(named)).withColumns({"fold": (F.col("spec_id") / 1000).cast("int"), "spec_id": F.col("spec_id") % 1000})
-
-    trained = run(grid.join(cut, SERIES).where("i < start"))
-    best = trained.where((F.col("spec_id") < len(sets)) & (F.col("trades") >= least)).groupBy(*SERIES, "fold").agg(F.max_by("spec_id", F.struct("expectancy_r", -F.col("spec_id"))).alias("chosen"), F.max("expectancy_r").alias("train_expectancy_r"))
-    chosen = cut.join(best, [*SERIES, "fold"], "left").withColumn("chosen", F.coalesce("chosen", F.lit(len(sets))))
-    tested = grid.join(chosen, SERIES).where((F.col("spec_id") == F.col("chosen")) & (F.col("i") < F.col("stop_i")))
-    inside = (F.col("i") >= F.col("start")) & (F.col("i") < F.col("stop_i") - 1)
-    tested = run(tested.withColumn("side", F.when(inside, F.col("side"))))
-    params = specs(spark, [spec | s for s in sets] + [spec]).select(F.col("spec_id").alias("chosen"), *GRID)
-    return chosen.join(tested, [*SERIES, "fold"]).join(F.broadcast(params), "chosen").select(*SERIES, "fold", "start", "stop_i", *GRID, "train_expectancy_r", "trades", "win_rate", "expectancy_r", "profit_factor")
+    spark, costs, capital, risk = bars.sparkSession, Costs(), 1_000_000.0, 0.01
+    sets = [DEFAULTS | spec | dict(zip(GRID, x, strict=True)) for x in product(*GRID.values())] + [DEFAULTS | spec]
+    signalled = signals(bars, specs(spark, [spec])).join(bars.select(*SERIES, "i", "scale"), [*SERIES, "i"])
+
+    def run(series: pd.DataFrame) -> pd.DataFrame:
+        series = series.sort_values("i")
+        p, at, side, scales, n = Prices.of(series), series["i"].to_numpy(), series["side"].to_numpy(float), series["scale"].to_numpy(float), len(series)
+
+        def outcome(k: int, stop_i: int, start: int | None = None) -> tuple:
+            """Set ``k`` on the bars before ``stop_i``, with signals from ``start`` on if that is given."""
+            seen = side[:stop_i].copy()
+            if start is not None:
+                seen[:start] = seen[stop_i - 1 :] = np.nan
+            close = p.close[:stop_i]
+            stop = close - seen * sets[k]["stop_scales"] * scales[:stop_i]
+            return simulate(p.part(0, stop_i), seen, stop, close + sets[k]["target_r"] * (close - stop), float(sets[k]["max_hold"]), costs, capital, risk)
+
+        first, made = int(n * train), []
+        step = max(1, (n - first) // folds)
+        for fold in range(folds):
+            start, stop_i = first + fold * step, min(n, first + (fold + 1) * step)
+            if stop_i - start < 10:
+                continue
+            gained = {k: [x["r"] for x in outcome(k, start)[1]] for k in range(len(sets) - 1)}
+            means = {k: float(np.mean(x)) for k, x in gained.items() if len(x) >= least}
+            chosen = max(means, key=lambda k: (means[k], -k), default=len(sets) - 1)
+            made.append(booked(at[:stop_i], *outcome(chosen, stop_i, start)).assign(spec_id=fold, fold=fold, start=start, stop_i=stop_i, chosen=chosen, train_expectancy_r=means.get(chosen)))
+        names = [x.split()[0] for x in TESTED.split(", ")]
+        if not made:
+            return pd.DataFrame(columns=names)
+        return pd.concat(made).assign(symbol=series["symbol"].iloc[0], timeframe=series["timeframe"].iloc[0])[names].astype({"train_expectancy_r": float})
+
+    tested = signalled.groupBy(*SERIES).applyInPandas(run, TESTED)
+    fixed = ["fold", "start", "stop_i", "chosen", "train_expectancy_r"]
+    params = [F.element_at(F.array(*(F.lit(x[c]) for x in sets)), F.col("chosen") + 1).alias(c) for c in GRID]
+    return metrics(tested, also=fixed).select(*SERIES, *fixed[:3], *params, "train_expectancy_r", "trades", "win_rate", "expectancy_r", "profit_factor")
 
 
 def split(bars: DataFrame, spec: dict, share: float = 0.7) -> DataFrame:

@@ -17,7 +17,7 @@ def flat(n=60, price=100.0, side=10, hold=30.0, **changed):
 
 
 def run(b, costs=FREE):
-    out = backtest.simulate(b, costs, 1_000_000.0, 0.01)
+    out = backtest.simulated(b, costs)
     trade = out.dropna(subset=["reason"])
     return (None if trade.empty else trade.iloc[0]), out
 
