@@ -33,11 +33,8 @@ def smooth(x: np.ndarray, period: int, alpha: float) -> np.ndarray:
         start, value = known[0], x[known[0]]
     else:
         value = head.mean()
-    out[start] = value
-    for i in range(start + 1, len(x)):
-        if x[i] == x[i]:
-            value += alpha * (x[i] - value)
-        out[i] = value
+    tail = pd.Series(np.concatenate([[value], x[start + 1 :]]))
+    out[start:] = tail.ewm(alpha=alpha, adjust=False, ignore_na=True).mean()
     return out
 
 

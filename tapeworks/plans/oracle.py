@@ -109,6 +109,14 @@ def indicators() -> dict[str, str]:
     middle = lambda n: f"({highest('high', n)} + {lowest('low', n)}) / 2"
     ichi = [HOURLY, stage("a", "bars", t=f"({middle(9)})", k=f"({middle(26)})", b=f"({middle(52)})"), stage("c", "a", sa="(t + k) / 2")]
     out["ind09_ichimoku"] = select(ichi, {"ichimoku_tenkan": "t", "ichimoku_kijun": "k", "ichimoku_span_a_raw": "sa", "ichimoku_span_b_raw": "b", "ichimoku_cloud_a": lag("sa", 26), "ichimoku_cloud_b": lag("b", 26)}, "c")
+    stops = [HOURLY, stage("sb", "bars", h1=lag("high"), h2=lag("high", 2), l1=lag("low"), l2=lag("low", 2), hn=f"lead(high) OVER ({PER})", ln=f"lead(low) OVER ({PER})"),
+             "ps AS (SELECT symbol, i, CASE WHEN low - ln > greatest(0, hn - high) THEN -1 ELSE 1 END AS sgn, CASE WHEN low - ln > greatest(0, hn - high) THEN high ELSE low END AS stop, CASE WHEN low - ln > greatest(0, hn - high) THEN ln ELSE hn END AS ex, 0.02e0 AS pace FROM sb WHERE i = 0 AND hn IS NOT NULL UNION ALL "
+             "SELECT symbol, i, CASE WHEN flips THEN -sgn ELSE sgn END, CASE WHEN NOT flips THEN st WHEN sgn < 0 THEN least(ex, l1, low) ELSE greatest(ex, h1, high) END, CASE WHEN flips THEN CASE WHEN sgn > 0 THEN low ELSE high END WHEN further THEN far ELSE ex END, CASE WHEN flips THEN 0.02e0 WHEN further THEN least(pace + 0.02e0, 0.2e0) ELSE pace END FROM "
+             "(SELECT *, sgn * (CASE WHEN sgn > 0 THEN low ELSE high END - st) < 0 AS flips, sgn * (far - ex) > 0 AS further FROM "
+             "(SELECT *, CASE WHEN sgn > 0 THEN least(moved, l1, l2) ELSE greatest(moved, h1, h2) END AS st, CASE WHEN sgn > 0 THEN high ELSE low END AS far FROM "
+             "(SELECT b.*, p.sgn, p.ex, p.pace, CASE WHEN b.i > 1 THEN p.stop + p.pace * (p.ex - p.stop) ELSE p.stop END AS moved FROM ps p JOIN sb b ON b.symbol = p.symbol AND b.i = p.i + 1))))",
+             "pz AS (SELECT b.symbol, b.i, CASE WHEN b.i > 0 THEN stop END AS psar FROM bars b LEFT JOIN ps ON ps.symbol = b.symbol AND ps.i = b.i)"]
+    out["ind10_parabolic_sar"] = select(stops, {"psar": "psar"}, "pz")
     day = "(PARTITION BY symbol, CAST(ts AS DATE) ORDER BY i)"
     out["ind11_session_vwap"] = select(H, {"vwap": f"sum({TYPICAL} * volume) OVER {day} / nullif(sum(volume) OVER {day}, 0)"})
     change = stage("g", "bars", ch=f"close - {lag('close')}")
@@ -501,11 +509,29 @@ def resampling() -> dict[str, str]:
     }
 
 
-def trading() -> dict[str, str]:
+def _oscillators() -> tuple[list[str], ...]:
+    """RSI, MACD line and histogram: ``rs``, ``mc`` and ``mh`` with (symbol, i, v)."""
     rsi = [stage("rg0", "bars", ch=f"close - {lag('close')}"), *smooth("rsg", "rg0", "greatest(ch, 0) + ch * 0", 14, "(1.0 / 14)"), *smooth("rsl", "rg0", "greatest(-ch, 0) + ch * 0", 14, "(1.0 / 14)"), with_smooth("rsz", "rg0", g="rsg", l="rsl"),
            "rs AS (SELECT symbol, i, CASE WHEN l = 0 AND g = 0 THEN 50 WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END AS v FROM rsz)"]
     macd = [*smooth("m12", "bars", "close", 12, "(2.0 / 13)"), *smooth("m26", "bars", "close", 26, "(2.0 / 27)"), with_smooth("mz", "bars", f="m12", s="m26"), "mc AS (SELECT symbol, i, f - s AS v FROM mz)"]
     hist = [*smooth("m9", "mc", "v", 9, "0.2"), with_smooth("mh0", "mc", sig="m9"), "mh AS (SELECT symbol, i, v - sig AS v FROM mh0)"]
+    return rsi, macd, hist
+
+
+def signalled() -> list[str]:
+    """``sj``: each bar for each of the three specifications that the backtests' queries run, with the side of its signal."""
+    rsi, macd, hist = _oscillators()
+    return [
+        *SCALED, *rsi, *macd, *hist,
+        "sg AS (SELECT s.*, r.v AS rsi, h.v AS hist FROM sc s JOIN rs r ON r.symbol = s.symbol AND r.i = s.i JOIN mh h ON h.symbol = s.symbol AND h.i = s.i)",
+        stage("sh", "sg", f=mean("close", 20), s=mean("close", 50), l=mean("close", 200)),
+        stage("si", "sh", pf=lag("f"), ps=lag("s"), pr=lag("rsi"), ph=lag("hist")),
+        "sj AS (SELECT *, 0 AS spec_id, CASE WHEN f > s AND pf <= ps THEN 1 WHEN f < s AND pf >= ps THEN -1 END AS side FROM si UNION ALL SELECT *, 1, CASE WHEN pr < 30 AND rsi >= 30 THEN 1 WHEN pr > 70 AND rsi <= 70 THEN -1 END FROM si UNION ALL SELECT *, 2, CASE WHEN hist > 0 AND ph <= 0 AND close > l THEN 1 WHEN hist < 0 AND ph >= 0 AND close < l THEN -1 END FROM si)",
+    ]
+
+
+def trading() -> dict[str, str]:
+    rsi, macd, hist = _oscillators()
     obv = [stage("ob0", "bars", v=f"coalesce(sign(close - {lag('close')}) * volume, 0)"), f"ob AS (SELECT symbol, i, sum(v) OVER ({PER}) + first_value(volume) OVER ({PER}) AS v FROM ob0)"]
     mfi = [stage("mf0", "bars", t=TYPICAL), stage("mf1", "mf0", ch=f"t - {lag('t')}"), stage("mf2", "mf1", u="CASE WHEN ch > 0 THEN t * volume WHEN ch IS NOT NULL THEN 0 END", d="CASE WHEN ch < 0 THEN t * volume WHEN ch IS NOT NULL THEN 0 END"), stage("mf3", "mf2", us=total("u", 14), ds=total("d", 14)), "mf AS (SELECT symbol, i, 100 * us / nullif(us + ds, 0) AS v FROM mf3)"]
     div = [
@@ -539,13 +565,7 @@ def trading() -> dict[str, str]:
     rules = "ru(rule_id, condition, level, factor) AS (VALUES (0, 'price_above', 40.0, NULL), (1, 'price_below', 40.0, NULL), (2, 'cross_sma50', NULL, NULL), (3, 'cross_sma200', NULL, NULL), (4, 'ma_crossover', NULL, NULL), (5, 'unusual_volume', NULL, 1.2))"
     names = "sy AS (SELECT DISTINCT symbol FROM bars UNION ALL SELECT 'absent')"
     hit = "CASE condition WHEN 'price_above' THEN close > level AND prev <= level WHEN 'price_below' THEN close < level AND prev >= level WHEN 'cross_sma50' THEN (close - s5) * (prev - p5) < 0 WHEN 'cross_sma200' THEN (close - s20) * (prev - p20) < 0 WHEN 'ma_crossover' THEN (s5 - s20) * (p5 - p20) < 0 ELSE rv >= factor END"
-    sig = [
-        *SCALED, *rsi, *macd, *hist,
-        "sg AS (SELECT s.*, r.v AS rsi, h.v AS hist FROM sc s JOIN rs r ON r.symbol = s.symbol AND r.i = s.i JOIN mh h ON h.symbol = s.symbol AND h.i = s.i)",
-        stage("sh", "sg", f=mean("close", 20), s=mean("close", 50), l=mean("close", 200)),
-        stage("si", "sh", pf=lag("f"), ps=lag("s"), pr=lag("rsi"), ph=lag("hist")),
-        "sj AS (SELECT *, 0 AS spec_id, CASE WHEN f > s AND pf <= ps THEN 1 WHEN f < s AND pf >= ps THEN -1 END AS side FROM si UNION ALL SELECT *, 1, CASE WHEN pr < 30 AND rsi >= 30 THEN 1 WHEN pr > 70 AND rsi <= 70 THEN -1 END FROM si UNION ALL SELECT *, 2, CASE WHEN hist > 0 AND ph <= 0 AND close > l THEN 1 WHEN hist < 0 AND ph >= 0 AND close < l THEN -1 END FROM si)",
-    ]
+    sig = signalled()
     say = lambda ctes, rest: f"WITH RECURSIVE {', '.join(ctes)} SELECT {rest}"
     return {
         "div01_divergences": say(div, f"symbol, indicator, {kind} AS type, idx1, idx AS idx2, round(v1, 6) AS ind1, round(v, 6) AS ind2, confirmed_idx AS signal_i, round(25 * least(abs(di), 2) + 50 * least(abs(dp), 3) / 3, 6) AS strength FROM dx WHERE abs(dp) >= 0.25 AND abs(di) >= 0.15 AND dp * di < 0"),
