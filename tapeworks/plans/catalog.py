@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapeworks.plans import book, indicators, market, oracle, shapes, trading
+from tapeworks.plans import book, frame, indicators, market, oracle, shapes, trading
 
 FLAGSHIP = indicators.QUERIES["ind23_bollinger"]
 
@@ -12,4 +12,4 @@ def queries() -> dict[str, indicators.Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**oracle.indicators(), **oracle.swings(), **oracle.candles(), **oracle.patterns(), **oracle.structure(), **oracle.resampling(), **oracle.trading(), **oracle.harmonics(), **oracle.levels(), **oracle.timeframes(), **oracle.impulses(), **oracle.alerts(), **book.backtests()}
+    return {**oracle.indicators(), **oracle.swings(), **oracle.candles(), **oracle.patterns(), **oracle.structure(), **oracle.resampling(), **oracle.trading(), **oracle.harmonics(), **oracle.levels(), **oracle.timeframes(), **oracle.impulses(), **oracle.alerts(), **book.backtests(), **frame.frames()}

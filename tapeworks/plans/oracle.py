@@ -197,10 +197,28 @@ FRACTALS = [
 ]
 
 
+#: Peaks of closes and of their negatives: the middle of a flat top; of two that are under three bars apart (so two bars) the
+#: higher stays, the later if equal. Down a slope of such peaks every other one stays, so a count of steps to the top decides.
+PEAKS = [
+    *SCALED, "pa AS (SELECT symbol, i, z.sgn, z.sgn * close AS y FROM bars, (VALUES (1), (-1)) z(sgn))", "pb AS (SELECT *, coalesce(y <> lag(y) OVER (PARTITION BY symbol, sgn ORDER BY i), true) AS new FROM pa)",
+    "pc AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, sgn ORDER BY i) AS flat FROM pb)", "pd AS (SELECT symbol, sgn, flat, any_value(y) AS y, (min(i) + max(i)) // 2 AS p FROM pc GROUP BY symbol, sgn, flat)",
+    "pe AS (SELECT * FROM pd WINDOW q AS (PARTITION BY symbol, sgn ORDER BY flat) QUALIFY y > lag(y) OVER q AND y > lead(y) OVER q)",
+    "pf AS (SELECT *, row_number() OVER q AS k, coalesce(p - lag(p) OVER q < 3 AND lag(y) OVER q > y, false) AS lower_than_left, coalesce(lead(p) OVER q - p < 3 AND lead(y) OVER q >= y, false) AS lower_than_right FROM pe WINDOW q AS (PARTITION BY symbol, sgn ORDER BY p))",
+    "pg AS (SELECT *, k - max(CASE WHEN NOT lower_than_left THEN k END) OVER (q) AS from_left, min(CASE WHEN NOT lower_than_right THEN k END) OVER (q ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - k AS from_right FROM pf WINDOW q AS (PARTITION BY symbol, sgn ORDER BY k))",
+    "ph AS (SELECT * FROM pg WHERE from_left % 2 = 0 AND from_right % 2 = 0)",
+    "pi AS (SELECT ph.symbol, ph.sgn, ph.p, any_value(ph.y) AS y, max(a.i) FILTER (a.i < p AND a.y > ph.y) AS l, min(a.i) FILTER (a.i > p AND a.y > ph.y) AS r FROM ph JOIN pa a ON a.symbol = ph.symbol AND a.sgn = ph.sgn GROUP BY ph.symbol, ph.sgn, ph.p)",
+    "pj AS (SELECT pi.symbol, pi.sgn, p, any_value(pi.y) AS y, min(a.y) FILTER (a.i <= p) AS vl, min(a.y) FILTER (a.i >= p) AS vr FROM pi JOIN pa a ON a.symbol = pi.symbol AND a.sgn = pi.sgn AND a.i > coalesce(l, -1) AND (r IS NULL OR a.i < r) GROUP BY pi.symbol, pi.sgn, p)",
+    "pk AS (SELECT pj.* FROM pj JOIN (SELECT symbol, greatest(2 * median(a), 1e-9) AS least FROM sc GROUP BY symbol) m USING (symbol) WHERE y - greatest(vl, vr) >= least)",
+    "pl AS (SELECT *, coalesce(sgn <> lag(sgn) OVER (PARTITION BY symbol ORDER BY p), true) AS turns FROM pk)", "pm AS (SELECT *, sum(CASE WHEN turns THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY p) AS leg FROM pl)",
+    "pn AS (SELECT *, row_number() OVER (PARTITION BY symbol, leg ORDER BY y DESC, p) AS place FROM pm)",
+]
+
+
 def swings() -> dict[str, str]:
     trend = "recent AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY idx DESC, kind DESC) AS place FROM labels)"
     counted = "counted AS (SELECT symbol, count(label) AS n, count(*) FILTER (label IN ('HH', 'HL')) AS up, count(*) FILTER (label IN ('LH', 'LL')) AS down FROM recent WHERE place <= 4 GROUP BY symbol)"
     return {
+        "swg03_peaks": f"WITH RECURSIVE {', '.join(PEAKS)} SELECT symbol, p AS idx, round(sgn * y, 6) AS price, CASE WHEN sgn > 0 THEN 'H' ELSE 'L' END AS kind FROM pn WHERE place = 1",
         "swg01_zigzag": f"WITH RECURSIVE {', '.join(ZIGZAG)} SELECT symbol, k, idx, round(price, 6) AS price, kind, confirmed_idx, provisional FROM zigzag",
         "swg02_fractals": f"WITH {', '.join(FRACTALS)} SELECT symbol, idx, round(price, 6) AS price, kind, confirmed_idx FROM swings",
         "swg07_labels": f"WITH {', '.join(FRACTALS)} SELECT symbol, idx, kind, label FROM labels",
