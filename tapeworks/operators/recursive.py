@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -93,12 +94,13 @@ def directional(b: dict[str, np.ndarray], period: int = 14) -> tuple[np.ndarray,
 
 def supertrend(b: dict[str, np.ndarray], period: int = 10, width: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
     """The trailing band in force, and 1 or -1 for the side it is on; 0 before the true range is known."""
-    reach, middle, close = width * wilder(true_range(b), period), (b["high"] + b["low"]) / 2, b["close"]
-    line, side = np.full(len(close), NAN), np.zeros(len(close))
+    reach, middle = width * wilder(true_range(b), period), (b["high"] + b["low"]) / 2
+    line, side = np.full(len(reach), NAN), np.zeros(len(reach))
+    upper, lower, close = (middle + reach).tolist(), (middle - reach).tolist(), b["close"].tolist()
     above = below = NAN
     now = 0
-    for i in np.flatnonzero(~np.isnan(reach)):
-        hi, lo = middle[i] + reach[i], middle[i] - reach[i]
+    for i in np.flatnonzero(~np.isnan(reach)).tolist():
+        hi, lo = upper[i], lower[i]
         if not now:
             above, below, now = hi, lo, 1
         else:
@@ -111,7 +113,7 @@ def supertrend(b: dict[str, np.ndarray], period: int = 10, width: float = 3.0) -
 
 def parabolic(b: dict[str, np.ndarray], step: float = 0.02, most: float = 0.2) -> np.ndarray:
     """Stop and reverse: the stop moves by a growing share towards the extreme, within the last two bars' range."""
-    high, low = b["high"], b["low"]
+    high, low = b["high"].tolist(), b["low"].tolist()
     out = np.full(len(high), NAN)
     if len(high) < 2:
         return out
@@ -122,12 +124,12 @@ def parabolic(b: dict[str, np.ndarray], step: float = 0.02, most: float = 0.2) -
         if i > 1:
             stop += pace * (extreme - stop)
         inner = near[max(0, i - 2) : i]
-        stop = min(stop, inner.min()) if sign > 0 else max(stop, inner.max())
+        stop = min(stop, *inner) if sign > 0 else max(stop, *inner)
         if sign * (near[i] - stop) < 0:
             sign, far, near = -sign, near, far
             stop, extreme, pace = extreme, far[i], step
             edge = near[i - 1 : i + 1]
-            stop = min(stop, edge.min()) if sign > 0 else max(stop, edge.max())
+            stop = min(stop, *edge) if sign > 0 else max(stop, *edge)
         elif sign * (far[i] - extreme) > 0:
             extreme, pace = far[i], min(pace + step, most)
         out[i] = stop
@@ -157,18 +159,19 @@ def recursive(bars: DataFrame, *columns: str) -> DataFrame:
     used = {names: f for names, f in KERNELS.items() if set(names) & set(columns)}
     inputs = ["open", "high", "low", "close"]
 
-    def run(series: pd.DataFrame) -> pd.DataFrame:
-        series = series.sort_values("i")
-        b = {c: series[c].to_numpy(float) for c in inputs}
+    def run(series: pa.Table) -> pa.Table:
+        series = series.sort_by("i")
+        b = {c: series[c].cast(pa.float64()).to_numpy() for c in inputs}
+        found = {}
         for names, f in used.items():
             values = f(b)
-            for name, x in zip(names, values if isinstance(values, tuple) else (values,), strict=True):
-                if name in columns:
-                    series[name] = x
+            found |= dict(zip(names, values if isinstance(values, tuple) else (values,), strict=True))
+        for name in columns:
+            series = series.append_column(name, pa.array(found[name], pa.float64(), from_pandas=True))
         return series
 
     schema = T.StructType([*bars.schema.fields, *(T.StructField(c, T.DoubleType()) for c in columns)])
-    return bars.groupBy(*SERIES).applyInPandas(run, schema)
+    return bars.groupBy(*SERIES).applyInArrow(run, schema)
 
 
 SWINGS = "symbol string, timeframe string, k int, idx int, price double, kind string, confirmed_idx int, provisional boolean"
@@ -180,7 +183,7 @@ def turns(b: dict[str, np.ndarray], a: np.ndarray, width: float = 2.0) -> list[t
     A turn is confirmed at the bar that is ``width`` scales away from it. An equal or further extreme moves the turn
     on, and does so rather than confirm on the same bar. The running extreme comes last, as provisional.
     """
-    high, low, out = b["high"], b["low"], []
+    high, low, least, out = b["high"].tolist(), b["low"].tolist(), (width * a).tolist(), []
     at = {"H": 0, "L": 0}
     seeking = ""
     for i in range(1, len(high)):
@@ -189,14 +192,14 @@ def turns(b: dict[str, np.ndarray], a: np.ndarray, width: float = 2.0) -> list[t
                 at["H"] = i
             if low[i] < low[at["L"]]:
                 at["L"] = i
-            if high[at["H"]] - low[at["L"]] >= width * a[i] and at["H"] != at["L"] and i in at.values():
+            if high[at["H"]] - low[at["L"]] >= least[i] and at["H"] != at["L"] and i in at.values():
                 first, seeking = ("L", "H") if at["H"] > at["L"] else ("H", "L")
                 out.append((at[first], (low if first == "L" else high)[at[first]], first, i, False))
             continue
         sign, far, near = (1, high, low) if seeking == "H" else (-1, low, high)
         if sign * (far[i] - far[at[seeking]]) >= 0:
             at[seeking] = i
-        elif sign * (far[at[seeking]] - near[i]) >= width * a[i]:
+        elif sign * (far[at[seeking]] - near[i]) >= least[i]:
             out.append((at[seeking], far[at[seeking]], seeking, i, False))
             seeking = "L" if seeking == "H" else "H"
             at[seeking] = i
