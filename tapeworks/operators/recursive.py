@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tapeworks.sources.bars import SERIES
 
@@ -168,9 +169,10 @@ def recursive(bars: DataFrame, *columns: str) -> DataFrame:
             found |= dict(zip(names, values if isinstance(values, tuple) else (values,), strict=True))
         for name in columns:
             series = series.append_column(name, pa.array(found[name], pa.float64(), from_pandas=True))
-        return series
+        return pa.table([series[f.name].cast(f.type) for f in kinds], schema=kinds)  # times of the session's zone go back as UTC
 
     schema = T.StructType([*bars.schema.fields, *(T.StructField(c, T.DoubleType()) for c in columns)])
+    kinds = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
     return bars.groupBy(*SERIES).applyInArrow(run, schema)
 
 

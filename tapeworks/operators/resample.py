@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.sources.bars import indexed
+from tapeworks.sources.bars import floored, indexed, midnight
 
 #: Minutes of the timeframes from fine to coarse.
 MINUTES = {"5m": 5, "15m": 15, "1h": 60, "1d": 1440, "1w": 10080, "1M": 43200}
@@ -23,14 +23,12 @@ def bucket(target: str) -> Column:
     """The start, for weeks (to Friday) and months the last day, of the period that ``ts`` is in."""
     ts = F.col("ts")
     if target == "1d":
-        return F.date_trunc("day", ts)
+        return midnight(ts)
     if target == "1w":
         return F.next_day(F.date_sub(F.to_date(ts), 1), "FRI").cast("timestamp_ntz")
     if target == "1M":
         return F.last_day(F.to_date(ts)).cast("timestamp_ntz")
-    minutes = MINUTES[target]
-    past = F.hour(ts) * 60 + F.minute(ts)
-    return F.date_trunc("day", ts) + F.make_dt_interval(F.lit(0), F.lit(0), (past - past % minutes).cast("int"))
+    return floored(ts, MINUTES[target])
 
 
 def resample(bars: DataFrame, source: str, target: str) -> DataFrame:
@@ -42,5 +40,5 @@ def resample(bars: DataFrame, source: str, target: str) -> DataFrame:
         raise ValueError(f"{source} bars can't be made {target} bars")
     grouped = bars.where(F.col("timeframe") == source).withColumn("_b", bucket(target)).groupBy("symbol", "_b")
     out = grouped.agg(F.min("ts").alias("ts"), F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume"))
-    ts = F.date_trunc("day", "ts") if target in ("1w", "1M") else F.col("ts")
+    ts = midnight(F.col("ts")) if target in ("1w", "1M") else F.col("ts")
     return indexed(out.drop("_b").withColumns({"ts": ts, "timeframe": F.lit(target)}))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.operators.resample import MINUTES
-from tapeworks.sources.bars import SERIES, indexed
+from tapeworks.sources.bars import SERIES, indexed, midnight, seconds
 
 # The names that columns may come under.
 ALIASES = {
@@ -39,7 +39,7 @@ def checked(raw: DataFrame, order: str = "position") -> DataFrame:
     """
     numbers = {c: F.expr(f"try_cast({c} AS DOUBLE)") for c in ("open", "high", "low", "close", "volume")}
     ts = F.expr("try_cast(timestamp AS TIMESTAMP_NTZ)")
-    b = raw.withColumns({**numbers, "ts": F.when(F.col("timeframe").isin("1d", "1w", "1M"), F.date_trunc("day", ts)).otherwise(ts)})
+    b = raw.withColumns({**numbers, "ts": F.when(F.col("timeframe").isin("1d", "1w", "1M"), midnight(ts)).otherwise(ts)})
     # rows without a time are dealt by their place, so that a broken file is not one task's
     twin = F.row_number().over(Window.partitionBy(*SERIES, "ts", F.when(F.col("ts").isNull(), F.col(order))).orderBy(F.desc(order)))
     o, h, l, c = (F.col(x) for x in ("open", "high", "low", "close"))  # noqa: E741
@@ -63,7 +63,7 @@ def report(raw: DataFrame, order: str = "position", holidays: DataFrame | None =
     good = clean(raw, order)
     w = Window.partitionBy(*SERIES).orderBy("i")
     minutes = F.create_map(*(F.lit(x) for pair in MINUTES.items() for x in pair))
-    step = (F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.lag("ts").over(w).cast("timestamp"))) / 60
+    step = (seconds(F.col("ts")) - F.lag(seconds(F.col("ts"))).over(w)) / 60
     good = good.withColumns({"jump": F.abs(F.col("open") / F.lag("close").over(w) - 1) > 0.3, "gap": (step > 1.5 * minutes[F.col("timeframe")]) & (F.to_date("ts") == F.to_date(F.lag("ts").over(w)))})
     stats = good.groupBy(*SERIES).agg(
         F.count("*").alias("rows_out"), F.count_if("jump").alias("jumps"), F.count_if("gap").alias("gaps"), F.count_if(F.col("volume") == 0).alias("zero_volume_bars"), (F.count("volume") > 0).alias("has_volume"),
@@ -95,8 +95,7 @@ def freshness(bars: DataFrame, as_of: str, most_days: float | None = None, close
     session = F.to_timestamp_ntz(F.concat_ws(" ", day.cast("string"), F.when(F.weekday(day) == 4, friday_closes).otherwise(closes)))
     until = (c("last_ts") + F.make_dt_interval(mins=F.try_element_at(minutes, "timeframe"))).cast("timestamp_ntz")
     complete = F.when(c("timeframe").isin("1d", "1w"), now >= session).when(c("timeframe") == "1M", F.to_date(now) > F.last_day("last_ts")).otherwise(now >= until)
-    seconds = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(c("last_ts").cast("timestamp"))
-    days = seconds / 86400
+    days = (seconds(now) - seconds(c("last_ts"))) / 86400
     return last.select(*SERIES, "last_ts", complete.alias("last_complete"), F.round(days, 2).alias("staleness_days"), (days > most_days if most_days is not None else F.lit(False)).alias("stale"))
 
 

@@ -11,13 +11,13 @@ from tapeworks.operators import levels, structure
 from tapeworks.operators.recursive import recursive, zigzag
 from tapeworks.operators.resample import resample
 from tapeworks.plans.indicators import Query, shown
-from tapeworks.sources.bars import daily_trades, five_minute_events, hourly_events
+from tapeworks.sources.bars import daily_trades, five_minute_events, hourly_events, minute_text
 from tapeworks.streaming.bars import streamed_bars
 
 
 def candles(bars: DataFrame) -> DataFrame:
     """Eight decimals, which no quotient of a price in cents and a quantity of up to 50 has half of."""
-    at = F.date_format("ts", "yyyy-MM-dd HH:mm").alias("at")
+    at = minute_text(F.col("ts")).alias("at")
     return bars.select("symbol", "i", at, *(F.round(c, 8).alias(c) for c in ("open", "high", "low", "close", "volume")))
 
 
@@ -39,5 +39,5 @@ QUERIES: dict[str, Query] = {
     "str05_range_traps": of_structure(structure.range_traps, "type", "i", "low", "high"),
     "lvl08_auxiliary": lambda spark, d: shown(levels.auxiliary(hourly_events(spark, d)), "kind", "price", keys=("symbol",)),
     "lvl09_volume_at_price": lambda spark, d: shown(levels.volume_at_price(hourly_events(spark, d)), "price", "volume", keys=("symbol",)),
-    "src_streamed_bars": lambda spark, d: streamed_bars(spark, d).select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("at"), *(F.round(c, 8).alias(c) for c in ("open", "high", "low", "close", "volume"))),
+    "src_streamed_bars": lambda spark, d: streamed_bars(spark, d).select("symbol", minute_text(F.col("ts")).alias("at"), *(F.round(c, 8).alias(c) for c in ("open", "high", "low", "close", "volume"))),
 }

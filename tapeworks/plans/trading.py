@@ -9,7 +9,7 @@ from tapeworks.operators import alerts, analysis, backtest, divergence, indicato
 from tapeworks.operators.recursive import recursive, zigzag
 from tapeworks.operators.resample import resample
 from tapeworks.plans.indicators import Query, shown
-from tapeworks.sources.bars import daily_trades, hourly_events, line_trades
+from tapeworks.sources.bars import daily_trades, floored, hourly_events, line_trades, minute_text
 
 STRATEGIES = [{"kind": "sma_cross", "allow_short": True}, {"kind": "rsi_recovery", "allow_short": True}, {"kind": "macd_cross", "allow_short": True, "trend_filter": True}]
 
@@ -31,7 +31,7 @@ def fib01(spark, sf_dir) -> DataFrame:
 def raw_candles(spark, sf_dir) -> DataFrame:
     """Each event as a candle of its hour, so that most hours have several, and later ones of a user stand below zero."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    hour = F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm:ss")
+    hour = floored(F.col("ts").cast("timestamp_ntz"), 60).cast("string")
     price = F.col("value") - F.when(F.col("user_id") % 10 == 0, 100.0).otherwise(0.0)
     return e.select(F.col("event_type").alias("symbol"), F.lit("1h").alias("timeframe"), F.when(F.col("event_id") % 50 == 0, "soon").otherwise(hour).alias("Date"), price.alias("O"), (price + 1).alias("High "), (price - 1).alias("low"), price.alias("Price"), F.lit(1.0).alias("Vol"), F.col("event_id").alias("position"))
 
@@ -42,7 +42,7 @@ def val14(spark, sf_dir) -> DataFrame:
 
 def val07(spark, sf_dir) -> DataFrame:
     bars = validation.clean(validation.named(raw_candles(spark, sf_dir)))
-    return shown(bars.withColumn("at", F.date_format("ts", "yyyy-MM-dd HH:mm")), "at", "open", "high", "low", "close", "volume")
+    return shown(bars.withColumn("at", minute_text(F.col("ts"))), "at", "open", "high", "low", "close", "volume")
 
 
 def alr(spark, sf_dir) -> DataFrame:
@@ -112,7 +112,7 @@ def alr05(spark, sf_dir) -> DataFrame:
 def val12(spark, sf_dir) -> DataFrame:
     """Seen at noon of a Friday a week after the last trades; the events begin long after it."""
     bars = timeframes(spark, sf_dir).unionByName(hourly_events(spark, sf_dir))
-    return validation.freshness(bars, "2001-11-09 12:00:00", 5).select("symbol", "timeframe", F.date_format("last_ts", "yyyy-MM-dd HH:mm").alias("last"), "last_complete", "staleness_days", "stale")
+    return validation.freshness(bars, "2001-11-09 12:00:00", 5).select("symbol", "timeframe", minute_text(F.col("last_ts")).alias("last"), "last_complete", "staleness_days", "stale")
 
 
 def _parts(spark, sf_dir) -> dict[str, DataFrame]:

@@ -9,13 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tapeworks.session import shared_folder
+from tapeworks.sources.bars import as_utc, of_utc
+
 
 def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of (symbol, ts, price, seq)."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     # as a pattern the path may be a file or a folder of part files; without one a stream takes folders only
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
-    return stream.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.col("event_id").alias("seq"))
+    return stream.select(F.col("event_type").alias("symbol"), as_utc(F.col("ts").cast("timestamp_ntz")).alias("ts"), F.col("value").alias("price"), F.col("event_id").alias("seq"))
 
 
 def closed_bars(ticks: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -39,9 +42,6 @@ def alert_stream(bars: DataFrame, rule: Column, deliver: Callable[[DataFrame, in
 
 def streamed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hourly bars that a stream of all events closes, read back from the shared folder."""
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    base = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     run_to_end(closed_bars(event_ticks(spark, sf_dir)), f"{base}/bars", f"{base}/state")
-    return spark.read.parquet(f"{base}/bars")
+    return spark.read.parquet(f"{base}/bars").withColumn("ts", of_utc(F.col("ts")))
