@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding by a table of distinct chunks (operator 11).
 
 The mark of a blank only begins pieces, so no merge crosses from a letter to a mark: each marked word of a normalised
-text is cut into pieces by itself. A task segments each distinct one once, keeps its ids in a table, and joins the ids
-back by the words' positions. Decoding turns that round: ids are cut before each piece that begins with a mark, and each
-distinct run of them is decoded once.
+text is cut into pieces by itself, and so are its parts where no piece of the vocabulary holds both letters beside a cut.
+A task segments each distinct one once, keeps its ids in a table, and joins the ids back by the chunks' positions.
+Decoding has nothing to search and is the library's own.
 """
 
 from __future__ import annotations
@@ -11,10 +11,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,17 +23,19 @@ from pyspark.sql import types as T
 from .common import by_bytes, fresh
 
 MARK = "▁"
-CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: A letter that no piece holds beside another. What the library puts before a text then stays apart from the chunk behind it.
 GUARD = "\n"
 #: Chunks, and letters in them, that a task's table may have before it is begun anew. Chunks over LONG letters are cut further.
-MOST, MOST_LETTERS, LONG = 600_000, 16_000_000, 40
+MOST, MOST_LETTERS, LONG = 600_000, 8_000_000, 40
+#: Words are cut before these signs too, and those that stand before one of them inside a piece, unless the latter are too many.
+SIGNS, MOST_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", 64
 #: Texts on which words by themselves must give what the library gives for the whole; a model that fails is run on whole texts.
 PROBES = ("", " ", "a  b ", "  a", "\n x\t y \r\n", "née 漢字 😀\x00", f"{MARK}a {MARK}", "</s> <0x41> <unk>", "x" * 100, "ＡＢ ﬁ　x", "漢" * 50 + " 漢")
 
 
 class Segmenter:
-    """Ids of texts and texts of ids, equal to those of the SentencePiece model in ``path``."""
+    """Ids of texts, equal to those of the SentencePiece model in ``path``."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -43,41 +46,45 @@ class Segmenter:
         plain = [p for i, p in enumerate(pieces) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         #: Neighbours inside some piece: between any others no merge is possible.
         self.pairs = {p[i : i + 2] for p in plain for i in range(len(p) - 1)}
-        self.control = np.array([sp.is_control(i) for i in range(n)])
-        self.marked = np.array([p.startswith(MARK) and not c for p, c in zip(pieces, self.control, strict=True)])
+        beside = {letter for pair in self.pairs for letter in pair}
+        alone = "".join(c for c in GUARD + "\t0123456789" if c not in beside)
+        signs = set(SIGNS)
+        while len(signs) <= MOST_SIGNS and (more := {p[0] for p in self.pairs if p[1] in signs and p[0] != MARK} - signs):
+            signs |= more
+        shown = re.escape("".join(sorted(signs)))
+        other = f"[^{shown}{MARK}{alone}]"
+        parts = rf"[{alone}]|{MARK}+[{shown}]*{other}*|[{shown}]+{other}*|{other}+"
+        self.chunk = re.compile(parts) if alone and len(signs) <= MOST_SIGNS else WORD
         self.clear()
-        self.heads: dict[bytes, str] = {}
-        self.rest: dict[bytes, str] = {}
         self.by_chunk = any(sp.is_byte(i) for i in range(n)) and not any(sp.is_unused(i) for i in range(n)) and all(MARK not in p.lstrip(MARK) for p in plain)
         self.by_chunk = self.by_chunk and all(GUARD not in p for p in plain)
         self.guard = len(sp.encode(GUARD))
-        self.by_chunk = self.by_chunk and self._ids(list(PROBES)) == [sp.encode(t) for t in PROBES]
-        self.rejoins = all("".join(self._decoded([sp.encode(t)])) == sp.decode(sp.encode(t)) for t in PROBES)
+        if self.by_chunk:
+            ids, ends = self.encode(list(PROBES), end=False)
+            self.by_chunk = [x.tolist() for x in np.split(ids, ends[:-1])] == [sp.encode(t) for t in PROBES]
 
     def clear(self) -> None:
         self.table: dict[str | None, int] = {}
         self.pool, self.starts, self.letters = np.zeros(0, np.int32), np.zeros(1, np.int64), 0
 
-    def _cut(self, text: str) -> list[str]:
-        """The chunks of a text: marked words, and long ones cut wherever no piece holds both neighbours."""
-        found = CHUNK.findall(self.whole.normalize(text))
-        if max(map(len, found), default=0) <= LONG:
-            return found
-        out: list[str] = []
-        for chunk in found:
-            if len(chunk) <= LONG:
-                out.append(chunk)
-                continue
-            at = [i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in self.pairs]
-            out += [chunk[a:b] for a, b in zip([0, *at], [*at, len(chunk)], strict=True)]
-        return out
-
-    def _segment(self, chunks: list[str | None], ids: list[list[int]]) -> None:
+    def _parts(self, chunk: str) -> list[str]:
+        """A long chunk, cut wherever no piece holds both neighbours."""
+        at = [i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in self.pairs]
+        return [chunk[a:b] for a, b in zip([0, *at], [*at, len(chunk)], strict=True)]
+
+    def _segment(self, chunks: list[str]) -> None:
+        """Put chunks into the table; the end id is there from the beginning, under None."""
+        if not self.table:
+            self.table[None] = 0
+            self.pool, self.starts = np.array([self.whole.eos_id()], np.int32), np.array([0, 1])
+        parts = [[c] if len(c) <= LONG else self._parts(c) for c in chunks]
+        encoded = iter(self.whole.encode([GUARD + x for part in parts for x in part], num_threads=1))
+        ids = [list(chain.from_iterable(next(encoded)[self.guard :] for _ in part)) for part in parts]
         known = len(self.table)
         self.table.update(zip(chunks, range(known, known + len(chunks)), strict=True))
         self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.int32)])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)])
-        self.letters += sum(len(c) for c in chunks if c)
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(list(map(len, ids)), dtype=np.int64)])
+        self.letters += sum(map(len, chunks))
 
     def encode(self, texts: list[str], end: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where those of each end), the end id behind each text if ``end``."""
@@ -87,51 +94,24 @@ class Segmenter:
         if len(self.table) > MOST or self.letters > MOST_LETTERS:
             self.clear()
         if not self.table:
-            self._segment([None], [[self.whole.eos_id()]])
-        found = [[*self._cut(t), None] if end else self._cut(t) for t in texts]
-        new = list(set().union(*found).difference(self.table))
-        if new:
-            self._segment(new, [ids[self.guard :] for ids in self.whole.encode([GUARD + c for c in new], num_threads=1)])
-        places = np.cumsum([len(x) for x in found], dtype=np.int64)
-        which = np.fromiter(map(self.table.__getitem__, chain.from_iterable(found)), np.int64, int(places[-1]) if len(places) else 0)
+            self._segment([])
+        chunks: list[str | None] = []
+        places = []
+        for text in texts:
+            chunks += self.chunk.findall(self.whole.normalize(text))
+            if end:
+                chunks.append(None)
+            places.append(len(chunks))
+        which = np.fromiter(map(self.table.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(which < 0)
+        if len(missing):
+            absent = [chunks[i] for i in missing.tolist()]
+            self._segment(list(set(absent)))
+            which[missing] = [self.table[c] for c in absent]
         first, n = self.starts[which], self.starts[which + 1] - self.starts[which]
         ends = np.cumsum(n)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - n), n)
-        return self.pool[at], np.concatenate([[0], ends])[places]
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        self.by_chunk = True
-        ids, ends = self.encode(texts, end=False)
-        return [x.tolist() for x in np.split(ids, ends[:-1])]
-
-    def _look_up(self, table: dict[bytes, str], keys: list[bytes], blank: str) -> list[str]:
-        new = list(set(keys).difference(table))
-        if new:
-            if len(table) + len(new) > MOST or sum(map(len, new)) > MOST_LETTERS:
-                table.clear()
-                new = list(set(keys))
-            texts = self.whole.decode([np.frombuffer(k, np.int32).tolist() for k in new], num_threads=1)
-            table.update(zip(new, (blank + t for t in texts), strict=True))
-        return [table[k] for k in keys]
-
-    def _decoded(self, rows: list[list[int]]) -> list[str]:
-        """A row's first run reaches to the first marked piece behind its first id that is no control; the others begin with one."""
-        heads, rest, counts = [], [], []
-        for row in rows:
-            ids = np.array(row, np.int32)
-            raw = ids.tobytes()
-            shown = np.flatnonzero(~self.control[ids])
-            at = np.flatnonzero(self.marked[ids])
-            at = at[at > shown[0]].tolist() if len(shown) else []
-            edges = [*at, len(ids)]
-            heads.append(raw[: 4 * edges[0]])
-            rest += [raw[4 * a : 4 * b] for a, b in zip(edges, edges[1:], strict=False)]
-            counts.append(len(at))
-        first, others = self._look_up(self.heads, heads, ""), iter(self._look_up(self.rest, rest, " "))
-        return [head + "".join(next(others) for _ in range(n)) for head, n in zip(first, counts, strict=True)]
-
-    def decode(self, rows: list[list[int]]) -> list[str]:
-        return self._decoded(rows) if self.rejoins else self.whole.decode(rows, num_threads=1)
+        return self.pool[at], np.concatenate([[0], ends])[np.array(places, np.int64)]
 
 
 @cache
@@ -139,6 +119,16 @@ def segmenter(path: str) -> Segmenter:
     return Segmenter(path)
 
 
+def _by_ids(batch: pa.RecordBatch, column: int, most: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batch`` in slices that hold at most ``most`` ids (or are one row)."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy())
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", end: bool = True) -> DataFrame:
     """(doc_id, ids): a row for each of ``docs``, with the ids that the library gives for the whole text, and an end id.
 
@@ -148,7 +138,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = segmenter(model_path)
-        for part in by_bytes(batches, 1):
+        for part in by_bytes(batches, 1, 2_000_000):
             ids, ends = found.encode([t or "" for t in part.column(1).to_pylist()], end)
             yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids))], names=["doc_id", "ids"])
 
@@ -165,18 +155,13 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", name: str = "
     rows = rows.withColumn(ids_col, F.col(ids_col).cast("array<int>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = segmenter(model_path)
+        sp = segmenter(model_path).whole
         for batch in batches:
-            sizes = np.cumsum([0, *(4 * len(x) if x.is_valid else 0 for x in batch.column(at))])
-            low = 0
-            while low < batch.num_rows:
-                high = max(low + 1, int(np.searchsorted(sizes, sizes[low] + 4_000_000, "right")) - 1)
-                part = batch.slice(low, high - low)
+            for part in _by_ids(batch, at):
                 ids = part.column(at).to_pylist()
-                texts = found.decode([[i for i in x or () if i is not None] for x in ids])
-                texts = [None if x is None else t for x, t in zip(ids, texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, name])
-                low = high
+                texts = sp.decode([[i for i in x or () if i is not None] for x in ids], num_threads=1)
+                texts = pa.array([None if x is None else t for x, t in zip(ids, texts, strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, name])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.StringType())]))
 

@@ -136,7 +136,7 @@ def _repair_sql() -> str:
     rows = f"(SELECT r.conv, r.k, {', '.join(f'{taken(q)} AS b{q}' for q in range(4))} FROM rest x JOIN numbered r ON r.conv = x.conv AND r.k = x.k - 1)"
     none = "{'c': 0, 'a': '', 't': ''}"
     start = nested.replace("took", f"(SELECT conv, n + 1 AS k, {none} AS b0, {{'c': 1000000000, 'a': '~', 't': ''}} AS b1, {{'c': 1000000000, 'a': '~', 't': ''}} AS b2, {none} AS b3 FROM sizes)")
-    return f"""
+    return rf"""
 WITH RECURSIVE bits AS (SELECT list(list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
 shown AS (SELECT conv_id AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')) AS key FROM conversations),
 hashed AS (SELECT conv, turn, role, text, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 AS kind FROM shown, bits),

@@ -17,16 +17,14 @@ def library():
 
 def test_the_model_goes_by_chunks():
     found = pieces.Segmenter(PATH)
-    assert found.by_chunk and found.rejoins
+    assert found.by_chunk and found.chunk is not pieces.WORD
 
 
-def test_random_texts_and_ids(library):
+def test_random_texts(library):
     rng, found = random.Random(1), pieces.Segmenter(PATH)
     for _ in range(3000):
-        text = "".join(rng.choice(" ▁ab\n\té漢😀<s>/0x1eth\x00") for _ in range(rng.randint(0, 120)))
+        text = "".join(rng.choice(" ▁ab\n\té漢😀<s>/0x1eth\x00.,²’”!1") for _ in range(rng.randint(0, 120)))
         assert found.encode([text], end=False)[0].tolist() == library.encode(text)
-        ids = [rng.choice([0, 1, 2, 3, 70, 230, 130, 264, 1318, 28705, 259, 13]) if rng.random() < 0.7 else rng.randrange(32000) for _ in range(rng.randint(0, 30))]
-        assert found.decode([ids]) == [library.decode(ids)]
 
 
 def test_small_tables_and_whole_texts_give_the_same(monkeypatch, library):
@@ -34,12 +32,11 @@ def test_small_tables_and_whole_texts_give_the_same(monkeypatch, library):
     want = [library.encode(t) + [2] for t in texts]
     small, whole = pieces.Segmenter(PATH), pieces.Segmenter(PATH)
     monkeypatch.setattr(pieces, "MOST", 50)
-    whole.by_chunk = whole.rejoins = False
+    whole.by_chunk = False
     for found in (small, whole):
         for low in range(0, 200, 20):
             ids, ends = found.encode(texts[low : low + 20])
             assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends, strict=False)] == want[low : low + 20]
-            assert found.decode(want[low : low + 20]) == texts[low : low + 20]
 
 
 def test_awkward_rows(spark, awkward, nothing, library):
