@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from tapeworks.plans import book, frame, indicators, market, oracle, shapes, trading
+from tapeworks.plans import book, drawings, frame, indicators, market, oracle, shapes, trading
 
 FLAGSHIP = indicators.QUERIES["ind23_bollinger"]
 
 
 def queries() -> dict[str, indicators.Query]:
-    return {**indicators.QUERIES, **shapes.QUERIES, **market.QUERIES, **trading.QUERIES}
+    return {**indicators.QUERIES, **shapes.QUERIES, **market.QUERIES, **trading.QUERIES, **drawings.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**oracle.indicators(), **oracle.swings(), **oracle.candles(), **oracle.patterns(), **oracle.structure(), **oracle.resampling(), **oracle.trading(), **oracle.harmonics(), **oracle.levels(), **oracle.timeframes(), **oracle.impulses(), **oracle.alerts(), **book.backtests(), **frame.frames()}
+    return {**drawings.sql(), **oracle.indicators(), **oracle.swings(), **oracle.candles(), **oracle.patterns(), **oracle.structure(), **oracle.resampling(), **oracle.trading(), **oracle.harmonics(), **oracle.levels(), **oracle.timeframes(), **oracle.impulses(), **oracle.alerts(), **book.backtests(), **frame.frames()}
