@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.rolling import before, mean, over
@@ -87,19 +87,15 @@ def completed(bars: DataFrame) -> DataFrame:
     return bars.where(F.coalesce("complete", F.lit(True))) if "complete" in bars.columns else bars
 
 
-def evaluate(bars: DataFrame, rules: DataFrame, least_bars: int = 30, state: DataFrame | None = None) -> DataFrame:
-    """(rule_id, symbol, timeframe, i, condition, status, price): a row for each rule and series of its symbol.
+def met() -> Column:
+    """Whether a rule's condition holds, over rows with the columns of RULE and of ``newest``; null where it can't be told.
 
-    ``status``: ``no_data``, ``stale`` (by ``state``, see ``evaluate_signals``), ``short_history`` (fewer than
-    ``least_bars``), ``hit`` or ``no_hit``. A last bar that is not ``complete``, if there is such a column, is left out. A
-    price has to cross its level between the last two closes; an average is crossed if the difference changes its sign.
+    A price has to cross its level between the last two closes; an average is crossed if the difference changes its sign.
     """
     c = F.col
-    now = newest(completed(bars))
-    rows = rules.join(now, "symbol", "left")
     value = lambda which, form: reduce(lambda rest, p: F.when(c(which) == p, c(form.format(p))).otherwise(rest), (50, 200), F.lit(None))
     crossed = lambda f, s, pf, ps: F.coalesce((f - s) * (pf - ps) < 0, F.lit(False))
-    hit = (
+    return (
         F.when(c("condition") == "price_above", (c("close") > c("level")) & (c("prev") <= c("level")))
         .when(c("condition") == "price_below", (c("close") < c("level")) & (c("prev") >= c("level")))
         .when(c("condition") == "cross_sma50", crossed(c("close"), c("sma_50"), c("prev"), c("prev_sma_50")))
@@ -107,6 +103,18 @@ def evaluate(bars: DataFrame, rules: DataFrame, least_bars: int = 30, state: Dat
         .when(c("condition") == "ma_crossover", crossed(value("fast", "sma_{}"), value("slow", "sma_{}"), value("fast", "prev_sma_{}"), value("slow", "prev_sma_{}")))
         .when(c("condition") == "unusual_volume", c("rel_volume") >= F.coalesce("factor", F.lit(2.0)))
     )
+
+
+def evaluate(bars: DataFrame, rules: DataFrame, least_bars: int = 30, state: DataFrame | None = None) -> DataFrame:
+    """(rule_id, symbol, timeframe, i, condition, status, price): a row for each rule and series of its symbol.
+
+    ``status``: ``no_data``, ``stale`` (by ``state``, see ``evaluate_signals``), ``short_history`` (fewer than
+    ``least_bars``), ``hit`` or ``no_hit``, see ``met``. A last bar that is not ``complete``, if there is such a column, is left out.
+    """
+    c = F.col
+    now = newest(completed(bars))
+    rows = rules.join(now, "symbol", "left")
+    hit = met()
     stale = F.lit(False)
     if state is not None:
         rows = rows.join(state.select(*SERIES, "stale", "synthetic"), SERIES, "left")

@@ -179,35 +179,56 @@ def recursive(bars: DataFrame, *columns: str) -> DataFrame:
 SWINGS = "symbol string, timeframe string, k int, idx int, price double, kind string, confirmed_idx int, provisional boolean"
 
 
-def turns(b: dict[str, np.ndarray], a: np.ndarray, width: float = 2.0) -> list[tuple[int, float, str, int, bool]]:
-    """(index, price, kind, confirmed at, provisional) of alternating highs and lows.
+Turn = tuple[int, float, str, int, bool]
+#: What a walk over the turns knows behind a bar: the side that it seeks ("" before the first turn), and the running high and low with their places.
+WalkState = tuple[str, int, float, int, float]
+START: WalkState = ("", -1, NAN, -1, NAN)
 
-    A turn is confirmed at the bar that is ``width`` scales away from it. An equal or further extreme moves the turn
-    on, and does so rather than confirm on the same bar. The running extreme comes last, as provisional.
+
+def walk(state: WalkState, high: list[float], low: list[float], least: list[float], first: int = 0) -> tuple[list[Turn], WalkState]:
+    """The turns that bars from place ``first`` on confirm, and the state behind them; so a walk may stop and go on anywhere.
+
+    A turn is confirmed at the bar that is ``least`` away from it. An equal or further extreme moves the turn on, and does
+    so rather than confirm on the same bar.
     """
-    high, low, least, out = b["high"].tolist(), b["low"].tolist(), (width * a).tolist(), []
-    at = {"H": 0, "L": 0}
-    seeking = ""
-    for i in range(1, len(high)):
-        if not seeking:
-            if high[i] > high[at["H"]]:
-                at["H"] = i
-            if low[i] < low[at["L"]]:
-                at["L"] = i
-            if high[at["H"]] - low[at["L"]] >= least[i] and at["H"] != at["L"] and i in at.values():
-                first, seeking = ("L", "H") if at["H"] > at["L"] else ("H", "L")
-                out.append((at[first], (low if first == "L" else high)[at[first]], first, i, False))
-            continue
-        sign, far, near = (1, high, low) if seeking == "H" else (-1, low, high)
-        if sign * (far[i] - far[at[seeking]]) >= 0:
-            at[seeking] = i
-        elif sign * (far[at[seeking]] - near[i]) >= least[i]:
-            out.append((at[seeking], far[at[seeking]], seeking, i, False))
-            seeking = "L" if seeking == "H" else "H"
-            at[seeking] = i
-    if seeking:
-        out.append((at[seeking], (high if seeking == "H" else low)[at[seeking]], seeking, len(high) - 1, True))
-    return out
+    seeking, top_at, top, bottom_at, bottom = state
+    out = []
+    for i, (h, l, m) in enumerate(zip(high, low, least, strict=True), first):  # noqa: E741
+        if seeking == "H":
+            if h >= top:
+                top_at, top = i, h
+            elif top - l >= m:
+                out.append((top_at, top, "H", i, False))
+                seeking, bottom_at, bottom = "L", i, l
+        elif seeking == "L":
+            if l <= bottom:
+                bottom_at, bottom = i, l
+            elif h - bottom >= m:
+                out.append((bottom_at, bottom, "L", i, False))
+                seeking, top_at, top = "H", i, h
+        elif top_at < 0:
+            top_at, top, bottom_at, bottom = i, h, i, l
+        else:
+            if h > top:
+                top_at, top = i, h
+            if l < bottom:
+                bottom_at, bottom = i, l
+            if top - bottom >= m and top_at != bottom_at and i in (top_at, bottom_at):
+                seeking = "H" if top_at > bottom_at else "L"
+                out.append((bottom_at, bottom, "L", i, False) if seeking == "H" else (top_at, top, "H", i, False))
+    return out, (seeking, top_at, top, bottom_at, bottom)
+
+
+def running(state: WalkState, last: int) -> list[Turn]:
+    """The running extreme as a provisional turn, seen at bar ``last``; none before the first turn."""
+    seeking, top_at, top, bottom_at, bottom = state
+    return [(top_at, top, "H", last, True) if seeking == "H" else (bottom_at, bottom, "L", last, True)] if seeking else []
+
+
+def turns(b: dict[str, np.ndarray], a: np.ndarray, width: float = 2.0) -> list[Turn]:
+    """(index, price, kind, confirmed at, provisional) of alternating highs and lows, see ``walk``; the running extreme comes last."""
+    out, state = walk(START, b["high"].tolist(), b["low"].tolist(), (width * a).tolist())
+    return out + running(state, len(a) - 1)
 
 
 def zigzag(bars: DataFrame, width: float = 2.0) -> DataFrame:

@@ -591,6 +591,7 @@ def trading() -> dict[str, str]:
         "val07_clean_bars": say([raw, marked, good], "symbol, i, strftime(ts, '%Y-%m-%d %H:%M') AS at, round(p, 6) AS open, round(p + 1, 6) AS high, round(p - 1, 6) AS low, round(p, 6) AS close, CAST(1 AS DOUBLE) AS volume FROM good"),
         "val14_report": say(val, "symbol, rows_in, bad AS bad_timestamps, dup AS duplicates, inv AS invalid_rows, n AS rows_out, 0 AS zero_volume_bars, false AS illiquid, jumps, gaps AS missing_candles, round(greatest(0, score), 6) AS score, CASE WHEN score >= 80 THEN 'high' WHEN score >= 60 THEN 'medium' WHEN score >= 30 THEN 'low' ELSE 'insufficient' END AS rating FROM gr"),
         "alr_conditions": say([HOURLY, b200, b201, rules, names], f"sy.symbol, rule_id, i, condition, CASE WHEN n IS NULL THEN 'no_data' WHEN n < 30 THEN 'short_history' WHEN {hit} THEN 'hit' ELSE 'no_hit' END AS status, round(close, 6) AS price FROM sy CROSS JOIN ru LEFT JOIN (SELECT * FROM al1 WHERE i = n - 1) b ON b.symbol = sy.symbol"),
+        "alr19_streamed_alerts": say([HOURLY.replace("bars AS (", "every AS (", 1), "bars AS (SELECT * FROM every WHERE ts + INTERVAL '70 minutes' <= (SELECT max(ts) FROM events WHERE value IS NOT NULL))", b200, b201, rules], f"symbol, rule_id, i, condition, round(close, 6) AS price FROM al1 CROSS JOIN ru WHERE i >= 29 AND {hit}"),
         "bkt01_03_signals": say(sig, "symbol, i, spec_id, side, round(close - side * 2 * a, 6) AS stop, round(close + 2 * (side * 2 * a), 6) AS target FROM sj WHERE side IS NOT NULL"),
     }
 

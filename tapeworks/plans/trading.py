@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +11,16 @@ from tapeworks.operators import alerts, analysis, backtest, divergence, indicato
 from tapeworks.operators.recursive import recursive, zigzag
 from tapeworks.operators.resample import resample
 from tapeworks.plans.indicators import Query, shown
+from tapeworks.session import shared_folder
 from tapeworks.sources.bars import daily_trades, floored, hourly_events, line_trades, minute_text
+from tapeworks.streaming import alerts as watched
+from tapeworks.streaming.bars import closed_bars, event_ticks
 
 STRATEGIES = [{"kind": "sma_cross", "allow_short": True}, {"kind": "rsi_recovery", "allow_short": True}, {"kind": "macd_cross", "allow_short": True, "trend_filter": True}]
 
+#: Rules of each symbol: condition, level, factor, averages.
+KINDS = [("price_above", 40.0, None, None, None), ("price_below", 40.0, None, None, None), ("cross_sma50", None, None, None, None), ("cross_sma200", None, None, None, None), ("ma_crossover", None, None, 50, 200), ("unusual_volume", None, 1.2, None, None)]
+
 
 def _measured(spark, sf_dir) -> DataFrame:
     return indicators.money_flow_index(indicators.on_balance_volume(recursive(hourly_events(spark, sf_dir), "scale", "rsi", "macd")))
@@ -47,13 +55,22 @@ def val07(spark, sf_dir) -> DataFrame:
 
 def alr(spark, sf_dir) -> DataFrame:
     bars = hourly_events(spark, sf_dir)
-    kinds = [("price_above", 40.0, None, None, None), ("price_below", 40.0, None, None, None), ("cross_sma50", None, None, None, None), ("cross_sma200", None, None, None, None), ("ma_crossover", None, None, 50, 200), ("unusual_volume", None, 1.2, None, None)]
     symbols = bars.select("symbol").distinct().unionByName(spark.createDataFrame([("absent",)], "symbol string"))
-    table = spark.createDataFrame([(k, *x) for k, x in enumerate(kinds)], "rule_id long, condition string, level double, factor double, fast int, slow int")
+    table = spark.createDataFrame([(k, *x) for k, x in enumerate(KINDS)], "rule_id long, condition string, level double, factor double, fast int, slow int")
     rules = symbols.crossJoin(F.broadcast(table))  # six rows
     return shown(alerts.evaluate(bars, rules), "rule_id", "i", "condition", "status", "price", keys=("symbol",))
 
 
+def alr19(spark, sf_dir) -> DataFrame:
+    """What the rules of ``alr`` report of a stream of all events, bar by bar."""
+    symbols = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("symbol")).distinct()
+    table = spark.createDataFrame([(k, *x) for k, x in enumerate(KINDS)], "rule_id long, condition string, level double, factor double, fast int, slow int")
+    rules = symbols.crossJoin(F.broadcast(table))  # six rows
+    folder = f"{shared_folder(spark)}/alerts-{uuid.uuid4().hex}"
+    watched.start(watched.follow(closed_bars(event_ticks(spark, sf_dir))), rules, folder).awaitTermination()
+    return shown(watched.read(spark, folder, "hits", watched.HITS), "rule_id", "i", "condition", "price", keys=("symbol",))
+
+
 def _signalled(bars: DataFrame) -> DataFrame:
     bars = recursive(bars, "scale", "rsi", "macd_hist")
     return backtest.signals(bars, backtest.specs(bars.sparkSession, STRATEGIES))
@@ -155,6 +172,7 @@ def rpt01(spark, sf_dir) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "alr01_02_breaks": alr01,
     "alr05_15_patterns": alr05,
+    "alr19_streamed_alerts": alr19,
     "val12_13_freshness": val12,
     "ind37_frame": ind37,
     "ind38_snapshot": ind38,
