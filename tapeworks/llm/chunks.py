@@ -18,10 +18,13 @@ from pyspark.sql import functions as F
 from .common import by_bytes, mix, stored
 
 #: The hash covers 16 bytes; chunks hold REACH + 1 bytes at least and about 2 * REACH on average. A passage of 50 words
-#: holds several. Runs of repeated chunks count from LEAST bytes.
-REACH, LEAST = 16, 120
+#: holds several. Runs of repeated chunks count from LEAST bytes or from WORDS words: cuts near the ends of a passage depend
+#: on what stands around it, so that of 50 short words a run may hold a third.
+REACH, LEAST, WORDS = 16, 120, 12
+#: A stretch whose hashes tie has no cut of its own: one over TIED bytes is cut each STEP bytes from its beginning.
+TIED, STEP = 2048, 1024
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
-CHUNKS = "doc_id long, chunks array<struct<digest:long,start:int,end:int,bytes:int,again:boolean>>"
+CHUNKS = "doc_id long, chunks array<struct<digest:long,start:int,end:int,bytes:int,words:int,again:boolean>>"
 
 
 def gear_hash(data: np.ndarray) -> np.ndarray:
@@ -49,39 +52,56 @@ def cuts(data: np.ndarray, reach: int = REACH) -> np.ndarray:
     return at[found] + 1
 
 
+def _untied(data: np.ndarray, edges: list[int]) -> list[int]:
+    """``edges`` with those inside stretches that have none, each before the beginning of a character."""
+    if max(b - a for a, b in zip(edges, edges[1:], strict=False)) <= TIED:
+        return edges
+    out = edges[:1]
+    for a, b in zip(edges, edges[1:], strict=False):
+        if b - a > TIED:
+            for at in range(a + STEP, b - STEP, STEP):
+                while (data[at] & 0xC0) == 0x80:
+                    at -= 1
+                out.append(at)
+        out.append(b)
+    return out
+
+
 def split(text: str) -> list[dict]:
-    """The chunks of a text: digest, code points from ``start`` to ``end``, bytes, and whether the text had it before."""
+    """The chunks of a text: digest, code points from ``start`` to ``end``, bytes, words that begin in it, and whether the text had it before."""
     raw = text.encode("utf-8", "surrogatepass")
     data = np.frombuffer(raw, np.uint8)
-    edges = [0, *cuts(data).tolist(), len(raw)]
+    edges = _untied(data, [0, *cuts(data).tolist(), len(raw)])
     places = edges if len(raw) == len(text) else np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[edges].tolist()
+    blank = np.concatenate([[True], data <= 32])
+    begun = np.concatenate([[0], np.cumsum(blank[:-1] & ~blank[1:])])[edges].tolist()
     out, met = [], set()
-    for a, b, x, y in zip(edges, edges[1:], places, places[1:], strict=False):
+    for a, b, x, y, w, v in zip(edges, edges[1:], places, places[1:], begun, begun[1:], strict=False):
         digest = xxhash.xxh3_64_intdigest(raw[a:b]) - (1 << 63)
-        out.append((digest, x, y, b - a, digest in met))
+        out.append((digest, x, y, b - a, v - w, digest in met))
         met.add(digest)
     return out
 
 
 def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, chunks) of every text; none for a null or empty one."""
-    kind = pa.list_(pa.struct([("digest", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("bytes", pa.int32()), ("again", pa.bool_())]))
+    kind = pa.list_(pa.struct([("digest", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("bytes", pa.int32()), ("words", pa.int32()), ("again", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_bytes(batches, 1):
             found = [split(t) if t else [] for t in part.column(1).to_pylist()]
             sizes = np.cumsum([0, *map(len, found)])
-            columns = list(zip(*(c for chunks in found for c in chunks), strict=True)) or [()] * 5
+            columns = list(zip(*(c for chunks in found for c in chunks), strict=True)) or [()] * 6
             flat = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind.value_type, strict=True)], fields=list(kind.value_type))
             yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)], names=["doc_id", "chunks"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, CHUNKS)
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, within: bool = False) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, words: int = WORDS, within: bool = False) -> DataFrame:
     """The repeated passages: (doc_id, start, end, n_chunks, n_bytes, n_first, kept).
 
-    A row for each longest run of neighbouring chunks of a text that all occur in other rows too, from ``least`` bytes.
+    A row for each longest run of neighbouring chunks of a text that all occur in other rows too, from ``least`` bytes or ``words`` words.
     With ``within``, chunks that occur again in the same text alone count as well.
     ``start`` and ``end`` are code points, end exclusive. ``n_first`` of the chunks are here for the first time (in the
     document of the smallest id, and there before any other place); ``kept`` says that all are, so that the passage stays.
@@ -97,7 +117,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     marks = held.withColumn("run", F.col("k") - F.row_number().over(Window.partitionBy("row").orderBy("k"))).join(rows.select("row", order.alias("order")), "row")
     runs = marks.groupBy("row", "run").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count_if(F.col("first") == F.col("order")).alias("n_first"))
     placed = runs.join(rows, "row").withColumn("n_chunks", (F.col("high") - F.col("low") + 1).cast("long"))
-    size = F.aggregate(F.expr("slice(chunks, low + 1, high - low + 1)"), F.lit(0).cast("long"), lambda s, c: s + c["bytes"])
-    return placed.select(
-        "doc_id", F.expr("chunks[low].start").cast("long").alias("start"), F.expr("chunks[high].end").cast("long").alias("end"), "n_chunks", size.alias("n_bytes"), "n_first", (F.col("n_first") == F.col("n_chunks")).alias("kept")
-    ).where(F.col("n_bytes") >= least)
+    total = lambda field: F.aggregate(F.expr("slice(chunks, low + 1, high - low + 1)"), F.lit(0).cast("long"), lambda s, c: s + c[field])
+    return placed.withColumns({"n_bytes": total("bytes"), "n_words": total("words")}).where((F.col("n_bytes") >= least) | (F.col("n_words") >= words)).select(
+        "doc_id", F.expr("chunks[low].start").cast("long").alias("start"), F.expr("chunks[high].end").cast("long").alias("end"), "n_chunks", "n_bytes", "n_first", (F.col("n_first") == F.col("n_chunks")).alias("kept")
+    )

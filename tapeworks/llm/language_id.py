@@ -19,8 +19,9 @@ from .common import by_bytes, mix
 
 #: Buckets of hashed n-grams of 1 to 3 characters, labelled rows of each language that the weights and the temperature are fitted on at most.
 FEATURES, LONGEST, SAMPLE = 1 << 14, 3, 600
-#: Languages learned at most, those of the most labelled rows; rarer ones are never predicted.
-LANGUAGES = 500
+#: Labelled rows of all languages together that the fit takes at most: where there are many languages each has an equal part of
+#: them, but LEAST at least, so that none is left out. The model takes 128 KB for each language.
+ROWS, LEAST = 24_000, 5
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.02, 3
 UNKNOWN = "und"
 LETTER = np.array([chr(i).isalpha() for i in range(0x110000)])
@@ -75,7 +76,7 @@ class Model:
 
 
 def fit(rows: list[tuple[str, np.ndarray]], idf: np.ndarray) -> Model:
-    """The model of (language, counts) rows, in their order; every fifth row is left for the temperature."""
+    """The model of (language, counts) rows, in their order; every fifth of a language is left for the temperature."""
     languages = sorted({lang for lang, _ in rows})
     if not languages:
         return Model([], idf, np.zeros((FEATURES, 0)))
@@ -83,7 +84,12 @@ def fit(rows: list[tuple[str, np.ndarray]], idf: np.ndarray) -> Model:
     z = np.zeros((FEATURES, len(languages)))
     n = np.zeros_like(z)
     data = [(known[lang], *weigh(counts, idf)) for lang, counts in rows]
-    fitted, left = ([d for i, d in enumerate(data) if i % 5 != 4], data[4::5]) if len(data) >= 50 else (data, data)
+    place = np.zeros(len(languages), np.int64)
+    fitted, left = [], []
+    for d in data:
+        place[d[0]] += 1
+        (left if place[d[0]] % 5 == 0 else fitted).append(d)
+    fitted, left = (fitted, left) if len(left) >= 10 else (data, data)
 
     def weights_at(at: np.ndarray | slice) -> np.ndarray:
         zs = z[at]
@@ -118,9 +124,9 @@ def held_out(id_col: str = "doc_id") -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """The model of the rows of ``docs`` that have an id, a text and a language and are not held out.
 
-    Of each language the ``sample`` rows with the smallest hashes of id and text fit the weights; rows come to the
-    driver as bucket counts, so that it holds ``sample`` short arrays for each of LANGUAGES at most. Without such rows
-    nothing is learned.
+    All languages are learned. Of each the ``sample`` rows (fewer where they are many, see ROWS) with the smallest hashes
+    of id and text fit the weights; rows come to the driver as bucket counts, so that it holds ROWS short arrays, or LEAST
+    for each language. Without such rows nothing is learned.
     """
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out("id"))
 
@@ -140,8 +146,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     idf = np.full(FEATURES, np.log(1 + texts) + 1)
     idf[list(frequency)] = np.log((1 + texts) / (1 + np.array(list(frequency.values()), float))) + 1
 
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    sizes = docs.sparkSession.createDataFrame(sizes.collect(), "lang string, size long")
+    sizes = rows.groupBy("lang").count().collect()
+    sample = min(sample, max(LEAST, ROWS // max(1, len(sizes))))
+    sizes = docs.sparkSession.createDataFrame(sizes, "lang string, size long")
     likely = F.least(F.lit(1 << 31), F.lit((1 << 31) * 3 * sample) / F.col("size") + 1)
     order = F.pmod(F.xxhash64("id"), F.lit(1 << 31))
     few = rows.join(F.broadcast(sizes), "lang").withColumn("order", order).where(F.col("order") < likely)

@@ -3,7 +3,8 @@
 The model is a unigram one: a pre-token is cut into the vocabulary pieces of the highest total score. The distinct
 pre-tokens of a slice are put into a trie, letter by letter. Each node holds the best score of the path to it, the pieces
 that this takes, and the vocabulary pieces that are still open there; so a prefix that many pre-tokens share is scored
-once, and each terminal node stores its count. A task keeps its trie from slice to slice, up to a bounded size.
+once, and each terminal node stores its count. A task keeps its trie from slice to slice, up to a bounded size; a pre-token
+that is longer than words are shares no prefix worth keeping and is scored by the same recurrence without nodes.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 from .common import by_bytes
 
 SPACE = "▁"
-#: Nodes that a task's trie may have before it is begun anew.
-MOST_NODES = 200_000
+#: Nodes that a task's trie may have before it is begun anew. Pre-tokens over LONG letters are scored without a node for each letter.
+MOST_NODES, LONG = 200_000, 200
+#: Letters of stored pre-tokens up to which a task keeps their counts for its next slice.
+MOST_LETTERS = 8_000_000
 
 
 def scores_of(path: str) -> dict[str, float]:
@@ -56,14 +59,18 @@ class Trie:
         self.most = most
         self.clear()
 
-    def clear(self) -> None:
+    def restart(self) -> None:
         self.root: list = [(0.0, 0), [(0.0, 0, self.vocabulary)], {}]  # (-score, pieces), open pieces, children
         self.nodes = 0
+
+    def clear(self) -> None:
+        self.restart()
         self.terminal: dict[str, int] = {}
+        self.letters = 0
 
-    def child(self, node: list, letter: str) -> list:
-        (cost, pieces), open_pieces, children = node
-        self.nodes += 1
+    def step(self, node: list, letter: str) -> list:
+        """The node behind ``node`` and a letter; neither is changed."""
+        (cost, pieces), open_pieces, _ = node
         best, still = (math.inf, 0), []
         for start, before, inside in open_pieces:
             found = inside.get(letter)
@@ -75,20 +82,39 @@ class Trie:
         if best[0] == math.inf:
             best = cost - self.unknown, pieces + len(letter.encode("utf-8", "surrogatepass"))
         still.append((*best, self.vocabulary))
-        children[letter] = made = [best, still, {}]
+        return [best, still, {}]
+
+    def child(self, node: list, letter: str) -> list:
+        node[2][letter] = made = self.step(node, letter)
+        self.nodes += 1
         return made
 
+    def rolled(self, pretoken: str) -> int:
+        """The pieces of a long pre-token by the same recurrence; what is held is the last node, so the pieces that are open there."""
+        node = self.step(self.root, SPACE)
+        for letter in pretoken:
+            node = self.step(node, letter)
+        return node[0][1]
+
     def insert(self, pretokens: list[str]) -> None:
-        """Store the pieces of each, behind the mark of a blank; nodes are made only for what no earlier one began with."""
+        """Store the pieces of each, behind the mark of a blank; nodes are made only for what no earlier one began with.
+
+        A trie of too many nodes is begun anew in between; what is stored stays.
+        """
         collecting = gc.isenabled()
         gc.disable()  # it would go over the whole trie again and again
         try:
-            start = self.root[2].get(SPACE) or self.child(self.root, SPACE)
             for pretoken in pretokens:
-                node = start
+                if len(pretoken) > LONG:
+                    self.terminal[pretoken] = self.rolled(pretoken)
+                    continue
+                if self.nodes > self.most:
+                    self.restart()
+                node = self.root[2].get(SPACE) or self.child(self.root, SPACE)
                 for letter in pretoken:
                     node = node[2].get(letter) or self.child(node, letter)
                 self.terminal[pretoken] = node[0][1]
+            self.letters += sum(map(len, pretokens))
         finally:
             if collecting:
                 gc.enable()
@@ -114,7 +140,7 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
         trie = _trie(model_path)
         for part in by_bytes(batches, 1):
             counted = [Counter(pretokens(t)) if t else Counter() for t in part.column(1).to_pylist()]
-            if trie.nodes > trie.most or len(trie.terminal) > trie.most:
+            if trie.nodes > trie.most or len(trie.terminal) > trie.most or trie.letters > MOST_LETTERS:
                 trie.clear()
             trie.insert(sorted(set().union(*counted).difference(trie.terminal)))
             known = trie.terminal

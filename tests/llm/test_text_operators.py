@@ -1,4 +1,6 @@
 import random
+import tracemalloc
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -148,7 +150,7 @@ def test_chunks_cover_the_text_and_come_back_after_an_insertion():
     digests = {c[0] for c in found}
     moved = [c[0] for c in chunks.split("inserted " + text[:5000] + "?" + text[5000:])]
     assert sum(d not in digests for d in moved) < 8
-    assert chunks.split("x" * 100000)[0][3] == 100000
+    assert chunks.split("x" * 2000)[0][3] == 2000
 
 
 def shared_docs(rows, n):
@@ -167,7 +169,7 @@ def test_repeats_hold_all_long_passages_and_no_clean_text(documents, awkward, no
     index = {k: r["doc_id"] for k, r in enumerate(rows)}
     assert {index[k] for k in shared_docs([r["text"] for r in rows], 50)} <= found
     assert found <= {index[k] for k in shared_docs([r["text"] for r in rows], 10)}
-    assert all(r["end"] - r["start"] <= r["n_bytes"] and r["n_bytes"] >= chunks.LEAST for r in got)
+    assert all(r["end"] - r["start"] <= r["n_bytes"] for r in got)
     found = chunks.repeats(awkward).collect()
     assert {r["doc_id"] for r in found} == {1, 2, 3, None}
     assert all(r["kept"] == (r["doc_id"] == 1) for r in found)
@@ -206,6 +208,28 @@ def test_trie_shares_prefixes_and_is_bounded():
     assert trie.nodes == 5 and trie.terminal == {"ab": 2, "abb": 3, "abc": 3}
 
 
+def test_long_pretokens_have_no_nodes_and_the_same_count(monkeypatch):
+    scores = token_counts.scores_of(MODEL)
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdeé漢 ﬁ"[:8]) for _ in range(rng.randint(150, 600))) for _ in range(40)]
+    words = [w.replace(" ", "") for w in words]
+    rolled, stored = token_counts.Trie(scores), token_counts.Trie(scores, most=500)
+    rolled.insert(words)
+    monkeypatch.setattr(token_counts, "LONG", 10_000)
+    stored.insert(words)
+    assert rolled.terminal == stored.terminal == {w: counted(scores, w) for w in words}
+    assert rolled.nodes <= 200 * len(words) and stored.nodes <= 500 + 600
+
+
+def test_a_run_of_five_million_letters_stays_small():
+    trie = token_counts.Trie(token_counts.scores_of(MODEL))
+    tracemalloc.start()
+    trie.insert(["ab" * 250_000 + "x" * 4_500_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert trie.nodes == 0 and peak < 40_000_000 and sum(trie.terminal.values()) > 500_000
+
+
 @pytest.mark.parametrize("within", [False, True])
 def test_repeats_equal_brute_force(spark, within):
     rng = random.Random(12)
@@ -231,14 +255,35 @@ def test_repeats_equal_brute_force(spark, within):
             while end < len(found) and holders[found[end][0]] > 1:
                 end += 1
             size = sum(c[3] for c in found[k:end])
-            if end > k and size >= chunks.LEAST:
-                n_first = sum(first[c[0]] == order and not c[4] for c in found[k:end])
+            if end > k and (size >= chunks.LEAST or sum(c[4] for c in found[k:end]) >= chunks.WORDS):
+                n_first = sum(first[c[0]] == order and not c[5] for c in found[k:end])
                 want[i, found[k][1], found[end - 1][2], end - k, size, n_first, n_first == end - k] += 1
             k = max(end, k + 1)
     got = chunks.repeats(spark.createDataFrame(docs, "doc_id long, text string"), within=within)
     assert Counter(tuple(r[c] for c in ("doc_id", "start", "end", "n_chunks", "n_bytes", "n_first", "kept")) for r in got.collect()) == want and len(want) > 10
 
 
+@pytest.mark.parametrize(("most", "share"), [(3, 0.95), (2, 0.8), (1, 0.5)])
+def test_passages_of_fifty_short_words(spark, most, share):
+    """Words of up to so many letters; what is lost has cuts near its ends only. Figures as the README states them."""
+    rng = random.Random(most)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    passages = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, most))) for _ in range(50)) for _ in range(200)]
+    docs = [(2 * k + j, f"{text_of(rng, 40)} {passage} {text_of(rng, 40)}") for k, passage in enumerate(passages) for j in (0, 1)]
+    found = {r["doc_id"] // 2 for r in chunks.repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(found) >= share * len(passages)
+
+
+def test_periodic_text_is_cut(spark):
+    for period in ("x", "abc def ", "漢"):
+        one, two = period * 40_000, "Another beginning. " + period * 41_000 + " and end"
+        found = chunks.split(one)
+        assert max(c[3] for c in found) <= 3 * chunks.STEP and "".join(one[c[1] : c[2]] for c in found) == one
+        rows = chunks.repeats(spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")).collect()
+        covered = {i: sum(r["end"] - r["start"] for r in rows if r["doc_id"] == i) for i in (1, 2)}
+        assert covered[1] > 0.9 * len(one) and covered[2] > 0.9 * len(two)
+
+
 # language
 
 
@@ -267,7 +312,7 @@ def test_fit_equals_plain_ftrl(monkeypatch):
     rows = [(lang, rng.poisson(np.where(np.arange(40) % 3 == k, 2.0, 0.4)) + (np.arange(40) == 0)) for _ in range(30) for k, lang in enumerate(("de", "en", "fr"))]
     idf = rng.uniform(1, 3, 40)
     model = language_id.fit(rows, idf)
-    fitted, left = [r for i, r in enumerate(rows) if i % 5 != 4], rows[4::5]
+    fitted, left = [r for i, r in enumerate(rows) if i // 3 % 5 != 4], [r for i, r in enumerate(rows) if i // 3 % 5 == 4]
     z, n, weight = np.zeros((40, 3)), np.zeros((40, 3)), np.zeros((40, 3))
 
     def tfidf(counts):
@@ -308,11 +353,27 @@ def test_fit_equals_plain_ftrl(monkeypatch):
     assert loss(model.temperature) <= min(loss(model.temperature * f) for f in (0.8, 0.9, 1.1, 1.25)) + 1e-9
 
 
-def test_letters_of_all_planes_and_a_bound_on_languages(spark, monkeypatch):
+def test_letters_of_all_planes():
     assert language_id.ngram_counts(chr(0x30010)) is not None and language_id.ngram_counts("12 !") is None
-    docs = spark.createDataFrame([(i, f"wort nummer {i}", "de" if i % 3 else "en") for i in range(60)] + [(99, "mot rare", "fr")], "doc_id long, text string, lang string")
-    monkeypatch.setattr(language_id, "LANGUAGES", 2)
-    assert language_id.train(docs).languages == ["de", "en"]
+
+
+def test_six_hundred_languages_are_learned(spark, monkeypatch):
+    rng = random.Random(6)
+    monkeypatch.setattr(language_id, "FEATURES", 2048)
+    stems = {f"l{k:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(5)] for k in range(600)}
+    rows, i = [], 0
+    for k, (lang, words) in enumerate(stems.items()):
+        for _ in range(2 if k == 7 else 8):  # a rare one too
+            while zlib.crc32(str(i).encode()) % 4 == 2:
+                i += 1
+            rows.append((i, " ".join(rng.choice(words) for _ in range(12)), lang))
+            i += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(language_id, "ROWS", 600)
+    model = language_id.train(docs)
+    assert model.languages == sorted(stems) and model.weights.any(axis=0).all()
+    told = [model.predict(" ".join(words))[0] == lang for lang, words in stems.items()]
+    assert sum(told) >= 540 and told[7]
 
 
 def test_nothing_learned_keeps_texts_with_letters(awkward):
