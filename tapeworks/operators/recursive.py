@@ -216,6 +216,10 @@ def walk(state: WalkState, high: list[float], low: list[float], least: list[floa
             if top - bottom >= m and top_at != bottom_at and i in (top_at, bottom_at):
                 seeking = "H" if top_at > bottom_at else "L"
                 out.append((bottom_at, bottom, "L", i, False) if seeking == "H" else (top_at, top, "H", i, False))
+    if seeking == "H":  # the other side begins anew with the next turn
+        bottom_at, bottom = -1, NAN
+    elif seeking == "L":
+        top_at, top = -1, NAN
     return out, (seeking, top_at, top, bottom_at, bottom)
 
 

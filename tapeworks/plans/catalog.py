@@ -12,4 +12,6 @@ def queries() -> dict[str, indicators.Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**drawings.sql(), **oracle.indicators(), **oracle.swings(), **oracle.candles(), **oracle.patterns(), **oracle.structure(), **oracle.resampling(), **oracle.trading(), **oracle.harmonics(), **oracle.levels(), **oracle.timeframes(), **oracle.impulses(), **oracle.alerts(), **book.backtests(), **frame.frames()}
+    found = {**drawings.sql(), **oracle.indicators(), **oracle.swings(), **oracle.candles(), **oracle.patterns(), **oracle.structure(), **oracle.resampling(), **oracle.trading(), **oracle.harmonics(), **oracle.levels(), **oracle.timeframes(), **oracle.impulses(), **oracle.alerts(), **book.backtests(), **frame.frames()}
+    same = {"ind02_blocked_ema": "ind02_ema", "ind22_blocked_scale": "ind22_scale", "swg01_blocked_zigzag": "swg01_zigzag"}
+    return found | {name: found[other] for name, other in same.items()}

@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeworks.operators import blocked
 from tapeworks.operators import indicators as ind
 from tapeworks.operators.recursive import recursive
 from tapeworks.sources.bars import hourly_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Bars in a block of the queries on long series.
+BLOCK = 256
+
 
 def shown(df: DataFrame, *columns: str, keys: tuple[str, ...] = ("symbol", "i")) -> DataFrame:
     kinds = dict(df.dtypes)
@@ -27,7 +31,14 @@ def of_recursive(*columns: str) -> Query:
     return of(lambda bars: recursive(bars, *columns), *columns)
 
 
+def blocked_averages(bars: DataFrame) -> DataFrame:
+    """In blocks so small that these series have several."""
+    return blocked.averages(blocked.indexed(bars.drop("i")), {f"ema_{p}": (F.col("close"), p, blocked.EMA(p)) for p in (9, 20, 50, 100, 200)}, BLOCK)
+
+
 QUERIES: dict[str, Query] = {
+    "ind02_blocked_ema": of(blocked_averages, *(f"ema_{p}" for p in (9, 20, 50, 100, 200))),
+    "ind22_blocked_scale": of(lambda b: blocked.scale(b, block=BLOCK), "scale"),
     "ind01_sma": of(ind.sma, *(f"sma_{p}" for p in (10, 20, 50, 100, 200))),
     "ind02_ema": of_recursive(*(f"ema_{p}" for p in (9, 20, 50, 100, 200))),
     "ind04_true_range": of(ind.true_range, "tr"),

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.operators import candles, harmonics, levels, patterns, swings
+from tapeworks.operators import blocked, candles, harmonics, levels, patterns, swings
 from tapeworks.operators.recursive import recursive, zigzag
-from tapeworks.plans.indicators import Query, shown
+from tapeworks.plans.indicators import BLOCK, Query, shown
 from tapeworks.sources.bars import line_trades, daily_trades, hourly_events
 
 PATTERN = ("pattern_id", "direction", "stage", "start_idx", "end_idx", "confirmation_idx", "target_reached", "level", "inval", "target", "quality", "volume_confirmation", "category", "current")
@@ -61,6 +61,7 @@ def impulse(spark, sf_dir) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "swg01_zigzag": lambda spark, d: shown(zigzag(hourly_events(spark, d)), "k", "idx", "price", "kind", "confirmed_idx", "provisional", keys=("symbol",)),
+    "swg01_blocked_zigzag": lambda spark, d: shown(blocked.zigzag(blocked.scale(hourly_events(spark, d), block=BLOCK), block=BLOCK), "k", "idx", "price", "kind", "confirmed_idx", "provisional", keys=("symbol",)),
     "swg02_fractals": lambda spark, d: shown(swings.fractals(hourly_events(spark, d)), "idx", "price", "kind", "confirmed_idx", keys=("symbol",)),
     "swg03_peaks": lambda spark, d: shown(swings.detect(recursive(hourly_events(spark, d), "scale"), "peaks"), "idx", "price", "kind", keys=("symbol",)),
     "swg07_labels": lambda spark, d: swings.labelled(swings.fractals(hourly_events(spark, d))).select("symbol", "idx", "kind", "label"),
