@@ -359,7 +359,6 @@ def test_letters_of_all_planes():
 
 def test_six_hundred_languages_are_learned(spark, monkeypatch):
     rng = random.Random(6)
-    monkeypatch.setattr(language_id, "FEATURES", 2048)
     stems = {f"l{k:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(5)] for k in range(600)}
     rows, i = [], 0
     for k, (lang, words) in enumerate(stems.items()):
