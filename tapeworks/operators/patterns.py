@@ -154,64 +154,37 @@ def adam_and_eve(swings: DataFrame, bars: DataFrame) -> DataFrame:
     return found.withColumn("pattern_id", F.when(F.col("sgn") < 0, "adam_eve_top").otherwise("adam_eve_bottom")).select(*CANDIDATE)
 
 
-FLAG = "symbol string, timeframe string, base int, t int, s double, m double, b double, low double, end int, brk int, dead boolean, pennant boolean, w0 double, held double, height double, steep double, a double, dry double"
+# Bars of a consolidation, the part of the pole that it may give back and that its edges may be apart, its drift
+# with the pole in scales a bar and against it in pole slopes, how near to an edge a turn tests it, bars between tests, tests
+# of an edge, and how much narrower a pennant gets.
+REST, GIVEN, APART, DRIFT, AGAINST, TEST, SPACING, TESTED, NARROWS = (5, 25), 0.4, 0.75, 0.12, 0.4, 0.4, 3, 2, 0.55
 
 
-def _edge(x: np.ndarray, y: np.ndarray, top: bool) -> tuple[float, float]:
-    """Slope and height at 0 of the line fitted to ``y`` and shifted until none is beyond it."""
-    m, b = np.polyfit(x, y, 1)
-    rest = y - (m * x + b)
-    return float(m), float(b + (rest.max() if top else rest.min()))
+def _sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda total, y: total + y)
 
 
-def _tests(gap: np.ndarray, room: np.ndarray, turns: np.ndarray) -> int:
-    """How often ``turns`` come within 0.4 of the ``room`` to a line that is ``gap`` away, three bars apart at least."""
-    at, n, last = np.flatnonzero(turns & (gap <= 0.4 * room)), 0, -3
-    for k in at.tolist():
-        if k - last >= 3:
-            n, last = n + 1, k
-    return n
+def _line(y: Column, n: Column) -> tuple[Column, Column]:
+    """Slope and height at its first element of the least-squares line through an array of ``n`` values, from its sums."""
+    mean, spread = (n - 1) / 2, n * (n * n - 1) / 12
+    slope = _sum(F.transform(y, lambda v, k: v * (k - mean))) / spread
+    return slope, _sum(y) / n - slope * mean
 
 
-def flag(h: np.ndarray, low: np.ndarray, c: np.ndarray, a: np.ndarray, v: np.ndarray, t: int, last: int) -> dict | None:
-    """The flag or pennant behind a pole from bar 0 to its tip ``t``; ``last`` is the series' last bar, counted likewise.
-
-    Both edges are fitted anew at each bar from the fifth on, to the bars before it, until a close breaks the upper one.
-    """
-    height, found, reason = h[t] - low[0], None, ""
-    for j in range(t + 5, min(t + 25, last) + 1):
-        if j - t > 1 and h[t + 1 : j].max() > h[t]:
-            return None  # the pole went on
-        if h[t] - low[t:j].min() > 0.4 * height:
-            reason = "deep"
-            break
-        x, top, bottom = np.arange(t, j, dtype=float), h[t:j], low[t:j]
-        (mu, bu), (ml, bl) = _edge(x, top, True), _edge(x, bottom, False)
-        upper, lower, middle = mu * x + bu, ml * x + bl, (mu + ml) / 2
-        turned = lambda y: np.concatenate([(y[:-1] >= np.concatenate([[-np.inf], y[:-2]])) & (y[:-1] >= y[1:]), [False]])
-        fits = middle <= 0.12 * a[t] and -middle <= 0.4 * height / t and upper[0] - lower[0] <= 0.75 * height
-        if fits and _tests(upper - top, upper - lower, turned(top)) >= 2 and _tests(bottom - lower, upper - lower, turned(-bottom)) >= 2:
-            broke = c[j] > mu * j + bu + BREAK * a[j]
-            found = (mu, bu, ml, bl, j - 1, j if broke else None)
-            if broke:
-                break
-    if found is None:
-        return None
-    mu, bu, ml, bl, end, brk = found
-    w0, w1 = (mu * t + bu) - (ml * t + bl), (mu * end + bu) - (ml * end + bl)
-    if w0 <= 0 or w1 <= 0 or w0 > 0.75 * height or (mu + ml) / 2 / a[t] > 0.12:
-        return None
-    volume = (np.nanmean(v[t : end + 1]), np.nanmean(v[: t + 1])) if np.isfinite(v[t : end + 1]).any() and np.isfinite(v[: t + 1]).any() else None
-    return {
-        "m": mu, "b": bu, "low": low[t : end + 1].min(), "end": end, "brk": brk, "dead": brk is None and (bool(reason) or last - t > 25), "pennant": w1 / w0 < 0.55 and mu <= 0 <= ml, "w0": w0, "held": (h[t] - low[t : end + 1].min()) / (0.4 * height),
-        "height": height, "steep": height / t / a[t], "a": a[t], "dry": None if volume is None else 1.0 if volume[0] < volume[1] else 0.4,
-    }
+def _turns_near(y: Column, n: Column, gap: Callable[[Column], Column], room: Callable[[Column], Column]) -> Column:
+    """How many peaks of ``y``, spaced out, lie within a share of the ``room`` to the edge that is ``gap`` above them."""
+    at = lambda k: F.element_at(y, k + 1)
+    peak = lambda k: ((k == 0) | (at(k) >= at(F.greatest(k, F.lit(1)) - 1))) & (at(k) >= at(k + 1)) & (gap(k) <= TEST * room(k))
+    start = F.struct(F.lit(0).alias("n"), F.lit(-SPACING).alias("last"))
+    spaced = lambda held, k: F.when(k - held["last"] >= SPACING, F.struct((held["n"] + 1).alias("n"), k.alias("last"))).otherwise(held)
+    return F.aggregate(F.filter(F.sequence(F.lit(0), n - 2), peak), start, spaced, lambda held: held["n"])
 
 
 def flags(swings: DataFrame, bars: DataFrame) -> DataFrame:
     """Flags and pennants: a pole of 2 to 20 bars and 5 scales, then 5 to 25 bars that give back at most 0.4 of it between two tested lines.
 
-    Poles come from windows over the last 150 bars; each is one row with its at most 46 bars, fitted one by one.
+    Poles come from windows over the last 150 bars. Each is a row with its at most 46 bars, and one for each bar that may end it;
+    edges are least squares by sums over these, shifted until no bar is beyond them.
     """
     c, w = F.col, series()
     past, ahead = w.rowsBetween(-20, 0), w.rowsBetween(1, 5)
@@ -220,24 +193,51 @@ def flags(swings: DataFrame, bars: DataFrame) -> DataFrame:
     poles = looked.where((c("i") >= 20) & c("i").between(c("last") - 150, c("last") - 5)).select(*SERIES, c("i").alias("t"), "scale", "last", F.explode(F.array("x0", "x1")).alias("x"))
     size, n = c("x.h") - c("x.base.v"), c("t") - c("x.base.i")
     poles = poles.where((c("x.h") >= c("x.top")) & (c("x.next") <= c("x.h")) & (n >= 2) & (size >= 5 * c("scale")) & (size / n >= 0.45 * c("scale")))
-    poles = poles.select(*SERIES, "t", "last", c("x.s").alias("s"), c("x.base.i").alias("base"))
+    poles = poles.select(*SERIES, c("t").cast("int").alias("t"), c("last").cast("int").alias("last"), c("x.s").alias("s"), c("x.base.i").cast("int").alias("base"))
     near = poles.withColumn("i", F.explode(F.sequence(c("base"), F.least(c("last"), c("t") + 25)))).join(bars.select(*SERIES, "i", "high", "low", "close", "scale", "volume"), [*SERIES, "i"])
-    rows = near.groupBy(*SERIES, "base", "t", "s", "last").agg(F.sort_array(F.collect_list(F.struct("i", "high", "low", "close", "scale", "volume"))).alias("b"))
-    rows = rows.select(*SERIES, "base", "t", "s", "last", *(c(f"b.{x}").alias(x) for x in ("high", "low", "close", "scale", "volume")))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for r in frame.itertuples(index=False):
-                up, high, low = r.s > 0, np.asarray(r.high, float), np.asarray(r.low, float)
-                x = flag(high if up else -low, low if up else -high, r.s * np.asarray(r.close, float), np.asarray(r.scale, float), np.asarray(r.volume, float), r.t - r.base, r.last - r.base)
-                if x:
-                    shifted = {"b": x["b"] - x["m"] * r.base, "end": x["end"] + r.base, "brk": None if x["brk"] is None else x["brk"] + r.base}
-                    out.append({"symbol": r.symbol, "timeframe": r.timeframe, "base": r.base, "t": r.t, "s": r.s} | x | shifted)
-            yield pd.DataFrame(out, columns=[f.split()[0] for f in FLAG.split(", ")]).astype({"brk": "Int32"})
+    # the far and the near side of the pole's direction, from its base on
+    bar = F.struct("i", F.when(c("s") > 0, c("high")).otherwise(-c("low")).alias("far"), F.when(c("s") > 0, c("low")).otherwise(-c("high")).alias("near"), (c("s") * c("close")).alias("close"), "scale", "volume")
+    rows = near.groupBy(*SERIES, "base", "t", "s", "last").agg(F.sort_array(F.collect_list(bar)).alias("b")).withColumn("tip", c("t") - c("base"))
+    of = lambda field, k: F.element_at(c("b"), k + 1)[field]
+    rows = rows.withColumns({"height": of("far", c("tip")) - c("b")[0]["near"], "a": of("scale", c("tip"))})
+    # the bars at which the pole goes on and at which too much is given back; the consolidation ends before the first of them
+    rows = rows.where(c("t") + REST[0] <= c("last")).withColumn("most", F.least(c("t") + REST[1], c("last")))
+    soonest = lambda meets: F.array_min(F.filter(F.sequence(F.lit(0), c("most") - c("t")), meets)) + 1
+    rows = rows.withColumns({"on": soonest(lambda k: of("far", c("tip") + k) > of("far", c("tip"))), "low": soonest(lambda k: of("far", c("tip")) - of("near", c("tip") + k) > GIVEN * c("height"))})
+    rows = rows.withColumns({x: F.when(c("t") + c(x) <= c("most"), c("t") + F.greatest(c(x), F.lit(REST[0]))) for x in ("on", "low")})
+    rows = rows.withColumn("until", F.least(c("most"), c("on") - 1, c("low") - 1)).where(c("until") >= c("t") + REST[0])
+    # a row for each bar that may follow it: its edges up to there
+    rows = rows.withColumn("j", F.explode(F.sequence(c("t") + REST[0], c("until"))))
+    rows = rows.withColumn("n", c("j") - c("t")).withColumn("rest", F.slice("b", c("tip") + 1, c("n")))
+    rows = rows.withColumns({"tops": c("rest.far"), "bottoms": F.transform("rest", lambda x: -x["near"])})
+    edge = lambda side, k: c(f"{side}_b") + c(f"{side}_m") * k
+    width = lambda k: edge("tops", k) + edge("bottoms", k)
+    above = lambda side: F.array_max(F.transform(side, lambda y, k: y - edge(side, k)))
+    tests = lambda side: _turns_near(c(side), c("n"), lambda k: edge(side, k) - F.element_at(c(side), k + 1), width)
+    for side in ("tops", "bottoms"):
+        slope, height = _line(c(side), c("n"))
+        rows = rows.withColumns({f"{side}_m": slope, f"{side}_b": height})
+        rows = rows.withColumn(f"{side}_b", c(f"{side}_b") + above(side))
+    rows = rows.withColumns({"tops_tests": tests("tops"), "bottoms_tests": tests("bottoms")})
+    rows = rows.withColumns({"drift": (c("tops_m") - c("bottoms_m")) / 2, "w0": width(F.lit(0)), "w1": width(c("n") - 1), "depth": F.array_max("bottoms"), "given": of("far", c("tip")) + F.array_max("bottoms")})
+    fits = (c("drift") <= DRIFT * c("a")) & (-c("drift") <= AGAINST * c("height") / c("tip")) & (c("w0") <= APART * c("height")) & (c("tops_tests") >= TESTED) & (c("bottoms_tests") >= TESTED)
+    after = c("j") - c("base")
+    usual = lambda x: _sum(F.filter(x, lambda v: v.isNotNull() & ~F.isnan(v))) / F.nullif(F.size(F.filter(x, lambda v: v.isNotNull() & ~F.isnan(v))), F.lit(0))
+    quiet = usual(c("rest.volume")) < usual(F.slice("b", 1, c("tip") + 1)["volume"])
+    rows = rows.where(fits).withColumns({"breaks": of("close", after) > edge("tops", c("n")) + BREAK * of("scale", after), "dry": F.when(quiet, 1.0).when(~quiet, 0.4)})
+    # the first break ends it, or else the last bar that fits
+    pole = [*SERIES, "base", "t", "s"]
+    shape = F.struct("n", "tops_m", "tops_b", "bottoms_m", "w0", "w1", "given", "depth", "dry", "j")
+    rows = rows.groupBy(*pole, "last", "tip", "height", "a", "on", "low").agg(F.min(F.when(c("breaks"), c("j"))).alias("brk"), F.max_by(shape, "j").alias("newest"), F.min_by(shape, F.when(c("breaks"), c("j"))).alias("broken"))
+    rows = rows.where(c("brk").isNotNull() | c("on").isNull() | (c("low") < c("on"))).withColumn("x", F.coalesce("broken", "newest"))
+    rows = rows.where((c("x.w0") > 0) & (c("x.w1") > 0))
+    found = rows.select(
+        *pole, c("x.tops_m").alias("m"), (c("x.tops_b") - c("x.tops_m") * c("t")).alias("b"), (c("x.given") / (GIVEN * c("height"))).alias("held"), (c("x.j") - 1).alias("end"), "brk", (c("brk").isNull() & (c("low").isNotNull() | (c("last") - c("t") > REST[1]))).alias("dead"),
+        ((c("x.w1") / c("x.w0") < NARROWS) & (c("x.tops_m") <= 0) & (c("x.bottoms_m") <= 0)).alias("pennant"), c("x.w0").alias("w0"), "height", (c("height") / c("tip") / c("a")).alias("steep"), "a", c("x.dry").alias("dry"), (-c("x.depth")).alias("low"),
+    )
 
     ends = bars.where("i = last").select(*SERIES, "last")
-    found = rows.mapInPandas(run, FLAG).join(ends, SERIES)
+    found = found.join(ends, SERIES)
     s, kind = c("s"), F.when(c("pennant"), "pennant").otherwise("flag")
     cons = c("end") - c("t") + 1
     parts = [c("height") / (10 * c("a")), c("steep"), 1 - F.least(F.lit(1.0), c("w0") / (0.75 * c("height"))), 1 - c("held"), F.when(cons.between(5, 20), 1.0).otherwise(0.6), c("dry")]
