@@ -294,11 +294,11 @@ def replayed(bars: DataFrame, lookback: int = 250, least: int = 40) -> DataFrame
     return rows.select(F.concat_ws("@", "symbol", "t").alias("symbol"), "timeframe", "ts", "open", "high", "low", "close", "volume", (c("i") - start).cast("int").alias("i"))
 
 
-def pattern_signals(bars: DataFrame, pattern_ids: tuple[str, ...], lookback: int = 250, allow_short: bool = False, volume: bool = False, trend_filter: bool = False, target_r: float | None = None, max_hold: int = 40, buffer: float = 0.2) -> DataFrame:
+def pattern_signals(bars: DataFrame, pattern_ids: tuple[str, ...], lookback: int = 250, allow_short: bool = False, volume: bool = False, trend_filter: bool = False, target_r: float | None = None, max_hold: int = 40, buffer: float = 0.2, stop_scales: float = 2.0) -> DataFrame:
     """Signals, as ``ledger`` takes them, at each bar that confirms a pattern among the ``lookback`` bars up to it, of several the best.
 
-    Stop beyond the pattern's invalidation by ``buffer`` scales; target that of the pattern, or ``target_r`` times the
-    risk. All bars of all series are looked at in one job.
+    Stop beyond the pattern's invalidation, or where it has none beyond ``stop_scales`` from its level, by ``buffer``
+    scales; target that of the pattern, or ``target_r`` (twice, where it has none) times the risk. All bars of all series are looked at in one job.
     """
     c = F.col
     seen = recursive(replayed(bars, lookback), "scale")
@@ -308,11 +308,14 @@ def pattern_signals(bars: DataFrame, pattern_ids: tuple[str, ...], lookback: int
     found = found.where(F.coalesce("volume_confirmation", F.lit(False))) if volume else found
     now = seen.groupBy(*SERIES).agg(F.max_by("scale", "i").alias("scale"))
     cut = F.length("symbol") - F.locate("@", F.reverse("symbol"))
-    best = found.join(now, SERIES).withColumns({"t": F.substring_index("symbol", "@", -1).cast("int"), "symbol": F.left("symbol", cut)})
+    named = found.join(now, SERIES).withColumns({"i": F.substring_index("symbol", "@", -1).cast("int"), "symbol": F.left("symbol", cut)})
     sgn = F.when(c("direction") == "bullish", 1).otherwise(-1)
-    best = best.groupBy(*SERIES, c("t").alias("i")).agg(F.max_by(F.struct(sgn.alias("side"), (c("inval") - sgn * buffer * c("scale")).alias("stop"), c("target").alias("goal")), F.struct("quality", -c("start_idx"))).alias("x"))
-    rows = bars.withColumn("_trend", c("close") - mean(c("close"), 200)).join(best, [*SERIES, "i"], "left")
-    fits = F.coalesce(c("x.side") * c("_trend") > 0, F.lit(False)) if trend_filter else F.lit(True)
-    of = lambda x: F.when(fits, x)
-    goal = c("x.goal") if target_r is None else c("close") + c("x.side") * target_r * F.abs(c("close") - c("x.stop"))
-    return rows.select(*SERIES, "i", "open", "high", "low", "close", "volume", F.lit(0).alias("spec_id"), F.lit(2.0).alias("stop_scales"), F.lit(target_r or 2.0).alias("target_r"), F.lit(max_hold).alias("max_hold"), of(c("x.side")).alias("side"), of(c("x.stop")).alias("stop"), of(goal).alias("target"))
+    if trend_filter:  # before the best is chosen, so that one against the trend hides no other
+        trend = bars.select(*SERIES, "i", (c("close") - mean(c("close"), 200)).alias("_trend"))
+        named = named.join(trend, [*SERIES, "i"]).where(sgn * c("_trend") > 0)
+    stop = F.coalesce("inval", c("level") - sgn * stop_scales * c("scale")) - sgn * buffer * c("scale")
+    best = named.groupBy(*SERIES, "i").agg(F.max_by(F.struct(sgn.alias("side"), stop.alias("stop"), c("target").alias("goal")), F.struct("quality", -c("start_idx"))).alias("x"))
+    rows = bars.join(best, [*SERIES, "i"], "left")
+    goal = F.lit(None).cast("double") if target_r is not None else c("x.goal")
+    goal = F.coalesce(goal, c("close") + c("x.side") * (target_r or 2.0) * F.abs(c("close") - c("x.stop")))
+    return rows.select(*SERIES, "i", "open", "high", "low", "close", "volume", F.lit(0).alias("spec_id"), F.lit(stop_scales).alias("stop_scales"), F.lit(target_r or 2.0).alias("target_r"), F.lit(max_hold).alias("max_hold"), c("x.side").alias("side"), c("x.stop").alias("stop"), goal.alias("target"))

@@ -52,11 +52,12 @@ def clean(raw: DataFrame, order: str = "position") -> DataFrame:
     return indexed(checked(raw, order).where("problem is null").select(*SERIES, "ts", "open", "high", "low", "close", "volume"))
 
 
-def report(raw: DataFrame, order: str = "position", holidays: DataFrame | None = None) -> DataFrame:
+def report(raw: DataFrame, order: str = "position", holidays: DataFrame | None = None, as_of: str | None = None, most_days: float | None = None) -> DataFrame:
     """(symbol, timeframe, rows_in, rows_out, ..., score, rating): a row for each series.
 
     Missing candles are weekdays of a daily series without a bar that are no ``holidays(date)``, or steps of more than
-    one and a half intervals inside a day; jumps are opens more than 30 % from the close before.
+    one and a half intervals inside a day; jumps are opens more than 30 % from the close before. Seen at the time ``as_of`` a series whose last bar is over
+    ``most_days`` old is ``stale``, see ``freshness``; without them none is.
     """
     rows = checked(raw, order)
     counts = rows.groupBy(*SERIES).agg(F.count("*").alias("rows_in"), *(F.count_if(F.col("problem") == p).alias(n) for p, n in (("bad_timestamp", "bad_timestamps"), ("duplicate", "duplicates"), ("invalid", "invalid_rows"))))
@@ -75,11 +76,13 @@ def report(raw: DataFrame, order: str = "position", holidays: DataFrame | None =
     absent = days.join(good.select(*SERIES, F.to_date("ts").alias("date")).distinct(), [*SERIES, "date"], "left_anti").groupBy(*SERIES).agg(F.count("*").alias("absent"))
     r = counts.join(stats, SERIES, "left").join(absent, SERIES, "left").fillna(0, ["rows_out", "jumps", "gaps", "absent", "zero_volume_bars"])
     r = r.withColumn("missing_candles", F.when(F.col("timeframe") == "1d", F.col("absent")).otherwise(F.col("gaps")))
+    old = freshness(good, as_of, most_days).select(*SERIES, "stale") if as_of is not None else None
+    r = r.withColumn("stale", F.lit(False)) if old is None else r.join(old, SERIES, "left").withColumn("stale", F.coalesce("stale", F.lit(False)))
     lost = lambda most, part, whole: F.least(F.lit(float(most)), 100 * F.col(part) / F.greatest(F.col(whole), F.lit(1)))
-    score = 100 - F.when(F.col("rows_out") < 60, 35.0).when(F.col("rows_out") < 200, 10.0).otherwise(0.0) - F.when(F.coalesce("has_volume", F.lit(False)), 0.0).otherwise(15.0) - lost(20, "invalid_rows", "rows_in") - lost(15, "missing_candles", "rows_out") - F.when(F.col("jumps") > 0, 10.0).otherwise(0.0)
+    score = 100 - F.when(F.col("rows_out") < 60, 35.0).when(F.col("rows_out") < 200, 10.0).otherwise(0.0) - F.when(F.coalesce("has_volume", F.lit(False)), 0.0).otherwise(15.0) - lost(20, "invalid_rows", "rows_in") - lost(15, "missing_candles", "rows_out") - F.when(F.col("jumps") > 0, 10.0).otherwise(0.0) - F.when(F.col("stale"), 20.0).otherwise(0.0)
     r = r.withColumn("raw", F.when(F.col("rows_out") > 0, score).otherwise(0.0))
     rating = F.when(F.col("rows_out") == 0, "insufficient").when(F.col("raw") >= 80, "high").when(F.col("raw") >= 60, "medium").when(F.col("raw") >= 30, "low").otherwise("insufficient")
-    return r.select(*SERIES, "rows_in", "bad_timestamps", "duplicates", "invalid_rows", "rows_out", "zero_volume_bars", (F.coalesce("flat_share", F.lit(0.0)) > 0.05).alias("illiquid"), "jumps", "missing_candles", F.greatest(F.lit(0.0), F.col("raw")).alias("score"), rating.alias("rating"))
+    return r.select(*SERIES, "rows_in", "bad_timestamps", "duplicates", "invalid_rows", "rows_out", "zero_volume_bars", (F.coalesce("flat_share", F.lit(0.0)) > 0.05).alias("illiquid"), "jumps", "missing_candles", "stale", F.greatest(F.lit(0.0), F.col("raw")).alias("score"), rating.alias("rating"))
 
 
 def freshness(bars: DataFrame, as_of: str, most_days: float | None = None, closes: str = "15:30", friday_closes: str = "16:30") -> DataFrame:

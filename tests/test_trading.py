@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tapeworks.operators import alerts, backtest, validation
 
@@ -78,6 +79,8 @@ def test_validation(spark):
     assert (r["rows_in"], r["rows_out"], r["bad_timestamps"], r["duplicates"], r["invalid_rows"], r["jumps"], r["missing_candles"]) == (9, 2, 2, 1, 4, 1, 3)
     assert r["score"] == pytest.approx(100 - 35 - 20 - 15 - 10) and r["rating"] == "insufficient"
     holidays = spark.createDataFrame([("2024-01-03",)], "date string")
+    aged = [validation.report(named, as_of=at, most_days=30).first() for at in ("2100-01-01 00:00:00", "1900-01-01 00:00:00")]
+    assert [x["stale"] for x in aged] == [True, False] and aged[0]["score"] == max(0.0, r["score"] - 20) and aged[1]["score"] == r["score"]
     assert validation.report(named, holidays=holidays).first()["missing_candles"] == 2
     with pytest.raises(ValueError):
         validation.named(raw.drop("Price"))
@@ -96,3 +99,21 @@ def test_alerts_are_reported_once(spark):
     assert {status[10 + k] for k in range(5)} == {"short_history"} and {status[20 + k] for k in range(5)} == {"no_data"}
     new = alerts.unreported(hits.unionByName(hits), hits.where("rule_id = 0"))
     assert [r["rule_id"] for r in new.collect()] == [3]
+
+
+def test_pattern_signals_have_stops_and_follow_the_trend(spark, monkeypatch):
+    """The best pattern of the last bar is against the trend, the next has no invalidation and no target."""
+    closes = [100.0 + 0.1 * k for k in range(260)]
+    bars = spark.createDataFrame([("a", "1d", k, c, c + 1, c - 1, c, 1.0) for k, c in enumerate(closes)], "symbol string, timeframe string, i int, open double, high double, low double, close double, volume double").withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.col("i")))
+    found = spark.createDataFrame(
+        [("a@259", "1d", "bearish", 249, 249, False, 90.0, 120.0, 125.0, 80.0, 5), ("a@259", "1d", "bullish", 249, 249, False, 50.0, 120.0, None, None, 7), ("a@100", "1d", "bullish", 99, 99, False, 50.0, 105.0, 100.0, 130.0, 7)],
+        "symbol string, timeframe string, direction string, confirmation_idx int, last int, provisional boolean, quality double, level double, inval double, target double, start_idx int",
+    )
+    monkeypatch.setattr(backtest.patterns, "detect", lambda *a: found)
+    signals = lambda **k: {r["i"]: (r["side"], r["stop"], r["target"]) for r in backtest.pattern_signals(bars, ("x",), allow_short=True, **k).where("side is not null").collect()}
+    followed = signals(trend_filter=True)  # no average of 200 bars at bar 100
+    assert followed.keys() == {259} and followed[259][0] == 1
+    scale, close = 2.0, closes[259]
+    stop = 120 - 2 * scale - 0.2 * scale
+    assert followed[259][1:] == pytest.approx((stop, close + 2 * abs(close - stop)))
+    assert signals() == {259: (-1, pytest.approx(125 + 0.2 * scale), 80.0), 100: (1, pytest.approx(100 - 0.2 * scale), 130.0)}
