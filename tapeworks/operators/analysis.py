@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tapeworks.functions.rolling import before, mean, series
 from tapeworks.operators import candles, divergence, indicators, levels, patterns, trends
 from tapeworks.operators.recursive import recursive, zigzag
-from tapeworks.session import stored
+from tapeworks.session import stored, stored_together
 from tapeworks.sources.bars import SERIES
 
 SMAS, EMAS = (10, 20, 50, 100, 200), (9, 20, 50, 100, 200)
@@ -235,22 +235,20 @@ def flags(now: DataFrame, found: DataFrame, zones: DataFrame, diverged: DataFram
 def parts_of(bars: DataFrame, timeframes: DataFrame | None = None) -> dict[str, DataFrame]:
     """The tables that a report joins, each of all series: frame, now, swings, patterns, zones, divergences, fibonacci, candles, assessed, setups, score, flags.
 
-    Those that several others read are stored tables, so that each is computed once and plans stay small.
+    Those that several others read are stored tables, so that each is computed once and plans stay small; those that don't
+    read one another are written side by side.
     """
-    frame = stored(indicator_frame(bars), "frame")
+    first = stored_together(frame=indicator_frame(bars), assessed=trends.assess(timeframes if timeframes is not None else bars))
+    frame, assessed = first["frame"], first["assessed"]
     plain = frame.select(*bars.columns, "scale")
-    context = stored(patterns.context(plain), "context")
-    swings = stored(zigzag(plain), "swings")
-    now, zones = stored(snapshot(frame), "now"), stored(levels.zones(plain, swings), "zones")
-    found = stored(patterns.current(patterns.detect(context, swings)), "patterns")
+    base = stored_together(context=patterns.context(plain), swings=zigzag(plain), now=snapshot(frame))
+    context, swings, now = base["context"], base["swings"], base["now"]
     sized = frame.select(*SERIES, "i", "scale", "rsi", "macd", "obv", "mfi")
-    diverged, fib = stored(divergence.divergences(sized, swings, ("rsi", "macd", "obv", "mfi")), "divergences"), stored(divergence.fibonacci(plain, swings), "fibonacci")
-    assessed = stored(trends.assess(timeframes if timeframes is not None else bars), "assessed")
-    made = stored(setups(now, found, zones, fib), "setups")
-    return {
-        "frame": frame, "now": now, "swings": swings, "patterns": found, "zones": zones, "divergences": diverged, "fibonacci": fib, "candles": candles.detect(plain, zones, all_bars=False), "assessed": assessed, "setups": made,
-        "score": stored(score(now, found, zones, made, diverged, assessed), "score"), "flags": stored(flags(now, found, zones, diverged, plain), "flags"),
-    }
+    seen = stored_together(zones=levels.zones(plain, swings), patterns=patterns.current(patterns.detect(context, swings)), divergences=divergence.divergences(sized, swings, ("rsi", "macd", "obv", "mfi")), fibonacci=divergence.fibonacci(plain, swings))
+    zones, found, diverged = seen["zones"], seen["patterns"], seen["divergences"]
+    made = stored(setups(now, found, zones, seen["fibonacci"]), "setups")
+    last = stored_together(score=score(now, found, zones, made, diverged, assessed), flags=flags(now, found, zones, diverged, plain))
+    return {"frame": frame, "now": now, "swings": swings, **seen, "candles": candles.detect(plain, zones, all_bars=False), "assessed": assessed, "setups": made, **last}
 
 
 def best_patterns(found: DataFrame) -> DataFrame:

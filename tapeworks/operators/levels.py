@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tapeworks.functions.rolling import mean
 from tapeworks.sources.bars import SERIES
 
+#: Price blocks that a series' range is cut into at most.
+BLOCKS = 1024
 # Distances of round numbers.
 STEPS = (0.5, 1, 5, 10, 50, 100, 500, 1000, 5000)
 # Scales that join swings into a zone and that it is wider than they are, bars of a reaction, half-life of a
@@ -51,6 +53,40 @@ def auxiliary(bars: DataFrame, periods: tuple[int, ...] = (50, 100, 200)) -> Dat
     return rows.select(*SERIES, "x.kind", "x.price").where("price is not null and (kind <> 'round' or price > 0)")
 
 
+def _by_price(df: DataFrame, low: str, high: str, step: str = "_step") -> DataFrame:
+    """``df`` with a row for each price block, ``step`` wide, that the range from ``low`` to ``high`` reaches into; ``_from`` is its first."""
+    rows = df.withColumn("_from", F.floor(F.col(low) / F.col(step)))
+    return rows.withColumn("_block", F.explode(F.sequence("_from", F.floor(F.col(high) / F.col(step)))))
+
+
+def _visits(made: DataFrame, b: DataFrame) -> DataFrame:
+    """(symbol, timeframe, zone, episodes, stay_idx, crossings): the stays of bars in zones, and how often closes change sides of their middles.
+
+    Bars meet only the zones of the price blocks that they reach into. A block is two scales wide, or what cuts the
+    series' range into BLOCKS.
+    """
+    c = F.col
+    steps = b.groupBy(*SERIES).agg(F.greatest(2 * F.max_by("scale", "i"), (F.max("high") - F.min("low")) / BLOCKS).alias("_step"))
+    prev = F.lag("close").over(Window.partitionBy(*SERIES).orderBy("i"))
+    bars = b.select(*SERIES, "i", "low", "high", "close", prev.alias("prev")).join(steps, SERIES)
+    ranges = made.select(*SERIES, "zone", c("low").alias("z_low"), c("high").alias("z_high"), "mid").join(steps, SERIES)
+    at, each = [*SERIES, "_block"], [*SERIES, "zone"]
+    # a bar and a zone meet in the first block that both reach into
+    inside = _by_price(bars, "low", "high").drop("_step").join(_by_price(ranges, "z_low", "z_high").select(*at, "zone", "z_low", "z_high", c("_from").alias("_z")), at)
+    inside = inside.where((c("_block") == F.greatest("_from", "_z")) & (c("low") <= c("z_high")) & (c("high") >= c("z_low")))
+    stay = c("i") - F.row_number().over(Window.partitionBy(*each).orderBy("i"))
+    stays = inside.withColumn("stay", stay).groupBy(*each, "stay").agg(F.min("i").alias("a"), F.max("i").alias("z"))
+    stays = stays.groupBy(*each).agg(F.count_if(c("z") - c("a") < EPISODE).alias("episodes"), F.max("z").alias("stay_idx"))
+    # a change of sides lies between two closes; one that is the middle itself keeps the side before
+    moves = _by_price(bars.where("prev is not null").withColumns({"_lo": F.least("prev", "close"), "_hi": F.greatest("prev", "close")}), "_lo", "_hi").drop("_step")
+    middles = ranges.select(*SERIES, "zone", "mid", F.floor(c("mid") / c("_step")).alias("_block"))
+    side = lambda x: F.nullif(F.signum(c(x) - c("mid")), F.lit(0.0))
+    met = moves.join(middles, at).where(c("mid").between(c("_lo"), c("_hi"))).withColumns({"now": side("close"), "was": side("prev")})
+    met = met.withColumn("was", F.last("was", ignorenulls=True).over(Window.partitionBy(*each).orderBy("i")))
+    crossed = met.groupBy(*each).agg(F.count_if(c("now") != c("was")).alias("crossings"))
+    return stays.join(crossed, each, "full")
+
+
 def zones(bars: DataFrame, swings: DataFrame) -> DataFrame:
     """Support and resistance zones of ``bars`` with column ``scale``: a row for each of at most MOST a series, by price (``place`` from 1).
 
@@ -60,7 +96,7 @@ def zones(bars: DataFrame, swings: DataFrame) -> DataFrame:
     EPISODE bars if these are more; zones with fewer than TOUCHES are left out unless they hold an extreme. ``immediate``
     is the nearest support and resistance, ``major`` the strongest. Series of fewer than LEAST_BARS bars have none.
 
-    A series' swings are folded in one row; zones meet the bars of their series in a join, once.
+    A series' swings are folded in one row; zones meet the bars that reach into their price blocks.
     """
     c, w = F.col, Window.partitionBy(*SERIES).orderBy("i")
     ahead = w.rowsBetween(1, REACTION)
@@ -94,14 +130,8 @@ def zones(bars: DataFrame, swings: DataFrame) -> DataFrame:
     ).join(now, SERIES)
     made = made.withColumns({"low": c("lo") - PAD * c("now_scale"), "high": c("hi") + PAD * c("now_scale")}).withColumn("mid", (c("low") + c("high")) / 2)
 
-    z = Window.partitionBy(*SERIES, "zone").orderBy("i")
-    met = made.select(*SERIES, "zone", c("low").alias("z_low"), c("high").alias("z_high"), "mid").join(b.select(*SERIES, "i", "low", "high", "close"), SERIES)
-    met = met.withColumns({"inside": (c("low") <= c("z_high")) & (c("high") >= c("z_low")), "side": F.nullif(F.signum(c("close") - c("mid")), F.lit(0.0))})
-    met = met.withColumns({"begins": c("inside") & ~F.coalesce(F.lag("inside").over(z), F.lit(False)), "before": F.last("side", ignorenulls=True).over(z.rowsBetween(Window.unboundedPreceding, -1))})
-    stays = met.withColumn("stay", F.count_if("begins").over(z)).groupBy(*SERIES, "zone", "stay").agg(F.min(F.when(c("inside"), c("i"))).alias("a"), F.max(F.when(c("inside"), c("i"))).alias("z"), F.count_if(c("side") != c("before")).alias("crossings"))
-    seen = stays.groupBy(*SERIES, "zone").agg(F.count_if(c("z") - c("a") < EPISODE).alias("episodes"), F.max("z").alias("stay_idx"), F.sum("crossings").alias("crossings"))
-
-    rows = made.join(seen, [*SERIES, "zone"]).withColumns({"touches": F.greatest("pivots", "episodes"), "last_idx": F.greatest("pivot_idx", F.coalesce("stay_idx", "pivot_idx"))}).where((c("touches") >= TOUCHES) | c("extreme"))
+    seen = _visits(made, b)
+    rows = made.join(seen, [*SERIES, "zone"], "left").fillna(0, ["episodes", "crossings"]).withColumns({"touches": F.greatest("pivots", "episodes"), "last_idx": F.greatest("pivot_idx", F.coalesce("stay_idx", "pivot_idx"))}).where((c("touches") >= TOUCHES) | c("extreme"))
     one = lambda x: F.least(F.lit(1.0), x)
     parts = {
         "touches": one(c("touches") / 5), "recency": F.pow(F.lit(0.5), (c("n") - 1 - c("last_idx")) / HALF_LIFE), "rejection": one(F.coalesce("reaction", F.lit(0.0)) / 4), "role_reversal": F.when(c("both"), 1.0).otherwise(0.3),

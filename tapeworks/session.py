@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,3 +39,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stored_together(**tables: DataFrame) -> dict[str, DataFrame]:
+    """``stored`` for several frames that don't read one another, side by side: none waits for the last tasks of another, nor for its plan."""
+    for df in tables.values():
+        shared_folder(df.sparkSession)
+    with ThreadPoolExecutor(len(tables)) as pool:
+        return dict(zip(tables, pool.map(lambda name: stored(tables[name], name), tables), strict=True))
