@@ -7,7 +7,7 @@ sample that the weights have not seen, makes the scores probabilities. The model
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -75,15 +75,16 @@ class Model:
         return self.languages[best], float(chances[best])
 
 
-def fit(rows: list[tuple[str, np.ndarray]], idf: np.ndarray) -> Model:
+def fit(rows: Iterable[tuple[str, np.ndarray]], idf: np.ndarray) -> Model:
     """The model of (language, counts) rows, in their order; every fifth of a language is left for the temperature."""
-    languages = sorted({lang for lang, _ in rows})
+    sparse = [(lang, *weigh(counts, idf)) for lang, counts in rows]
+    languages = sorted({lang for lang, *_ in sparse})
     if not languages:
         return Model([], idf, np.zeros((FEATURES, 0)))
     known = {lang: k for k, lang in enumerate(languages)}
     z = np.zeros((FEATURES, len(languages)))
     n = np.zeros_like(z)
-    data = [(known[lang], *weigh(counts, idf)) for lang, counts in rows]
+    data = [(known[lang], at, x) for lang, at, x in sparse]
     place = np.zeros(len(languages), np.int64)
     fitted, left = [], []
     for d in data:
@@ -166,7 +167,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return counts
 
     fetched = few.select("k", "lang", "text").mapInArrow(count, "k int, lang string, at binary, counts binary").collect()
-    return fit([(r["lang"], dense(r)) for r in sorted(fetched, key=lambda r: (r["k"], r["lang"]))], idf)
+    return fit(((r["lang"], dense(r)) for r in sorted(fetched, key=lambda r: (r["k"], r["lang"]))), idf)  # one dense array at a time
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
