@@ -97,7 +97,7 @@ def reward_risk(sgn: Column, entry: Column, stop: Column, target: Column) -> Col
 
 
 def setups(now: DataFrame, found: DataFrame, zones: DataFrame, fib: DataFrame) -> DataFrame:
-    """A long and a short setup for each series of ``now`` (a ``snapshot``): entry, stop, targets, ratio, confidence.
+    """A long and a short setup for each series of ``now`` (a ``snapshot`` or ``newest``): entry, stop, targets, ratio, confidence.
 
     The best open pattern of the side's direction among the ``current`` of ``found`` gives entry and stop, else the
     zones on both sides of the price. Targets are up to two zones ahead, the measured move and the first Fibonacci level,
@@ -232,11 +232,39 @@ def flags(now: DataFrame, found: DataFrame, zones: DataFrame, diverged: DataFram
     return now.select(*SERIES).join(found_flags, SERIES, "left").withColumn("flags", F.coalesce("flags", F.array().cast("array<string>")))
 
 
+def newest(bars: DataFrame) -> DataFrame:
+    """(symbol, timeframe, n, close, scale): the last of each series of ``bars`` with column ``scale``, and how many it has."""
+    return bars.withColumn("n", F.count("*").over(Window.partitionBy(*SERIES))).where("i = n - 1").select(*SERIES, "n", "close", "scale")
+
+
+def _shapes(plain: DataFrame, context: DataFrame, swings: DataFrame, **more: DataFrame) -> dict[str, DataFrame]:
+    """Zones, patterns and Fibonacci levels, stored, and ``more`` frames beside them.
+
+    Each detector's candidates are a table and a job of their own: the life of patterns reads candidates twice, and in one
+    union of all detectors adaptive execution gives each a single task, whatever its number of series.
+    """
+    proposed = patterns.proposed(context, swings)
+    seen = stored_together(zones=levels.zones(plain, swings), fibonacci=divergence.fibonacci(plain, swings), **more, **proposed)
+    found = {d: seen.pop(d) for d in proposed}
+    return {**seen, "patterns": stored(patterns.current(patterns.settled(found, context)), "patterns")}
+
+
+def setups_of(bars: DataFrame) -> DataFrame:
+    """The setups of ``bars``, as ``parts_of`` gives them, without what only scores and flags read: indicators, timeframes, divergences.
+
+    ``bars`` are computed once; all else reads the stored ones.
+    """
+    plain = stored(recursive(bars, "scale"), "plain")
+    base = stored_together(context=patterns.context(plain), swings=zigzag(plain))
+    seen = _shapes(plain, base["context"], base["swings"])
+    return setups(newest(plain), seen["patterns"], seen["zones"], seen["fibonacci"])
+
+
 def parts_of(bars: DataFrame, timeframes: DataFrame | None = None) -> dict[str, DataFrame]:
     """The tables that a report joins, each of all series: frame, now, swings, patterns, zones, divergences, fibonacci, candles, assessed, setups, score, flags.
 
     Those that several others read are stored tables, so that each is computed once and plans stay small; those that don't
-    read one another are written side by side.
+    read one another are written side by side. ``bars`` and ``timeframes`` are read several times: give stored ones.
     """
     first = stored_together(frame=indicator_frame(bars), assessed=trends.assess(timeframes if timeframes is not None else bars))
     frame, assessed = first["frame"], first["assessed"]
@@ -244,7 +272,7 @@ def parts_of(bars: DataFrame, timeframes: DataFrame | None = None) -> dict[str,
     base = stored_together(context=patterns.context(plain), swings=zigzag(plain), now=snapshot(frame))
     context, swings, now = base["context"], base["swings"], base["now"]
     sized = frame.select(*SERIES, "i", "scale", "rsi", "macd", "obv", "mfi")
-    seen = stored_together(zones=levels.zones(plain, swings), patterns=patterns.current(patterns.detect(context, swings)), divergences=divergence.divergences(sized, swings, ("rsi", "macd", "obv", "mfi")), fibonacci=divergence.fibonacci(plain, swings))
+    seen = _shapes(plain, context, swings, divergences=divergence.divergences(sized, swings, ("rsi", "macd", "obv", "mfi")))
     zones, found, diverged = seen["zones"], seen["patterns"], seen["divergences"]
     made = stored(setups(now, found, zones, seen["fibonacci"]), "setups")
     last = stored_together(score=score(now, found, zones, made, diverged, assessed), flags=flags(now, found, zones, diverged, plain))

@@ -672,23 +672,27 @@ def category(pattern: Column) -> Column:
     return F.when(pattern.isin(*CONTINUATION), "continuation").when(pattern.isin(*BILATERAL), "bilateral").otherwise("reversal")
 
 
-def detect(bars: DataFrame, swings: DataFrame, include: tuple[str, ...] | None = None, experimental: bool = True) -> DataFrame:
-    """All patterns of ``bars`` with ``context``, thinned out (see ``distinct``), with ``category`` and ``experimental``.
-
-    Only detectors that find an id of ``include`` run. Series of fewer than LEAST_BARS bars have none. The candidates of
-    all detectors share one join with the bars.
-    """
+def proposed(bars: DataFrame, swings: DataFrame, include: tuple[str, ...] | None = None, experimental: bool = True) -> dict[str, DataFrame]:
+    """The candidates of each detector that finds an id of ``include``, by its name. Series of fewer than LEAST_BARS bars have none."""
     wanted = [d for d, ids in IDS.items() if (include is None or set(ids) & set(include)) and (experimental or not set(ids) & EXPERIMENTAL)]
     if not wanted:
         raise ValueError(f"no detector finds any of {include}")
     enough = bars.where(F.col("last") + 1 >= LEAST_BARS)
-    found = reduce(DataFrame.unionByName, [DETECTORS[d](swings, enough) for d in wanted])
-    if include is not None:
-        found = found.where(F.col("pattern_id").isin(*include))
-    rows = distinct(lifecycle(found, enough))
+    found = {d: DETECTORS[d](swings, enough) for d in wanted}
+    return found if include is None else {d: x.where(F.col("pattern_id").isin(*include)) for d, x in found.items()}
+
+
+def settled(candidates: dict[str, DataFrame], bars: DataFrame) -> DataFrame:
+    """The patterns that ``candidates`` of ``bars`` become, thinned out (see ``distinct``), with ``category`` and ``experimental``. All share one join with the bars."""
+    rows = distinct(lifecycle(reduce(DataFrame.unionByName, candidates.values()), bars.where(F.col("last") + 1 >= LEAST_BARS)))
     return rows.withColumns({"category": category(F.col("pattern_id")), "experimental": F.col("pattern_id").isin(*EXPERIMENTAL)})
 
 
+def detect(bars: DataFrame, swings: DataFrame, include: tuple[str, ...] | None = None, experimental: bool = True) -> DataFrame:
+    """All patterns of ``bars`` with ``context``: what detectors have ``proposed``, ``settled``."""
+    return settled(proposed(bars, swings, include, experimental), bars)
+
+
 def current(found: DataFrame) -> DataFrame:
     """``found`` with ``current``: confirmed within CURRENT_BARS, active with an end within them, or resolved within RESOLVED_BARS."""
     c = F.col

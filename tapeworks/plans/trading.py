@@ -11,7 +11,7 @@ from tapeworks.operators import alerts, analysis, backtest, divergence, indicato
 from tapeworks.operators.recursive import recursive, zigzag
 from tapeworks.operators.resample import resample
 from tapeworks.plans.indicators import Query, shown
-from tapeworks.session import shared_folder
+from tapeworks.session import shared_folder, stored
 from tapeworks.sources.bars import daily_trades, floored, hourly_events, line_trades, minute_text
 from tapeworks.streaming import alerts as watched
 from tapeworks.streaming.bars import closed_bars, event_ticks
@@ -133,7 +133,7 @@ def val12(spark, sf_dir) -> DataFrame:
 
 
 def _parts(spark, sf_dir) -> dict[str, DataFrame]:
-    days = line_trades(spark, sf_dir)
+    days = stored(line_trades(spark, sf_dir), "days")
     return analysis.parts_of(days, days.unionByName(resample(days, "1d", "1w")).unionByName(resample(days, "1d", "1M")))
 
 
@@ -149,7 +149,7 @@ def ind38(spark, sf_dir) -> DataFrame:
 
 
 def set03(spark, sf_dir) -> DataFrame:
-    made = _parts(spark, sf_dir)["setups"].withColumns({"targets": F.array_join(F.transform("targets", lambda t: F.concat_ws(":", F.format_string("%.4f", t["price"]), t["ratio"], t["source"])), ","), "risks": F.array_join("risks", ",")})
+    made = analysis.setups_of(line_trades(spark, sf_dir)).withColumns({"targets": F.array_join(F.transform("targets", lambda t: F.concat_ws(":", F.format_string("%.4f", t["price"]), t["ratio"], t["source"])), ","), "risks": F.array_join("risks", ",")})
     return shown(made, *(c for c in made.columns if c not in ("symbol", "timeframe")), keys=("symbol",))
 
 

@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
+#: Frames that are written side by side: each one's plan takes memory of the driver while it is made and run.
+SIDE_BY_SIDE = 3
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -42,8 +44,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def stored_together(**tables: DataFrame) -> dict[str, DataFrame]:
-    """``stored`` for several frames that don't read one another, side by side: none waits for the last tasks of another, nor for its plan."""
+    """``stored`` for several frames that don't read one another, up to SIDE_BY_SIDE at once: none waits for the last tasks of another, nor for its plan."""
     for df in tables.values():
         shared_folder(df.sparkSession)
-    with ThreadPoolExecutor(len(tables)) as pool:
+    with ThreadPoolExecutor(min(len(tables), SIDE_BY_SIDE)) as pool:
         return dict(zip(tables, pool.map(lambda name: stored(tables[name], name), tables), strict=True))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.operators import alerts, analysis, indicators, levels, patterns, validation
 from tapeworks.operators.recursive import recursive, zigzag
+from tapeworks.plans import trading
 from tapeworks.sources import files
 from tapeworks.sources.bars import hourly_events, indexed
 
@@ -208,3 +209,43 @@ def test_freshness(spark):
     assert seen("2024-03-08 16:30:00")["1w"] == (True, True) and seen("2024-04-01 00:00:00")["1M"] == (True, True)
     open_ = validation.with_completeness(bars, validation.freshness(bars, "2024-03-08 14:30:00"))
     assert {r["timeframe"]: r["complete"] for r in open_.collect()} == {"1d": True, "1h": False, "1w": False, "1M": False}
+
+
+def counted(spark, df):
+    """``df``, and how many of its rows have been made, over all the times that it was."""
+    rows = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(run, df.schema), rows
+
+
+@pytest.mark.parametrize("query", ["set03_setups", "sco07_scores"])
+def test_trades_and_candidates_are_read_once(spark, sf_dir, monkeypatch, query):
+    days, doubles, made, found = trading.line_trades, patterns.DETECTORS["double"], [], []
+
+    def trades(*args):
+        bars, rows = counted(spark, days(*args))
+        made.append((days(*args), rows))
+        return bars
+
+    def double(*args):
+        candidates, rows = counted(spark, doubles(*args))
+        found.append((doubles(*args), rows))
+        return candidates
+
+    monkeypatch.setattr(trading, "line_trades", trades)
+    monkeypatch.setitem(patterns.DETECTORS, "double", double)
+    assert trading.QUERIES[query](spark, sf_dir).count()
+    for (df, rows), in (made, found):
+        assert rows.value == df.count() > 0
+
+
+def test_setups_alone_are_those_of_a_report(spark, drawn):
+    alone, whole = analysis.setups_of(drawn), analysis.parts_of(drawn)["setups"]
+    assert alone.columns == whole.columns
+    got = alone.orderBy("symbol", "side").collect()
+    assert len(got) == 4 and got == whole.orderBy("symbol", "side").collect()
